@@ -5,7 +5,12 @@ from __future__ import annotations
 import importlib
 
 _OPERATORS = {
+    "op1_hidden_markov": "hmm",
+    "op5_token_counts": "token_counts",
+    "op7_jaccard": "jaccard",
+    "op8_quality": "quality",
     "op9_sentencepiece": "sentencepiece_codec",
+    "op10_language_id": "language_id",
 }
 
 
