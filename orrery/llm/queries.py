@@ -6,7 +6,11 @@ import importlib
 
 _OPERATORS = {
     "op1_hidden_markov": "hmm",
+    "op2_lattice": "lattice",
+    "op3_mixing": "mixing",
+    "op4_licences": "licences",
     "op5_token_counts": "token_counts",
+    "op6_cover_tree": "cover_tree",
     "op7_jaccard": "jaccard",
     "op8_quality": "quality",
     "op9_sentencepiece": "sentencepiece_codec",
