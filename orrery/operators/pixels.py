@@ -112,8 +112,7 @@ def strip_jpegs(df: DataFrame, content: str = "content") -> DataFrame:
                     rows.append((None, str(e)))
             yield pd.DataFrame(rows, columns=["stripped", "error"])
 
-    udf = F.pandas_udf(run, "stripped binary, error string", F.PandasUDFType.SCALAR_ITER)
-    return df.withColumn("_s", udf(F.col(content))).withColumns({"stripped": F.col("_s.stripped"), "error": F.col("_s.error")}).drop("_s")
+    return df.withColumn("_s", F.pandas_udf(run, "stripped binary, error string")(F.col(content))).withColumns({"stripped": F.col("_s.stripped"), "error": F.col("_s.error")}).drop("_s")
 
 
 def samples(df: DataFrame, size: int = 8) -> DataFrame:

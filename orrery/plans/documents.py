@@ -26,8 +26,11 @@ def read_plans(df: DataFrame, document: str) -> DataFrame:
     flat = lambda a: F.transform(a, lambda s: F.struct(s["input"].alias("input"), s["command"].alias("command"), s["arguments"].alias("arguments")))
     as_list, one = F.from_json(text, f"array<{STEP}>"), F.from_json(text, STEP)
     listed = text.startswith("[")
+    # a list with something else than objects: as many steps, none of them valid
+    nothing = F.lit(None).cast("struct<input:string,command:string,arguments:map<string,string>>")
+    others = F.transform(F.from_json(text, "array<string>"), lambda _: nothing)
     steps = (
-        F.when(listed, flat(as_list)).when(keyed("results").isNotNull(), nested(keyed("results"))).when(keyed("plans").isNotNull(), flat(keyed("plans")))
+        F.when(listed, F.coalesce(flat(as_list), others)).when(keyed("results").isNotNull(), nested(keyed("results"))).when(keyed("plans").isNotNull(), flat(keyed("plans")))
         .when(one["command"].isNotNull(), flat(F.array(one)))
     )
     out = df.withColumn("_steps", steps)
