@@ -59,16 +59,17 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back.
 
     Unlike a cache this survives lost executors.  :func:`dropped` frees the
     files of an intermediate; what a returned frame still reads stays in the
-    folder, which belongs to the application.
+    folder, which belongs to the application.  ``rows_a_file`` keeps files
+    with very large rows short, since readers hold a file's rows in batches.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orrery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._orrery_path = path
     return out

@@ -278,7 +278,7 @@ def language_model_scores(df: DataFrame, held_out, key: str = "doc_id", text: st
     initialised.
     """
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.coalesce(held_out, F.lit(False)).alias("h"))
-    blocks = written(encode(rows, "k", "t", "h"))
+    blocks = written(encode(rows, "k", "t", "h"), rows_a_file=8)
     entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts", "classes"))).select("block", "pos", "col.*")
     trained = entries.where("counts > 0").groupBy("words").agg(F.sum("counts").alias("c"), F.first("classes").alias("class"))
     trained = written(trained)

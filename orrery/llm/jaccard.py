@@ -94,18 +94,18 @@ def widening(s: np.ndarray) -> int:
     return 0
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, widen: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, whether each is of frequent features) of a set."""
+def signatures(s: np.ndarray, frequent: np.ndarray, widen: int = 0) -> np.ndarray:
+    """Signatures of a set; an odd one is of frequent features."""
     a = len(s)
     if not a:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64)
     zone = np.zeros(a, bool)
     if len(frequent):
         at = np.searchsorted(frequent, s)
         at[at == len(frequent)] = 0
         zone = frequent[at] == s
     place, content = mixed(s + _A), mixed(s ^ _C)
-    sigs, hot = [], []
+    sigs = []
     for instance in _instances(a):
         parts = _parts(instance, widen)
         half = np.uint64(1 << 63)
@@ -118,9 +118,9 @@ def signatures(s: np.ndarray, frequent: np.ndarray, widen: int = 0) -> tuple[np.
             sums = np.add.reduceat(content[order], first)
             first, sums = first[: a // 3 + 1], sums[: a // 3 + 1]  # the sum of one too many took the rest
             part = part[first]
-            sigs.append(mixed(mixed(part + np.uint64(instance) * _A) ^ sums).view(np.int64))
-        hot.append(part >= half)
-    return np.concatenate(sigs), np.concatenate(hot)
+            sig = mixed(mixed(part + np.uint64(instance) * _A) ^ sums)
+        sigs.append((sig & ~np.uint64(1) | (part >= half).astype(np.uint64)).view(np.int64))
+    return np.concatenate(sigs)
 
 
 @lru_cache(maxsize=64)
@@ -176,23 +176,20 @@ def _sign(df: DataFrame, key: str, text: str, frequent: np.ndarray, widen: int)
         gc.disable()
         seen: set[int] = set()  # copies within a task sign once (8 bytes a document)
         for batch in batches:
-            sigs, ids, sizes, hots = [], [], [], []
+            sigs, ids = [], []
             for i, t in zip(batch["_id"], batch["_text"], strict=True):
                 s = features(t)
                 d = xxhash.xxh3_64_intdigest(s.tobytes())
                 if d in seen or not len(s):
                     continue
                 seen.add(d)
-                sig, hot = signatures(s, shared.value, widen)
-                sigs.append(sig)
-                hots.append(hot)
-                ids.append(np.full(len(sig), i, np.int64))
-                sizes.append(np.full(len(sig), len(s), np.int32))
+                sigs.append(signatures(s, shared.value, widen))
+                ids.append(np.full(len(sigs[-1]), i, np.int64))
             if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.concatenate(ids), "size": np.concatenate(sizes), "hot": np.concatenate(hots)})
+                yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.concatenate(ids)})
 
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInPandas(run, "sig long, id long, size int, hot boolean")
+    return rows.mapInPandas(run, "sig long, id long")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -233,22 +230,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     frequent = np.sort(common.orderBy(F.desc("c"), "k1").limit(FREQUENT).toPandas().k1.to_numpy(np.int64).view(np.uint64))
     # identical sets are one class, whose smallest id stands for it
     firsts = docs.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    class_of = written(docs.join(firsts, ["k1", "k2"]).select("id", "rep").distinct())
+    class_of = written(docs.join(firsts, ["k1", "k2"]).select("id", "rep", F.col("n").alias("size")).distinct())
 
     signed = _sign(df, key, text, frequent, widen)
-    salt = F.when(F.col("hot"), F.pmod(F.hash("id"), F.lit(SALTS))).otherwise(0)
+    hot = F.col("sig").bitwiseAND(F.lit(1)) == 1
+    salt = F.when(hot, F.pmod(F.hash("id"), F.lit(SALTS))).otherwise(0)
     from pyspark.sql import Window
 
     same = Window.partitionBy("sig", "salt")
     grouped = signed.withColumn("salt", salt).withColumns({"centre": F.min("id").over(same), "most": F.max("id").over(same)})
     # a frequent signature's shares may be single; they meet through their centres
-    shares = written(grouped.where("most <> centre OR hot").select("sig", "id", "size", "hot", "centre"))
-    centres = shares.where("hot AND id = centre").groupBy("sig").agg(F.min("id").alias("middle"))
+    shares = written(grouped.where((F.col("most") != F.col("centre")) | hot).select("sig", "id", "centre"))
+    middles = shares.where(hot & (F.col("id") == F.col("centre")))
+    centres = middles.groupBy("sig").agg(F.min("id").alias("middle"))
     links = shares.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), F.lit(0).alias("_"))
-    upper = shares.where("hot AND id = centre").join(centres, "sig").where("id <> middle").select(F.col("middle").alias("a"), F.col("id").alias("b"), F.lit(0).alias("_"))
+    upper = middles.join(centres, "sig").where("id <> middle").select(F.col("middle").alias("a"), F.col("id").alias("b"), F.lit(0).alias("_"))
 
     def of_classes(pairs: DataFrame) -> DataFrame:
-        out = pairs.select("a", "b").distinct().join(class_of.withColumnsRenamed({"id": "a", "rep": "ra"}), "a").join(class_of.withColumnsRenamed({"id": "b", "rep": "rb"}), "b")
+        out = pairs.select("a", "b").distinct().join(class_of.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(class_of.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
         return out.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
     first = written(of_classes(links.union(upper)))
@@ -257,7 +256,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     label = components(seen.where(linked))
 
     # signatures whose members are still in several components
-    class_label = class_of.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("component"))
+    class_label = class_of.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("id", "rep", "size", F.coalesce("component", "rep").alias("component"))
     members = shares.join(class_label, "id").groupBy("sig", "rep").agg(F.min("size").alias("size"), F.min("component").alias("component"))
     members = written(members)
     split = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("centre")).where("lo <> hi").select("sig", "centre")
