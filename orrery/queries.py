@@ -662,3 +662,5 @@ def argument_lists(spark, sf):
 def windowed_events(spark, sf):
     out = ST.windowed_counts(t(spark, sf, "events"), "ts", "event_type", "value")
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 6)})
+
+from . import queries_rules  # noqa: E402, F401  (adds its queries)
