@@ -123,6 +123,24 @@ def signatures(s: np.ndarray, frequent: np.ndarray, widen: int = 0) -> np.ndarra
     return np.concatenate(sigs)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of how many elements fall in each of 2**k buckets, 2**k being the power of two that reaches the size (64 at least).
+
+    Sets whose sketches differ in n bits differ in n elements at least.
+    """
+    buckets = 1 << max(6, (len(s) - 1).bit_length())
+    odd = np.bincount((mixed(s + _B) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Elements in which two sets differ at least, from their sketches; the longer one is folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    n = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 @lru_cache(maxsize=64)
 def _remembered(text: str) -> np.ndarray:
     return features(text)
@@ -135,7 +153,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 
 def _measure(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row (id, n, k1, k2: a 128-bit hash of the set); with a null n, (feature k1, count k2) of features common in a task."""
+    """Per row (id, n, k1, k2: a 128-bit hash of the set, sketch); with a null n, (feature k1, count k2) of features common in a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
@@ -145,16 +163,17 @@ def _measure(df: DataFrame, key: str, text: str) -> DataFrame:
             value, count = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             value, count = value[count >= 3], count[count >= 3]
-            return pd.DataFrame({"id": pd.array([None] * len(value), "Int64"), "n": pd.array([None] * len(value), "Int64"), "k1": value.view(np.int64), "k2": count.astype(np.int64), "widen": np.zeros(len(value), np.int32)})
+            return pd.DataFrame({"id": pd.array([None] * len(value), "Int64"), "n": pd.array([None] * len(value), "Int64"), "k1": value.view(np.int64), "k2": count.astype(np.int64), "widen": np.zeros(len(value), np.int32), "sketch": None})
 
         for batch in batches:
-            ids, n, k1, k2, widen = [], [], [], [], []
+            ids, n, k1, k2, widen, sketches = [], [], [], [], [], []
             for i, t in zip(batch["_id"], batch["_text"], strict=True):
                 s = features(t)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 ids.append(i)
                 n.append(len(s))
                 widen.append(widening(s))
+                sketches.append(sketch(s))
                 k1.append((d >> 64) - (1 << 63))
                 k2.append((d & ((1 << 64) - 1)) - (1 << 63))
                 held.append(s)
@@ -162,11 +181,11 @@ def _measure(df: DataFrame, key: str, text: str) -> DataFrame:
                 if size >= 2_000_000:
                     yield common()
                     size = 0
-            yield pd.DataFrame({"id": pd.array(ids, "Int64"), "n": pd.array(n, "Int64"), "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "widen": np.array(widen, np.int32)})
+            yield pd.DataFrame({"id": pd.array(ids, "Int64"), "n": pd.array(n, "Int64"), "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "widen": np.array(widen, np.int32), "sketch": sketches})
         if held:
             yield common()
 
-    return df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInPandas(run, "id long, n long, k1 long, k2 long, widen int")
+    return df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInPandas(run, "id long, n long, k1 long, k2 long, widen int, sketch binary")
 
 
 def _sign(df: DataFrame, key: str, text: str, frequent: np.ndarray, widen: int) -> DataFrame:
@@ -204,6 +223,18 @@ def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return full.mapInPandas(run, "a long, b long, both long, either long")
 
 
+def _differences(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs (a, b) with their sizes and the least number of elements in which they differ."""
+    one = lambda k: sketches.select(F.col("rep").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    full = pairs.join(one("a"), "a").join(one("b"), "b")
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for x, y in batches:
+            yield pd.Series([least_difference(p, q) for p, q in zip(x, y, strict=True)], dtype="int64")
+
+    return full.withColumn("apart", F.pandas_udf(run, "long")(F.col("sa"), F.col("sb"))).drop("sa", "sb")
+
+
 def _texts(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
     """Texts of the documents in pairs, one for each id."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -223,7 +254,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     measured = written(_measure(df, key, text))
     per_doc = measured.where("n IS NOT NULL")
-    docs = per_doc.where("n > 0 AND id IS NOT NULL")
+    docs = per_doc.where("n > 0 AND id IS NOT NULL").select("id", "n", "k1", "k2", "widen")
     total, widen = docs.agg(F.count("*"), F.coalesce(F.max("widen"), F.lit(0))).first()
     # features in a thousandth of the documents, at most FREQUENT of them
     common = measured.where("n IS NULL").groupBy("k1").agg(F.sum("k2").alias("c")).where(F.col("c") >= max(32, total // 1000))
@@ -232,6 +263,10 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     firsts = docs.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     class_of = written(docs.join(firsts, ["k1", "k2"]).select("id", "rep", F.col("n").alias("size")).distinct())
 
+    sketches = written(per_doc.join(class_of.where("id = rep").select("rep", "size").distinct(), F.col("id") == F.col("rep")).groupBy("rep", "size").agg(F.min("sketch").alias("sketch")))
+    # (na + nb - d) / (na + nb + d) is the similarity of sets that differ in d elements
+    possible = f"100 * (na + nb - apart) >= {PERCENT} * (na + nb + apart) AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
+
     signed = _sign(df, key, text, frequent, widen)
     hot = F.col("sig").bitwiseAND(F.lit(1)) == 1
     salt = F.when(hot, F.pmod(F.hash("id"), F.lit(SALTS))).otherwise(0)
@@ -250,8 +285,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         out = pairs.select("a", "b").distinct().join(class_of.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(class_of.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
         return out.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
 
-    first = written(of_classes(links.union(upper)))
-    seen = written(_verify(first, _texts(df, first, key, text)))
+    first = written(_differences(of_classes(links.union(upper)), sketches))
+    likely = first.where(possible).select("a", "b")
+    seen = written(_verify(likely, _texts(df, likely, key, text)))
     linked = F.expr(f"100 * both >= {PERCENT} * either")
     label = components(seen.where(linked))
 
@@ -261,18 +297,22 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     members = written(members)
     split = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("centre")).where("lo <> hi").select("sig", "centre")
     open_ = members.join(split, "sig")
-    far = seen.select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("either")).alias("far"))
-    open_ = written(open_.join(far, ["centre", "rep"], "left").withColumn("far", F.when(F.col("rep") == F.col("centre"), 0.0).otherwise(F.col("far"))))
-    x, y = (open_.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("rep", "size", "component", "far"))) for k in (1, 2))
-    apart = F.abs(F.col("far1") - F.col("far2"))
+    # distances to the centre: exact for the pairs compared, at least so much for the others
+    exact = seen.select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("either")).alias("far"))
+    least = first.where(f"NOT ({possible})").select(F.col("a").alias("centre"), F.col("b").alias("rep"), F.greatest(2 * F.col("apart") / (F.col("na") + F.col("nb") + F.col("apart")), 1 - F.least("na", "nb") / F.greatest("na", "nb")).alias("beyond"))
+    self_far = F.when(F.col("rep") == F.col("centre"), 0.0)
+    open_ = open_.join(exact, ["centre", "rep"], "left").join(least, ["centre", "rep"], "left")
+    open_ = written(open_.withColumns({"far": F.coalesce(self_far, "far"), "beyond": F.coalesce(self_far, "far", "beyond")}))
+    x, y = (open_.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("rep", "size", "component", "far", "beyond"))) for k in (1, 2))
+    apart = F.greatest(F.col("beyond1") - F.col("far2"), F.col("beyond2") - F.col("far1"))
     more = (
         x.join(y, "sig")
         .where("rep1 < rep2 AND component1 <> component2 AND 4 * least(size1, size2) >= 3 * greatest(size1, size2)")
         .where(apart.isNull() | (apart <= 1 - PERCENT / 100 + 1e-9))
         .select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
-        .join(seen, ["a", "b"], "left_anti")
+        .join(first, ["a", "b"], "left_anti")
     )
-    more = written(more)
+    more = written(_differences(more, sketches).where(possible).select("a", "b"))
     again = written(_verify(more, _texts(df, more, key, text)))
     edges = seen.where(linked).select("a", "b").union(again.where(linked).select("a", "b"))
     final = components(edges)

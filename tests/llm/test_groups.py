@@ -205,3 +205,14 @@ def test_licences(spark):
     }
     plan = licences.op4_licences(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(8)
+    for n in (1, 5, 63, 64, 65, 300, 1000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        for m in (0, 1, n // 5, n):
+            b = np.unique(np.concatenate((a[m // 2 :], rng.integers(0, 2**63, m).astype(np.uint64))))
+            both, either = jaccard.similarity(a, b)
+            d = jaccard.least_difference(jaccard.sketch(a), jaccard.sketch(b))
+            assert d <= either - both and (m or d == 0)
