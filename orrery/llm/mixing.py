@@ -80,7 +80,7 @@ def _rake_frames(cells: DataFrame, dims: list[str], temperature: float, share: f
         rest, held = cells.agg(F.sum(F.when(~full, F.col("w"))), F.sum(F.when(full, F.col("mass")))).first()
         if rest:
             factor = max(factor, (share * total - (held or 0)) / rest)
-    return cells.withColumn("prob", F.least(F.lit(1.0), F.lit(factor) * F.col("ratio"))).select(*dims, "w", "prob")
+    return cells.withColumn("prob", F.least(F.lit(1.0), F.lit(factor) * F.col("ratio"))).select(*dims, "mass", "w", "prob")
 
 
 def n_words(text) -> F.Column:
@@ -123,7 +123,7 @@ def mix(
         schema = ", ".join([*(f"`{d}` {kinds[d]}" for d in dims), "mass long, w double, prob double"])
         made = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # at most LOCAL_CELLS rows
     else:
-        made = _rake_frames(cells, dims, temperature, budget, rounds).join(cells, [*dims])
+        made = _rake_frames(cells, dims, temperature, budget, rounds)
     made = made.select(*(F.col(d).alias(f"_{d}") for d in dims), F.coalesce(F.expr("try_divide(w, mass)"), F.lit(0.0)).alias("weight"), "prob")
     on = reduce(lambda a, b: a & b, (F.col(d).eqNullSafe(F.col(f"_{d}")) for d in dims))
     return df.join(made, on).drop(*(f"_{d}" for d in dims)).withColumn("selected", uniform(key) < F.col("prob"))
