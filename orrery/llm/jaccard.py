@@ -30,7 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, dropped, table, words, written
@@ -94,11 +94,17 @@ def widening(s: np.ndarray) -> int:
     return 0
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, widen: int = 0) -> np.ndarray:
-    """Signatures of a set; an odd one is of frequent features."""
+def signatures(s: np.ndarray, frequent: np.ndarray, widen: int = 0) -> tuple[np.ndarray, bool]:
+    """Signatures of a set, an odd one being of frequent features; whether at most a seventh of its features aren't frequent.
+
+    A set that signs with frequent features has signed with all its other
+    parts; it signs with each of its other features, too.  So two such sets
+    that share no even signature share frequent features only and differ in
+    all others: one of them must have few of those, or they don't link.
+    """
     a = len(s)
     if not a:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), False
     zone = np.zeros(a, bool)
     if len(frequent):
         at = np.searchsorted(frequent, s)
@@ -120,7 +126,9 @@ def signatures(s: np.ndarray, frequent: np.ndarray, widen: int = 0) -> np.ndarra
             part = part[first]
             sig = mixed(mixed(part + np.uint64(instance) * _A) ^ sums)
         sigs.append((sig & ~np.uint64(1) | (part >= half).astype(np.uint64)).view(np.int64))
-    return np.concatenate(sigs)
+    if any(len(x) and x[-1] & 1 for x in sigs):
+        sigs.append((mixed(place[~zone] ^ _B) & ~np.uint64(1)).view(np.int64))
+    return np.concatenate(sigs), 7 * int((~zone).sum()) <= a
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -195,20 +203,22 @@ def _sign(df: DataFrame, key: str, text: str, frequent: np.ndarray, widen: int)
         gc.disable()
         seen: set[int] = set()  # copies within a task sign once (8 bytes a document)
         for batch in batches:
-            sigs, ids = [], []
+            sigs, ids, poor = [], [], []
             for i, t in zip(batch["_id"], batch["_text"], strict=True):
                 s = features(t)
                 d = xxhash.xxh3_64_intdigest(s.tobytes())
                 if d in seen or not len(s):
                     continue
                 seen.add(d)
-                sigs.append(signatures(s, shared.value, widen))
-                ids.append(np.full(len(sigs[-1]), i, np.int64))
+                sig, few = signatures(s, shared.value, widen)
+                sigs.append(sig)
+                ids.append(np.full(len(sig), i, np.int64))
+                poor.append(few | (sig & 1 == 0))
             if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.concatenate(ids)})
+                yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.concatenate(ids), "poor": np.concatenate(poor)})
 
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInPandas(run, "sig long, id long")
+    return rows.mapInPandas(run, "sig long, id long, poor boolean")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -270,16 +280,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     signed = _sign(df, key, text, frequent, widen)
     hot = F.col("sig").bitwiseAND(F.lit(1)) == 1
     salt = F.when(hot, F.pmod(F.hash("id"), F.lit(SALTS))).otherwise(0)
-    from pyspark.sql import Window
-
     same = Window.partitionBy("sig", "salt")
-    grouped = signed.withColumn("salt", salt).withColumns({"centre": F.min("id").over(same), "most": F.max("id").over(same)})
+    # a centre of a frequent signature is a set with few other features
+    grouped = signed.withColumn("salt", salt).withColumns({"centre": F.min(F.when(F.col("poor"), F.col("id"))).over(same), "least": F.min("id").over(same), "most": F.max("id").over(same)})
     # a frequent signature's shares may be single; they meet through their centres
-    shares = written(grouped.where((F.col("most") != F.col("centre")) | hot).select("sig", "id", "centre"))
-    middles = shares.where(hot & (F.col("id") == F.col("centre")))
-    centres = middles.groupBy("sig").agg(F.min("id").alias("middle"))
-    links = shares.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"), F.lit(0).alias("_"))
-    upper = middles.join(centres, "sig").where("id <> middle").select(F.col("middle").alias("a"), F.col("id").alias("b"), F.lit(0).alias("_"))
+    shares = written(grouped.where((F.col("most") != F.col("least")) | hot).select("sig", "id", "poor", "centre"))
+    centres = shares.where(hot & (F.col("id") == F.col("centre"))).groupBy("sig").agg(F.min("id").alias("middle"))
+    links = shares.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+    alone = shares.where(hot & (F.col("centre").isNull() | (F.col("id") == F.col("centre"))))
+    upper = alone.join(centres, "sig").where("id <> middle").select(F.col("middle").alias("a"), F.col("id").alias("b"))
 
     def of_classes(pairs: DataFrame) -> DataFrame:
         out = pairs.select("a", "b").distinct().join(class_of.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(class_of.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
@@ -293,23 +302,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     # signatures whose members are still in several components
     class_label = class_of.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("id", "rep", "size", F.coalesce("component", "rep").alias("component"))
-    members = shares.join(class_label, "id").groupBy("sig", "rep").agg(F.min("size").alias("size"), F.min("component").alias("component"))
+    members = shares.join(class_label, "id").groupBy("sig", "rep").agg(F.min("size").alias("size"), F.min("component").alias("component"), F.max("poor").alias("poor"))
     members = written(members)
-    split = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("centre")).where("lo <> hi").select("sig", "centre")
+    split = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(F.col("poor"), F.col("rep"))).alias("centre")).where("lo <> hi AND centre IS NOT NULL").select("sig", "centre")
     open_ = members.join(split, "sig")
     # distances to the centre: exact for the pairs compared, at least so much for the others
-    exact = seen.select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("either")).alias("far"))
-    least = first.where(f"NOT ({possible})").select(F.col("a").alias("centre"), F.col("b").alias("rep"), F.greatest(2 * F.col("apart") / (F.col("na") + F.col("nb") + F.col("apart")), 1 - F.least("na", "nb") / F.greatest("na", "nb")).alias("beyond"))
+    both_ways = lambda d: d.union(d.select(F.col("b").alias("a"), F.col("a").alias("b"), *d.columns[2:]))
+    exact = both_ways(seen).select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("either")).alias("far"))
+    least = both_ways(first.where(f"NOT ({possible})").select("a", "b", "na", "nb", "apart")).select(F.col("a").alias("centre"), F.col("b").alias("rep"), F.greatest(2 * F.col("apart") / (F.col("na") + F.col("nb") + F.col("apart")), 1 - F.least("na", "nb") / F.greatest("na", "nb")).alias("beyond"))
     self_far = F.when(F.col("rep") == F.col("centre"), 0.0)
     open_ = open_.join(exact, ["centre", "rep"], "left").join(least, ["centre", "rep"], "left")
     open_ = written(open_.withColumns({"far": F.coalesce(self_far, "far"), "beyond": F.coalesce(self_far, "far", "beyond")}))
-    x, y = (open_.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("rep", "size", "component", "far", "beyond"))) for k in (1, 2))
+    x, y = (open_.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("rep", "size", "component", "far", "beyond", "poor"))) for k in (1, 2))
     apart = F.greatest(F.col("beyond1") - F.col("far2"), F.col("beyond2") - F.col("far1"))
     more = (
-        x.join(y, "sig")
-        .where("rep1 < rep2 AND component1 <> component2 AND 4 * least(size1, size2) >= 3 * greatest(size1, size2)")
+        x.where("poor1").join(y, "sig")
+        .where("(rep1 < rep2 OR NOT poor2) AND component1 <> component2 AND 4 * least(size1, size2) >= 3 * greatest(size1, size2)")
         .where(apart.isNull() | (apart <= 1 - PERCENT / 100 + 1e-9))
-        .select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct()
+        .select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
         .join(first, ["a", "b"], "left_anti")
     )
     more = written(_differences(more, sketches).where(possible).select("a", "b"))
