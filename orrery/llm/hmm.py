@@ -35,12 +35,14 @@ STATES = 8
 CLASSES = 2048
 ROUNDS = 4
 BLOCK_BYTES = 4_000_000  # text in a block; one longer document is a block of its own
-SEGMENT = 128
+SEGMENT = 512  # tokens; shorter ones mean more transfer matrices, longer ones fewer sequences at a time
 _TRIM = b".,;:!?\"'()"
 
 
 def word_class(w: bytes) -> int:
     """0 is the end; the rest are split between short words and endings."""
+    if w == b"\n":
+        return 0
     core = w.rstrip(_TRIM) or w
     tail = w[len(core) : len(core) + 1]
     half = CLASSES // 2
@@ -49,6 +51,23 @@ def word_class(w: bytes) -> int:
     return half + zlib.crc32(core[-3:] + b"|" + tail) % half
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Small integers, byte by byte of their digits, compressed."""
+    return zlib.compress(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
+class _Ids(dict):
+    """Gives each new word the next id."""
+
+    def __missing__(self, w: bytes) -> int:
+        self[w] = n = len(self)
+        return n
+
+
 def encode(df: DataFrame, key: str, text: str, held_out: str) -> DataFrame:
     """Blocks of documents: ids and lengths of their token sequences, and the dictionary with training counts and classes."""
 
@@ -58,18 +77,22 @@ def encode(df: DataFrame, key: str, text: str, held_out: str) -> DataFrame:
         docs: list = []
         held: list[bool] = []
         ids: list[np.ndarray] = []
-        vocab: dict[bytes, int] = {b"\n": 0}
+        vocab = _Ids({b"\n": 0})
         size = 0
 
         def block():
             lengths = np.array([len(x) for x in ids], np.int32)
-            tokens = np.concatenate(ids)
+            tokens, ws = np.concatenate(ids), list(vocab)
+            # frequent words get small ids, whose bytes pack well
+            order = np.argsort(-np.bincount(tokens, minlength=len(ws)), kind="stable")
+            place = np.empty(len(ws), np.int32)
+            place[order] = np.arange(len(ws))
+            tokens, ws = place[tokens], [ws[i] for i in order]
             trained = tokens[np.repeat(~np.array(held, bool), lengths)]
-            ws = list(vocab)
             return pd.DataFrame({
-                "block": [(part << 32) + made], "docs": [docs], "held": [np.array(held, np.uint8).tobytes()], "lengths": [lengths.tobytes()], "ids": [tokens.tobytes()],
-                "words": [[w.decode("utf-8", "surrogatepass") for w in ws]], "counts": [np.bincount(trained, minlength=len(ws)).astype(np.int64)],
-                "classes": [np.array([0] + [word_class(w) for w in ws[1:]], np.int32)],
+                "block": [(part << 32) + made], "docs": [docs], "held": [np.array(held, np.uint8).tobytes()], "lengths": [lengths.tobytes()], "ids": [packed(tokens)],
+                "words": [[w.decode("utf-8", "surrogatepass") for w in ws]], "counts": [np.bincount(trained, minlength=len(ws)).astype(np.int32)],
+                "classes": [np.array([word_class(w) for w in ws], np.int16)],
             })
 
         for batch in batches:
@@ -78,20 +101,16 @@ def encode(df: DataFrame, key: str, text: str, held_out: str) -> DataFrame:
                 if docs and size + len(raw) > BLOCK_BYTES:
                     yield block()
                     made += 1
-                    docs, held, ids, vocab, size = [], [], [], {b"\n": 0}, 0
+                    docs, held, ids, vocab, size = [], [], [], _Ids({b"\n": 0}), 0
                 size += len(raw) + 16
-                ws = raw.split()
-                for w in ws:
-                    if w not in vocab:
-                        vocab[w] = len(vocab)
-                ids.append(np.array([*map(vocab.__getitem__, ws), 0], np.int32))
+                ids.append(np.array([*map(vocab.__getitem__, raw.split()), 0], np.int32))
                 docs.append(None if pd.isna(d) else int(d))
                 held.append(bool(h))
         if docs:
             yield block()
 
     rows = df.select(F.col(key).cast("long").alias("_key"), F.col(text).alias("_text"), F.col(held_out).alias("_held"))
-    return rows.mapInPandas(run, "block long, docs array<long>, held binary, lengths binary, ids binary, words array<string>, counts array<long>, classes array<int>")
+    return rows.mapInPandas(run, "block long, docs array<long>, held binary, lengths binary, ids binary, words array<string>, counts array<int>, classes array<short>")
 
 
 class Params:
@@ -233,7 +252,7 @@ class Sweep:
 
 def _tokens(row, train_only: bool) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.frombuffer(row.lengths, np.int32).astype(np.int64)
-    classes = np.asarray(row.classes, np.int32)[np.frombuffer(row.ids, np.int32)]
+    classes = np.asarray(row.classes, np.int32)[unpacked(row.ids)]
     if train_only:
         keep = np.frombuffer(row.held, np.uint8) == 0
         return classes[np.repeat(keep, lengths)], lengths[keep]
@@ -288,16 +307,17 @@ def language_model_scores(df: DataFrame, held_out, key: str = "doc_id", text: st
     total, distinct = int(sizes[0].sum()), int(sizes[1].sum())
     params = train(blocks, sizes[0])
     shared = df.sparkSession.sparkContext.broadcast((params, sizes))
-    known = entries.select("block", "pos", "words").join(trained.select("words", "c"), "words").select(F.col("block").alias("of"), "pos", "c")
+    # a word of one block only has its whole count there
+    known = entries.select("block", "pos", "words", "counts").join(trained.select("words", "c"), "words").where("c <> counts").select(F.col("block").alias("of"), "pos", "c")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         model, (n, v) = shared.value
         for row in left.itertuples():
-            ids = np.frombuffer(row.ids, np.int32)
+            ids = unpacked(row.ids)
             classes = np.asarray(row.classes, np.int32)
             tokens, lengths = _tokens(row, False)
-            c = np.zeros(len(classes))
+            c = np.array(row.counts, float)
             c[right["pos"].to_numpy(int)] = right["c"]
             base = np.log10((c + 1) / (total + (distinct + 1)))
             inner = np.log10((c + 1) / (n[classes] + v[classes] + 1))
@@ -310,8 +330,8 @@ def language_model_scores(df: DataFrame, held_out, key: str = "doc_id", text: st
             }))
         return pd.concat(out) if out else pd.DataFrame({x: [] for x in ("k", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
 
-    packed = blocks.select("block", "docs", "held", "lengths", "ids", "classes")
-    scored = packed.groupBy("block").cogroup(known.groupBy("of")).applyInPandas(run, "k long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rest = blocks.select("block", "docs", "held", "lengths", "ids", "counts", "classes")
+    scored = rest.groupBy("block").cogroup(known.groupBy("of")).applyInPandas(run, "k long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("k", F.col("k").cast(dict(df.dtypes)[key])).withColumnRenamed("k", key)
 
 
