@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import gc
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,11 +32,19 @@ LETTER = regex.compile(r"\p{L}")
 SCALE = 300.0  # keeps the products of words of BULK bytes in the range of doubles
 BULK = 60  # bytes of a word that the bulk passes take; longer ones go singly, rescaled
 MEMO = 250_000  # words remembered by a worker
-CHUNK = 40_000  # words of a bulk pass
+CHUNK = 8000  # words of a bulk pass, so few that its arrays stay in cache
 SMOOTHING = 0.1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def tokens(text: str | None) -> list[bytes]:
+    """Lower-cased words without the ASCII punctuation at their ends, which tells no language; all of it stays if there's nothing else."""
+    return [w.strip(PUNCTUATION) or w for w in words(text)]
+
+
 class Lattice:
     """The vocabulary, and the places of its pieces in words."""
 
@@ -52,6 +62,8 @@ class Lattice:
         by_length: dict[int, list[tuple[int, int]]] = {}
         for p, i in known.items():
             self.length[i] = len(p)
+            if b" " in p[1:]:
+                continue  # runs of white space, which no word has
             by_length.setdefault(len(p), []).append((int(self._hash(p)), i))
         self.tables = []
         for n, pairs in sorted(by_length.items()):
@@ -196,6 +208,46 @@ class Model:
         self.prior = np.log(documents / documents.sum()) if len(langs) else documents
         counts = counts + SMOOTHING
         self.prob = (counts / counts.sum(axis=1, keepdims=True)).T.copy()
+        self.uid = uuid.uuid4().hex
+
+
+class Memo:
+    """Log-likelihoods of the words a worker has met, for one model."""
+
+    def __init__(self, model: Model):
+        self.model, self.lattice = model, lattice(model.model_file)
+        self.rows: dict[bytes, int] = {}
+        self.held = np.zeros((1024, len(model.langs)))
+
+    def values(self, ws: list[bytes]) -> np.ndarray:
+        """Words x languages."""
+        if len(self.rows) > MEMO:
+            self.rows = {}
+        at = list(map(self.rows.get, ws))
+        missing = [i for i, k in enumerate(at) if k is None]
+        if missing:
+            new = list(dict.fromkeys([ws[i] for i in missing]))
+            first, n = len(self.rows), len(self.rows) + len(new)
+            if n > len(self.held):
+                more = np.zeros((2 * n, self.held.shape[1]))
+                more[:first] = self.held[:first]
+                self.held = more
+            self.held[first:n] = self.lattice.log_likelihood([b" " + w for w in new], self.model.prob)
+            self.rows.update(zip(new, range(first, n), strict=True))
+            for i in missing:
+                at[i] = self.rows[ws[i]]
+        return self.held[np.array(at)]
+
+
+_MEMOS: dict[str, Memo] = {}
+
+
+def remembered(model: Model) -> Memo:
+    """The worker's memo for a model; it outlives a task, but only the last model's is kept."""
+    if model.uid not in _MEMOS:
+        _MEMOS.clear()
+        _MEMOS[model.uid] = Memo(model)
+    return _MEMOS[model.uid]
 
 
 def train(df: DataFrame, model_file: str, text: str = "text", lang: str = "lang") -> Model:
@@ -227,7 +279,7 @@ def train(df: DataFrame, model_file: str, text: str = "text", lang: str = "lang"
         for batch in batches:
             for t, k in zip(batch[text], batch[lang], strict=True):
                 docs[k] += 1
-                seen.setdefault(k, Counter()).update(words(t))
+                seen.setdefault(k, Counter()).update(tokens(t))
                 if sum(map(len, seen.values())) > MEMO:
                     flush()
         if seen:
@@ -235,7 +287,8 @@ def train(df: DataFrame, model_file: str, text: str = "text", lang: str = "lang"
         for k, row in sums.items():
             at = np.flatnonzero(row)
             yield pd.DataFrame({"lang": k, "piece": at, "n": row[at]})
-        yield pd.DataFrame({"lang": list(docs), "piece": -1, "n": [float(v) for v in docs.values()]})
+        if docs:
+            yield pd.DataFrame({"lang": list(docs), "piece": -1, "n": [float(v) for v in docs.values()]})
 
     rows = df.where(F.col(lang).isNotNull()).select(F.col(text).alias(text), F.col(lang).alias(lang))
     got = rows.mapInPandas(run, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
@@ -262,27 +315,23 @@ def predict(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_p
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         gc.disable()
         m = shared.value
-        lat = lattice(m.model_file)
-        memo: dict[bytes, int] = {}
-        values = np.zeros((0, len(m.langs)))
+        memo = remembered(m)
         for texts in parts:
             out = []
             for a in range(0, len(texts), 500):
-                some = texts.iloc[a : a + 500]
-                docs = [words(t) if m.langs and t and LETTER.search(t) else None for t in some]
-                if len(memo) > MEMO:
-                    memo, values = {}, np.zeros((0, len(m.langs)))
-                new = list({w for d in docs if d for w in d if w not in memo})
-                if new:
-                    values = np.concatenate((values, lat.log_likelihood([b" " + w for w in new], m.prob)))
-                    memo.update(zip(new, range(len(memo), len(values)), strict=True))
-                for d in docs:
-                    if d is None:
+                docs = [tokens(t) if m.langs and t and LETTER.search(t) else [] for t in texts.iloc[a : a + 500]]
+                sizes = np.array([len(d) for d in docs])
+                able = np.flatnonzero(sizes)
+                logs = np.zeros((len(docs), len(m.langs)))
+                if len(able):
+                    each = memo.values(list(chain.from_iterable(docs)))
+                    logs[able] = m.prior + np.add.reduceat(each, (np.cumsum(sizes) - sizes)[able], axis=0)
+                for n, row in zip(sizes, logs, strict=True):
+                    if n:
+                        best = int(np.argmax(row))
+                        out.append((m.langs[best], float(1 / np.exp(row - row[best]).sum())))
+                    else:
                         out.append((UNDETERMINED, 0.0))
-                        continue
-                    logs = m.prior + values[[memo[w] for w in d]].sum(axis=0)
-                    best = int(np.argmax(logs))
-                    out.append((m.langs[best], float(1 / np.exp(logs - logs[best]).sum())))
             yield pd.DataFrame(out, columns=[pred, score])
 
     told = df.withColumn("_told", run(F.col(text)))
