@@ -37,14 +37,6 @@ SMOOTHING = 0.1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased words without the ASCII punctuation at their ends, which tells no language; all of it stays if there's nothing else."""
-    return [w.strip(PUNCTUATION) or w for w in words(text)]
-
-
 class Lattice:
     """The vocabulary, and the places of its pieces in words."""
 
@@ -279,7 +271,7 @@ def train(df: DataFrame, model_file: str, text: str = "text", lang: str = "lang"
         for batch in batches:
             for t, k in zip(batch[text], batch[lang], strict=True):
                 docs[k] += 1
-                seen.setdefault(k, Counter()).update(tokens(t))
+                seen.setdefault(k, Counter()).update(words(t))
                 if sum(map(len, seen.values())) > MEMO:
                     flush()
         if seen:
@@ -319,7 +311,7 @@ def predict(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_p
         for texts in parts:
             out = []
             for a in range(0, len(texts), 500):
-                docs = [tokens(t) if m.langs and t and LETTER.search(t) else [] for t in texts.iloc[a : a + 500]]
+                docs = [words(t) if m.langs and t and LETTER.search(t) else [] for t in texts.iloc[a : a + 500]]
                 sizes = np.array([len(d) for d in docs])
                 able = np.flatnonzero(sizes)
                 logs = np.zeros((len(docs), len(m.langs)))

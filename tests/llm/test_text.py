@@ -169,6 +169,16 @@ def test_language_edges(spark):
     assert {r.lang_pred for r in language_id.predict(df, nobody).collect()} == {"und"}
 
 
+def test_language_scores_whole_words(spark):
+    rows = [(i, "la, porta, e, " if i % 2 else "la; porta; e; ", "aa" if i % 2 else "bb", None) for i in range(20)] + [(90, "(la, «porta»?) l' e;", None, None)]
+    df = documents(spark, rows)
+    model = language_id.train(df, MODEL)
+    got = {r.doc_id: (r.lang_pred, r.lang_score) for r in language_id.predict(df, model).collect()}
+    assert [got[0][0], got[1][0]] == ["bb", "aa"]
+    logs = model.prior + language_id.lattice(MODEL).log_likelihood([b" " + w for w in rows[-1][1].encode().lower().split()], model.prob).sum(axis=0)
+    assert math.isclose(got[90][1], 1 / np.exp(logs - logs.max()).sum(), rel_tol=1e-9)
+
+
 def test_forward_and_baum_welch_equal_plain_recursions():
     rng = np.random.default_rng(1)
     p = hmm.Params.first(rng.integers(0, 100, hmm.CLASSES).astype(float))
