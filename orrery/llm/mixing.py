@@ -2,7 +2,8 @@
 
 Documents are counted into cells of (source, language, topic).  Raking scales
 the cells' token weights until their marginals meet targets in all three
-dimensions.  A document's sampling probability is its cell's weight over the
+dimensions, to a tolerance; where the cells can't meet them, it stops when the
+error no longer falls and warns of the error reached.  A document's sampling probability is its cell's weight over the
 cell's tokens, times a factor that makes the expected sample the budget, at
 most 1.  Only cells are raked, on the driver while they are few (their number
 is checked) and as DataFrames beyond.
@@ -10,6 +11,7 @@ is checked) and as DataFrames beyond.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 import numpy as np
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, dropped, table, written
 
-ROUNDS = 12
+ROUNDS = 12  # of the fixture's oracle, which can't loop until convergence
+TOLERANCE = 1e-10  # largest relative error of a margin
+STALL = 100  # rounds in which the error has to fall by a thousandth
 FILLS = 8  # steps of the search for the budget's factor
 LOCAL_CELLS = 100_000  # cells raked on the driver and sent to all executors
 TEMPERATURE = 0.5  # a target is proportional to a margin's tokens to this power
@@ -31,13 +35,44 @@ def _targets(mass: np.ndarray, codes: np.ndarray, temperature: float) -> np.ndar
     return t / t.sum() * mass.sum() if t.sum() else t
 
 
-def rake(mass: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """Cell weights whose marginals meet ``targets`` (up to convergence), starting from ``mass``."""
+class Progress:
+    """Tells when to stop: after ``rounds``, or without them at TOLERANCE or when the error no longer falls."""
+
+    def __init__(self, rounds: int | None):
+        self.rounds, self.errors = rounds, []
+
+    def done(self, error: float) -> bool:
+        """``error`` is that before the next round."""
+        if self.rounds is not None:
+            self.errors.append(error)
+            return len(self.errors) > self.rounds
+        self.errors.append(min([error, *self.errors[-1:]]))  # the least so far
+        return error <= TOLERANCE or (len(self.errors) > STALL and self.errors[-1] > 0.999 * self.errors[-1 - STALL])
+
+
+def margin_error(w: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> float:
+    """The largest relative error of a margin; those with target 0 have no weight."""
+    found = [np.abs(np.bincount(c, w, len(t))[t > 0] / t[t > 0] - 1) for c, t in zip(codes, targets, strict=True)]
+    return max((float(x.max()) for x in found if len(x)), default=0.0)
+
+
+def _warn(error: float, rounds: int | None) -> None:
+    if rounds is None and error > TOLERANCE:
+        warnings.warn(f"raking can't meet its targets: a margin is off by {error:.3g} of its target", RuntimeWarning, stacklevel=3)
+
+
+def rake(mass: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray], rounds: int | None = None) -> np.ndarray:
+    """Cell weights whose marginals meet ``targets``, starting from ``mass``; a warning tells the error if they can't.
+
+    ``rounds`` asks for so many rounds instead.
+    """
     w = mass.astype(float)
-    for _ in range(rounds):
+    progress = Progress(rounds)
+    while not progress.done(error := margin_error(w, codes, targets)):
         for c, t in zip(codes, targets, strict=True):
             margin = np.bincount(c, w, len(t))
             w = w * np.divide(t, margin, out=np.zeros(len(t)), where=margin > 0)[c]
+    _warn(error, rounds)
     return w
 
 
@@ -53,7 +88,7 @@ def probabilities(mass: np.ndarray, w: np.ndarray, budget: float) -> np.ndarray:
     return np.minimum(1.0, factor * ratio)
 
 
-def _rake_frames(cells: DataFrame, dims: list[str], temperature: float, share: float, rounds: int) -> DataFrame:
+def _rake_frames(cells: DataFrame, dims: list[str], temperature: float, share: float, rounds: int | None) -> DataFrame:
     """The same on DataFrames, for more cells than the driver should hold."""
     cells = written(cells.withColumn("w", F.col("mass").cast("double")))
     total = cells.agg(F.sum("mass")).first()[0] or 0
@@ -66,12 +101,22 @@ def _rake_frames(cells: DataFrame, dims: list[str], temperature: float, share: f
         t = cells.groupBy(d).agg(F.pow(F.sum("mass"), temperature).alias("t"))
         whole = t.agg(F.sum("t")).first()[0] or 1.0
         targets.append(written(t.withColumn("t", F.col("t") / whole * total)))
-    for _ in range(rounds):
+
+    def error() -> float:
+        off = 0.0
+        for d, t in zip(dims, targets, strict=True):
+            margins = match(cells.groupBy(d).agg(F.sum("w").alias("m")), t, d).where("t > 0")
+            off = max(off, margins.agg(F.max(F.abs(F.col("m") / F.col("t") - 1))).first()[0] or 0.0)
+        return off
+
+    progress = Progress(rounds)
+    while not progress.done(off := error() if rounds is None else 0.0):
         for d, t in zip(dims, targets, strict=True):
             margins = match(cells.groupBy(d).agg(F.sum("w").alias("m")), t, d)
             nxt = written(match(cells, margins.select(d, (F.expr("try_divide(t, m)")).alias("s")), d).withColumn("w", F.col("w") * F.coalesce("s", F.lit(0.0))).drop("s"))
             dropped(cells)
             cells = nxt
+    _warn(off, rounds)
     cells = cells.withColumn("ratio", F.coalesce(F.expr("try_divide(w, mass)"), F.lit(0.0)))
     weight = cells.agg(F.sum("w")).first()[0] or 0.0
     factor = share * total / weight if weight else 0.0
@@ -99,13 +144,13 @@ def uniform(key, seed: str = "") -> F.Column:
 
 
 def mix(
-    df: DataFrame, key: str = "doc_id", tokens: str = "n_tokens", dims: tuple[str, ...] = ("source", "lang", "topic"), budget: float = BUDGET, temperature: float = TEMPERATURE, rounds: int = ROUNDS
+    df: DataFrame, key: str = "doc_id", tokens: str = "n_tokens", dims: tuple[str, ...] = ("source", "lang", "topic"), budget: float = BUDGET, temperature: float = TEMPERATURE, rounds: int | None = None
 ) -> DataFrame:
     """All rows and columns of ``df`` plus ``weight``, ``prob`` and ``selected``.
 
     weight is the raked weight a token of the row's cell; selected holds with
     probability prob, decided by a hash of the key, so repeated rows fare
-    alike.  A null in a dimension is a value of its own; null tokens count as
+    alike.  Raking goes on until it converges, or for ``rounds``.  A null in a dimension is a value of its own; null tokens count as
     0; cells without tokens get probability 0.  Existing columns of those
     names are replaced.
     """

@@ -184,6 +184,40 @@ def test_raking_meets_targets():
     assert (p <= 1).all() and np.isclose((p * mass).sum(), mass.sum() * 0.3)
 
 
+def hot_cells(n=2000):
+    """A sparse, skewed table: one hot source, 8 languages, 4 topics, a tenth of the cells filled."""
+    rng = np.random.default_rng(3)
+    at = np.flatnonzero(rng.random(n * 32) < 0.1)
+    mass = np.floor(rng.pareto(0.8, len(at)) * 50) + 1
+    mass[at // 32 == at[0] // 32] *= 5000
+    codes = [np.unique(c, return_inverse=True)[1] for c in (at // 32, at // 4 % 8, at % 4)]
+    return mass, codes
+
+
+def test_raking_goes_on_until_it_converges(recwarn):
+    mass, codes = hot_cells()
+    targets = [mixing._targets(mass, c, 0.5) for c in codes]
+    w = mixing.rake(mass, codes, targets)
+    assert mixing.margin_error(w, codes, targets) <= 1e-9 < mixing.margin_error(mixing.rake(mass, codes, targets, 12), codes, targets)
+    assert not recwarn.list
+    with pytest.warns(RuntimeWarning, match="off by"):  # two cells on a diagonal can't have different margins
+        mixing.rake(np.ones(2), [np.array([0, 1])] * 2, [np.array([1.0, 1.0]), np.array([0.5, 1.5])])
+
+
+@pytest.mark.parametrize("local", [100_000, 0])
+def test_mixing_converges_both_ways(spark, monkeypatch, local):
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", local)
+    monkeypatch.setattr(mixing, "TOLERANCE", 0.02)
+    cells = [("a", "x", 3000), ("a", "y", 1), ("b", "x", 1), ("b", "y", 50), ("c", "y", 3), ("c", "x", 2000)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "doc_id long, source string, lang string, n_tokens long")
+    got = {(r.source, r.lang): r.weight * r.n_tokens for r in mixing.mix(df, dims=("source", "lang")).collect()}
+    total = sum(c[2] for c in cells)
+    for k in (0, 1):
+        root = {v: math.sqrt(sum(c[2] for c in cells if c[k] == v)) for v in {c[k] for c in cells}}
+        for v, t in root.items():
+            assert math.isclose(sum(x for c, x in got.items() if c[k] == v), t / sum(root.values()) * total, rel_tol=0.03)
+
+
 def test_mixing_both_ways(spark, monkeypatch):
     rows = [(i, f"s{i % 7}" if i % 11 else None, "en" if i % 3 else "de", "t", (i * 37) % 400, "x") for i in range(800)] + [(None, None, None, None, None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n_tokens long, prob string")
