@@ -1,6 +1,7 @@
 """Licence scan with DataFrame and SQL functions only.
 
-Lines of a text that speak of licences or copyright are compared with licence
+Lines, sentences and windows of sentences (wrapped lines joined, without years,
+names and comment marks) that speak of licences or copyright are compared with licence
 templates by the cosine of sparse TF-IDF vectors (inverse document frequencies
 over the templates).  A text that is short and licensed as a whole is a licence
 file and covers its directory; files without a licence of their own inherit
@@ -34,6 +35,18 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Proprietary", "Copyright. All rights reserved."),
 ]
+#: Headers and titles as files wrap them: compared with sentences and windows of sentences, after TEMPLATES.
+HEADERS = [
+    ("MIT", "MIT License"), ("MIT", "The MIT License (MIT)"), ("MIT", "SPDX-License-Identifier: MIT"), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"), ("Apache-2.0", "Apache License Version 2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"), ("GPL-3.0", "GNU General Public License Version 3"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"), ("LGPL-3.0", "GNU Lesser General Public License Version 3"),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or any later version."),
+    ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"), ("AGPL-3.0", "GNU Affero General Public License Version 3"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+]
+SPAN = 3  # sentences of a window at most
 TRIGGER = "licen[cs]e|copyright|permission is hereby|redistribut|free software|all rights reserved"
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.7  # cosine of a match
@@ -44,6 +57,42 @@ def _values() -> str:
     return ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
 
 
+def _low(col):
+    return F.translate(col, UPPER, UPPER.lower())
+
+
+def _windows(text):
+    """Distinct runs of 1 to SPAN sentences that speak of licences: lines joined, without comment marks, years and holders."""
+    plain = F.regexp_replace(text, "(?m)^[ \\t]*(?://+|/\\*+|\\*+/?|#+|;+|--+|%+|<!--|>+)[ \\t]*", "")
+    plain = F.regexp_replace(plain, "(?m)(copyright)(?: *(?:\\(c\\)|©))?[ ,]*[0-9]{4}(?:[ ,-]+[0-9]{4})*[^.\\n]*?(?=\\.? *all rights reserved|\\.|$)", "$1")
+    # a sentence ends before white space and no version number ("v. 2.0"), at blank lines and around SPDX lines
+    plain = F.regexp_replace(plain, "(?m)^(.*spdx-license-identifier:.*)$", "\n\n$1\n\n")
+    cut = F.filter(F.split(plain, "(?<=[.!?])(?<!\\bv\\.)\\s+|\\n[ \\t]*\\n\\s*"), lambda x: F.trim(x) != "")
+    cut = F.transform(cut, lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")))
+    near = lambda k: F.transform(cut, lambda _, i: F.array_join(F.slice(cut, i + 1, F.lit(k)), " "))
+    return F.filter(F.array_distinct(F.concat(*(near(k) for k in range(1, SPAN + 1)))), lambda x: x.rlike(TRIGGER))
+
+
+def _matches(spark, units: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
+    """(_key, score, tid, name) of units (_key, no, line, known) and templates; known ones are compared with HEADERS only."""
+    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(templates))
+    term = spark.sql(f"SELECT * FROM VALUES {values} AS t(tid, name, body)").withColumn("term", F.explode(F.regexp_extract_all(_low(F.col("body")), F.lit(TERM), F.lit(0))))
+    n = len(templates)
+    tf = term.groupBy("tid", "name", "term").agg(F.count("*").alias("tf"))
+    idf = tf.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
+    weights = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = weights.groupBy("tid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"))
+    weights = weights.join(F.broadcast(norm), "tid").select("term", "tid", "name", "idf", (F.col("w") / F.col("tn")).alias("tw"))
+    unseen = F.log(F.lit(1.0 + n)) + 1
+    own_term = units.select("_key", "no", "known", F.explode(F.regexp_extract_all("line", F.lit(TERM), F.lit(0))).alias("term")).groupBy("_key", "no", "known", "term").agg(F.count("*").alias("tf"))
+    # the templates' terms are a fixed list: these broadcasts don't grow
+    own_term = own_term.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen)).drop("idf")
+    line_norm = own_term.groupBy("_key", "no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ln"))
+    dots = own_term.join(F.broadcast(weights.drop("idf")), "term").where(~F.col("known") | (F.col("tid") >= len(TEMPLATES))).groupBy("_key", "no", "tid", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    score = F.round(F.col("dot") / F.col("ln"), 6)
+    return dots.join(line_norm, ["_key", "no"]).withColumn("score", score).where(F.col("score") >= least).select("_key", "score", "tid", "name")
+
+
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "path", least: float = LEAST) -> DataFrame:
     """(key, path, licence, score, inherited, effective) for every row of ``df``.
 
@@ -56,26 +105,13 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "pa
     should have distinct keys; repeated ones get the same licence.
     """
     spark = df.sparkSession
-    low = lambda c: F.translate(c, UPPER, UPPER.lower())
+    low = _low
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(path).alias("_path"))
-    term = spark.sql(f"SELECT * FROM VALUES {_values()} AS t(tid, name, body)").withColumn("term", F.explode(F.regexp_extract_all(low(F.col("body")), F.lit(TERM), F.lit(0))))
-    n = len(TEMPLATES)
-    tf = term.groupBy("tid", "name", "term").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
-    weights = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = weights.groupBy("tid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"))
-    weights = weights.join(F.broadcast(norm), "tid").select("term", "tid", "name", "idf", (F.col("w") / F.col("tn")).alias("tw"))
-    unseen = F.log(F.lit(1.0 + n)) + 1
-
     spoken = rows.where(low(F.col("_text")).rlike(TRIGGER)).withColumn("lines", F.filter(F.split(low(F.col("_text")), "\n"), lambda x: x.rlike(TRIGGER)))
-    lines = spoken.select("_key", F.posexplode("lines").alias("no", "line"))
-    own_term = lines.select("_key", "no", F.explode(F.regexp_extract_all("line", F.lit(TERM), F.lit(0))).alias("term")).groupBy("_key", "no", "term").agg(F.count("*").alias("tf"))
-    # the templates' terms are a fixed list: these broadcasts don't grow
-    own_term = own_term.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen)).drop("idf")
-    line_norm = own_term.groupBy("_key", "no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ln"))
-    dots = own_term.join(F.broadcast(weights.drop("idf")), "term").groupBy("_key", "no", "tid", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    score = F.round(F.col("dot") / F.col("ln"), 6)
-    cosine = dots.join(line_norm, ["_key", "no"]).withColumn("score", score).where(F.col("score") >= least)
+    lines = spoken.select("_key", F.posexplode("lines").alias("no", "line")).withColumn("known", F.lit(False))
+    trimmed = F.transform("lines", lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")))
+    windows = spoken.select("_key", trimmed.alias("lines"), F.posexplode(_windows(low(F.col("_text")))).alias("no", "line")).select("_key", "no", "line", F.array_contains("lines", F.col("line")).alias("known"))
+    cosine = _matches(spark, lines, TEMPLATES, least).union(_matches(spark, windows, TEMPLATES + HEADERS, least))
     own = cosine.groupBy("_key").agg(F.max(F.struct("score", (-F.col("tid")).alias("t"), "name")).alias("m")).select("_key", F.col("m.name").alias("licence"), F.col("m.score").alias("score"))
 
     folder = F.regexp_extract("_path", "^(.*)/[^/]*$", 1)

@@ -242,6 +242,19 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_licences_in_wrapped_headers_and_paragraphs(spark):
+    fill = "some words of a paragraph that goes on for a while about other things and then "
+    want = {
+        "# This library is free software; you can redistribute it and/or\n# modify it under the terms of the GNU Lesser General Public\n# License as published by the Free Software Foundation; either\n# version 3 of the License, or (at your option) any later version.\ncode": "LGPL-3.0",
+        "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */": "MPL-2.0",
+        "// SPDX-License-Identifier: MIT\nint x;": "MIT", "Copyright 2021 The Foo Authors. All rights reserved.": "Proprietary",
+        "MIT License\n\nCopyright (c) 2021 Foo\n": "MIT", f"{fill}ends. Released under the MIT License. {fill}stops.": "MIT", f"{fill}a licence. {fill}": None,
+    }
+    df = spark.createDataFrame([(i, t, f"p{i}/x") for i, t in enumerate(want)], "doc_id long, text string, path string")
+    got = {r.doc_id: r.licence for r in licences.scan(df).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_sketches_bound_the_difference():
     rng = np.random.default_rng(8)
     for n in (1, 5, 63, 64, 65, 300, 1000):
