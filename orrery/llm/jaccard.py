@@ -1,45 +1,60 @@
 """Near duplicates by word n-gram Jaccard similarity: a PartEnum join.
 
-Two sets with Jaccard >= t differ in at most (1-t)/(1+t) of their summed
-sizes, and their sizes in at most a factor 1/t; at t = 3/4 a set of size a
-differs from any partner in at most a/3 elements.  Sizes fall in bands between
-powers of two; a band's instance of the scheme splits the feature domain into
-as many parts as the band's least size.  Of the part subsets (one part each;
-the tolerance lies in how many are enumerated) a set signs the first
-floor(a/3) + 1 that hold any of its elements: at most a/3 of them can differ,
-so one is shared.  A set whose partners may lie in the next band signs for
-that instance, too.  Nothing is lost at any size.
-
-Features that very many documents have form a second zone whose parts come
-last in the order, so only sets made mostly of them sign with them.  What
-counts as frequent changes the work, never the result.
-
-Of the sets that share a signature no all-pairs list is made: each is compared
-with one centre.  Signatures whose members are then still in several
-components compare the members of different components, except where the
-triangle inequality of the Jaccard distance to the centre rules a link out.
-Identical sets are one class from the start.
+1. *Sieve.*  A set with a partner of similarity 3/4 shares 3/4 of its features
+   with it, so at most a quarter of them may occur nowhere else.  All features
+   of a fixed share of the domain are exchanged in packed chunks, a feature of
+   a block of documents once; sets of which more than a quarter is found alone
+   go.  The features of those left are counted exactly.
+2. *Cores.*  A feature that no other set left has is only a unit of distance.
+   Sets that agree in all other features form a class; its core is the set
+   with the fewest features of its own.  Whatever links with a member links
+   with the core, so cores are joined, and a member follows its core if it
+   links with the core or with one of the core's partners.
+3. *Signatures.*  Sizes fall in bands between powers of two.  A band splits the
+   feature domain into n1 partitions of n2 = 3 parts.  Two sets that differ in
+   k elements agree, in some partition, in all but k2 = 1 of its parts as soon
+   as there are more than k / (k2 + 1) partitions, so the subsets of n2 - k2
+   parts are enumerated and a set signs each that holds any of its features.
+   Empty subsets sign nothing; a set that has too few partitions with features
+   in two parts signs on a further level, and only pairs of such sets need it.
+   The levels are: rare features only, all features, single features (the
+   prefix of a quarter of them, rare ones first).  What counts as frequent
+   changes the work, never the result.
+4. *Links.*  Of the sets that share a signature each is compared with one
+   centre.  Where the others are still in several components, the components
+   are compared: members of the largest with all the rest, then that rest
+   within itself, as matrices of bounded size.  Nothing is compared twice
+   because it shares several signatures, and pairs of one component aren't
+   compared at all.
+
+Identical sets are one set from the start.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, dropped, table, words, written
 
 WORDS = 5
-PERCENT = 75  # links: 100 * intersection >= PERCENT * union
+PERCENT = 75  # links: 100 * intersection >= PERCENT * union; the bounds below are those of 75
+SIEVE = 0.4  # share of the feature domain that the sieve exchanges
+BLOCK = 500_000  # features of a block of documents
 SALTS = 32  # shares that a frequent signature's members are dealt to
+SHARE = 2000  # members that meet a copy of their centre
+TILE = 512  # sets on a side of a matrix
+TILE_FEATURES = 500_000  # and their features, if there are several sets
 KNOWN_IDS = 1_000_000  # ids (8 bytes each) sent to all executors; more are joined by a shuffle
 FREQUENT = 500_000  # frequent features kept (8 bytes each)
+PARTS, MISSES = 3, 1  # n2 and k2
+FIRST_BAND = 5  # smaller sets sign single features
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -65,191 +80,405 @@ def features(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def _parts(instance: int, widen: int) -> int:
-    """Parts of the domain in an instance; 0: every feature is a part of its own."""
-    if instance < 5:
-        return 0
-    return 2 ** (instance + widen + (instance < 8))
+def within(s: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which elements of ``s`` are in the sorted ``other``."""
+    if not len(other):
+        return np.zeros(len(s), bool)
+    at = np.searchsorted(other, s)
+    at[at == len(other)] = 0
+    return other[at] == s
 
 
-def _instances(a: int) -> list[int]:
-    """The instances in which a set of size ``a`` signs: its band's, and the next one's if a partner may lie there."""
-    band = a.bit_length() - 1
-    return [band, band + 1] if 4 * a >= 3 * 2 ** (band + 1) else [band]
+# -- signatures ------------------------------------------------------------------
 
 
-def widening(s: np.ndarray) -> int:
-    """How often the parts must be doubled for a/3 + 1 of them to hold elements of the set (nearly always 0).
+def bands(size: int) -> list[int]:
+    """The bands in which a set signs: its own, and the next one's if a partner may lie there."""
+    own = size.bit_length() - 1
+    return [own, own + 1] if 4 * size >= 3 << (own + 1) else [own]
 
-    Splitting off a zone of frequent features never lessens the parts held.
-    """
-    place = mixed(s + _A)
-    for instance in _instances(len(s)) if len(s) else ():
-        for widen in range(60 - instance):
-            parts = _parts(instance, widen)
-            if not parts or len(np.unique(place % np.uint64(parts))) > len(s) // 3:
-                break
-        if widen:
-            return widen
-    return 0
-
-
-def signatures(s: np.ndarray, frequent: np.ndarray, widen: int = 0) -> tuple[np.ndarray, bool]:
-    """Signatures of a set, an odd one being of frequent features; whether at most a seventh of its features aren't frequent.
-
-    A set that signs with frequent features has signed with all its other
-    parts; it signs with each of its other features, too.  So two such sets
-    that share no even signature share frequent features only and differ in
-    all others: one of them must have few of those, or they don't link.
-    """
-    a = len(s)
-    if not a:
-        return np.zeros(0, np.int64), False
-    zone = np.zeros(a, bool)
-    if len(frequent):
-        at = np.searchsorted(frequent, s)
-        at[at == len(frequent)] = 0
-        zone = frequent[at] == s
-    place, content = mixed(s + _A), mixed(s ^ _C)
-    sigs = []
-    for instance in _instances(a):
-        parts = _parts(instance, widen)
-        half = np.uint64(1 << 63)
-        part = place % np.uint64(parts) if parts else place & (half - np.uint64(1))
-        part = np.where(zone, part | half, part)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))[: a // 3 + 2]
-        with np.errstate(over="ignore"):
-            sums = np.add.reduceat(content[order], first)
-            first, sums = first[: a // 3 + 1], sums[: a // 3 + 1]  # the sum of one too many took the rest
-            part = part[first]
-            sig = mixed(mixed(part + np.uint64(instance) * _A) ^ sums)
-        sigs.append((sig & ~np.uint64(1) | (part >= half).astype(np.uint64)).view(np.int64))
-    if any(len(x) and x[-1] & 1 for x in sigs):
-        sigs.append((mixed(place[~zone] ^ _B) & ~np.uint64(1)).view(np.int64))
-    return np.concatenate(sigs), 7 * int((~zone).sum()) <= a
-
-
-def sketch(s: np.ndarray) -> bytes:
-    """Parities of how many elements fall in each of 2**k buckets, 2**k being the power of two that reaches the size (64 at least).
-
-    Sets whose sketches differ in n bits differ in n elements at least.
-    """
-    buckets = 1 << max(6, (len(s) - 1).bit_length())
-    odd = np.bincount((mixed(s + _B) & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
 
+def partitions(band: int) -> int:
+    """n1: more than k / (k2 + 1) for the band's largest sets, with a reserve for partitions too thin to sign."""
+    return 2 + (17 * 2 ** (band + 1)) // 100
 
-def least_difference(a: bytes, b: bytes) -> int:
-    """Elements in which two sets differ at least, from their sketches; the longer one is folded to the shorter."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    n = min(len(x), len(y))
-    x, y = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (x, y))
-    return int(np.bitwise_count(x ^ y).sum())
 
+def _enumerated(s: np.ndarray, band: int, level: int) -> tuple[np.ndarray, int]:
+    """Signatures of all part subsets that hold features, and the partitions with features in more parts than may differ."""
+    n1 = partitions(band)
+    with np.errstate(over="ignore"):
+        place, content = mixed(s + _A * np.uint64(band + 2)), mixed(s ^ _C)
+        part = ((place >> np.uint64(8)) % np.uint64(n1) * np.uint64(PARTS) + (place & np.uint64(255)) % np.uint64(PARTS)).astype(np.int64)
+        count = np.bincount(part, minlength=n1 * PARTS).reshape(n1, PARTS)
+        held = np.zeros(n1 * PARTS, np.uint64)
+        np.add.at(held, part, content)
+        held = held.reshape(n1, PARTS)
+        rest, left = held.sum(axis=1, keepdims=True, dtype=np.uint64) - held, count.sum(axis=1, keepdims=True) - count
+        number = np.arange(n1 * PARTS, dtype=np.uint64).reshape(n1, PARTS)
+        sig = mixed(mixed(number + np.uint64(band * 4 + level) * _A) ^ rest)
+    return sig[left > 0], int(((count > 0).sum(axis=1) > MISSES).sum())
+
+
+def signatures(s: np.ndarray, own: int, frequent: np.ndarray) -> np.ndarray:
+    """Signatures of a set that has ``own`` further features no other set has; odd ones are made of frequent features, too."""
+    size = len(s)
+    most = size // 3 - own  # elements in which a partner may differ
+    if not size or most < 0:
+        return np.zeros(0, np.int64)
+    common = within(s, frequent)
+    out = []
+    for band in bands(size):
+        k = min(most, 2 * (2 ** (band + 1) - 1) // 7)
+        met = False
+        if band >= FIRST_BAND:
+            for level, some in ((0, s[~common]), (1, s)):
+                sig, able = _enumerated(some, band, level)
+                out.append(sig & ~np.uint64(1) | np.uint64(level))
+                if met := able > k // (MISSES + 1):
+                    break
+        if not met:
+            order = np.lexsort((mixed(s ^ _B), common))[: size // 4 + 1]
+            with np.errstate(over="ignore"):
+                sig = mixed(mixed(s[order] + np.uint64(band * 4 + 2) * _A) ^ _C)
+            out.append(sig & ~np.uint64(1) | common[order].astype(np.uint64))
+    return np.unique(np.concatenate(out)).view(np.int64)
+
+
+def slack(a: np.ndarray, b: np.ndarray) -> int:
+    """How many features of their own two sets may have together and link; negative: they can't link."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both // 3 - (len(a) + len(b) - 2 * both)
 
-@lru_cache(maxsize=64)
-def _remembered(text: str) -> np.ndarray:
-    return features(text)
 
+# -- the sieve -------------------------------------------------------------------
 
-def similarity(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """(intersection, union) of two sorted sets."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both, len(a) + len(b) - both
+
+def _planes(x: np.ndarray, kind: str) -> bytes:
+    return x.astype(kind).view(np.uint8).reshape(len(x), -1).T.tobytes()
 
 
-def _measure(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Per row (id, n, k1, k2: a 128-bit hash of the set, sketch); with a null n, (feature k1, count k2) of features common in a task."""
+def _numbers(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _measure(rows: DataFrame, bits: int) -> DataFrame:
+    """Per row (slot, id, n, k1, k2: a 128-bit hash of the set, alone); with a null n, packed chunks (slot, part, load) of blocks' features.
+
+    ``alone`` is how many of a set's features in the sieve's share of the
+    domain no other set of its block has; null for a block's further copies.
+    """
+    limit = np.uint64(int(SIEVE * 2.0**64))
+    high, low = np.uint64(64 - bits), np.uint64(32 - bits)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base, made = TaskContext.get().partitionId() << 40, 0
+        docs: list[tuple] = []
         held: list[np.ndarray] = []
+        seen: dict[int, int] = {}
         size = 0
 
-        def common():
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            value, count = value[count >= 3], count[count >= 3]
-            return pd.DataFrame({"id": pd.array([None] * len(value), "Int64"), "n": pd.array([None] * len(value), "Int64"), "k1": value.view(np.int64), "k2": count.astype(np.int64), "widen": np.zeros(len(value), np.int32), "sketch": None})
+        def block() -> pd.DataFrame:
+            first = base + (made << 16)
+            f = np.concatenate(held)
+            who = np.repeat(np.arange(len(held)), [len(x) for x in held])
+            order = np.argsort(f, kind="stable")
+            f, who = f[order], who[order]
+            new = np.concatenate(([True], f[1:] != f[:-1]))[: len(f)]
+            single = new & np.concatenate((new[1:], [True]))[: len(f)]
+            alone = np.bincount(who[single], minlength=len(held))
+            f, who = f[new], np.where(single, who, 65535)[new]
+            part = (f >> high).astype(np.int64)
+            value = (f >> low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            cuts = np.flatnonzero(np.concatenate((part[:1] >= 0, part[1:] != part[:-1])))
+            gaps = np.diff(value, prepend=0)
+            gaps[cuts] = value[cuts]
+            ends = [*cuts[1:].tolist(), len(part)]
+            loads = [_planes(gaps[a:b], "<u4") + _planes(who[a:b], "<u2") for a, b in zip(cuts.tolist(), ends, strict=True)]
+            n = len(docs)
+            none = [None] * len(loads)
+            return pd.DataFrame({
+                "slot": pd.array([None if d[4] is None else first + d[4] for d in docs] + [first] * len(loads), "Int64"), "id": pd.array([d[0] for d in docs] + none, "Int64"), "n": pd.array([d[1] for d in docs] + none, "Int64"),
+                "k1": pd.array([d[2] for d in docs] + none, "Int64"), "k2": pd.array([d[3] for d in docs] + none, "Int64"), "alone": pd.array([None if d[4] is None else int(alone[d[4]]) for d in docs] + none, "Int64"),
+                "part": pd.array([None] * n + part[cuts].tolist(), "Int64"), "load": [None] * n + loads,
+            })
 
         for batch in batches:
-            ids, n, k1, k2, widen, sketches = [], [], [], [], [], []
             for i, t in zip(batch["_id"], batch["_text"], strict=True):
                 s = features(t)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
-                ids.append(i)
-                n.append(len(s))
-                widen.append(widening(s))
-                sketches.append(sketch(s))
-                k1.append((d >> 64) - (1 << 63))
-                k2.append((d & ((1 << 64) - 1)) - (1 << 63))
-                held.append(s)
-                size += len(s)
-                if size >= 2_000_000:
-                    yield common()
-                    size = 0
-            yield pd.DataFrame({"id": pd.array(ids, "Int64"), "n": pd.array(n, "Int64"), "k1": np.array(k1, np.int64), "k2": np.array(k2, np.int64), "widen": np.array(widen, np.int32), "sketch": sketches})
-        if held:
-            yield common()
-
-    return df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")).mapInPandas(run, "id long, n long, k1 long, k2 long, widen int, sketch binary")
-
-
-def _sign(df: DataFrame, key: str, text: str, frequent: np.ndarray, widen: int) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT features
+                here = None
+                if d not in seen:
+                    here = seen[d] = len(held)
+                    place = mixed(s ^ _A)
+                    held.append(place[place < limit])
+                    size += len(held[-1])
+                docs.append((None if pd.isna(i) else int(i), len(s), (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), here))
+                if size >= BLOCK or len(docs) >= 60_000:
+                    yield block()
+                    docs, held, seen, size, made = [], [], {}, 0, made + 1
+        if docs:
+            yield block()
+
+    return rows.mapInPandas(run, "slot long, id long, n long, k1 long, k2 long, alone long, part long, load binary")
+
+
+def _met(chunks: DataFrame) -> DataFrame:
+    """(slot, met): how many of a set's features other blocks have, in shares to be summed.  ``chunks``: (slot, part, load), a part's in a row."""
+
+    def shared(parts: list[tuple[int, bytes]]) -> np.ndarray:
+        values, whose = [], []
+        for slot, load in parts:
+            m = len(load) // 6
+            values.append(np.cumsum(_numbers(load[: 4 * m], "<u4").astype(np.int64)))
+            who = _numbers(load[4 * m :], "<u2").astype(np.int64)
+            whose.append(np.where(who == 65535, -1, slot + who))
+        v, w = np.concatenate(values), np.concatenate(whose)
+        order = np.argsort(v, kind="stable")
+        v, w = v[order], w[order]
+        new = np.concatenate(([True], v[1:] != v[:-1]))[: len(v)]
+        single = new & np.concatenate((new[1:], [True]))[: len(v)]
+        return w[~single & (w >= 0)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()
-        seen: set[int] = set()  # copies within a task sign once (8 bytes a document)
+        now, parts, found, size = None, [], [], 0
+
+        def flush():
+            slot, met = np.unique(np.concatenate(found), return_counts=True)
+            found.clear()
+            return pd.DataFrame({"slot": slot, "met": met})
+
         for batch in batches:
-            sigs, ids, poor = [], [], []
-            for i, t in zip(batch["_id"], batch["_text"], strict=True):
-                s = features(t)
-                d = xxhash.xxh3_64_intdigest(s.tobytes())
-                if d in seen or not len(s):
+            for slot, part, load in zip(batch["slot"], batch["part"], batch["load"], strict=True):
+                if part != now and parts:
+                    found.append(shared(parts))
+                    size += len(found[-1])
+                    parts = []
+                    if size > 2_000_000:
+                        yield flush()
+                        size = 0
+                now = part
+                parts.append((int(slot), load))
+        if parts:
+            found.append(shared(parts))
+        if found:
+            yield flush()
+
+    return chunks.mapInPandas(run, "slot long, met long")
+
+
+# -- sets left by the sieve --------------------------------------------------------
+
+
+def _featured(docs: DataFrame) -> DataFrame:
+    """(id, feats) of (id, text): features as 8-byte integers in ascending order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "feats": [features(t).tobytes() for t in batch["text"]]})
+
+    return docs.mapInPandas(run, "id long, feats binary")
+
+
+def _exploded(sets: DataFrame) -> DataFrame:
+    """(f, id), a row a feature."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for a in range(0, len(batch), 200):
+                part = batch.iloc[a : a + 200]
+                each = [np.frombuffer(x, np.int64) for x in part["feats"]]
+                yield pd.DataFrame({"f": np.concatenate(each), "id": np.repeat(part["id"].to_numpy(np.int64), [len(x) for x in each])})
+
+    return sets.mapInPandas(run, "f long, id long")
+
+
+def _kin(sets: DataFrame) -> DataFrame:
+    """(id, size, own, h1, h2, feats) of (id, feats, mine): without the features of their own; sets with too many of those go."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i, raw, mine in zip(batch["id"], batch["feats"], batch["mine"], strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                lone = 0 if mine is None else len(mine)
+                if 4 * lone > len(s):
                     continue
-                seen.add(d)
-                sig, few = signatures(s, shared.value, widen)
-                sigs.append(sig)
-                ids.append(np.full(len(sig), i, np.int64))
-                poor.append(few | (sig & 1 == 0))
-            if sigs:
-                yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.concatenate(ids), "poor": np.concatenate(poor)})
+                if lone:
+                    s = s[~within(s, np.sort(np.asarray(mine, np.int64).view(np.uint64)))]
+                d = xxhash.xxh3_128_intdigest(s.tobytes())
+                out.append((i, len(s), lone, (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63), s.tobytes()))
+            yield pd.DataFrame(out, columns=["id", "size", "own", "h1", "h2", "feats"])
 
-    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    return rows.mapInPandas(run, "sig long, id long, poor boolean")
+    return sets.select("id", "feats", "mine").mapInPandas(run, "id long, size long, own long, h1 long, h2 long, feats binary")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(a, b, both, either) of candidate pairs (a, b), from their whole texts."""
+def _signed(cores: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(sig, id)."""
+    shared = cores.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT features
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            got = [similarity(_remembered(x), _remembered(y)) for x, y in zip(batch["ta"], batch["tb"], strict=True)]
-            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "both": [g[0] for g in got], "either": [g[1] for g in got]})
+            for a in range(0, len(batch), 500):
+                part = batch.iloc[a : a + 500]
+                sigs = [signatures(np.frombuffer(x, np.uint64), int(own), shared.value) for x, own in zip(part["feats"], part["own"], strict=True)]
+                yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.repeat(part["id"].to_numpy(np.int64), [len(x) for x in sigs])})
 
-    full = pairs.join(docs.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(docs.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return full.mapInPandas(run, "a long, b long, both long, either long")
+    return cores.select("id", "own", "feats").mapInPandas(run, "sig long, id long")
 
 
-def _differences(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their sizes and the least number of elements in which they differ."""
-    one = lambda k: sketches.select(F.col("rep").alias(k), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    full = pairs.join(one("a"), "a").join(one("b"), "b")
+def _with_centres(pairs: DataFrame, cores: DataFrame) -> DataFrame:
+    """(a, b, room): linked ones of the pairs (centre a, b); a member of a's class with at most ``room`` features of its own links with b, too."""
+    many = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    dealt = pairs.join(many, "a").withColumn("share", F.pmod(F.hash("b"), F.col("shares"))).select("a", "b", "share")
+    one = cores.select("id", "own", "feats")
+    left = dealt.select("a", "share").distinct().join(one.withColumnRenamed("id", "a"), "a").select("a", "share", F.lit(0).alias("turn"), F.col("a").alias("b"), "own", "feats")
+    right = dealt.join(one.withColumnRenamed("id", "b"), "b").select("a", "share", F.lit(1).alias("turn"), "b", "own", "feats")
+    rows = left.union(right).repartition("a", "share").sortWithinPartitions("a", "share", "turn")
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for x, y in batches:
-            yield pd.Series([least_difference(p, q) for p, q in zip(x, y, strict=True)], dtype="int64")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        centre, mine = np.zeros(0, np.uint64), 0
+        for batch in batches:
+            out = []
+            for a, turn, b, own, raw in zip(*(batch[c] for c in ("a", "turn", "b", "own", "feats")), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                if turn == 0:  # a centre comes ahead of what is compared with it
+                    centre, mine = s, own
+                    continue
+                room = slack(centre, s)
+                if mine + own <= room:
+                    out += [(a, b, room - own), (b, a, room - mine)]
+            yield pd.DataFrame(out, columns=["a", "b", "room"])
+
+    return rows.mapInPandas(run, "a long, b long, room long")
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of two lists."""
+    x, y = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(x, y)
+    out = np.zeros((len(left), len(right)), np.float32)
+    i, j = np.repeat(np.arange(len(left)), [len(v) for v in left]), np.repeat(np.arange(len(right)), [len(v) for v in right])
+    keep_x, keep_y = within(x, shared), within(y, shared)
+
+    def columns(x: np.ndarray, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.searchsorted(shared, x)
+        order = np.argsort(x, kind="stable")
+        return x[order], i[order]
+
+    (x, i), (y, j) = columns(x[keep_x], i[keep_x]), columns(y[keep_y], j[keep_y])
+    width = 4096
+    for a in range(0, len(shared), width):
+        p, q = np.zeros((len(left), min(width, len(shared) - a)), np.float32), np.zeros((len(right), min(width, len(shared) - a)), np.float32)
+        for m, at, row in ((p, x, i), (q, y, j)):
+            some = slice(*np.searchsorted(at, (a, a + width)))
+            m[row[some], at[some] - a] = 1
+        out += p @ q.T
+    return np.rint(out).astype(np.int64)
+
+
+def _linked(t: pd.DataFrame, across: bool) -> pd.DataFrame | None:
+    """Links of a tile: (a, b) to the least set of each piece of the link graph, and (a, a, room) of flagged sets."""
+    i = np.flatnonzero(t["side"] == 0) if across else np.arange(len(t))
+    j = np.flatnonzero(t["side"] == 1) if across else i
+    if not len(i) or not len(j):
+        return None
+    sets = [np.frombuffer(x, np.uint64) for x in t["feats"]]
+    size, own = t["size"].to_numpy(np.int64), t["own"].to_numpy(np.int64)
+    ids, label, flag = t["id"].to_numpy(np.int64), t["label"].to_numpy(np.int64), t["flag"].to_numpy(bool)
+    both = _overlaps([sets[k] for k in i], [sets[k] for k in j])
+    room = both // 3 - (size[i][:, None] + size[j][None, :] - 2 * both)
+    near = (room >= own[i][:, None] + own[j][None, :]) & (ids[i][:, None] != ids[j][None, :])
+    near &= (label[i][:, None] != label[j][None, :]) | flag[i][:, None] | flag[j][None, :]
+    p, q = np.nonzero(near)
+    if not len(p):
+        return None
+    x, y, room = i[p], j[q], room[p, q]
+    low = ids.copy()
+    while True:
+        before = low.copy()
+        np.minimum.at(low, x, low[y])
+        np.minimum.at(low, y, low[x])
+        if (before == low).all():
+            break
+    most = np.full(len(t), -1)
+    np.maximum.at(most, x, room - own[y])
+    np.maximum.at(most, y, room - own[x])
+    at, told = np.flatnonzero(low != ids), np.flatnonzero(flag & (most >= 0))
+    return pd.DataFrame({"a": np.concatenate((ids[at], ids[told])), "b": np.concatenate((low[at], ids[told])), "room": np.concatenate((np.full(len(at), -1), most[told]))})
+
+
+def _tiles(members: DataFrame, cores: DataFrame, across: bool) -> DataFrame:
+    """(a, b, room) of the sets (group, id, side, label, flag, size) of each group: one side with the other, or all among themselves."""
+    sides = ["group", "side"] if across else ["group"]
+    number = members.groupBy(*sides).agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_FEATURES)).cast("int").alias("chunks"))
+    dealt = members.join(number, sides).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    if across:
+        n = number.groupBy("group").agg(F.max(F.when(F.col("side") == 0, F.col("chunks"))).alias("n0"), F.max(F.when(F.col("side") == 1, F.col("chunks"))).alias("n1"))
+        other = F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
+        dealt = dealt.join(n.where("n0 IS NOT NULL AND n1 IS NOT NULL"), "group").withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
+        dealt = dealt.withColumns({"ti": F.when(F.col("side") == 0, F.col("chunk")).otherwise(F.col("other")), "tj": F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("chunk"))})
+    else:
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = dealt.withColumns({"ti": F.least("chunk", "other"), "tj": F.greatest("chunk", "other"), "side": (F.col("chunk") > F.col("other")).cast("int")})
+    key = ["group", "ti", "tj"]
+    rows = dealt.select(*key, "side", "id", "label", "flag").join(cores.select("id", "size", "own", "feats"), "id").repartition(*key).sortWithinPartitions(*key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+
+        def tile(t: pd.DataFrame) -> pd.DataFrame | None:
+            return _linked(t, across or t["ti"].iat[0] != t["tj"].iat[0]) if len(t) > 1 else None
+
+        for batch in batches:
+            batch = batch if held is None else pd.concat((held, batch), ignore_index=True)
+            at = batch[key].to_numpy(np.int64)
+            cuts = np.concatenate(([0], np.flatnonzero((at[1:] != at[:-1]).any(axis=1)) + 1))
+            held = batch.iloc[cuts[-1] :]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (got := tile(batch.iloc[a:b])) is not None:
+                    yield got
+        if held is not None and (got := tile(held)) is not None:
+            yield got
 
-    return full.withColumn("apart", F.pandas_udf(run, "long")(F.col("sa"), F.col("sb"))).drop("sa", "sb")
+    return rows.mapInPandas(run, "a long, b long, room long")
 
 
-def _texts(docs: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts of the documents in pairs, one for each id."""
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    known = F.broadcast(ids) if ids.count() <= KNOWN_IDS else ids
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL").join(known, "id", "left_semi")
+def _links(cores: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b, room) that connect all cores which links connect, with the room of flagged cores, and what can be dropped later."""
+    hot = F.col("sig").bitwiseAND(F.lit(1)) == 1
+    salt = F.when(hot, F.pmod(F.hash("id"), F.lit(SALTS))).otherwise(0)
+    same = Window.partitionBy("sig", "salt")
+    grouped = _signed(cores, frequent).withColumn("salt", salt).withColumns({"centre": F.min("id").over(same), "most": F.max("id").over(same)})
+    # shares of a frequent signature that have one member meet through the centres
+    shares = written(grouped.where((F.col("most") != F.col("centre")) | hot).select("sig", "id", "centre"))
+    middles = shares.where(hot & (F.col("id") == F.col("centre"))).groupBy("sig").agg(F.min("id").alias("middle"), F.count("*").alias("n"))
+    upper = shares.where(hot & (F.col("id") == F.col("centre"))).join(middles.where("n > 1"), "sig").where("id <> middle").select(F.col("middle").alias("a"), F.col("id").alias("b"))
+    pairs = written(shares.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).union(upper).distinct())
+    star = written(_with_centres(pairs, cores))
+    dropped(pairs)
+    label = components(star)
+
+    # groups in which others than the centre, which has met all, are in several components or flagged
+    told = cores.select("id", "flag", "size").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "flag", "size", F.coalesce("component", "id").alias("label"))
+    rest = shares.where(hot | (F.col("id") != F.col("centre"))).select("sig", "id").join(told, "id")
+    rest = written(rest)
+    per = rest.groupBy("sig", "label").agg(F.count("*").alias("n"), F.max("flag").alias("flagged"))
+    opened = per.groupBy("sig").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max("flagged").alias("flagged"), F.max(F.struct("n", "label"))["label"].alias("host"))
+    opened = opened.where("n > 1 AND (labels > 1 OR flagged)").select("sig", "host")
+    rest_open = written(rest.join(opened, "sig"))
+    dropped(rest)
+    guest = (F.col("label") != F.col("host")) | F.col("flag")
+    hosted = rest_open.select(F.col("host").alias("group"), "id", guest.cast("int").alias("side"), "label", "flag", "size").distinct()
+    first = written(_tiles(hosted, cores, True))
+    # the guests of a group among themselves; groups of the same guests once
+    left = rest_open.where(guest)
+    mark = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"m{k}") for k in (0, 1)]
+    alike = left.groupBy("sig").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"), F.max("flag").alias("flagged"), *mark)
+    alike = alike.where("n > 1 AND (labels > 1 OR flagged)").groupBy("m0", "m1", "n").agg(F.min("sig").alias("sig")).select("sig")
+    guests = left.join(alike, "sig").select(F.col("sig").alias("group"), "id", F.lit(0).alias("side"), "label", "flag", "size")
+    second = written(_tiles(guests, cores, False))
+    dropped(shares)
+    return star.union(first).union(second), [star, first, second, rest_open]
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -262,75 +491,51 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     component_id is null.  Rows that repeat a key with the same text stay as
     they are; a key should not come with different texts.
     """
-    measured = written(_measure(df, key, text))
-    per_doc = measured.where("n IS NOT NULL")
-    docs = per_doc.where("n > 0 AND id IS NOT NULL").select("id", "n", "k1", "k2", "widen")
-    total, widen = docs.agg(F.count("*"), F.coalesce(F.max("widen"), F.lit(0))).first()
-    # features in a thousandth of the documents, at most FREQUENT of them
-    common = measured.where("n IS NULL").groupBy("k1").agg(F.sum("k2").alias("c")).where(F.col("c") >= max(32, total // 1000))
-    frequent = np.sort(common.orderBy(F.desc("c"), "k1").limit(FREQUENT).toPandas().k1.to_numpy(np.int64).view(np.uint64))
-    # identical sets are one class, whose smallest id stands for it
-    firsts = docs.groupBy("k1", "k2").agg(F.min("id").alias("rep"))
-    class_of = written(docs.join(firsts, ["k1", "k2"]).select("id", "rep", F.col("n").alias("size")).distinct())
-
-    sketches = written(per_doc.join(class_of.where("id = rep").select("rep", "size").distinct(), F.col("id") == F.col("rep")).groupBy("rep", "size").agg(F.min("sketch").alias("sketch")))
-    # (na + nb - d) / (na + nb + d) is the similarity of sets that differ in d elements
-    possible = f"100 * (na + nb - apart) >= {PERCENT} * (na + nb + apart) AND 100 * least(na, nb) >= {PERCENT} * greatest(na, nb)"
-
-    signed = _sign(df, key, text, frequent, widen)
-    hot = F.col("sig").bitwiseAND(F.lit(1)) == 1
-    salt = F.when(hot, F.pmod(F.hash("id"), F.lit(SALTS))).otherwise(0)
-    same = Window.partitionBy("sig", "salt")
-    # a centre of a frequent signature is a set with few other features
-    grouped = signed.withColumn("salt", salt).withColumns({"centre": F.min(F.when(F.col("poor"), F.col("id"))).over(same), "least": F.min("id").over(same), "most": F.max("id").over(same)})
-    # a frequent signature's shares may be single; they meet through their centres
-    shares = written(grouped.where((F.col("most") != F.col("least")) | hot).select("sig", "id", "poor", "centre"))
-    centres = shares.where(hot & (F.col("id") == F.col("centre"))).groupBy("sig").agg(F.min("id").alias("middle"))
-    links = shares.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-    alone = shares.where(hot & (F.col("centre").isNull() | (F.col("id") == F.col("centre"))))
-    upper = alone.join(centres, "sig").where("id <> middle").select(F.col("middle").alias("a"), F.col("id").alias("b"))
-
-    def of_classes(pairs: DataFrame) -> DataFrame:
-        out = pairs.select("a", "b").distinct().join(class_of.select(F.col("id").alias("a"), F.col("rep").alias("ra")), "a").join(class_of.select(F.col("id").alias("b"), F.col("rep").alias("rb")), "b")
-        return out.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-    first = written(_differences(of_classes(links.union(upper)), sketches))
-    likely = first.where(possible).select("a", "b")
-    seen = written(_verify(likely, _texts(df, likely, key, text)))
-    linked = F.expr(f"100 * both >= {PERCENT} * either")
-    label = components(seen.where(linked))
-
-    # signatures whose members are still in several components
-    class_label = class_of.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("id", "rep", "size", F.coalesce("component", "rep").alias("component"))
-    members = shares.join(class_label, "id").groupBy("sig", "rep").agg(F.min("size").alias("size"), F.min("component").alias("component"), F.max("poor").alias("poor"))
-    members = written(members)
-    split = members.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.when(F.col("poor"), F.col("rep"))).alias("centre")).where("lo <> hi AND centre IS NOT NULL").select("sig", "centre")
-    open_ = members.join(split, "sig")
-    # distances to the centre: exact for the pairs compared, at least so much for the others
-    both_ways = lambda d: d.union(d.select(F.col("b").alias("a"), F.col("a").alias("b"), *d.columns[2:]))
-    exact = both_ways(seen).select(F.col("a").alias("centre"), F.col("b").alias("rep"), (1 - F.col("both") / F.col("either")).alias("far"))
-    least = both_ways(first.where(f"NOT ({possible})").select("a", "b", "na", "nb", "apart")).select(F.col("a").alias("centre"), F.col("b").alias("rep"), F.greatest(2 * F.col("apart") / (F.col("na") + F.col("nb") + F.col("apart")), 1 - F.least("na", "nb") / F.greatest("na", "nb")).alias("beyond"))
-    self_far = F.when(F.col("rep") == F.col("centre"), 0.0)
-    open_ = open_.join(exact, ["centre", "rep"], "left").join(least, ["centre", "rep"], "left")
-    open_ = written(open_.withColumns({"far": F.coalesce(self_far, "far"), "beyond": F.coalesce(self_far, "far", "beyond")}))
-    x, y = (open_.select("sig", *(F.col(c).alias(f"{c}{k}") for c in ("rep", "size", "component", "far", "beyond", "poor"))) for k in (1, 2))
-    apart = F.greatest(F.col("beyond1") - F.col("far2"), F.col("beyond2") - F.col("far1"))
-    more = (
-        x.where("poor1").join(y, "sig")
-        .where("(rep1 < rep2 OR NOT poor2) AND component1 <> component2 AND 4 * least(size1, size2) >= 3 * greatest(size1, size2)")
-        .where(apart.isNull() | (apart <= 1 - PERCENT / 100 + 1e-9))
-        .select(F.least("rep1", "rep2").alias("a"), F.greatest("rep1", "rep2").alias("b")).distinct()
-        .join(first, ["a", "b"], "left_anti")
-    )
-    more = written(_differences(more, sketches).where(possible).select("a", "b"))
-    again = written(_verify(more, _texts(df, more, key, text)))
-    edges = seen.where(linked).select("a", "b").union(again.where(linked).select("a", "b"))
-    final = components(edges)
-    node = class_of.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component_id"))
-    for f in (shares, members, open_):
+    rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
+    bits = max(8, (2 * rows.rdd.getNumPartitions() - 1).bit_length())  # parts grow with the input, so that a part stays small
+    measured = written(_measure(rows, bits))
+    met = _met(measured.where("part IS NOT NULL").select("slot", "part", "load").repartition("part").sortWithinPartitions("part")).groupBy("slot").agg(F.sum("met").alias("met"))
+    per_doc = measured.where("n IS NOT NULL").select("slot", "id", "n", "k1", "k2", "alone")
+    able = F.col("alone") - F.coalesce("met", F.lit(0)) <= F.floor(F.col("n") / 4)
+    kept = per_doc.where("n > 0 AND id IS NOT NULL").join(met, "slot", "left")
+    # identical sets are one, whose smallest id stands for it
+    classes = written(kept.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max(F.coalesce(able, F.lit(False))).alias("left")))
+
+    reps = classes.where("left").select(F.col("rep").alias("id"))
+    total = reps.count()
+    known = F.broadcast(reps) if total <= KNOWN_IDS else reps
+    sets = written(_featured(rows.select(F.col("_id").alias("id"), F.col("_text").alias("text")).where("id IS NOT NULL").join(known, "id", "left_semi")))
+    counted = _exploded(sets).groupBy("f").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    seen = written(counted.where((F.col("c") == 1) | (F.col("c") >= max(32, total // 1000))))
+    frequent = seen.where("c > 1").orderBy(F.desc("c"), "f").limit(FREQUENT).select("f").toPandas().f.to_numpy(np.int64)
+    frequent = np.sort(frequent.view(np.uint64))
+    mine = seen.where("c = 1").groupBy("id").agg(F.collect_list("f").alias("mine"))  # at most a set's features
+    kin = written(_kin(sets.dropDuplicates(["id"]).join(mine, "id", "left")))
+    dropped(seen)
+    dropped(sets)
+
+    # of the sets that agree in all shared features, the one with the fewest of its own is the core
+    least = kin.groupBy("h1", "h2").agg(F.min(F.struct("own", "id")).alias("least"), F.max("own").alias("most"))
+    least = least.select("h1", "h2", F.col("least.id").alias("core"), F.col("least.own").alias("fewest"), "most")
+    member = written(kin.select("id", "size", "own", "h1", "h2").join(least, ["h1", "h2"]).select("id", "core", "size", "own", "fewest", "most"))
+    flags = member.where("id = core").select("id", (F.col("fewest") + F.col("most") > F.floor(F.col("size") / 3)).alias("flag"))
+    cores = written(kin.select("id", "size", "own", "feats").join(flags, "id"))
+    dropped(kin)
+    links, spent = _links(cores, frequent)
+    links = written(links.where("a <> b OR room >= 0"))
+    label = components(links).withColumnRenamed("node", "core")
+    room = links.groupBy("a").agg(F.max("room").alias("room")).withColumnRenamed("a", "core")
+    joined = member.join(label, "core", "left").join(room, "core", "left")
+    follows = (F.col("id") == F.col("core")) | (F.col("own") + F.col("fewest") <= F.floor(F.col("size") / 3)) | F.coalesce(F.col("own") <= F.col("room"), F.lit(False))
+    joined = written(joined.select("id", F.when(follows, F.coalesce("component", "core")).alias("label")).where("label IS NOT NULL"))
+    smallest = joined.groupBy("label").agg(F.min("id").alias("component_id"))
+    node = joined.join(smallest, "label").select(F.col("id").alias("rep"), "component_id")
+    for f in (*spent, cores, member):
         dropped(f)
-    out = per_doc.join(node, "id", "left")
-    return out.select(F.col("id").cast(dict(df.dtypes)[key]).alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    of_class = classes.join(node, "rep", "left").select("k1", "k2", F.coalesce("component_id", "rep").alias("component_id"))
+    out = per_doc.join(of_class, ["k1", "k2"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
+    return out.select(F.col("id").cast(dict(df.dtypes)[key]).alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:

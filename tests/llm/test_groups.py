@@ -69,21 +69,81 @@ def test_jaccard_components_equal_brute_force(spark, seed, monkeypatch):
     assert got == {i: (len(s), want[i]) for i, s in enumerate(sets)}
 
 
-def test_signatures_of_similar_sets_meet():
+def similarity(a, b):
+    both = len(np.intersect1d(a, b))
+    return both, len(a) + len(b) - both
+
+
+def test_signatures_of_similar_sets_meet(monkeypatch):
     rng = np.random.default_rng(4)
-    for n in [*range(1, 70), 100, 127, 128, 250, 600, 2000]:
-        for _ in range(6):
-            base = np.unique(rng.integers(0, 2**63, n * 2).astype(np.uint64))[:n]
-            frequent = np.sort(rng.choice(base, rng.integers(0, len(base) + 1), replace=False))
-            drop = rng.integers(0, n // 4 + 1)
-            other = np.concatenate((base[drop:], rng.integers(0, 2**63, n // 6).astype(np.uint64)))[: max(1, n - drop + rng.integers(0, n // 6 + 1))]
-            other = np.unique(rng.permutation(other))
-            both, either = jaccard.similarity(base, other)
-            if 100 * both >= 75 * either:
-                widen = max(jaccard.widening(base), jaccard.widening(other))
-                a, b = (jaccard.signatures(s, frequent, widen)[0] for s in (base, other))
-                poor = [jaccard.signatures(x, frequent, widen)[1] for x in (base, other)]
-                assert [v for v in np.intersect1d(a, b) if v & 1 == 0 or any(poor)], (n, both, either)
+    for reserve in (False, True):
+        if reserve:  # so few partitions that the further levels are needed, too
+            monkeypatch.setattr(jaccard, "partitions", lambda band: 1 + 2 ** (band + 1) // 9)
+        for n in [*range(1, 70), 100, 127, 128, 250, 600, 2000]:
+            for _ in range(6):
+                base = np.unique(rng.integers(0, 2**63, n * 2).astype(np.uint64))[:n]
+                frequent = np.sort(rng.choice(base, rng.integers(0, len(base) + 1), replace=False))
+                drop = rng.integers(0, n // 4 + 1)
+                other = np.concatenate((base[drop:], rng.integers(0, 2**63, n // 6).astype(np.uint64)))[: max(1, n - drop + rng.integers(0, n // 6 + 1))]
+                other = np.unique(other)
+                room = jaccard.slack(base, other)
+                both, either = similarity(base, other)
+                assert (100 * both >= 75 * either) == (room >= 0)
+                own = int(rng.integers(0, room + 1)) if room >= 0 else 0
+                if room >= 0:
+                    a, b = jaccard.signatures(base, own, frequent), jaccard.signatures(other, room - own, frequent)
+                    assert len(np.intersect1d(a, b)), (n, both, either)
+
+
+def test_enumeration_holds_all_subsets():
+    s = np.unique(np.random.default_rng(1).integers(0, 2**63, 300).astype(np.uint64))
+    sig, able = jaccard._enumerated(s, 8, 0)
+    n1 = jaccard.partitions(8)
+    assert n1 * 2 // 3 < able <= n1 and 2 * n1 < len(sig) <= 3 * n1 and len(np.unique(sig)) == len(sig)
+    assert np.isin(sig, jaccard._enumerated(s[1:], 8, 0)[0]).sum() >= len(sig) - 2  # one feature is in two subsets of its partition
+
+
+def test_overlaps_equal_sets():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 9000, k).astype(np.uint64)) for k in (1, 5, 6000, 7000, 300)]
+    got = jaccard._overlaps(sets, sets[1:])
+    assert [[len(np.intersect1d(a, b)) for b in sets[1:]] for a in sets] == got.tolist()
+
+
+def brute(texts):
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if a and b and 4 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and 100 * len(a & b) >= 75 * len(a | b)]
+    return {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, union_find(len(texts), links), strict=True))}
+
+
+@pytest.mark.parametrize("tile", [16, 512])
+def test_jaccard_on_texts_of_one_passage_and_families_at_the_threshold(spark, tile, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "SHARE", 7)
+    monkeypatch.setattr(jaccard, "SALTS", 3)
+    rng = random.Random(tile)
+    new = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    passage, texts = new(80), []
+    for k in range(150):  # a passage and words of one's own, around the threshold
+        own = new(rng.choice((0, 5, 10, 14, 18, 22, 26, 30, 40)))
+        texts.append(" ".join(own + passage if k % 2 else passage + own))
+    for size in (40, 120):  # copies of copies with edits, near and far
+        base = new(size)
+        for _ in range(120):
+            texts.append(" ".join(edited(rng, base, rng.choice((1, 1, 2, 2, 3)))))
+        far = edited(rng, base, 2)
+        texts += [" ".join(edited(rng, far, rng.choice((0, 1, 2)))) for _ in range(40)]
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == brute(texts)
+
+
+def test_jaccard_on_a_large_family(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    texts = [" ".join(edited(rng, base, rng.choice((1, 1, 2, 2, 2, 3, 4)))) for _ in range(2000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()} == brute(texts)
 
 
 def test_jaccard_edges(spark):
@@ -253,14 +313,3 @@ def test_licences_in_wrapped_headers_and_paragraphs(spark):
     df = spark.createDataFrame([(i, t, f"p{i}/x") for i, t in enumerate(want)], "doc_id long, text string, path string")
     got = {r.doc_id: r.licence for r in licences.scan(df).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
-
-
-def test_sketches_bound_the_difference():
-    rng = np.random.default_rng(8)
-    for n in (1, 5, 63, 64, 65, 300, 1000):
-        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
-        for m in (0, 1, n // 5, n):
-            b = np.unique(np.concatenate((a[m // 2 :], rng.integers(0, 2**63, m).astype(np.uint64))))
-            both, either = jaccard.similarity(a, b)
-            d = jaccard.least_difference(jaccard.sketch(a), jaccard.sketch(b))
-            assert d <= either - both and (m or d == 0)
