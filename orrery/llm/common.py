@@ -7,6 +7,8 @@ after lower-casing A-Z only; ``bytes.lower().split()`` does exactly that.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -36,14 +38,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def no_collections():
+    """No garbage collections while a task makes many objects and no cycles; later tasks of the worker have them again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set."""
+    """The cluster's checkpoint folder; a temporary one only in local mode, where driver and executors are one process."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     known = spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="orrery-")
     atexit.register(shutil.rmtree, made, True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")

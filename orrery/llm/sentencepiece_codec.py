@@ -15,7 +15,6 @@ bounded).
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import re
 from collections.abc import Iterator
@@ -24,10 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import no_collections, table
+
 MARK = "▁"
 LETTER = "[A-Za-zÀ-ɏḀ-ỿ]"  # Latin letters
-MEMO = 400_000  # segments remembered by a worker
-LONGEST_MEMO = 64  # characters of a remembered segment
+MEMO = 50_000  # segments remembered by a worker, and pairs of pieces (some 15 MB each)
+LONGEST_MEMO = 32  # characters of a remembered segment
 
 
 class Codec:
@@ -130,6 +131,8 @@ class Codec:
                 out = self._merged(list(a + b)) == [a, b]
             else:
                 out = self._never_merge(left, right)
+            if len(self.fits) >= 4 * MEMO:
+                self.fits.clear()
             self.fits[key] = out
         return out
 
@@ -283,9 +286,9 @@ def encode_digests(df: DataFrame, model_file: str, key: str = "doc_id", text: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model_file)
-        gc.disable()  # no cycles are made here, and collections would walk the whole memo
         for batch in batches:
-            rows = [c.digest(t) for t in batch[text]]
+            with no_collections():  # they would walk the whole memo
+                rows = [c.digest(t) for t in batch[text]]
             yield pd.DataFrame({key: batch[key], "n_tokens": [r[0] for r in rows], "ids_sha256": [r[1] for r in rows], "decoded_sha256": [r[2] for r in rows]})
 
     kind = dict(df.dtypes)[key]
@@ -295,6 +298,4 @@ def encode_digests(df: DataFrame, model_file: str, key: str = "doc_id", text: st
 def op9_sentencepiece(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .common import table
-
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))

@@ -9,14 +9,13 @@ from one root, the others continue a word and hang from a second one.
 
 from __future__ import annotations
 
-import gc
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import table
+from .common import no_collections, table
 
 MEMO = 400_000  # words remembered by a worker
 LONGEST_MEMO = 64  # bytes of a remembered word
@@ -108,25 +107,25 @@ def count_tokens(df: DataFrame, model_file: str, key: str = "doc_id", text: str
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()
         pieces = automaton(model_file).pieces
         memo: dict[bytes, int] = {}
         for batch in batches:
             out = []
-            for t in batch[text]:
-                ws = t.encode("utf-8", "surrogatepass").split() if t else []
-                counts = []
-                for w in ws:
-                    n = memo.get(w)
-                    if n is None:
-                        n = pieces(w.decode("utf-8", "surrogatepass"))
-                        if len(w) <= LONGEST_MEMO:
-                            if len(memo) >= MEMO:
-                                memo.clear()
-                            memo[w] = n
-                    counts.append(n)
-                unknown = counts.count(-1)
-                out.append((len(ws), sum(counts) + 2 * unknown, unknown))
+            with no_collections():
+                for t in batch[text]:
+                    ws = t.encode("utf-8", "surrogatepass").split() if t else []
+                    counts = []
+                    for w in ws:
+                        n = memo.get(w)
+                        if n is None:
+                            n = pieces(w.decode("utf-8", "surrogatepass"))
+                            if len(w) <= LONGEST_MEMO:
+                                if len(memo) >= MEMO:
+                                    memo.clear()
+                                memo[w] = n
+                        counts.append(n)
+                    unknown = counts.count(-1)
+                    out.append((len(ws), sum(counts) + 2 * unknown, unknown))
             got = pd.DataFrame(out, columns=["n_words", "n_tokens", "n_unknown"])
             got.insert(0, key, batch[key].to_numpy())
             yield got
