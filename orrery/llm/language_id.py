@@ -12,7 +12,6 @@ distinct words, and one step per offset moves all words' lattices on.
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
 from collections import Counter
@@ -25,18 +24,25 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, table, words
+from .common import no_collections, remainder, table, words
 
 UNDETERMINED = "und"
 LETTER = regex.compile(r"\p{L}")
 SCALE = 300.0  # keeps the products of words of BULK bytes in the range of doubles
 BULK = 60  # bytes of a word that the bulk passes take; longer ones go singly, rescaled
-MEMO = 250_000  # words remembered by a worker
+MEMO = 60_000  # words remembered by a worker (some 15 MB)
+HELD = 100_000  # distinct words that a training task gathers before it counts their pieces
+PASS = 100_000  # words of texts scored at once; one longer text goes alone
 CHUNK = 8000  # words of a bulk pass, so few that its arrays stay in cache
 SMOOTHING = 0.1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _log_sum(logs: list[float]) -> float:
+    top = max(logs)
+    return top + math.log(sum(math.exp(x - top) for x in logs))
+
+
 class Lattice:
     """The vocabulary, and the places of its pieces in words."""
 
@@ -156,16 +162,49 @@ class Lattice:
                     node[t + m] += top * prob[i]
         return np.log(node[n]) + log
 
+    def _long_shares(self, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, share of all segmentations that have it there), all pieces being equally likely, of one word of any length; in logarithms."""
+        known, n, each = self.known, len(w), -math.log(self.size)
+        arcs: list[tuple[int, int, int]] = []  # in the order of their starts
+        fore, back = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+        fore[0] = back[n] = 0.0
+        into: list[list[float]] = [[] for _ in range(n + 1)]
+        for t in range(n):
+            if t:
+                fore[t] = _log_sum(into[t])
+                into[t] = []
+            for m in range(1, min(self.longest, n - t) + 1):
+                i = known.get(w[t : t + m])
+                if i is not None:
+                    arcs.append((t, t + m, i))
+                    into[t + m].append(fore[t] + each)
+        fore[n] = _log_sum(into[n])
+        out: list[float] = []
+        at = n
+        for start, end, _ in reversed(arcs):
+            if start != at:
+                if out:
+                    back[at] = _log_sum(out)
+                at, out = start, []
+            out.append(back[end] + each)
+        start, end, piece = np.array(arcs).T
+        return piece, np.exp(fore[start] + each + back[end] - fore[n])
+
     def expected(self, ws: list[bytes], counts: np.ndarray) -> np.ndarray:
         """Expected piece counts (languages x pieces) of words with counts (words x languages), all pieces being equally likely."""
         out = np.zeros((counts.shape[1], self.size))
         flat = np.full((self.size, 1), 1.0 / self.size)
         scaled = flat * (SCALE ** np.minimum(self.length, BULK))[:, None]
-        # a word longer than BULK bytes is counted in stretches
-        cut = [(w[i : i + BULK], k) for k, w in enumerate(ws) for i in range(0, len(w), BULK)]
-        for a in range(0, len(cut), CHUNK):
-            sub = [w for w, _ in cut[a : a + CHUNK]]
-            weight = counts[[k for _, k in cut[a : a + CHUNK]]]
+        short = [k for k, w in enumerate(ws) if len(w) <= BULK]
+        for k, w in enumerate(ws):
+            if len(w) > BULK:
+                piece, share = self._long_shares(w)
+                for lang in np.flatnonzero(counts[k]):
+                    out[lang] += np.bincount(piece, share * counts[k, lang], self.size)
+        for a in range(0, len(short), CHUNK):
+            part = short[a : a + CHUNK]
+            sub = [ws[k] for k in part]
+            weight = counts[part]
             start, piece, offset, first, last = self.places(sub)
             end = start + self.length[piece]
             fore = np.zeros((int(last[-1]) + 1, 1))
@@ -251,7 +290,6 @@ def train(df: DataFrame, model_file: str, text: str = "text", lang: str = "lang"
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()
         lat = lattice(model_file)
         seen: dict[str, Counter] = {}
         docs: Counter = Counter()
@@ -269,11 +307,12 @@ def train(df: DataFrame, model_file: str, text: str = "text", lang: str = "lang"
             seen.clear()
 
         for batch in batches:
-            for t, k in zip(batch[text], batch[lang], strict=True):
-                docs[k] += 1
-                seen.setdefault(k, Counter()).update(words(t))
-                if sum(map(len, seen.values())) > MEMO:
-                    flush()
+            with no_collections():
+                for t, k in zip(batch[text], batch[lang], strict=True):
+                    docs[k] += 1
+                    seen.setdefault(k, Counter()).update(words(t))
+                    if sum(map(len, seen.values())) > HELD:
+                        flush()
         if seen:
             flush()
         for k, row in sums.items():
@@ -305,25 +344,35 @@ def predict(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_p
 
     @F.pandas_udf(f"{pred} string, {score} double")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        gc.disable()
         m = shared.value
         memo = remembered(m)
-        for texts in parts:
+
+        def told(docs: list[list[bytes]]) -> list[tuple[str, float]]:
+            sizes = np.array([len(d) for d in docs], np.int64)
+            able = np.flatnonzero(sizes)
+            logs = np.zeros((len(docs), len(m.langs)))
+            if len(able):
+                each = memo.values(list(chain.from_iterable(docs)))
+                logs[able] = m.prior + np.add.reduceat(each, (np.cumsum(sizes) - sizes)[able], axis=0)
             out = []
-            for a in range(0, len(texts), 500):
-                docs = [words(t) if m.langs and t and LETTER.search(t) else [] for t in texts.iloc[a : a + 500]]
-                sizes = np.array([len(d) for d in docs])
-                able = np.flatnonzero(sizes)
-                logs = np.zeros((len(docs), len(m.langs)))
-                if len(able):
-                    each = memo.values(list(chain.from_iterable(docs)))
-                    logs[able] = m.prior + np.add.reduceat(each, (np.cumsum(sizes) - sizes)[able], axis=0)
-                for n, row in zip(sizes, logs, strict=True):
-                    if n:
-                        best = int(np.argmax(row))
-                        out.append((m.langs[best], float(1 / np.exp(row - row[best]).sum())))
-                    else:
-                        out.append((UNDETERMINED, 0.0))
+            for n, row in zip(sizes, logs, strict=True):
+                if n:
+                    best = int(np.argmax(row))
+                    out.append((m.langs[best], float(1 / np.exp(row - row[best]).sum())))
+                else:
+                    out.append((UNDETERMINED, 0.0))
+            return out
+
+        for texts in parts:
+            out, docs, size = [], [], 0
+            with no_collections():
+                for t in texts:
+                    docs.append(words(t) if m.langs and t and LETTER.search(t) else [])
+                    size += len(docs[-1])
+                    if size >= PASS:
+                        out += told(docs)
+                        docs, size = [], 0
+                out += told(docs)
             yield pd.DataFrame(out, columns=[pred, score])
 
     told = df.withColumn("_told", run(F.col(text)))

@@ -1,5 +1,6 @@
 """Operators on texts: against the library, brute force and held-out labels."""
 
+import fractions
 import hashlib
 import math
 import random
@@ -133,8 +134,58 @@ def test_marginal_likelihood_equals_enumeration():
 
     ws = [b" the", b" q", " été".encode(), b" tion.", b" abcab"]
     assert np.allclose(lat.log_likelihood(ws, prob), [np.log(every(w)) for w in ws])
-    long = b" " + b"thing" * 30
-    assert np.isfinite(lat.log_likelihood([long], prob)).all()
+
+
+def plain_forward(lat, w, prob):
+    """Sums over all segmentations with exact fractions of floats: no rescaling, whatever the length."""
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 40
+    out = []
+    for lang in range(prob.shape[1]):
+        p = [Decimal(float(x)) for x in prob[:, lang]]
+        node = [Decimal(0)] * (len(w) + 1)
+        node[0] = Decimal(1)
+        for t in range(len(w)):
+            for m in range(1, min(lat.longest, len(w) - t) + 1):
+                i = lat.known.get(w[t : t + m])
+                if i is not None:
+                    node[t + m] += node[t] * p[i]
+        out.append(float(node[-1].ln()))
+    return out
+
+
+LONG = [b" " + b"thing" * 30, b" " + "été".encode() * 40, " 不分词的文字没有空格".encode() * 12, b" " + b"x" * 700, b" (le" + b"chat" * 14 + b").", b" " + b"q" * 59, b" " + b"q" * 60]
+
+
+def test_long_and_unspaced_words_are_scored_whole():
+    lat = language_id.lattice(MODEL)
+    prob = np.random.default_rng(1).dirichlet(np.ones(lat.size), 2).T.copy()
+    ws = [b" " + w.replace(b" ", b"") for w in LONG]
+    assert np.allclose(lat.log_likelihood(ws, prob), [plain_forward(lat, w, prob) for w in ws], rtol=1e-9)
+
+
+def test_expected_counts_of_long_words_equal_plain_recursions():
+    lat = language_id.lattice(MODEL)
+    for w in LONG[:3]:
+        w = b" " + w.replace(b" ", b"")
+        n, want = len(w), np.zeros(lat.size)
+        arcs = [(t, t + m, lat.known[w[t : t + m]]) for t in range(n) for m in range(1, min(lat.longest, n - t) + 1) if w[t : t + m] in lat.known]
+        fore, back = [0] * (n + 1), [0] * (n + 1)  # numbers of segmentations by their pieces: exact integers
+        fore[0], back[n] = {0: 1}, {0: 1}
+        for t, e, _ in arcs:
+            fore[e] = fore[e] or {}
+            for k, v in fore[t].items():
+                fore[e][k + 1] = fore[e].get(k + 1, 0) + v
+        for t, e, _ in reversed(arcs):
+            back[t] = back[t] or {}
+            for k, v in back[e].items():
+                back[t][k + 1] = back[t].get(k + 1, 0) + v
+        weigh = lambda c, extra=0: sum(fractions.Fraction(v, lat.size ** (k + extra)) for k, v in c.items())
+        fw, bw = [weigh(c) for c in fore], [weigh(c) for c in back]
+        for t, e, i in arcs:
+            want[i] += float(fw[t] * bw[e] / lat.size / fw[n])
+        assert np.allclose(lat.expected([w], np.array([[1.0, 2.0]])), [want, 2 * want])
 
 
 def test_expected_counts_equal_enumeration():
