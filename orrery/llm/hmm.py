@@ -18,7 +18,6 @@ classes) while the word counts it rests on stay distributed.
 
 from __future__ import annotations
 
-import gc
 import zlib
 from collections.abc import Iterator
 
@@ -28,13 +27,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, table, written
+from .common import dropped, no_collections, remainder, table, written
 
 END = "\n"  # no word has white space
 STATES = 8
 CLASSES = 2048
 ROUNDS = 4
 BLOCK_BYTES = 4_000_000  # text in a block; one longer document is a block of its own
+COMMON_WORDS = 100_000  # words (64 bytes at most each) of many blocks whose counts all executors get; the rest are joined by a shuffle
 SEGMENT = 512  # tokens; shorter ones mean more transfer matrices, longer ones fewer sequences at a time
 _TRIM = b".,;:!?\"'()"
 
@@ -72,7 +72,6 @@ def encode(df: DataFrame, key: str, text: str, held_out: str) -> DataFrame:
     """Blocks of documents: ids and lengths of their token sequences, and the dictionary with training counts and classes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gc.disable()
         part, made = TaskContext.get().partitionId(), 0
         docs: list = []
         held: list[bool] = []
@@ -96,16 +95,17 @@ def encode(df: DataFrame, key: str, text: str, held_out: str) -> DataFrame:
             })
 
         for batch in batches:
-            for d, t, h in zip(batch["_key"], batch["_text"], batch["_held"], strict=True):
-                raw = t.encode("utf-8", "surrogatepass").lower() if t else b""
-                if docs and size + len(raw) > BLOCK_BYTES:
-                    yield block()
-                    made += 1
-                    docs, held, ids, vocab, size = [], [], [], _Ids({b"\n": 0}), 0
-                size += len(raw) + 16
-                ids.append(np.array([*map(vocab.__getitem__, raw.split()), 0], np.int32))
-                docs.append(None if pd.isna(d) else int(d))
-                held.append(bool(h))
+            with no_collections():
+                for d, t, h in zip(batch["_key"], batch["_text"], batch["_held"], strict=True):
+                    raw = t.encode("utf-8", "surrogatepass").lower() if t else b""
+                    if docs and size + len(raw) > BLOCK_BYTES:
+                        yield block()
+                        made += 1
+                        docs, held, ids, vocab, size = [], [], [], _Ids({b"\n": 0}), 0
+                    size += len(raw) + 16
+                    ids.append(np.array([*map(vocab.__getitem__, raw.split()), 0], np.int32))
+                    docs.append(None if pd.isna(d) else int(d))
+                    held.append(bool(h))
         if docs:
             yield block()
 
@@ -299,7 +299,7 @@ def language_model_scores(df: DataFrame, held_out, key: str = "doc_id", text: st
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"), F.coalesce(held_out, F.lit(False)).alias("h"))
     blocks = written(encode(rows, "k", "t", "h"), rows_a_file=8)
     entries = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts", "classes"))).select("block", "pos", "col.*")
-    trained = entries.where("counts > 0").groupBy("words").agg(F.sum("counts").alias("c"), F.first("classes").alias("class"))
+    trained = entries.where("counts > 0").groupBy("words").agg(F.sum("counts").alias("c"), F.first("classes").alias("class"), F.count("*").alias("blocks"))
     trained = written(trained)
     by_class = trained.groupBy("class").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()  # CLASSES rows at most
     sizes = np.zeros((2, CLASSES))
@@ -307,8 +307,12 @@ def language_model_scores(df: DataFrame, held_out, key: str = "doc_id", text: st
     total, distinct = int(sizes[0].sum()), int(sizes[1].sum())
     params = train(blocks, sizes[0])
     shared = df.sparkSession.sparkContext.broadcast((params, sizes))
+    # common words are many blocks' rows: they don't meet in one task
+    common = F.broadcast(trained.where("blocks >= 32 AND octet_length(words) <= 64").orderBy(F.desc("blocks"), "words").limit(COMMON_WORDS).select("words", "c"))
+    pairs = entries.select("block", "pos", "words", "counts")
+    rare = pairs.join(common, "words", "left_anti").join(trained.select("words", "c"), "words")
     # a word of one block only has its whole count there
-    known = entries.select("block", "pos", "words", "counts").join(trained.select("words", "c"), "words").where("c <> counts").select(F.col("block").alias("of"), "pos", "c")
+    known = pairs.join(common, "words").unionByName(rare).where("c <> counts").select(F.col("block").alias("of"), "pos", "c")
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
