@@ -16,6 +16,7 @@ together.  Equal vectors of a label are one vector with a count.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import product
 
 import numpy as np
@@ -86,15 +87,22 @@ def _mix(points: np.ndarray, salt: int) -> np.ndarray:
         return h
 
 
+@lru_cache(maxsize=16)
+def projections(dim: int, tables: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Two orthonormal maps a table, the same wherever they are drawn."""
+    rng = np.random.default_rng(seed)
+    return tuple(np.linalg.qr(rng.normal(size=(dim, min(8, dim))))[0] for _ in range(2 * tables))
+
+
 def cells(unit: np.ndarray, tables: int = TABLES, n_probes: int = PROBES, scale: float = SCALE, seed: int = SEED) -> np.ndarray:
     """Cell keys, rows x tables x n_probes**2; the first of a table is the vector's own cell."""
-    rng = np.random.default_rng(seed)
     dim = unit.shape[1]
+    maps = projections(dim, tables, seed)
     out = np.empty((len(unit), tables, n_probes**2), np.int64)
     for t in range(tables):
         halves = []
         for half in range(2):
-            q, _ = np.linalg.qr(rng.normal(size=(dim, min(8, dim))))
+            q = maps[2 * t + half]
             image = np.zeros((len(unit), 8))
             image[:, : q.shape[1]] = unit @ q * scale * np.sqrt(dim / 64)
             halves.append(_mix(probes(image, n_probes), 2 * t + half))
@@ -137,9 +145,11 @@ def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
     """(id, links, low) of the vectors in each tile; rows of a tile are neighbours in sorted order."""
 
     def compare(t: pd.DataFrame, first: int) -> pd.DataFrame | None:
+        length = t["vec"].map(len)
+        if length.nunique() > 1:  # vectors of different lengths have no cosine: each length by itself
+            found = [got for _, part in t.groupby(length) if len(part) > 1 and (got := compare(part, first)) is not None]
+            return pd.concat(found) if found else None
         x = np.array(t["vec"].tolist(), float)
-        if len({len(v) for v in t["vec"]}) > 1:
-            raise ValueError("vectors of several lengths share a label")
         x /= np.abs(x).max(axis=1, keepdims=True)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         side = t["side"].to_numpy()
@@ -150,8 +160,10 @@ def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
         if not len(i):
             return None
         ids, cell, table = t["id"].to_numpy(np.int64), t["cell"].iloc[0], int(t["table"].iloc[0])
-        keys = cells(x)
-        own, tried = keys[:, :, 0], keys
+        some = np.union1d(i, j)  # only linked vectors' cells are needed again
+        tried = np.empty((len(x), TABLES, PROBES**2), np.int64)
+        tried[some] = cells(x[some])
+        own = tried[:, :, 0]
         met = (own[i][:, :, None] == tried[j]).any(axis=2) | (own[j][:, :, None] == tried[i]).any(axis=2)
         # this pair's first table, and of that table's cells one fixed one
         low = np.where(ids[i] < ids[j], i, j)
@@ -199,7 +211,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     vectors is at least ``threshold``.  Null, empty and zero vectors and those
     with null or non-finite components, and rows with a null key, link with
     nothing (a null key's component is null, and it counts as kept).  Keys are
-    integers and should be distinct; equal vectors link like others.
+    integers and should be distinct; equal vectors link like others.  Vectors
+    of different lengths link with nothing of each other's.
     """
     kind = dict(df.dtypes)[key]
     rows = df.select(F.col(key).cast("long").alias("id"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("vec"))

@@ -191,6 +191,14 @@ def test_lattice_groups(spark, monkeypatch):
     assert lattice.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_lattice_on_mixed_lengths(spark):
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=64), rng.normal(size=5)
+    rows = [(i, [float(x) for x in v], 1) for i, v in enumerate((a, a * 1.01 + 0.001, b, b * 2 + 0.001, np.concatenate((b, np.zeros(59))), [1.0]))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lattice.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (0, 5)}
+
+
 def test_cover_tree_invariants():
     x = np.random.default_rng(2).normal(size=(900, 8))
 
