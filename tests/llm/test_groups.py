@@ -235,6 +235,59 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert cover_tree.top_k(df.where("vec_id < 3"), df.where("vec_id = 0")).count() == 2
 
 
+def plain_best(q, q_ids, p, p_ids, k):
+    out = []
+    for v, i in zip(q, q_ids, strict=True):
+        s = [(-int(sum(int(x) * int(y) for x, y in zip(v, w, strict=True))), int(n)) for w, n in zip(p, p_ids, strict=True) if n != i]
+        out += [(int(i), n, max(-(2**63), min(2**63 - 1, -x))) for x, n in sorted((max(-(2**63) + 1, min(2**63, x)), n) for x, n in s)[:k]]
+    return sorted(out)
+
+
+def test_dual_tree_prunes_clusters_and_is_no_dearer_than_a_product_elsewhere():
+    rng = np.random.default_rng(0)
+    middles = rng.normal(size=(40, 32)) * 1000
+    p = np.floor(middles[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 32)) * 20)
+    q = p[::10].copy()
+    ids = np.arange(4000)
+    s = cover_tree.Search(q, ids[::10], p, ids, 5)
+    assert s.scored < 0.2 * len(q) * len(p)
+    assert sorted(zip(ids[::10][s.who].tolist(), s.row.tolist(), s.top.astype(int).tolist(), strict=True)) == plain_best(q[:], ids[::10], p, ids, 5)
+    p = np.floor(rng.normal(size=(3000, 32)) * 1000)
+    assert cover_tree.Search(p[::10], ids[:3000:10], p, ids[:3000], 5).scored <= 1.05 * 300 * 3000
+
+
+def test_blocks_are_pruned_on_clusters(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "BLOCK", 60)
+    sent, meetings = [], cover_tree._meetings
+    monkeypatch.setattr(cover_tree, "_meetings", lambda data, asked, k: (sent.append(asked), meetings(data, asked, k))[1])
+    rng = np.random.default_rng(0)
+    middles = rng.normal(size=(20, 16))
+    v = middles[np.arange(1200) % 20] + rng.normal(size=(1200, 16)) * 0.02
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.vec_id, r.score) for r in cover_tree.top_k(df, df.where("vec_id % 10 = 0"), k=4).collect())
+    whole = np.floor(1024 * v)
+    assert got == plain_best(whole[::10], range(0, 1200, 10), whole, range(1200), 4)
+    assert sent[1].count() < 0.3 * 120 * 20  # of the meetings of all queries with all blocks
+
+
+def test_top_k_of_odd_vectors(spark):
+    rows = [(0, []), (1, []), (2, [1.0, 2.0]), (3, [3.0, -1.0]), (4, [1e300, 1.0]), (5, [-1e300, 5.0]), (6, [5e9, 1e10]), (7, [1.0] * 5), (8, [0.5, 1e16]), (9, [2.0] * 5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in cover_tree.top_k(df, df, k=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    by_length = {}
+    for i, v in rows:
+        by_length.setdefault(len(v), []).append((i, [max(-(2**63), min(2**63, math.floor(1024 * x))) for x in v]))
+    for part in by_length.values():
+        ids, v = zip(*part, strict=True)
+        want = {}
+        for i, n, x in plain_best(v, ids, v, ids, 3):
+            want.setdefault(i, []).append((n, x))
+        for i in ids:
+            assert sorted((n, x) for _, n, x in got[i]) == sorted(want[i]), i
+
+
 @pytest.mark.parametrize("name", ["op2_lattice", "op3_mixing", "op4_licences", "op6_cover_tree"])
 def test_oracles(spark, duck, name):
     assert comparable(Q.queries()[name](spark, SF).toPandas()) == comparable(duck.execute(Q.oracle_sql()[name]).df())
