@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..plans.arguments import CODECS, CONTAINERS
 from .scalars import INFINITY, case
 
 
@@ -49,21 +50,22 @@ def loop_count(loop: Column) -> Column:
     return F.coalesce(loop, F.lit(1))
 
 
-#: Containers that can hold each codec.
-CONTAINERS = {"h264": ["mp4", "mov", "mkv"], "h265": ["mp4", "mov", "mkv"], "vp9": ["webm", "mkv", "mp4"], "av1": ["webm", "mkv", "mp4"]}
-
-
 def container_error(container: Column, codec: Column) -> Column:
     """'' if the container can hold the codec; error codes for what is unknown or can't."""
-    held = case(codec, {k: F.array(*(F.lit(c) for c in v)) for k, v in CONTAINERS.items()})
-    return F.when(held.isNull(), "unsupported_codec").when(F.array_contains(held, container), "").otherwise("incompatible_container_codec")
+    box = F.regexp_replace(F.lower(container), "^[.]+", "")
+    held = case(box, {k: F.array(*(F.lit(c) for c in v)) for k, (_, v) in CONTAINERS.items()})
+    code = lambda name, *of: F.concat(F.lit(name), *(x for c in of for x in (F.lit(":"), c)))
+    return (
+        F.when(held.isNull(), code("unsupported_target_container", box)).when(~codec.isin(list(CODECS)), code("unsupported_video_codec", codec))
+        .when(F.array_contains(held, codec), "").otherwise(code("unsupported_codec_for_container", codec, box))
+    )
 
 
 def worker_bound(cpus: Column, tasks: Column, requested: Column, pixels: Column, memory: int = 1 << 30) -> Column:
-    """Processes for a batch: at most 8, one below four tasks, as many as decoded pictures fit in memory."""
+    """Processes for a batch: at most 8, as many as decoded pictures fit in memory; one if no picture's ``pixels`` are known (null), none without tasks."""
     fit = F.when(pixels > 0, F.floor(F.lit(memory) / (pixels * 16))).otherwise(8)
     n = F.least(cpus, tasks, F.lit(8), F.when(requested > 0, requested).otherwise(8), fit)
-    return F.when(tasks < 4, 1).otherwise(F.greatest(F.lit(1), n)).cast("int")
+    return F.when(tasks <= 0, 0).when(pixels.isNull(), 1).otherwise(F.greatest(F.lit(1), n)).cast("int")
 
 
 def page_fit(w: Column, h: Column, page_w: float, page_h: float, margin: float) -> Column:
@@ -72,21 +74,23 @@ def page_fit(w: Column, h: Column, page_w: float, page_h: float, margin: float)
     return F.struct(*(F.round(c, 4).alias(k) for k, c in {"x": (page_w - w * scale) / 2, "y": (page_h - h * scale) / 2, "width": w * scale, "height": h * scale}.items()))
 
 
-def gate_request_error(min_ssim: Column, min_psnr: Column, most_bytes: Column, same_media: Column) -> Column:
-    """Why a comparison is rejected before it is made; '' if it isn't."""
+def gate_request_error(min_ssim: Column, min_psnr: Column, most_bytes: Column, same_media: Column, found: Column | None = None) -> Column:
+    """Why a comparison is rejected before it is made; '' if it isn't.  ``min_psnr`` and ``most_bytes`` may be null; ``found``: both files are there."""
+    bad_psnr = F.isnan(min_psnr) | (min_psnr < 0) | (min_psnr == INFINITY)
+    there = F.lit(True) if found is None else F.coalesce(found, F.lit(False))
     return (
-        F.when(F.isnan(min_ssim) | ~min_ssim.between(0, 1), "invalid_min_ssim").when(min_psnr < 0, "invalid_min_psnr").when(most_bytes <= 0, "invalid_max_size")
-        .when(~same_media, "unsupported_media_pair").otherwise("")
+        F.when(F.isnan(min_ssim) | ~min_ssim.between(0, 1) | F.coalesce(bad_psnr, F.lit(False)), "invalid_quality_threshold").when(most_bytes <= 0, "invalid_max_size")
+        .when(~there, "input_not_found").when(~same_media, "unsupported_media_pair").otherwise("")
     )
 
 
-#: What each strip mode removes (gps, device, personal, time, everything).
-STRIP_MODES = {"privacy": (1, 1, 1, 0, 0), "all": (1, 1, 1, 1, 1), "gps": (1, 0, 0, 0, 0), "device": (0, 1, 0, 0, 0), "personal": (0, 0, 1, 0, 0), "time": (0, 0, 0, 1, 0)}
+#: What each strip mode removes (everything, gps, device, personal, time).
+STRIP_MODES = {"privacy": (0, 1, 1, 1, 0), "all": (1, 0, 0, 0, 0), "gps": (0, 1, 0, 0, 0), "device": (0, 0, 1, 0, 0), "personal": (0, 0, 0, 1, 0), "time": (0, 0, 0, 0, 1)}
 
 
 def strip_flags(mode: Column) -> Column:
-    """The five flags of a mode; null for an unknown one."""
-    return case(mode, {k: F.array(*(F.lit(bool(x)) for x in v)) for k, v in STRIP_MODES.items()})
+    """The five flags of a mode, in any case and with spaces around; null for an unknown one."""
+    return case(F.lower(F.trim(mode)), {k: F.array(*(F.lit(bool(x)) for x in v)) for k, v in STRIP_MODES.items()})
 
 
 def metric_value(text: Column) -> Column:

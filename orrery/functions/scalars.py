@@ -55,14 +55,15 @@ def frame_rate(text: Column) -> Column:
 
 
 def page_range(text: Column, total: Column) -> Column:
-    """Sorted distinct pages, from 0, of '1-5,8' (from 1, inclusive); null if any part is bad."""
+    """Sorted distinct pages, from 0, of '1-5,8' (from 1, inclusive); null if any part is bad.  No text at all means all pages."""
     pair = lambda p: F.when(p.rlike("^\\s*[0-9]{1,9}\\s*(-\\s*[0-9]{1,9}\\s*)?$"), F.transform(F.split(p, "-"), lambda x: F.trim(x).cast("int")))
     parts = F.transform(F.split(text, ","), pair)
     first, last = (lambda p: F.get(p, 0)), (lambda p: F.element_at(p, -1))
     good = F.forall(parts, lambda p: p.isNotNull() & (first(p) >= 1) & (first(p) <= last(p)) & (last(p) <= total))
     safe = F.filter(parts, lambda p: p.isNotNull() & (first(p) <= last(p)) & (last(p) <= total) & (first(p) >= 1))
     pages = F.flatten(F.transform(safe, lambda p: F.sequence(first(p) - 1, last(p) - 1)))
-    return F.when(good, F.array_sort(F.array_distinct(pages)))
+    every = F.when(total > 0, F.sequence(F.lit(0), F.greatest(total, F.lit(1)) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(text.isNull(), every).when(good, F.array_sort(F.array_distinct(pages)))
 
 
 def dimensions(text: Column) -> Column:
@@ -260,10 +261,17 @@ def crop_to_aspect(w: Column, h: Column, rw: Column, rh: Column, gravity: Column
 
 
 def overlay_position(w: Column, h: Column, ow: Column, oh: Column, where: Column, margin: Column) -> Column:
-    """Upper left corner of an overlay for one of nine anchors."""
-    x = F.when(where.endswith("left"), margin).when(where.endswith("right"), w - ow - margin).otherwise(F.floor((w - ow) / 2))
-    y = F.when(where.startswith("top"), margin).when(where.startswith("bottom"), h - oh - margin).otherwise(F.floor((h - oh) / 2))
-    return F.struct(F.greatest(x.cast("int"), F.lit(0)).alias("x"), F.greatest(y.cast("int"), F.lit(0)).alias("y"))
+    """Upper left corner of an overlay for one of nine anchors; any other is the lower right one.  It may lie outside a small picture."""
+    near, far = 0.02, 0.98  # fixed values: an anchor's share of the free space, unless the margin is nearer to the middle
+    anchor = F.when(where.isin([f"{v}-{s}" for v in ("top", "center", "bottom") for s in ("left", "center", "right") if (v, s) != ("center", "center")] + ["center"]), where).otherwise("bottom-right")
+
+    def place(free: Column, low: Column, high: Column) -> Column:
+        at = F.when(low, F.greatest(margin.cast("double"), near * free)).when(high, F.least((free - margin).cast("double"), far * free)).otherwise(0.5 * free)
+        return at.cast("int")  # towards zero
+
+    x = place(w - ow, anchor.endswith("left"), anchor.endswith("right"))
+    y = place(h - oh, anchor.startswith("top"), anchor.startswith("bottom"))
+    return F.struct(x.alias("x"), y.alias("y"))
 
 
 def font_size(w: Column, h: Column) -> Column:

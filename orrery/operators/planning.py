@@ -135,10 +135,39 @@ def output_path(path: Column, name: Column, root: str | None = None, relative: C
 
 
 def numbered(df: DataFrame, name: str, order: str) -> DataFrame:
-    """``df`` with a name that no other row has: name, name_1, name_2..."""
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    """``df`` with a name that no other row has: in the order of ``order``, a row gets the first of name, name_1, name_2... not yet given.
+
+    Only names that are equal but for numbers at their end (a, a_1, a_1_2)
+    can take each other's.  Where there is one such name its rows are simply
+    numbered; where there are several they are gone through in order, batch by
+    batch (a task holds the names given so far of one such family).
+    """
     base, ext = F.regexp_replace(F.col(name), "(?<=.)\\.[^.]*$", ""), F.regexp_extract(F.col(name), "(?<=.)(\\.[^.]*)$", 1)
-    return df.withColumn("allocated", F.when(n == 0, F.col(name)).otherwise(F.concat(base, F.lit("_"), n.cast("string"), ext)))
+    rows = df.withColumns({"_base": base, "_ext": ext, "_root": F.concat(F.regexp_replace(base, "(_[0-9]+)+$", ""), ext)})
+    several = rows.groupBy("_root").agg(F.min(name).alias("_lo"), F.max(name).alias("_hi")).where("_lo <> _hi").select("_root")
+    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
+    plain = rows.join(several, "_root", "left_anti").withColumn("allocated", F.when(n == 0, F.col(name)).otherwise(F.concat("_base", F.lit("_"), n.cast("string"), "_ext")))
+    mixed = rows.join(several, "_root", "left_semi").repartition("_root").sortWithinPartitions("_root", order)
+    columns = [*df.columns, "allocated"]
+
+    def give(batches):
+        root, given, last = None, set(), {}
+        for batch in batches:
+            out = []
+            for r, wanted, stem_, ext_ in zip(batch["_root"], batch[name], batch["_base"], batch["_ext"], strict=True):
+                if r != root:
+                    root, given, last = r, set(), {}
+                got, k = wanted, last.get(wanted, 0)
+                while got in given:
+                    k += 1
+                    got = f"{stem_}_{k}{ext_}"
+                last[wanted] = k
+                given.add(got)
+                out.append(got)
+            yield batch.assign(allocated=out)[columns]
+
+    schema = f"{', '.join(f'`{c}` {kind}' for c, kind in df.dtypes)}, allocated string"
+    return plain.select(*columns).union(mixed.mapInPandas(give, schema))
 
 
 def batch_summary(results: DataFrame, by: list[str], ok: Column, size: Column, out: Column, skipped: Column | None = None, input_of_failures: bool = True) -> DataFrame:

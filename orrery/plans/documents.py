@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-STEP = "struct<input:string,command:string,arguments:map<string,string>,plan:struct<command:string,arguments:map<string,string>>>"
+from ..functions.rules import STRIP_MODES, container_error
+from ..functions.scalars import case
+from .arguments import CODECS, CONTAINERS, POLICIES, PRESETS
+
+STEP = "struct<input:string,input_path:string,command:string,arguments:map<string,string>,plan:struct<command:string,arguments:map<string,string>>>"
 
 
 def make_plan(input_: Column, command: Column, arguments: Column) -> Column:
@@ -17,13 +21,16 @@ def read_plans(df: DataFrame, document: str) -> DataFrame:
     """One row a step of each JSON document: (..., step, input, command, arguments, error).
 
     Documents are a list of steps, {"results": [...]}, {"plans": [...]} or one
-    step; results without a plan are no steps.  What is none of these, and
+    step.  Only results with a plan object that names a command are steps; the
+    input of any step may be called input_path.  What is none of these, and
     steps without input or command, get an error code.
     """
     text = F.trim(F.col(document))
     keyed = lambda k: F.from_json(text, f"struct<{k}:array<{STEP}>>")[k]
-    nested = lambda a: F.transform(F.filter(a, lambda s: s["plan"]["command"].isNotNull() | s["command"].isNotNull()), lambda s: F.struct(s["input"].alias("input"), F.coalesce(s["plan"]["command"], s["command"]).alias("command"), F.coalesce(s["plan"]["arguments"], s["arguments"]).alias("arguments")))
-    flat = lambda a: F.transform(a, lambda s: F.struct(s["input"].alias("input"), s["command"].alias("command"), s["arguments"].alias("arguments")))
+    source = lambda s: F.coalesce(F.nullif(s["input"], F.lit("")), s["input_path"]).alias("input")
+    planned = lambda a: F.filter(a, lambda s: F.coalesce(s["plan"]["command"], F.lit("")) != "")
+    nested = lambda a: F.transform(planned(a), lambda s: F.struct(source(s), s["plan"]["command"].alias("command"), s["plan"]["arguments"].alias("arguments")))
+    flat = lambda a: F.transform(a, lambda s: F.struct(source(s), s["command"].alias("command"), s["arguments"].alias("arguments")))
     as_list, one = F.from_json(text, f"array<{STEP}>"), F.from_json(text, STEP)
     listed = text.startswith("[")
     # a list with something else than objects: as many steps, none of them valid
@@ -36,28 +43,39 @@ def read_plans(df: DataFrame, document: str) -> DataFrame:
     out = df.withColumn("_steps", steps)
     bad = out.where("_steps IS NULL").select(*df.columns, F.lit(0).alias("step"), *(F.lit(None).cast(t).alias(c) for c, t in (("input", "string"), ("command", "string"), ("arguments", "map<string,string>"))), F.lit("unrecognized_plan_document").alias("error"))
     rows = out.where("_steps IS NOT NULL").select(*df.columns, F.posexplode("_steps").alias("step", "_s")).select(*df.columns, "step", "_s.*")
-    whole = F.coalesce(F.col("input"), F.lit("")) != ""
-    return rows.withColumn("error", F.when(whole & (F.coalesce("command", F.lit("")) != ""), "").otherwise("invalid_plan_step")).unionByName(bad)
+    empty = lambda c: F.coalesce(c, F.lit("")) == ""
+    error = F.when(F.col("input").isNull() & F.col("command").isNull() & F.col("arguments").isNull(), "invalid_plan_step").when(empty("input"), "missing_input").when(empty("command"), "missing_command")
+    return rows.withColumn("error", error.otherwise("")).unionByName(bad)
 
 
-#: What the arguments of each command may be.
-ALLOWED = {
-    "compress": {"preset": ["lossless", "high", "medium", "low", "tiny"]},
-    "convert": {"to": ["jpg", "jpeg", "png", "webp", "avif", "tiff", "bmp", "gif"], "quality": ["max", "high", "medium", "low", "web"], "color_space": ["preserve", "srgb"]},
-    "video.convert": {"to": ["mp4", "mov", "mkv", "webm"], "codec": ["h264", "h265", "vp9", "av1"], "audio_policy": ["auto", "copy", "aac", "drop"]},
-    "video.compress": {"preset": ["web", "archive", "small"], "codec": ["h264", "h265", "vp9", "av1"], "audio_policy": ["auto", "copy", "aac", "drop"]},
-    "strip": {"mode": ["privacy", "all", "gps", "device", "personal", "time"]},
-}
+#: What the arguments of the commands may be.
+FORMATS = ["jpg", "jpeg", "png", "webp", "avif", "heic", "heif", "tiff", "tif", "bmp", "gif", "ico", "pdf", "tga"]
+QUALITIES = ["max", "high", "medium", "low", "web"]
+COLOUR_SPACES = ["preserve", "srgb"]
+COMPRESS_PRESETS = ["lossless", "high", "medium", "low", "tiny"]
+COMMANDS = ["convert", "compress", "strip", "keep", "video.convert", "video.compress"]
 
 
 def validated(steps: DataFrame) -> DataFrame:
     """``steps`` with an error code where the command or an argument isn't allowed."""
-    error = F.when(F.col("error") != "", F.col("error")).when(~F.col("command").isin(list(ALLOWED)), "unsupported_command")
-    for command, fields in ALLOWED.items():
-        for field, values in fields.items():
-            v = F.try_element_at(F.col("arguments"), F.lit(field))
-            error = error.when((F.col("command") == command) & v.isNotNull() & ~F.lower(v).isin(values), f"invalid_{field}")
-    crf, quality = (F.try_element_at(F.col("arguments"), F.lit(k)).try_cast("int") for k in ("crf", "quality"))
-    error = error.when(F.col("command").startswith("video.") & F.try_element_at(F.col("arguments"), F.lit("crf")).isNotNull() & ~F.coalesce(crf.between(0, 63), F.lit(False)), "invalid_crf")
-    error = error.when((F.col("command") == "compress") & F.try_element_at(F.col("arguments"), F.lit("quality")).isNotNull() & ~F.coalesce(quality.between(1, 100), F.lit(False)), "invalid_quality")
+    argument = lambda k: F.try_element_at(F.col("arguments"), F.lit(k))
+    given = lambda k, default="": F.coalesce(F.nullif(argument(k), F.lit("")), F.lit(default))
+    code = lambda name, of: F.concat(F.lit(f"{name}:"), F.when(of == "", "?").otherwise(of))
+    target = F.lower(F.coalesce(F.nullif(argument("to"), F.lit("")), F.nullif(argument("format"), F.lit("")), F.lit("")))
+    quality, crf = argument("quality"), argument("crf")
+    within = lambda c, low, high: F.coalesce(c.try_cast("int").between(low, high), F.lit(False))
+    box, codec, policy, preset = F.regexp_replace(F.lower(given("to")), "^[.]+", ""), given("codec"), F.lower(given("audio_policy", "compatible")), given("preset", "web")
+    mode = F.lower(F.trim(argument("mode")))
+    convert = F.when(target == "", "missing_target_format").when(~target.isin(FORMATS), "unsupported_target_format").when(~given("quality", "high").isin(QUALITIES), "unsupported_quality").when(~given("color_space", "preserve").isin(COLOUR_SPACES), "unsupported_color_space")
+    compress = F.when(~given("preset", "medium").isin(COMPRESS_PRESETS), "unsupported_compress_preset").when(quality.isNotNull() & ~within(quality, 1, 100), "invalid_quality")
+    strip = F.when(mode.isNotNull() & ~mode.isin(list(STRIP_MODES)), code("unsupported_strip_mode", mode))
+    sound = F.when(~policy.isin(list(POLICIES)), F.concat(F.lit("unsupported_audio_policy:"), policy)).when(crf.isNotNull() & ~within(crf, 0, 63), "invalid_crf")
+    default = case(box, {k: own for k, (own, _) in CONTAINERS.items()})
+    into = F.when(~box.isin(list(CONTAINERS)), code("unsupported_target_container", box)).otherwise(F.nullif(container_error(box, F.when(codec == "", default).otherwise(codec)), F.lit("")))
+    smaller = F.when(~preset.isin(list(PRESETS)), F.concat(F.lit("unsupported_video_preset:"), preset)).when(~given("codec", "h264").isin(list(CODECS)), F.concat(F.lit("unsupported_video_codec:"), given("codec", "h264")))
+    command = F.col("command")
+    error = (
+        F.when(F.col("error") != "", F.col("error")).when(~command.isin(COMMANDS), "unsupported_plan_command").when(command == "convert", convert).when(command == "compress", compress)
+        .when(command == "strip", strip).when(command == "video.convert", F.coalesce(sound, into)).when(command == "video.compress", F.coalesce(sound, smaller))
+    )
     return steps.withColumn("error", F.coalesce(error, F.lit("")))

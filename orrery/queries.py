@@ -87,13 +87,14 @@ def select_pages_glob(spark, sf):
     return pages.where(P.selected(F.col("url"), F.col("bytes"), ["*/en/*", "*.html"], ["*casino*"], 1500)).select("page_id", "url", "bytes")
 
 
-@query("""
-SELECT page_id, list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(split_part(split_part(url, '#', 1), '?', 2), '([a-z_]+)=', 1), lambda k: k)), lambda k: regexp_matches(k, 'utm|ref'))) AS tracking
-FROM pages""")
+_TAGS = ["GPSLatitude", "Make", "CameraModelName", "BodySerialNumber", "Artist", "Copyright", "DateTimeOriginal", "HostComputer", "Software", "LensInfo", "OwnerName", "XPComment", "Location", "Orientation", "MakerNote", "ISO"]
+
+
+@query(f"""
+SELECT p_partkey, list_sort(list_filter({_TAGS}[p_partkey % 10 + 1 : p_partkey % 10 + 6], lambda k: regexp_matches(lower(k), 'gps|make|model|serial|artist|copyright|datetime|hostcomputer|software|lens|owner'))) AS told FROM part""")
 def sensitive_parameters(spark, sf):
-    text = F.split_part(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?"), F.lit(2))
-    keys = F.array_distinct(F.regexp_extract_all(text, F.lit("([a-z_]+)="), F.lit(1)))
-    return t(spark, sf, "pages").select("page_id", F.array_sort(F.filter(keys, lambda k: k.rlike("utm|ref"))).alias("tracking"))
+    names = F.slice(F.array(*(F.lit(x) for x in _TAGS)), (F.col("p_partkey") % 10 + 1).cast("int"), F.lit(6))
+    return t(spark, sf, "part").select("p_partkey", SRC.sensitive_keys(F.map_from_arrays(names, names)).alias("told"))
 
 
 @query("""
@@ -372,6 +373,15 @@ def backup_names(spark, sf):
     return P.numbered(t(spark, sf, "customer").select("c_custkey", F.concat("c_mktsegment", F.lit(".jpg")).alias("name")), "name", "c_custkey").select("c_custkey", "allocated")
 
 
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'x' || p_partkey // 6 || '.jpg' WHEN 1 THEN 'x' || p_partkey // 6 || '_1.jpg' WHEN 2 THEN 'x' || p_partkey // 6 || '_2.jpg'
+  WHEN 3 THEN 'x' || p_partkey // 6 || '_1_1.jpg' WHEN 4 THEN 'x' || p_partkey // 6 || '_3.jpg' ELSE 'x' || p_partkey // 6 || '_1_2.jpg' END AS allocated FROM part""")
+def backup_names_taken(spark, sf):
+    name = F.concat(F.lit("x"), F.expr("p_partkey DIV 6").cast("string"), F.when(F.col("p_partkey") % 2 == 1, "_1.jpg").otherwise(".jpg"))
+    out = P.numbered(t(spark, sf, "part").select("p_partkey", name.alias("name")), "name", "p_partkey")
+    return out.select("p_partkey", "allocated")
+
+
 @query("""
 WITH c AS (SELECT p_partkey, q, p_size * 100 + CASE WHEN q = 10 THEN 5 ELSE q * 7 END AS bytes, 2500 AS budget FROM part, (SELECT unnest(generate_series(1, 20)) AS q))
 SELECT p_partkey, max(q) FILTER (bytes <= budget) AS q, arg_max(bytes, q) FILTER (bytes <= budget) AS bytes,
@@ -572,8 +582,8 @@ def size_estimate(spark, sf):
 
 
 #: Old codecs, and the families of current ones.
-LEGACY = ["mpeg4", "mpeg2video", "mpeg1video", "vp8", "wmv3", "wmv2", "wmv1", "vc1", "flv1", "h263", "h263p", "theora", "rv40", "rv30", "rv20", "rv10", "msmpeg4v3", "msmpeg4v2", "msmpeg4v1", "svq3", "svq1", "cinepak", "indeo3", "indeo5", "mjpeg"]
-FAMILY = {"h264": "h264", "hevc": "h265", "h265": "h265", "vp9": "vp9", "av1": "av1"}
+LEGACY = ["cinepak", "flv1", "h263", "indeo3", "indeo5", "mpeg1video", "mpeg2video", "mpeg4", "msmpeg4v1", "msmpeg4v2", "msmpeg4v3", "rv10", "rv20", "rv30", "rv40", "svq1", "svq3", "theora", "vc1", "vp6", "vp6f", "vp8", "wmv1", "wmv2", "wmv3"]
+FAMILY = {"h264": "h264", "hevc": "h265", "vp9": "vp9", "av1": "av1"}
 _CODECS = ["mpeg4", "vp8", "h264", "hevc", "vp9", "av1", "prores", "mysterycodec"]
 _BOXES = ["avi", "mp4", "webm"]
 
@@ -609,12 +619,12 @@ def crop_aspect_boxes(spark, sf):
 
 
 @query("""
-WITH s AS (SELECT p_partkey, p_size * 30 AS w, p_size * 20 AS h, ['top-left', 'bottom-right', 'center', 'top-center', 'center-right'][p_partkey % 5 + 1] AS a FROM part)
-SELECT p_partkey, greatest(0, CASE WHEN a LIKE '%left' THEN 20 WHEN a LIKE '%right' THEN w - 100 - 20 ELSE floor((w - 100) / 2) END)::INTEGER AS x,
-greatest(0, CASE WHEN a LIKE 'top%' THEN 20 WHEN a LIKE 'bottom%' THEN h - 40 - 20 ELSE floor((h - 40) / 2) END)::INTEGER AS y, greatest(12, least(256, round_even(0.04 * least(w, h), 0)::INTEGER)) AS font FROM s""")
+WITH s AS (SELECT p_partkey, p_size * 30 AS w, p_size * 20 AS h, ['top-left', 'bottom-right', 'center', 'top-center', 'center-right', 'nowhere'][p_partkey % 6 + 1] AS a FROM part)
+SELECT p_partkey, trunc(CASE WHEN a LIKE '%left' THEN greatest(20.0::DOUBLE, 0.02::DOUBLE * (w - 100)) WHEN a LIKE '%right' OR a = 'nowhere' THEN least(w - 100 - 20.0::DOUBLE, 0.98::DOUBLE * (w - 100)) ELSE 0.5::DOUBLE * (w - 100) END)::INTEGER AS x,
+trunc(CASE WHEN a LIKE 'top%' THEN greatest(20.0::DOUBLE, 0.02::DOUBLE * (h - 40)) WHEN a LIKE 'bottom%' OR a = 'nowhere' THEN least(h - 40 - 20.0::DOUBLE, 0.98::DOUBLE * (h - 40)) ELSE 0.5::DOUBLE * (h - 40) END)::INTEGER AS y, greatest(12, least(256, round_even(0.04 * least(w, h), 0)::INTEGER)) AS font FROM s""")
 def watermark_positions(spark, sf):
     w, h = F.col("p_size") * 30, F.col("p_size") * 20
-    a = F.get(F.array(*(F.lit(x) for x in ["top-left", "bottom-right", "center", "top-center", "center-right"])), (F.col("p_partkey") % 5).cast("int"))
+    a = F.get(F.array(*(F.lit(x) for x in ["top-left", "bottom-right", "center", "top-center", "center-right", "nowhere"])), (F.col("p_partkey") % 6).cast("int"))
     at = S.overlay_position(w, h, F.lit(100), F.lit(40), a, F.lit(20))
     return t(spark, sf, "part").select("p_partkey", at.alias("at"), S.font_size(w, h).alias("font")).select("p_partkey", "at.*", "font")
 
@@ -629,7 +639,7 @@ def pixel_budget(spark, sf):
 
 @query("""
 SELECT o_orderkey, 'in/' || o_orderkey || '.png' AS input, CASE WHEN o_orderstatus = 'F' THEN 'compress' ELSE 'convert' END AS command, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE 'webp' END AS target,
-CASE WHEN o_orderstatus = 'F' AND o_orderkey % 10 = 0 THEN 'invalid_preset' ELSE '' END AS error FROM orders""")
+CASE WHEN o_orderstatus = 'F' AND o_orderkey % 10 = 0 THEN 'unsupported_compress_preset' ELSE '' END AS error FROM orders""")
 def plan_json_roundtrip(spark, sf):
     final = F.col("o_orderstatus") == "F"
     arguments = F.when(final, F.create_map(F.lit("preset"), F.when(F.col("o_orderkey") % 10 == 0, "odd").otherwise("low"))).otherwise(F.create_map(F.lit("to"), F.lit("webp")))
@@ -651,11 +661,31 @@ def probe_records(spark, sf):
 
 
 @query("""
-SELECT o_orderkey, '-y -ss ' || printf('%.3f', (o_orderkey % 100)::DOUBLE) || ' -i a.mp4 -t 2.500 -c copy a_clip.mp4' AS trim, '-y -ss ' || printf('%.3f', (o_orderkey % 60)::DOUBLE) || ' -i a.mp4 -frames:v 1 a.jpg' AS thumb FROM orders""")
+SELECT o_orderkey, '-ss ' || printf('%.3f', s) || ' -i /a.mp4 -map 0:V:0 -map 0:a:0? -sn -dn -t 2.500 -c copy /c.mp4' AS trim,
+'-ss ' || printf('%.3f', s) || ' -i /a.mp4 -map 0:V:0 -map 0:a:0? -sn -dn -t ' || printf('%.3f', s + 1) || ' -c:v libx264 -crf 18 -preset medium -c:a aac /c.mp4' AS cut,
+'-ss ' || printf('%.3f', s) || ' -i /a.mp4 -map 0:V:0 -an -sn -dn -frames:v 1 /a.jpg' AS thumb,
+'-i /a.mp4 -map 0:V:0 -map 0:a:0? -sn -dn -c:v libx265 -crf 23 -preset medium -tag:v hvc1 -c:a aac -b:a 192000 /b.mkv' AS converted,
+'-i /a.mp4 -map 0:V:0 -map 0:a:0? -sn -dn -c:v libx264 -crf 32 -preset fast -vf scale=''min(1280,iw)'':-2,scale=-2:''min(1280,ih)'' -c:a aac -b:a 96000 -movflags +faststart /b.mp4' AS compressed,
+'-i /a.mp4 -map 0:V:0 -map 0:a:0? -sn -dn -c:v libvpx-vp9 -crf 33 -b:v 0 -c:a copy /b.webm' AS open,
+'-i /a.mp4 -map 0:a:0 -vn -sn -dn -c:a libopus -b:a 128k /a.opus' AS audio,
+'-ss ' || printf('%.3f', s) || ' -i /a.mp4 -an -sn -dn -t 3.000 -filter_complex [0:v:0]fps=12,scale=480:-1:flags=lanczos,split[a][b];[a]palettegen[p];[b][p]paletteuse[gif] -map [gif] -loop 0 /a.gif' AS gif,
+CASE WHEN r > 0 THEN '-i /a.mp4 -map 0:V:0 -sn -dn -c:v libx264 -b:v ' || r || ' -maxrate ' || floor(r * 1.2::DOUBLE)::BIGINT || ' -bufsize ' || r * 2 || ' -pass 1 -passlogfile /log -an -f null /dev/null' END AS first_pass,
+CASE WHEN r > 0 THEN '-i /a.mp4 -map 0:V:0 -sn -dn -map 0:a:0 -c:v libx264 -b:v ' || r || ' -maxrate ' || floor(r * 1.2::DOUBLE)::BIGINT || ' -bufsize ' || r * 2 || ' -pass 2 -passlogfile /log -c:a aac -b:a 192000 -movflags +faststart /b.mp4' END AS second_pass,
+'-f concat -safe 0 -protocol_whitelist file -i /l.txt -map 0:V:0 -map 0:a:0? -sn -dn -c copy -movflags +faststart /b.mov' AS joined,
+CASE WHEN s > 0 THEN '-i /a.avi -f lavfi -i anullsrc=channel_layout=stereo:sample_rate=48000 -map 0:V:0 -map 1:a:0 -sn -dn -vf scale=640:360:force_original_aspect_ratio=decrease,pad=640:360:(ow-iw)/2:(oh-ih)/2,setsar=1,fps=' || printf('%.6f', s) || ' -c:v libx264 -crf 23 -preset medium -pix_fmt yuv420p -af apad -c:a aac -b:a 128k -ar 48000 -ac 2 -shortest -movflags +faststart /s.mp4' END AS segment,
+'-i /a.mp4 -map 0:V:0 -map 0:a:0? -sn -dn -c:v hevc_nvenc -rc vbr -cq 22 -preset p6 -tag:v hvc1 -c:a aac -b:a 192000 -movflags +faststart /b.mp4' AS device
+FROM (SELECT o_orderkey, (o_orderkey % 60)::DOUBLE AS s, o_orderkey % 5 * 1234567 AS r FROM orders)""")
 def argument_lists(spark, sf):
-    start = (F.col("o_orderkey") % 100).cast("double")
-    trim = A.trim(F.lit("a.mp4"), F.lit("a_clip.mp4"), start, start + 2.5)
-    return t(spark, sf, "orders").select("o_orderkey", F.array_join(trim, " ").alias("trim"), F.array_join(A.thumbnail(F.lit("a.mp4"), F.lit("a.jpg"), F.col("o_orderkey") % 60), " ").alias("thumb"))
+    start, rate = (F.col("o_orderkey") % 60).cast("double"), (F.col("o_orderkey") % 5) * 1_234_567
+    p = lambda name: F.lit(f"/{name}")
+    lines = {
+        "trim": A.trim(p("a.mp4"), p("c.mp4"), start, end=start + 2.5), "cut": A.trim(p("a.mp4"), p("c.mp4"), start, duration=start + 1, reencode=True), "thumb": A.thumbnail(p("a.mp4"), p("a.jpg"), start),
+        "converted": A.convert(p("a.mp4"), p("b.mkv"), ".MKV"), "compressed": A.compress(p("a.mp4"), p("b.mp4"), "tiny", policy="compact"), "open": A.compress(p("a.mp4"), p("b.webm"), codec="vp9", policy="preserve"),
+        "audio": A.extract_audio(p("a.mp4"), p("a.opus"), "opus"), "gif": A.gif(p("a.mp4"), p("a.gif"), start, F.lit(3.0)),
+        "first_pass": A.bitrate_pass(p("a.mp4"), p("b.mp4"), "h264", rate, True, 1, p("log")), "second_pass": A.bitrate_pass(p("a.mp4"), p("b.mp4"), "h264", rate, True, 2, p("log")),
+        "joined": A.concat(p("l.txt"), p("b.mov"), "mov"), "segment": A.concat_segment(p("a.avi"), p("s.mp4"), F.lit(640), F.lit(360), start, False, True), "device": A.compress(p("a.mp4"), p("b.mp4"), "archive", "h265", backend="nvenc"),
+    }
+    return t(spark, sf, "orders").select("o_orderkey", *(F.array_join(c, " ").alias(k) for k, c in lines.items()))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

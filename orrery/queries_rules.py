@@ -88,18 +88,18 @@ def encoder_quality(spark, sf):
     return t(spark, sf, "part").select("p_partkey", R.hardware_quality(k % 60).alias("quality"), R.loop_count(F.nullif(k % 4, F.lit(0))).alias("loops"))
 
 
-@query("""WITH c AS (SELECT p_partkey, ['mp4', 'mov', 'mkv', 'webm'][p_partkey % 4 + 1] AS box, ['h264', 'vp9', 'av1', 'h265', 'other'][p_size % 5 + 1] AS codec FROM part)
-SELECT p_partkey, CASE WHEN codec = 'other' THEN 'unsupported_codec' WHEN (codec IN ('h264', 'h265') AND box = 'webm') OR (codec IN ('vp9', 'av1') AND box = 'mov') THEN 'incompatible_container_codec' ELSE '' END AS error FROM c""")
+@query("""WITH c AS (SELECT p_partkey, ['mp4', 'mov', 'mkv', 'webm', 'avi'][p_partkey % 5 + 1] AS box, ['h264', 'vp9', 'av1', 'h265', 'other'][(p_partkey // 5) % 5 + 1] AS codec FROM part)
+SELECT p_partkey, CASE WHEN box = 'avi' THEN 'unsupported_target_container:avi' WHEN codec = 'other' THEN 'unsupported_video_codec:other' WHEN (codec IN ('h264', 'h265') AND box = 'webm') OR (codec IN ('vp9', 'av1') AND box IN ('mp4', 'mov')) THEN 'unsupported_codec_for_container:' || codec || ':' || box ELSE '' END AS error FROM c""")
 def container_codecs(spark, sf):
     pick = lambda names, i: F.get(F.array(*(F.lit(n) for n in names)), i.cast("int"))
-    box, codec = pick(["mp4", "mov", "mkv", "webm"], F.col("p_partkey") % 4), pick(["h264", "vp9", "av1", "h265", "other"], F.col("p_size") % 5)
+    box, codec = pick(["mp4", "mov", "mkv", "webm", "avi"], F.col("p_partkey") % 5), pick(["h264", "vp9", "av1", "h265", "other"], F.expr("p_partkey DIV 5") % 5)
     return t(spark, sf, "part").select("p_partkey", R.container_error(box, codec).alias("error"))
 
 
-@query("""SELECT p_partkey, CASE WHEN p_size < 4 THEN 1 ELSE greatest(1, least(16, p_size, 8, CASE WHEN p_partkey % 10 > 0 THEN p_partkey % 10 ELSE 8 END, floor(1073741824 / (p_partkey * 100000.0 * 16)))) END::INTEGER AS workers FROM part WHERE p_partkey > 0""")
+@query("""SELECT p_partkey, CASE WHEN p_size % 20 = 0 THEN 0 WHEN p_partkey % 7 = 0 THEN 1 ELSE greatest(1, least(16, p_size % 20, 8, CASE WHEN p_partkey % 10 > 0 THEN p_partkey % 10 ELSE 8 END, floor(1073741824 / ((p_partkey % 200) * 100000.0 * 16 + 16)))) END::INTEGER AS workers FROM part""")
 def worker_bounds(spark, sf):
     k = F.col("p_partkey")
-    return t(spark, sf, "part").where("p_partkey > 0").select("p_partkey", R.worker_bound(F.lit(16), F.col("p_size"), k % 10, k * 100_000).alias("workers"))
+    return t(spark, sf, "part").select("p_partkey", R.worker_bound(F.lit(16), F.col("p_size") % 20, k % 10, F.when(k % 7 != 0, (k % 200) * 100_000 + 1)).alias("workers"))
 
 
 @query("""WITH s AS (SELECT p_partkey, p_size * 10.0 AS w, (p_partkey % 500 + 1)::DOUBLE AS h FROM part), c AS (SELECT *, least(555.0 / w, 802.0 / h) AS k FROM s)
@@ -109,15 +109,16 @@ def page_layouts(spark, sf):
     return t(spark, sf, "part").select("p_partkey", f.alias("f")).select("p_partkey", "f.*")
 
 
-@query("""SELECT event_id, CASE WHEN NOT (value / 400 BETWEEN 0 AND 1) THEN 'invalid_min_ssim' WHEN user_id % 9 = 0 THEN 'invalid_min_psnr' WHEN event_id % 50 = 0 THEN 'invalid_max_size' WHEN event_type <> 'click' THEN 'unsupported_media_pair' ELSE '' END AS error FROM events""")
+@query("""SELECT event_id, CASE WHEN NOT (value / 400 BETWEEN 0 AND 1) OR user_id % 9 IN (0, 1) THEN 'invalid_quality_threshold' WHEN event_id % 50 = 0 THEN 'invalid_max_size' WHEN event_id % 11 = 0 THEN 'input_not_found' WHEN event_type <> 'click' THEN 'unsupported_media_pair' ELSE '' END AS error FROM events""")
 def gate_requests(spark, sf):
-    psnr = F.when(F.col("user_id") % 9 == 0, -1.0).otherwise(1.0)
-    return t(spark, sf, "events").select("event_id", R.gate_request_error(F.col("value") / 400, psnr, F.col("event_id") % 50, F.col("event_type") == "click").alias("error"))
+    psnr = F.when(F.col("user_id") % 9 == 0, -1.0).when(F.col("user_id") % 9 == 1, float("inf")).when(F.col("user_id") % 9 == 2, 1.0)
+    found = F.col("event_id") % 11 != 0
+    return t(spark, sf, "events").select("event_id", R.gate_request_error(F.col("value") / 400, psnr, F.col("event_id") % 50, F.col("event_type") == "click", found).alias("error"))
 
 
-@query("""SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN [true, true, true, false, false] WHEN 'MACHINERY' THEN [true, true, true, true, true] WHEN 'HOUSEHOLD' THEN [false, false, false, true, false] END AS flags FROM customer""")
+@query("""SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN [false, true, true, true, false] WHEN 'MACHINERY' THEN [true, false, false, false, false] WHEN 'HOUSEHOLD' THEN [false, false, false, false, true] WHEN 'FURNITURE' THEN [false, true, false, false, false] END AS flags FROM customer""")
 def strip_modes(spark, sf):
-    mode = S.case(F.col("c_mktsegment"), {"BUILDING": "privacy", "MACHINERY": "all", "HOUSEHOLD": "time"}, "other")
+    mode = S.case(F.col("c_mktsegment"), {"BUILDING": " Privacy", "MACHINERY": "all", "HOUSEHOLD": "time", "FURNITURE": "GPS"}, "other")
     return t(spark, sf, "customer").select("c_custkey", R.strip_flags(mode).alias("flags"))
 
 

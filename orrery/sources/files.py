@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import extension, frame_rate
 
-#: Parts of metadata names that tell about a person or place.
-SENSITIVE = ["gps", "serial", "owner", "author", "artist", "copyright", "comment", "usercomment", "makernote", "location", "subjectarea"]
+#: Parts of metadata names that tell about a person, place or device.
+SENSITIVE = ["gps", "make", "model", "serial", "artist", "copyright", "datetime", "hostcomputer", "software", "lens", "owner"]
 
 
 def scan(spark: SparkSession, folder: str, suffixes: list[str] | None = None, recursive: bool = True, content: bool = True) -> DataFrame:

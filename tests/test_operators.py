@@ -98,21 +98,36 @@ def test_plan_documents(spark):
     rows = PD.read_plans(spark.createDataFrame(list(enumerate(docs)), "id int, doc string"), "doc").collect()
     good = {r.id for r in rows if not r.error}
     assert good == {0, 1, 2, 3} and all((r.input, r.command, r.arguments) == ("a", "convert", {"to": "webp"}) for r in rows if not r.error)
-    assert {r.id: r.error for r in rows if r.error} == {4: "unrecognized_plan_document", 5: "invalid_plan_step", 6: "invalid_plan_step", 7: "unrecognized_plan_document"}
+    assert {r.id: r.error for r in rows if r.error} == {4: "unrecognized_plan_document", 5: "missing_input", 6: "invalid_plan_step", 7: "unrecognized_plan_document"}
 
 
 def test_plan_validation(spark):
-    rows = [("convert", {"to": "exe"}, "invalid_to"), ("video.compress", {"crf": "64"}, "invalid_crf"), ("compress", {"quality": "0"}, "invalid_quality"), ("compress", {"quality": "80"}, ""), ("launch", {}, "unsupported_command")]
+    rows = [
+        ("convert", {"to": "exe"}, "unsupported_target_format"), ("convert", {}, "missing_target_format"), ("convert", {"format": "JPEG", "quality": "odd"}, "unsupported_quality"), ("convert", {"to": "png", "color_space": "lab"}, "unsupported_color_space"),
+        ("video.compress", {"crf": "64"}, "invalid_crf"), ("video.compress", {"preset": "small"}, "unsupported_video_preset:small"), ("video.compress", {"codec": "vp8"}, "unsupported_video_codec:vp8"), ("video.compress", {"preset": "tiny"}, ""),
+        ("video.convert", {"to": "avi"}, "unsupported_target_container:avi"), ("video.convert", {}, "unsupported_target_container:?"), ("video.convert", {"to": "mp4", "codec": "vp9"}, "unsupported_codec_for_container:vp9:mp4"),
+        ("video.convert", {"to": ".MKV", "audio_policy": "Compact"}, ""), ("video.convert", {"to": "mkv", "audio_policy": "drop"}, "unsupported_audio_policy:drop"), ("strip", {"mode": "half"}, "unsupported_strip_mode:half"), ("strip", {}, ""), ("keep", {}, ""),
+        ("compress", {"preset": "odd"}, "unsupported_compress_preset"), ("compress", {"quality": "0"}, "invalid_quality"), ("compress", {"quality": "80"}, ""), ("launch", {}, "unsupported_plan_command"),
+    ]
     df = spark.createDataFrame([("a", c, a, "", w) for c, a, w in rows], "input string, command string, arguments map<string,string>, error string, want string")
     assert all(r.error == r.want for r in PD.validated(df).collect())
 
 
 def test_argument_lists(spark):
-    r = spark.range(1).select(A.compress(F.lit("a"), F.lit("b"), "h264"), A.concat_list(F.array(F.lit("it's"), F.lit("b"))), A.concat_list(F.array(F.lit("a\nb")))).first()
-    assert r[0] == ["-y", "-i", "a", "-c:v", "libx264", "-crf", "23", "-c:a", "aac", "-b:a", "192k", "b"]
+    r = spark.range(1).select(A.compress(F.lit("a"), F.lit("b")), A.concat_list(F.array(F.lit("it's"), F.lit("b"))), A.concat_list(F.array(F.lit("a\nb")))).first()
+    assert r[0] == "-i a -map 0:V:0 -map 0:a:0? -sn -dn -c:v libx264 -crf 23 -preset medium -c:a aac -b:a 192000 -movflags +faststart b".split()
     assert r[1] == "file 'it'\\''s'\nfile 'b'\n" and r[2] is None
-    with pytest.raises(ValueError, match="invalid_gif_options"):
-        A.gif(F.lit("a"), F.lit("b"), fps=0)
+    a, b = F.lit("a"), F.lit("b")
+    for code, line in {
+        "gif_fps_out_of_range": lambda: A.gif(a, b, fps=0), "gif_width_out_of_range": lambda: A.gif(a, b, width=5000), "unsupported_hwaccel:qsv:vp9": lambda: A.compress(a, b, codec="vp9", backend="qsv"), "unsupported_video_preset:small": lambda: A.compress(a, b, "small"),
+        "unsupported_codec_for_container:vp9:mp4": lambda: A.convert(a, b, "mp4", "vp9"), "unsupported_target_container:avi": lambda: A.convert(a, b, "avi"), "unsupported_audio_format:ogg": lambda: A.extract_audio(a, b, "ogg"), "unsupported_audio_policy:drop": lambda: A.convert(a, b, "mp4", policy="drop"),
+        "trim_end_and_duration_are_mutually_exclusive": lambda: A.trim(a, b, F.lit(0.0), F.lit(1.0), F.lit(1.0)), "unsupported_codec_for_container:h264:webm": lambda: A.concat(a, b, "webm", reencode=True),
+    }.items():
+        with pytest.raises(ValueError, match=code):
+            line()
+    bad = spark.range(1).select(A.trim(a, b, F.lit(3.0), end=F.lit(2.0)), A.thumbnail(a, b, F.lit(-1.0)), A.gif(a, b, F.lit(-1.0)), A.bitrate_pass(a, b, "h264", F.lit(0), False, None, a), A.concat_segment(a, b, F.lit(0), F.lit(1), F.lit(25.0), True, True)).first()
+    assert list(bad) == [None] * 5
+    assert [A.hardware_scale(c) for c in (0, 23, 51, 60)] == [100, 56, 1, 1] and A.video_options("h265", 22, "slow", "videotoolbox") == ["-c:v", "hevc_videotoolbox", "-q:v", "58", "-tag:v", "hvc1"]
 
 
 def segment(kind, body):
