@@ -50,6 +50,18 @@ def no_collections():
             gc.enable()
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Arrow batches of fewer rows for what is computed inside: rows that hold whole sets or texts take much room."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only in local mode, where driver and executors are one process."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, dropped, table, words, written
+from .common import components, dropped, small_batches, table, words, written
 
 WORDS = 5
 PERCENT = 75  # links: 100 * intersection >= PERCENT * union; the bounds below are those of 75
@@ -223,7 +223,7 @@ def _measure(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def _met(chunks: DataFrame) -> DataFrame:
-    """(slot, met): how many of a set's features other blocks have, in shares to be summed.  ``chunks``: (slot, part, load), a part's in a row."""
+    """(slot, met): how many of a set's features other blocks have.  ``chunks``: (slot, part, load)."""
 
     def shared(parts: list[tuple[int, bytes]]) -> np.ndarray:
         values, whose = [], []
@@ -242,10 +242,12 @@ def _met(chunks: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, parts, found, size = None, [], [], 0
 
-        def flush():
+        def flush():  # a row a block
             slot, met = np.unique(np.concatenate(found), return_counts=True)
             found.clear()
-            return pd.DataFrame({"slot": slot, "met": met})
+            cuts = np.flatnonzero(np.diff(slot >> 16, prepend=-1))
+            packed = [_planes(i & 65535, "<u2") + _planes(n, "<u4") for i, n in zip(np.split(slot, cuts[1:]), np.split(met, cuts[1:]), strict=True)] if len(slot) else []
+            return pd.DataFrame({"block": slot[cuts] >> 16, "load": packed})
 
         for batch in batches:
             for slot, part, load in zip(batch["slot"], batch["part"], batch["load"], strict=True):
@@ -263,7 +265,38 @@ def _met(chunks: DataFrame) -> DataFrame:
         if found:
             yield flush()
 
-    return chunks.mapInPandas(run, "slot long, met long")
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, sums = None, np.zeros(65536, np.int64)
+
+        def told() -> pd.DataFrame:
+            at = np.flatnonzero(sums)
+            return pd.DataFrame({"slot": (now << 16) + at, "met": sums[at]})
+
+        for batch in batches:
+            for block, load in zip(batch["block"].tolist(), batch["load"], strict=True):
+                if block != now:
+                    if now is not None:
+                        yield told()
+                    now = block
+                    sums[:] = 0
+                m = len(load) // 6
+                sums[_numbers(load[: 2 * m], "<u2")] += _numbers(load[2 * m :], "<u4")
+        if now is not None:
+            yield told()
+
+    found = chunks.repartition("part").sortWithinPartitions("part").mapInPandas(run, "block long, load binary")
+    return found.repartition("block").sortWithinPartitions("block").mapInPandas(add, "slot long, met long")
+
+
+def sliced(batches: Iterator[pd.DataFrame], column: str, limit: int = 2_000_000) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of rows whose texts or bytes in ``column`` have a bounded size together (or of one row)."""
+    for batch in batches:
+        ends = np.cumsum([len(x) for x in batch[column]])
+        a = 0
+        while a < len(batch):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
+            yield batch.iloc[a:b]
+            a = b
 
 
 # -- sets left by the sieve --------------------------------------------------------
@@ -273,8 +306,8 @@ def _featured(docs: DataFrame) -> DataFrame:
     """(id, feats) of (id, text): features as 8-byte integers in ascending order."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "feats": [features(t).tobytes() for t in batch["text"]]})
+        for part in sliced(batches, "text"):
+            yield pd.DataFrame({"id": part["id"].to_numpy(), "feats": [features(t).tobytes() for t in part["text"]]})
 
     return docs.mapInPandas(run, "id long, feats binary")
 
@@ -283,11 +316,9 @@ def _exploded(sets: DataFrame) -> DataFrame:
     """(f, id), a row a feature."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a in range(0, len(batch), 200):
-                part = batch.iloc[a : a + 200]
-                each = [np.frombuffer(x, np.int64) for x in part["feats"]]
-                yield pd.DataFrame({"f": np.concatenate(each), "id": np.repeat(part["id"].to_numpy(np.int64), [len(x) for x in each])})
+        for part in sliced(batches, "feats"):
+            each = [np.frombuffer(x, np.int64) for x in part["feats"]]
+            yield pd.DataFrame({"f": np.concatenate(each), "id": np.repeat(part["id"].to_numpy(np.int64), [len(x) for x in each])})
 
     return sets.mapInPandas(run, "f long, id long")
 
@@ -296,9 +327,9 @@ def _kin(sets: DataFrame) -> DataFrame:
     """(id, size, own, h1, h2, feats) of (id, feats, mine): without the features of their own; sets with too many of those go."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for part in sliced(batches, "feats"):
             out = []
-            for i, raw, mine in zip(batch["id"], batch["feats"], batch["mine"], strict=True):
+            for i, raw, mine in zip(part["id"], part["feats"], part["mine"], strict=True):
                 s = np.frombuffer(raw, np.uint64)
                 lone = 0 if mine is None else len(mine)
                 if 4 * lone > len(s):
@@ -317,11 +348,9 @@ def _signed(cores: DataFrame, frequent: np.ndarray) -> DataFrame:
     shared = cores.sparkSession.sparkContext.broadcast(frequent)  # at most FREQUENT features
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for a in range(0, len(batch), 500):
-                part = batch.iloc[a : a + 500]
-                sigs = [signatures(np.frombuffer(x, np.uint64), int(own), shared.value) for x, own in zip(part["feats"], part["own"], strict=True)]
-                yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.repeat(part["id"].to_numpy(np.int64), [len(x) for x in sigs])})
+        for part in sliced(batches, "feats"):
+            sigs = [signatures(np.frombuffer(x, np.uint64), int(own), shared.value) for x, own in zip(part["feats"], part["own"], strict=True)]
+            yield pd.DataFrame({"sig": np.concatenate(sigs), "id": np.repeat(part["id"].to_numpy(np.int64), [len(x) for x in sigs])})
 
     return cores.select("id", "own", "feats").mapInPandas(run, "sig long, id long")
 
@@ -491,10 +520,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     component_id is null.  Rows that repeat a key with the same text stay as
     they are; a key should not come with different texts.
     """
+    with small_batches(df.sparkSession):
+        return _near_duplicates(df, key, text)
+
+
+def _near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     rows = df.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     bits = max(8, (2 * rows.rdd.getNumPartitions() - 1).bit_length())  # parts grow with the input, so that a part stays small
     measured = written(_measure(rows, bits))
-    met = _met(measured.where("part IS NOT NULL").select("slot", "part", "load").repartition("part").sortWithinPartitions("part")).groupBy("slot").agg(F.sum("met").alias("met"))
+    met = _met(measured.where("part IS NOT NULL").select("slot", "part", "load"))
     per_doc = measured.where("n IS NOT NULL").select("slot", "id", "n", "k1", "k2", "alone")
     able = F.col("alone") - F.coalesce("met", F.lit(0)) <= F.floor(F.col("n") / 4)
     kept = per_doc.where("n > 0 AND id IS NOT NULL").join(met, "slot", "left")
