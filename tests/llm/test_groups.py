@@ -319,7 +319,7 @@ def test_raking_goes_on_until_it_converges(recwarn):
     mass, codes = hot_cells()
     targets = [mixing._targets(mass, c, 0.5) for c in codes]
     w = mixing.rake(mass, codes, targets)
-    assert mixing.margin_error(w, codes, targets) <= 1e-9 < mixing.margin_error(mixing.rake(mass, codes, targets, 12), codes, targets)
+    assert mixing.margin_error(w, codes, targets) <= 1e-12 < mixing.margin_error(mixing.rake(mass, codes, targets, 12), codes, targets)
     assert not recwarn.list
     with pytest.warns(RuntimeWarning, match="off by"):  # two cells on a diagonal can't have different margins
         mixing.rake(np.ones(2), [np.array([0, 1])] * 2, [np.array([1.0, 1.0]), np.array([0.5, 1.5])])
@@ -339,6 +339,23 @@ def test_mixing_converges_both_ways(spark, monkeypatch, local):
             assert math.isclose(sum(x for c, x in got.items() if c[k] == v), t / sum(root.values()) * total, rel_tol=0.03)
 
 
+@pytest.mark.parametrize("local", [100_000, 0])
+def test_mixing_to_given_targets(spark, monkeypatch, local):
+    monkeypatch.setattr(mixing, "LOCAL_CELLS", local)
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-6)
+    cells = [("a", "x", 3000), ("a", "y", 10), ("b", "x", 10), ("b", "y", 50), (None, "y", 30), ("c", "x", 2000), ("d", "x", 0)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "doc_id long, source string, lang string, n_tokens long")
+    got = {(r.source, r.lang): r.weight * r.n_tokens for r in mixing.mix(df, dims=("source", "lang"), targets={"source": {"a": 3, "b": 2, None: 1}, "lang": {"x": 0.4, "y": 0.6}}).collect()}
+    assert len(got) == len(cells) and got["c", "x"] == got["d", "x"] == 0
+    for k, want in ((0, {"a": 0.5, "b": 1 / 3, None: 1 / 6}), (1, {"x": 0.4, "y": 0.6})):
+        for v, t in want.items():
+            assert math.isclose(sum(w for c, w in got.items() if c[k] == v), t * 5100, rel_tol=1e-5)
+    with pytest.raises(ValueError, match="above 0"):
+        mixing.mix(df, dims=("source", "lang"), targets={"source": {"d": 1.0}}).collect()
+    with pytest.raises(ValueError, match="aren't raked"):
+        mixing.mix(df, dims=("source", "lang"), targets={"topic": {}})
+
+
 def test_mixing_both_ways(spark, monkeypatch):
     rows = [(i, f"s{i % 7}" if i % 11 else None, "en" if i % 3 else "de", "t", (i * 37) % 400, "x") for i in range(800)] + [(None, None, None, None, None, "x")]
     df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, n_tokens long, prob string")
