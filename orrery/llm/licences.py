@@ -3,10 +3,11 @@
 Lines, sentences and windows of sentences (wrapped lines joined, without years,
 names and comment marks) that speak of licences or copyright are compared with licence
 templates by the cosine of sparse TF-IDF vectors (inverse document frequencies
-over the templates).  A text that is short and licensed as a whole is a licence
-file and covers its directory; files without a licence of their own inherit
-that of the nearest ancestor directory which has one, found by joining the
-directories' ancestors with the covered directories.
+over the templates).  A text that is named like a licence file, or half of whose
+words are in what matched, is a licence file and covers its directory; files
+without a licence of their own inherit that of the nearest ancestor directory
+which has one, found by joining the directories' ancestors with the covered
+directories.  Texts are read once: what is compared later is written down.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, WORD, table
+from .common import UPPER, WORD, table, written
 
 #: Licence names and the public notices they are recognised by.
 TEMPLATES = [
@@ -44,13 +45,19 @@ HEADERS = [
     ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"), ("AGPL-3.0", "GNU Affero General Public License Version 3"),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MIT", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."),
+    ("BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD-3-Clause", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
 ]
 SPAN = 3  # sentences of a window at most
 TRIGGER = "licen[cs]e|copyright|permission is hereby|redistribut|free software|all rights reserved"
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.7  # cosine of a match
-FILE_WORDS = 60  # words of a licence file at most
+EXPLAINED = 0.5  # share of a licence file's words that are in what matched
+FILE_NAME = "(?i)^(un)?licen[cs]e([-_.][^/]*)?$|^copying([-_.][^/]*)?$|^copyright([-_.][^/]*)?$"
 
 
 def _values() -> str:
@@ -61,20 +68,24 @@ def _low(col):
     return F.translate(col, UPPER, UPPER.lower())
 
 
-def _windows(text):
-    """Distinct runs of 1 to SPAN sentences that speak of licences: lines joined, without comment marks, years and holders."""
+def _sentences(text):
+    """Sentences of a text: lines joined, without comment marks, years and holders."""
     plain = F.regexp_replace(text, "(?m)^[ \\t]*(?://+|/\\*+|\\*+/?|#+|;+|--+|%+|<!--|>+)[ \\t]*", "")
     plain = F.regexp_replace(plain, "(?m)(copyright)(?: *(?:\\(c\\)|©))?[ ,]*[0-9]{4}(?:[ ,-]+[0-9]{4})*[^.\\n]*?(?=\\.? *all rights reserved|\\.|$)", "$1")
     # a sentence ends before white space and no version number ("v. 2.0"), at blank lines and around SPDX lines
     plain = F.regexp_replace(plain, "(?m)^(.*spdx-license-identifier:.*)$", "\n\n$1\n\n")
     cut = F.filter(F.split(plain, "(?<=[.!?])(?<!\\bv\\.)\\s+|\\n[ \\t]*\\n\\s*"), lambda x: F.trim(x) != "")
-    cut = F.transform(cut, lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")))
-    near = lambda k: F.transform(cut, lambda _, i: F.array_join(F.slice(cut, i + 1, F.lit(k)), " "))
-    return F.filter(F.array_distinct(F.concat(*(near(k) for k in range(1, SPAN + 1)))), lambda x: x.rlike(TRIGGER))
+    return F.transform(cut, lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")))
+
+
+def _windows(cut, at):
+    """Distinct runs of 1 to SPAN sentences with one of those at the places ``at``; both are columns that are there."""
+    run = lambda k, back: F.transform(F.filter(at, lambda i: (i >= back) & (i - back + k <= F.size(cut))), lambda i: F.array_join(F.slice(cut, i - back + 1, F.lit(k)), " "))
+    return F.array_distinct(F.concat(*(run(k, back) for k in range(1, SPAN + 1) for back in range(k))))
 
 
 def _matches(spark, units: DataFrame, templates: list[tuple[str, str]], least: float) -> DataFrame:
-    """(_key, score, tid, name) of units (_key, no, line, known) and templates; known ones are compared with HEADERS only."""
+    """(_slot, no, score, tid, name) of units (_slot, no, line, known) and templates; known ones are compared with HEADERS only."""
     values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(templates))
     term = spark.sql(f"SELECT * FROM VALUES {values} AS t(tid, name, body)").withColumn("term", F.explode(F.regexp_extract_all(_low(F.col("body")), F.lit(TERM), F.lit(0))))
     n = len(templates)
@@ -82,15 +93,20 @@ def _matches(spark, units: DataFrame, templates: list[tuple[str, str]], least: f
     idf = tf.groupBy("term").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
     weights = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = weights.groupBy("tid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("tn"))
-    weights = weights.join(F.broadcast(norm), "tid").select("term", "tid", "name", "idf", (F.col("w") / F.col("tn")).alias("tw"))
+    # a term's row: its frequency's weight and the templates that have it
+    weights = weights.join(F.broadcast(norm), "tid").groupBy("term", "idf").agg(F.collect_list(F.struct("tid", "name", (F.col("w") / F.col("tn")).alias("tw"))).alias("held"))
     unseen = F.log(F.lit(1.0 + n)) + 1
-    own_term = units.select("_key", "no", "known", F.explode(F.regexp_extract_all("line", F.lit(TERM), F.lit(0))).alias("term")).groupBy("_key", "no", "known", "term").agg(F.count("*").alias("tf"))
-    # the templates' terms are a fixed list: these broadcasts don't grow
-    own_term = own_term.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen)).drop("idf")
-    line_norm = own_term.groupBy("_key", "no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ln"))
-    dots = own_term.join(F.broadcast(weights.drop("idf")), "term").where(~F.col("known") | (F.col("tid") >= len(TEMPLATES))).groupBy("_key", "no", "tid", "name").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    score = F.round(F.col("dot") / F.col("ln"), 6)
-    return dots.join(line_norm, ["_key", "no"]).withColumn("score", score).where(F.col("score") >= least).select("_key", "score", "tid", "name")
+    own_term = units.select("_slot", "no", "known", F.explode(F.regexp_extract_all("line", F.lit(TERM), F.lit(0))).alias("term")).groupBy("_slot", "no", "known", "term").agg(F.count("*").alias("tf"))
+    # the templates' terms are a fixed list: this broadcast doesn't grow
+    own_term = own_term.join(F.broadcast(weights), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", unseen))
+    # a unit's squared length is summed beside its products, under no template
+    whole = F.array(F.struct(F.lit(-1).alias("tid"), F.lit("").alias("name"), (F.col("w") * F.col("w")).alias("x")))
+    least_tid = F.when(F.col("known"), len(TEMPLATES)).otherwise(0)
+    products = F.transform(F.filter(F.coalesce("held", F.array().cast("array<struct<tid:int,name:string,tw:double>>")), lambda h: h["tid"] >= least_tid), lambda h: F.struct(h["tid"].alias("tid"), h["name"].alias("name"), (F.col("w") * h["tw"]).alias("x")))
+    sums = own_term.select("_slot", "no", F.inline(F.concat(whole, products))).groupBy("_slot", "no", "tid", "name").agg(F.sum("x").alias("x"))
+    best = sums.groupBy("_slot", "no").agg(F.max(F.when(F.col("tid") == -1, F.sqrt("x"))).alias("ln"), F.collect_list(F.when(F.col("tid") >= 0, F.struct("tid", "name", "x"))).alias("dots"))  # as many as templates
+    scored = best.select("_slot", "no", "ln", F.inline("dots")).withColumn("score", F.round(F.col("x") / F.col("ln"), 6))
+    return scored.where(F.col("score") >= least).select("_slot", "no", "score", "tid", "name")
 
 
 def scan(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "path", least: float = LEAST) -> DataFrame:
@@ -100,38 +116,51 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "pa
     to the earlier template), null below ``least``; inherited is what the
     nearest covered ancestor directory has, null for files with a licence of
     their own; effective is one or the other.  Of several licence files in a
-    directory the best score counts, then the smaller key.  Null and empty
-    texts have no licence of their own; a null path inherits nothing.  Rows
-    should have distinct keys; repeated ones get the same licence.
+    directory the best score counts, then the smaller key (null last).  Null
+    and empty texts have no licence of their own; a null path inherits nothing.
+    Repeated keys, and null ones, are rows of their own.
     """
     spark = df.sparkSession
-    low = _low
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(path).alias("_path"))
-    spoken = rows.where(low(F.col("_text")).rlike(TRIGGER)).withColumn("lines", F.filter(F.split(low(F.col("_text")), "\n"), lambda x: x.rlike(TRIGGER)))
-    lines = spoken.select("_key", F.posexplode("lines").alias("no", "line")).withColumn("known", F.lit(False))
-    trimmed = F.transform("lines", lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")))
-    windows = spoken.select("_key", trimmed.alias("lines"), F.posexplode(_windows(low(F.col("_text")))).alias("no", "line")).select("_key", "no", "line", F.array_contains("lines", F.col("line")).alias("known"))
-    cosine = _matches(spark, lines, TEMPLATES, least).union(_matches(spark, windows, TEMPLATES + HEADERS, least))
-    own = cosine.groupBy("_key").agg(F.max(F.struct("score", (-F.col("tid")).alias("t"), "name")).alias("m")).select("_key", F.col("m.name").alias("licence"), F.col("m.score").alias("score"))
-
+    name = F.regexp_extract("_path", "([^/]*)$", 1)
+    rows = df.select(F.monotonically_increasing_id().alias("_slot"), F.col(key).alias("_key"), F.col(path).alias("_path"), F.col(text).alias("_text"))
+    low = rows.withColumn("_low", F.when(_low(F.col("_text")).rlike(TRIGGER), _low(F.col("_text"))))  # null: of no interest
+    cut = low.withColumns({"_lines": F.filter(F.split("_low", "\n"), lambda x: x.rlike(TRIGGER)), "_cut": _sentences(F.col("_low"))})
+    at = F.filter(F.transform("_cut", lambda x, i: F.when(x.rlike(TRIGGER), i)), lambda i: i.isNotNull())
+    cut = cut.withColumns({"_at": at, "_words": F.when(F.col("_low").isNotNull(), F.regexp_count("_text", F.lit(WORD)))})
+    windows = _windows(F.col("_cut"), F.col("_at"))
+    # the only pass over the texts; slots are fixed by writing them
+    base = written(cut.select("_slot", "_key", "_path", "_words", "_lines", windows.alias("_windows")))
+    lines = base.select("_slot", F.posexplode("_lines").alias("no", "line")).withColumn("known", F.lit(False))
+    trimmed = F.transform("_lines", lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")))
+    windows = base.where("size(_windows) > 0").select("_slot", trimmed.alias("lines"), F.posexplode("_windows").alias("no", "line")).select("_slot", "no", "line", F.array_contains("lines", F.col("line")).alias("known"))
+    found = written(_matches(spark, lines, TEMPLATES, least).withColumn("kind", F.lit(0)).union(_matches(spark, windows, TEMPLATES + HEADERS, least).withColumn("kind", F.lit(1))))
+    own = found.groupBy("_slot").agg(F.max(F.struct("score", (-F.col("tid")).alias("t"), "name")).alias("m")).select("_slot", F.col("m.name").alias("licence"), F.col("m.score").alias("score"))
+
+    # words in what matched: of all lines, or of the longest window
+    length = lambda c: F.regexp_count(c, F.lit(WORD))
+    hits = found.groupBy("_slot").agg(F.collect_set(F.when(F.col("kind") == 0, F.col("no"))).alias("l"), F.collect_set(F.when(F.col("kind") == 1, F.col("no"))).alias("w"))
+    counted = base.join(hits, "_slot")
+    in_lines = F.aggregate("l", F.lit(0), lambda s, i: s + length(F.get("_lines", i)))
+    in_window = F.aggregate("w", F.lit(0), lambda s, i: F.greatest(s, length(F.get("_windows", i))))
     folder = F.regexp_extract("_path", "^(.*)/[^/]*$", 1)
-    sized = rows.where(low(F.col("_text")).rlike(TRIGGER)).select("_key", folder.alias("folder"), F.regexp_count("_text", F.lit(WORD)).alias("words"))
-    files = sized.where((F.col("words") <= FILE_WORDS) & F.col("folder").isNotNull()).join(own, "_key")
-    covered = files.groupBy("folder").agg(F.max_by("licence", F.struct("score", -F.col("_key"))).alias("given"))
+    files = counted.where(F.col("_path").isNotNull() & (name.rlike(FILE_NAME) | (F.greatest(in_lines, in_window) >= EXPLAINED * F.col("_words")))).select("_slot", "_key", folder.alias("folder")).join(own, "_slot")
+    order = F.struct("score", F.col("_key").isNotNull(), -F.col("_key"))
+    covered = files.groupBy("folder").agg(F.max_by("licence", order).alias("given"))
     # one row a directory, not a file, looks for its ancestors
-    folders = rows.where("_path IS NOT NULL").select(folder.alias("folder")).distinct()
+    folders = base.where("_path IS NOT NULL").select(folder.alias("folder")).distinct()
     parts = F.split("folder", "/")
     ancestors = folders.withColumn("depth", F.explode(F.sequence(F.lit(1), F.size(parts)))).withColumn("up", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
     nearest = ancestors.join(covered.withColumnRenamed("folder", "up"), "up").groupBy("folder").agg(F.max_by("given", "depth").alias("given"))
 
-    out = rows.select("_key", "_path", folder.alias("folder")).join(own, "_key", "left").join(nearest, "folder", "left")
+    out = base.select("_slot", "_key", "_path", folder.alias("folder")).join(own, "_slot", "left").join(nearest, "folder", "left")
     inherited = F.when(F.col("licence").isNull(), F.col("given"))
-    return out.select(F.col("_key").alias(key), F.col("_path").alias("path"), "licence", "score", inherited.alias("inherited"), F.coalesce("licence", inherited).alias("effective"))
+    return out.select(F.col("_key").alias(key), F.col("_path").alias(path), "licence", "score", inherited.alias("inherited"), F.coalesce("licence", inherited).alias("effective"))
 
 
 def document_path() -> F.Column:
-    """Documents have no path: a folder a source, in it one a language, in it one per hundred ids."""
-    return F.concat_ws("/", "source", "lang", F.expr("CAST(doc_id DIV 100 AS STRING)"), F.col("doc_id").cast("string"))
+    """Documents have no path: a folder a source, in it one a language, in it one per hundred ids; of ten ids one is right below its source, one below its language."""
+    level = F.when(F.col("doc_id") % 10 == 0, F.col("source")).when(F.col("doc_id") % 10 == 1, F.concat_ws("/", "source", "lang")).otherwise(F.concat_ws("/", "source", "lang", F.expr("CAST(doc_id DIV 100 AS STRING)")))
+    return F.concat_ws("/", level, F.col("doc_id").cast("string"))
 
 
 def op4_licences(spark, sf_dir: str) -> DataFrame:
@@ -147,8 +176,8 @@ ORACLE_SQL = {
     idf AS (SELECT term, ln({1 + len(TEMPLATES)}.0 / (1 + count(*))) + 1 idf FROM tf GROUP BY term),
     w AS (SELECT tid, name, term, tf * idf w FROM tf JOIN idf USING (term)),
     tw AS (SELECT tid, name, term, w / sqrt(sum(w * w) OVER (PARTITION BY tid)) tw FROM w),
-    d AS (SELECT doc_id, text, concat_ws('/', source, lang, (doc_id // 100)::VARCHAR, doc_id::VARCHAR) path,
-            concat_ws('/', source, lang, (doc_id // 100)::VARCHAR) folder FROM documents),
+    e AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN source WHEN doc_id % 10 = 1 THEN concat_ws('/', source, lang) ELSE concat_ws('/', source, lang, (doc_id // 100)::VARCHAR) END folder FROM documents),
+    d AS (SELECT doc_id, text, folder, concat_ws('/', folder, doc_id::VARCHAR) path FROM e),
     l AS (SELECT doc_id, unnest(lines) line, generate_subscripts(lines, 1) no
           FROM (SELECT doc_id, list_filter(string_split({_LOW}, chr(10)), lambda x: regexp_matches(x, '{TRIGGER}')) lines FROM d)),
     ot AS (SELECT doc_id, no, term, count(*) tf FROM (SELECT doc_id, no, unnest(regexp_extract_all(line, '{TERM}')) term FROM l) GROUP BY ALL),
@@ -157,9 +186,10 @@ ORACLE_SQL = {
     dot AS (SELECT doc_id, no, tid, name, sum(w * tw) dot FROM ow JOIN tw USING (term) GROUP BY ALL),
     m AS (SELECT doc_id, name, tid, round(dot / ln, 6) score FROM dot JOIN ln USING (doc_id, no) WHERE round(dot / ln, 6) >= {LEAST}),
     own AS (SELECT doc_id, name licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, tid) k FROM m) WHERE k = 1),
+    x AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) words FROM l WHERE (doc_id, no) IN (SELECT (doc_id, no) FROM dot JOIN ln USING (doc_id, no) WHERE round(dot / ln, 6) >= {LEAST}) GROUP BY doc_id),
     c AS (SELECT folder, licence given FROM (
             SELECT folder, licence, row_number() OVER (PARTITION BY folder ORDER BY score DESC, doc_id) k
-            FROM d JOIN own USING (doc_id) WHERE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) <= {FILE_WORDS}) WHERE k = 1),
+            FROM d JOIN own USING (doc_id) JOIN x USING (doc_id) WHERE words >= {EXPLAINED} * len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) WHERE k = 1),
     n AS (SELECT DISTINCT ON (doc_id) doc_id, given FROM d JOIN c ON d.folder = c.folder OR starts_with(d.folder, c.folder || '/') ORDER BY doc_id, length(c.folder) DESC)
     SELECT doc_id, path, licence, score, CASE WHEN licence IS NULL THEN given END inherited, coalesce(licence, given) effective
     FROM d LEFT JOIN own USING (doc_id) LEFT JOIN n USING (doc_id)"""

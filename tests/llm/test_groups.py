@@ -380,6 +380,44 @@ def test_licences(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_licence_files_cover_by_name_or_share(spark):
+    apache = "Licensed under the Apache License, Version 2.0."
+    rows = [
+        (1, MIT_TEXT, "a/LICENSE.txt"), (2, "code", "a/b/c/x.py"), (3, MIT_TEXT, "m/legal"), (4, "code", "m/x/y/z.py"), (5, f"{apache}\n" + "other words of a page " * 30, "p/readme"), (6, "code", "p/x.py"),
+        (None, f"{apache}\nthree more words", "n/o/p"), (9, "code", "n/o/q"), (None, "code", "n/o/r/s"), (None, None, None), (None, "", ""), (10, "x\n" * 5000 + apache, "long/t"), (10, "x", "long/t2"),
+    ]
+    df = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, where string, licence string")
+    got = sorted(((r["where"] or "", r.licence, r.effective) for r in licences.scan(df, path="where").collect()), key=str)
+    want = [("a/LICENSE.txt", "MIT", "MIT"), ("a/b/c/x.py", None, "MIT"), ("m/legal", "MIT", "MIT"), ("m/x/y/z.py", None, "MIT"), ("p/readme", "Apache-2.0", "Apache-2.0"), ("p/x.py", None, None)]
+    want += [("n/o/p", "Apache-2.0", "Apache-2.0"), ("n/o/q", None, "Apache-2.0"), ("n/o/r/s", None, "Apache-2.0"), ("", None, None), ("", None, None), ("long/t", "Apache-2.0", "Apache-2.0"), ("long/t2", None, None)]
+    assert got == sorted(want, key=str)
+    assert licences.scan(df.limit(0), path="where").count() == 0
+
+
 def test_licences_in_wrapped_headers_and_paragraphs(spark):
     fill = "some words of a paragraph that goes on for a while about other things and then "
     want = {
