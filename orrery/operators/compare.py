@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import psnr, quality_rating, ssim
 
+C1, C2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+BLUR = 5  # radius of the blur whose mean stands for the local one
+
 
 def mse(a: Column, b: Column) -> Column:
     """Mean squared difference of two arrays of equal length."""
@@ -15,7 +23,7 @@ def mse(a: Column, b: Column) -> Column:
 
 
 def compare(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """``pairs`` with mse, psnr, whole-array ssim and the rating."""
+    """``pairs`` with mse, psnr, whole-array ssim and the rating, of plain sample arrays; :func:`compare_pictures` has colours, alpha and blurred means."""
     x, y = F.col(a), F.col(b)
     n = F.size(x)
     mean = lambda v: F.aggregate(v, F.lit(0.0), lambda s, e: s + e.cast("double")) / n
@@ -27,15 +35,126 @@ def compare(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("rating", quality_rating(F.col("ssim"), F.col("psnr"), F.col("mse")))
 
 
+def similarity(ma, mb, va, vb, cab):
+    """SSIM of means, variances and the covariance."""
+    return (2 * ma * mb + C1) * (2 * cab + C2) / ((ma * ma + mb * mb + C1) * (va + vb + C2))
+
+
+def blurred(plane: np.ndarray, radius: float = BLUR, passes: int = 3) -> np.ndarray:
+    """A Gaussian blur of 8-bit samples by box blurs with fractional ends, borders repeated, each pass rounded to 8 bits."""
+    variance = radius * radius / passes
+    whole = int(np.floor((np.sqrt(12.0 * variance + 1.0) - 1.0) / 2.0))
+    part = (2 * whole + 1) * (whole * (whole + 1) - 3.0 * variance) / (6.0 * (variance - (whole + 1) ** 2))
+    inner = int((1 << 24) / (2 * (whole + part) + 1))
+    outer = ((1 << 24) - (2 * whole + 1) * inner) // 2
+    out = plane.astype(np.int64)
+    for _ in range(2):  # along rows, then along columns
+        for _ in range(passes):
+            n = out.shape[1]
+            wide = np.pad(out, ((0, 0), (whole + 1, whole + 1)), mode="edge")
+            sums = np.cumsum(np.pad(wide, ((0, 0), (1, 0))), axis=1)
+            middle = sums[:, 2 * whole + 2 : 2 * whole + 2 + n] - sums[:, 1 : n + 1]
+            out = (middle * inner + (wide[:, :n] + wide[:, 2 * whole + 2 :]) * outer + (1 << 23)) >> 24
+        out = out.T
+    return out
+
+
+def global_ssim(a: np.ndarray, b: np.ndarray) -> float:
+    """SSIM of two planes of 8-bit samples, about the means of their blurred copies."""
+    if not a.size:
+        return 1.0
+    ma, mb = blurred(a).mean(), blurred(b).mean()
+    x, y = a - ma, b - mb
+    return float(np.clip(similarity(ma, mb, (x * x).mean(), (y * y).mean(), (x * y).mean()), 0.0, 1.0))
+
+
+def mean_block_ssim(a: np.ndarray, b: np.ndarray, block: int, stride: int) -> float | None:
+    """The mean over sliding square blocks, blocks over the edge left out; None if none fits."""
+    if min(a.shape) < block:
+        return None
+    x, y = (sliding_window_view(v.astype(float), (block, block))[::stride, ::stride] for v in (a, b))
+    mean = lambda v: v.mean(axis=(2, 3))
+    scores = []
+    for p, q in zip(x, y, strict=True):  # a row of blocks at a time
+        p, q = p[None], q[None]
+        mx, my = mean(p), mean(q)
+        dx, dy = p - mx[..., None, None], q - my[..., None, None]
+        scores.append(similarity(mx, my, mean(dx * dx), mean(dy * dy), mean(dx * dy)))
+    return float(np.concatenate(scores, axis=1).mean())
+
+
+#: Shares of red, green and blue in brightness and the two colour differences, in 64ths rounded per value.
+YCBCR = ((0.299, 0.587, 0.114), (-0.16874, -0.33126, 0.5), (0.5, -0.41869, -0.08131))
+
+
+def planes(data: bytes, width: int, height: int, channels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(RGBA, Y Cb Cr A) of 8-bit samples in row order: grey, grey and alpha, RGB or RGBA."""
+    px = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(np.int64)
+    rgb = px[..., :3] if channels >= 3 else np.repeat(px[..., :1], 3, axis=2)
+    alpha = px[..., -1] if channels in (2, 4) else np.full((height, width), 255)
+    table = lambda share: np.rint(share * 64 * np.arange(256)).astype(np.int64)
+    rows = [sum(table(s)[rgb[..., k]] for k, s in enumerate(shares)) >> 6 for shares in YCBCR]
+    y, cb, cr = (np.clip(v + (128 if k else 0), 0, 255) for k, v in enumerate(rows))
+    return np.concatenate((rgb, alpha[..., None]), axis=2), np.stack((y, cb, cr, alpha))
+
+
+def picture_scores(a: tuple, b: tuple, block: int = 64) -> tuple[float, float, float]:
+    """(mse, global ssim, block ssim) of two pictures (data, width, height, channels) of one size.
+
+    Errors are averaged over red, green, blue and alpha; the similarity is that
+    of the worst of brightness, the colour differences and alpha.  Pictures
+    smaller than a block have the global value for both.
+    """
+    (rgba, x), (other, y) = planes(*a), planes(*b)
+    mse = float(((rgba - other) ** 2).mean(axis=(0, 1)).mean()) if rgba.size else 0.0
+    whole = min(global_ssim(p, q) for p, q in zip(x, y, strict=True))
+    blocks = [v for p, q in zip(x, y, strict=True) if (v := mean_block_ssim(p, q, block, block // 2)) is not None]
+    return mse, whole, float(np.clip(min(blocks), 0.0, 1.0)) if blocks else whole
+
+
+def compare_pictures(pairs: DataFrame, a: str, b: str, block: int = 64) -> DataFrame:
+    """``pairs`` with mse, psnr, ssim, block_ssim, rating and error of two columns of struct(data, width, height, nChannels).
+
+    Null, undecodable (negative width) and differently sized pictures get an
+    error and nulls; rows and other columns are kept.
+    """
+    fields = ["data", "width", "height", "nChannels"]
+
+    @F.pandas_udf("mse double, ssim double, block_ssim double, error string")
+    def run(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for p, q in zip(x[fields].itertuples(index=False), y[fields].itertuples(index=False), strict=True):
+            if p.data is None or q.data is None or not (p.width >= 0 and q.width >= 0):
+                out.append((None, None, None, "unreadable_picture"))
+            elif (p.width, p.height) != (q.width, q.height):
+                out.append((None, None, None, "size_mismatch"))
+            else:
+                out.append((*picture_scores(*((v.data, int(v.width), int(v.height), int(v.nChannels)) for v in (p, q)), block), ""))
+        return pd.DataFrame(out, columns=["mse", "ssim", "block_ssim", "error"])
+
+    some = lambda c: F.coalesce(F.col(c), F.struct(F.lit(None).cast("binary").alias("data"), F.lit(-1).alias("width"), F.lit(-1).alias("height"), F.lit(0).alias("nChannels")))
+    picture = lambda c: F.struct(*(some(c)[f].alias(f) for f in fields))
+    out = pairs.withColumn("_scores", run(picture(a), picture(b))).withColumns({k: F.col(f"_scores.{k}") for k in ("mse", "ssim", "block_ssim", "error")}).drop("_scores")
+    out = out.withColumn("psnr", F.when(F.col("mse").isNotNull(), psnr(F.col("mse"))))
+    return out.withColumn("rating", F.when(F.col("mse").isNotNull(), quality_rating(F.col("block_ssim"), F.col("psnr"), F.col("mse"))))
+
+
 def block_ssim(pairs: DataFrame, key: list[str], a: str, b: str, width: int, block: int, stride: int) -> DataFrame:
-    """(key..., ssim): the mean over sliding square blocks, of square pictures in row order; blocks over the edge are left out."""
-    starts = range(0, width - block + 1, stride)
-    frames = F.array(*(F.array(*(F.lit(y * width + x) for y in range(by, by + block) for x in range(bx, bx + block))) for by in starts for bx in starts))
-    cells = pairs.select(*key, a, b, F.posexplode(frames).alias("_block", "_at")).select(*key, "_block", a, b, F.explode("_at").alias("_i"))
-    px = cells.select(*key, "_block", F.get(F.col(a), F.col("_i")).cast("double").alias("_x"), F.get(F.col(b), F.col("_i")).cast("double").alias("_y"))
-    stats = px.groupBy(*key, "_block").agg(F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.var_pop("_x").alias("vx"), F.var_pop("_y").alias("vy"), F.covar_pop("_x", "_y").alias("cv"))
-    one = ssim(F.col("mx"), F.col("my"), F.col("vx"), F.col("vy"), F.col("cv"))
-    return stats.groupBy(*key).agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.avg(one))).alias("ssim"))
+    """(key..., ssim): the mean over sliding square blocks, of single planes of ``width`` columns in row order; blocks over the edge are left out.
+
+    Planes smaller than a block have their whole similarity.
+    """
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            p, q = (np.asarray(v, float).reshape(-1, width) for v in (p, q))
+            one = mean_block_ssim(p, q, block, stride)
+            out.append(float(np.clip(global_ssim(p, q) if one is None else one, 0.0, 1.0)))
+        return pd.Series(out, dtype=float)
+
+    return pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*key, run(F.col(a), F.col(b)).alias("ssim"))
 
 
 def gate(df: DataFrame, checks: dict[str, Column], min_ssim: float = 0.99, min_psnr: float | None = None) -> DataFrame:
@@ -55,19 +174,29 @@ def worst(df: DataFrame, key: str) -> DataFrame:
 
 def bounding_box(df: DataFrame, key: str, samples: str, width: int, height: int, fuzz: float, pad: int = 2) -> DataFrame:
     """(key, left, top, right, bottom) of what differs from the first sample by more than ``fuzz``; the whole picture if nothing does."""
-    px = df.select(key, F.posexplode(samples).alias("_i", "_v"), F.get(F.col(samples), F.lit(0)).alias("_first"))
-    other = F.abs(F.col("_v").cast("double") - F.col("_first").cast("double")) > fuzz
-    x, y = F.when(other, F.col("_i") % width), F.when(other, F.expr(f"_i DIV {width}"))
-    box = px.groupBy(key).agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
-    low = lambda c: F.greatest(F.lit(0), F.coalesce(F.col(c) - pad, F.lit(0))).cast("int")
-    high = lambda c, n: F.least(F.lit(n), F.coalesce(F.col(c) + 1 + pad, F.lit(n))).cast("int")
-    return box.select(key, low("x0").alias("left"), low("y0").alias("top"), high("x1", width).alias("right"), high("y1", height).alias("bottom"))
+    v = F.col(samples)
+    first = F.get(v, F.lit(0)).cast("double")
+    at = F.filter(F.transform(v, lambda x, i: F.when(F.abs(x.cast("double") - first) > fuzz, i)), lambda i: i.isNotNull())
+    found = df.where(v.isNotNull()).select(key, at.alias("_at"))
+    xs, ys = F.transform("_at", lambda i: i % width), F.transform("_at", lambda i: F.floor(i / width).cast("int"))
+    low = lambda c: F.greatest(F.lit(0), F.coalesce(F.array_min(c) - pad, F.lit(0))).cast("int")
+    high = lambda c, n: F.least(F.lit(n), F.coalesce(F.array_max(c) + 1 + pad, F.lit(n))).cast("int")
+    return found.select(key, low(xs).alias("left"), low(ys).alias("top"), high(xs, width).alias("right"), high(ys, height).alias("bottom"))
 
 
 def sample_statistics(df: DataFrame, key: str, values: Column) -> DataFrame:
-    """(key, colours, entropy, deviation): distinct values (10,000 at most), entropy of their shares, population deviation."""
-    px = df.select(key, F.explode(values).alias("_v"))
-    by = px.groupBy(key, "_v").agg(F.count("*").alias("_n"))
-    whole = by.groupBy(key).agg(F.sum("_n").alias("_t"), F.count("*").alias("colours"), F.sum(F.col("_n") * F.log2("_n")).alias("_s"), F.sum(F.col("_v") * F.col("_n")).alias("_m"), F.sum(F.col("_v") * F.col("_v") * F.col("_n")).alias("_q"))
-    mean = F.col("_m") / F.col("_t")
-    return whole.select(key, F.least("colours", F.lit(10_000)).alias("colours"), (F.log2("_t") - F.col("_s") / F.col("_t")).alias("entropy"), F.sqrt(F.greatest(F.col("_q") / F.col("_t") - mean * mean, F.lit(0.0))).alias("deviation"))
+    """(key, colours, entropy, deviation) a row with samples: distinct values (10,000 at most), entropy of their shares, population deviation."""
+
+    @F.pandas_udf("colours long, entropy double, deviation double")
+    def run(samples: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in samples:
+            out = []
+            for x in batch:
+                v, n = np.unique(np.asarray(x, float), return_counts=True)
+                t = n.sum()
+                mean = (v * n).sum() / t
+                out.append((min(len(v), 10_000), np.log2(t) - (n * np.log2(n)).sum() / t, np.sqrt(max((v * v * n).sum() / t - mean * mean, 0.0))))
+            yield pd.DataFrame(out, columns=["colours", "entropy", "deviation"])
+
+    rows = df.select(key, values.alias("_v")).where("size(_v) > 0")
+    return rows.withColumn("_s", run(F.col("_v"))).select(key, "_s.*")

@@ -9,41 +9,57 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import scalars as S
+from orrery.operators import compare as C
 from orrery.operators import dedup as D
 from orrery.operators import pixels
 from orrery.operators import planning as P
+from orrery.operators.graph import components
 from orrery.plans import arguments as A
 from orrery.plans import documents as PD
 from orrery.sources import files as SRC
 from orrery.streaming import arrivals as ST
 
 
+def linked(pairs):
+    """Groups of what pairs connect."""
+    out = []
+    for p in pairs:
+        near = [g for g in out if g & set(p)]
+        out = [g for g in out if g not in near] + [set(p).union(*near)]
+    return {frozenset(g) for g in out}
+
+
 def signed(h):
     return h - (1 << 64) if h >> 63 else h
 
 
-@pytest.mark.parametrize("brute_below", [0, 5000])
-def test_hamming_pairs_equal_brute_force(spark, brute_below):
+@pytest.mark.parametrize(("tile", "threshold"), [(2048, 5), (8, 5), (16, 18), (2048, 0)])
+def test_hamming_pairs_equal_brute_force(spark, tile, threshold, monkeypatch):
+    monkeypatch.setattr(D, "TILE", tile)
     rng = random.Random(42)
     hashes = [rng.getrandbits(64) for _ in range(120)] + [(1 << 64) - 1, 1 << 63, 0]
     for h in hashes[:30]:  # chains, equal hashes, and distances around the threshold
         a = h ^ sum(1 << b for b in rng.sample(range(64), 3))
         hashes += [a, a ^ sum(1 << b for b in rng.sample(range(64), 3)), h, h ^ sum(1 << b for b in rng.sample(range(64), 5)), h ^ sum(1 << b for b in rng.sample(range(64), 6))]
     df = spark.createDataFrame([(i, signed(h)) for i, h in enumerate(hashes)] + [(9999, None)], "k long, h long")
-    got = {(r.a, r.b): r.distance for r in D.hamming_pairs(df, "k", "h", 5, brute_below).collect()}
-    want = {(i, j): (x ^ y).bit_count() for (i, x), (j, y) in itertools.combinations(enumerate(hashes), 2) if (x ^ y).bit_count() <= 5}
+    got = {(r.a, r.b): r.distance for r in D.hamming_pairs(df, "k", "h", threshold).collect()}
+    want = {(i, j): (x ^ y).bit_count() for (i, x), (j, y) in itertools.combinations(enumerate(hashes), 2) if (x ^ y).bit_count() <= threshold}
     assert got == want
+    groups = {}
+    for r in D.similar_groups(df.withColumn("s", F.lit(1)), "k", "h", "s", threshold).collect():
+        groups.setdefault(r.component, set()).add(r.k)
+    assert all(min(g) == c for c, g in groups.items()) and {frozenset(g) for g in groups.values()} == linked(want)
 
 
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(200, 230)] + [(1, 2), (2, 1), (3, 3)]
-    got = dict(D.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
+    got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {got[i] for i in range(100, 161)} == {100}
     assert {got[k] for k in range(200, 230)} == {7} and got[2] == 1 and 3 not in got
 
 
 def test_components_of_nothing(spark):
-    assert D.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def test_exact_duplicates(spark):
@@ -177,3 +193,52 @@ def test_rake_free_summaries(spark):
     r = P.batch_summary(df, [], F.col("ok"), F.col("i"), F.col("o")).first()
     assert (r.total, r.success, r.failed, r.input_bytes, r.output_bytes) == (2, 1, 1, 30, 5)
     assert P.all_ok(spark.createDataFrame([], "error string"), "error").first().ok is True
+
+
+def plain_ssim(a, b, ma, mb):
+    n = len(a)
+    va, vb = sum((x - ma) ** 2 for x in a) / n, sum((y - mb) ** 2 for y in b) / n
+    cab = sum((x - ma) * (y - mb) for x, y in zip(a, b, strict=True)) / n
+    return (2 * ma * mb + 6.5025) * (2 * cab + 58.5225) / ((ma * ma + mb * mb + 6.5025) * (va + vb + 58.5225))
+
+
+def test_blur_is_a_blur():
+    assert (C.blurred(np.full((9, 13), 77)) == 77).all()
+    dot = np.zeros((41, 41), int)
+    dot[20, 20] = 255
+    out = C.blurred(dot * 1)
+    assert out.shape == dot.shape and out[20, 20] == out.max() and abs(out - out.T).max() <= 1 and abs(out - out[::-1]).max() <= 1
+    ramp = np.repeat(np.arange(0, 240, 4)[None], 30, axis=0)
+    assert abs(C.blurred(ramp)[:, 15:-15] - ramp[:, 15:-15]).max() <= 1
+
+
+def test_compare_pictures(spark):
+    rng = np.random.default_rng(3)
+    big = rng.integers(0, 256, (96, 130, 3))
+    small = rng.integers(0, 256, (20, 30, 4))
+    swapped = np.zeros((70, 70, 3), int)
+    swapped[..., 0] = 200
+    other = np.zeros((70, 70, 3), int)
+    other[..., 1], other[..., 2] = 100, 10  # about as bright, another colour
+    clear = np.concatenate((big, np.full((96, 130, 1), 255)), axis=2)
+    gone = clear.copy()
+    gone[:, 60:, 3] = 0
+    pack = lambda v: (bytes(v.astype(np.uint8).ravel()), v.shape[1], v.shape[0], v.shape[2])
+    noisy = np.clip(big + rng.integers(-20, 21, big.shape), 0, 255)
+    rows = [(0, pack(big), pack(big)), (1, pack(big), pack(noisy)), (2, pack(small), pack(np.clip(small + 3, 0, 255))), (3, pack(swapped), pack(other)), (4, pack(clear), pack(gone)), (5, pack(big), pack(small)), (6, None, pack(big)), (7, (b"", -1, -1, -1), pack(big))]
+    kind = "struct<data:binary,width:int,height:int,nChannels:int>"
+    got = {r.id: r for r in C.compare_pictures(spark.createDataFrame(rows, f"id int, a {kind}, b {kind}"), "a", "b").collect()}
+    assert (got[0].mse, got[0].ssim, got[0].block_ssim, got[0].psnr) == (0.0, 1.0, 1.0, math.inf)
+    assert math.isclose(got[1].mse, sum(((big[..., k] - noisy[..., k]) ** 2).mean() for k in range(3)) / 4)
+    for i, (x, y) in {1: (big, noisy), 2: (small, np.clip(small + 3, 0, 255)), 4: (clear, gone)}.items():
+        p, q = C.planes(*pack(x))[1], C.planes(*pack(y))[1]
+        whole = min(plain_ssim(u.ravel().tolist(), v.ravel().tolist(), C.blurred(u).mean(), C.blurred(v).mean()) for u, v in zip(p, q, strict=True))
+        assert math.isclose(got[i].ssim, max(0.0, whole), rel_tol=1e-9)
+        if min(x.shape[:2]) >= 64:
+            blocks = [[(u[t : t + 64, s : s + 64].ravel().tolist(), v[t : t + 64, s : s + 64].ravel().tolist()) for t in range(0, x.shape[0] - 63, 32) for s in range(0, x.shape[1] - 63, 32)] for u, v in zip(p, q, strict=True)]
+            means = [np.mean([plain_ssim(m, n, sum(m) / 4096, sum(n) / 4096) for m, n in channel]) for channel in blocks]
+            assert math.isclose(got[i].block_ssim, max(0.0, min(means)), rel_tol=1e-9, abs_tol=1e-12)
+        else:
+            assert got[i].block_ssim == got[i].ssim
+    assert got[3].block_ssim < 0.95 and got[4].block_ssim < 0.9
+    assert [got[i].error for i in (5, 6, 7)] == ["size_mismatch", "unreadable_picture", "unreadable_picture"] and got[6].mse is None
