@@ -6,16 +6,15 @@ after lower-casing A-Z only; ``bytes.lower().split()`` does exactly that.
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import gc
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components  # noqa: F401
+from ..operators.tables import dropped, shared_dir, written  # noqa: F401
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -60,90 +59,3 @@ def small_batches(spark: SparkSession, rows: int = 1000):
         yield
     finally:
         spark.conf.set(name, was)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only in local mode, where driver and executors are one process."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known:
-        return known.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="orrery-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.sparkContext.setCheckpointDir(f"file://{made}")
-    return f"file://{made}"
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone; the folder's owner cleans up
-        pass
-
-
-def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back.
-
-    Unlike a cache this survives lost executors.  :func:`dropped` frees the
-    files of an intermediate; what a returned frame still reads stays in the
-    folder, which belongs to the application.  ``rows_a_file`` keeps files
-    with very large rows short, since readers hold a file's rows in batches.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/orrery-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._orrery_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete the files behind a frame made by :func:`written`."""
-    path = getattr(df, "_orrery_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an undirected edge list.
-
-    Returns (node, component), component being the smallest node reachable.
-    Alternates big-star and small-star steps; each step is a ``min`` with
-    map-side combining and a join, so a node with very many neighbours is
-    never gathered in one task.  The edge list only ever shrinks to one row a
-    node, lineage is cut by writing to the shared folder each round, and the
-    driver sees counts only.
-    """
-    spark = edges.sparkSession
-    e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = written(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    last = None
-    while True:
-        # big star: every larger neighbour of u, and u, point to u's smallest neighbour
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("n")).select("u", F.least("u", "n").alias("m"))
-        big = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: smaller neighbours, and u, point to the smallest
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = written(small)
-        sums = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(38,0)"))).first()
-        dropped(e)
-        e = after
-        if tuple(sums) == last or not sums[0]:
-            break
-        last = tuple(sums)
-    out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    out = out.union(out.select(F.col("component").alias("node"), "component")).distinct()
-    return out

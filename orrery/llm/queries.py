@@ -18,10 +18,18 @@ _OPERATORS = {
 }
 
 
+NAMES = list(_OPERATORS)
+
+
+def query(name: str):
+    """(callable, SQL or None) of a name; imports the operator's module."""
+    module = importlib.import_module(f"{__package__}.{_OPERATORS[name]}")
+    return getattr(module, name), getattr(module, "ORACLE_SQL", {}).get(name)
+
+
 def queries() -> dict:
-    return {name: getattr(importlib.import_module(f"{__package__}.{module}"), name) for name, module in _OPERATORS.items()}
+    return {name: query(name)[0] for name in NAMES}
 
 
 def oracle_sql() -> dict[str, str]:
-    found = (importlib.import_module(f"{__package__}.{module}") for module in dict.fromkeys(_OPERATORS.values()))
-    return {name: sql for m in found for name, sql in getattr(m, "ORACLE_SQL", {}).items()}
+    return {name: sql for name in NAMES if (sql := query(name)[1])}

@@ -58,8 +58,10 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_jaccard_components_equal_brute_force(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "known", "frequent"), [(1, jaccard.KNOWN_IDS, jaccard.FREQUENT), (2, 0, 3)])
+def test_jaccard_components_equal_brute_force(spark, seed, known, frequent, monkeypatch):
+    monkeypatch.setattr(jaccard, "KNOWN_IDS", known)
+    monkeypatch.setattr(jaccard, "FREQUENT", frequent)
     texts = corpus(seed)
     sets = [shingles(t) for t in texts]
     links = [(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if a and b and 100 * len(a & b) >= 75 * len(a | b)]

@@ -64,7 +64,8 @@ def greedy(word, initial, following):
     at, n = 0, 0
     while at < len(word) or not n:
         pieces = following if n else initial
-        end = next((e for e in range(len(word), at - (not n), -1) if word[at:e] in pieces), None)
+        longest = max(map(len, pieces), default=0)
+        end = next((e for e in range(min(len(word), at + longest), at - (not n), -1) if word[at:e] in pieces), None)
         if end is None or (n and end == at):
             return -1
         at, n = end, n + 1
@@ -84,12 +85,12 @@ def test_automaton_equals_greedy_matching():
 
 def test_token_counts(spark):
     vocab = token_counts.vocabulary(MODEL)
-    df = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
-    for r in token_counts.count_tokens(df, MODEL).join(df, "doc_id").collect():
+    odd = [*ODD, "ing" * 900 + " x", "thequickbrown" * 40, "é梦" * 300 + "the"]
+    df = spark.createDataFrame([(i, t, -1, "x") for i, t in enumerate(odd)], "doc_id long, text string, n_words int, n_tokens string")
+    for r in token_counts.count_tokens(df, MODEL).join(df.select("doc_id", "text"), "doc_id").collect():
         ws = [w.decode() for w in (r.text or "").encode().split()]
-        n = [greedy(w, *vocab) for w in ws if len(w) < 100]
-        if len(n) == len(ws):
-            assert (r.n_words, r.n_tokens, r.n_unknown) == (len(ws), sum(1 if k < 0 else k for k in n), n.count(-1))
+        n = [greedy(w, *vocab) for w in ws]
+        assert (r.n_words, r.n_tokens, r.n_unknown) == (len(ws), sum(1 if k < 0 else k for k in n), n.count(-1))
 
 
 def test_quality_held_out(spark):
@@ -123,6 +124,38 @@ def test_flattened_trees_equal_walking():
         assert abs(s - 1 / (1 + math.exp(-total))) < 1e-12
 
 
+def test_splits_equal_exhaustive_search():
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(200, 5)), 1)  # ties in every feature
+    y = (x[:, 2] + 0.5 * x[:, 0] * (x[:, 1] > 0) + rng.normal(size=200) * 0.3 > 0).astype(float)
+    f = quality.grow(x, y, trees=3, depth=3, rate=0.2, bins=64, penalty=1.0)
+    total = np.full(200, f.start)
+    assert math.isclose(f.start, math.log((y.sum() + 0.5) / (201 - y.sum() - 0.5)))
+    for t in range(3):
+        p = 1 / (1 + np.exp(-total))
+        g, h = p - y, p * (1 - p)
+        node = np.zeros(200, int)
+        for k in range(7):
+            own = node == k
+            if not own.any():
+                continue
+            score = lambda part: g[part].sum() ** 2 / (h[part].sum() + 1.0)
+            gains = {(0, math.inf): 0.0}
+            for feature in range(5):
+                for cut in np.unique(np.quantile(x[:, feature], np.linspace(0, 1, 65)[1:-1])):
+                    left, right = own & (x[:, feature] <= cut), own & (x[:, feature] > cut)
+                    if h[left].sum() >= 1 and h[right].sum() >= 1:
+                        gains[feature, cut] = score(left) + score(right) - score(own)
+            chosen = gains.get((int(f.feature[t, k]), float(f.cut[t, k])), None)
+            assert chosen is not None and math.isclose(chosen, max(gains.values()), rel_tol=1e-9, abs_tol=1e-6)
+            node = np.where(own, 2 * k + 1 + (x[:, f.feature[t, k]] > f.cut[t, k]), node)
+        for leaf in range(8):
+            own = node == 7 + leaf
+            if own.any():
+                assert math.isclose(f.leaf[t, leaf], -0.2 * g[own].sum() / (h[own].sum() + 1.0), rel_tol=1e-9, abs_tol=1e-12)
+        total += f.leaf[t, node - 7]
+
+
 def test_marginal_likelihood_equals_enumeration():
     lat = language_id.lattice(MODEL)
     prob = np.random.default_rng(1).dirichlet(np.ones(lat.size), 2).T.copy()
