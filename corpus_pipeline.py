@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import jaccard, language_id, mixing, quality
-from orrery.llm.common import remainder, table, written
+from orrery.llm.common import dropped, remainder, table, written
 from orrery.llm.sentencepiece_codec import encode_digests
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -57,8 +57,8 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        kept = written(stage(spark, docs, sf_dir))
+        dropped(docs)  # what the stage before wrote
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
