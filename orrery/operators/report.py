@@ -48,3 +48,15 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 def media_readiness(checks: DataFrame, ok: str, required: str) -> DataFrame:
     return checks.agg(F.coalesce(F.every(F.col(ok) | ~F.col(required)), F.lit(True)).alias("ready"), F.count("*").alias("checks"))
+
+
+def plan_counts(plans: DataFrame, by: list[str], command: str, size: str, out: str) -> DataFrame:
+    """How many plans change something and how many keep, and the bytes after over those before."""
+    keep = F.col(command) == "keep"
+    return plans.groupBy(*by).agg(F.count_if(~keep).alias("actionable"), F.count_if(keep).alias("keep"), (F.sum(out).cast("double") / F.nullif(F.sum(size), F.lit(0))).alias("ratio"))
+
+
+def embedded_counts(images: DataFrame, document: str, reference: str, order: str, replaced: str) -> DataFrame:
+    """(document, processed, replaced, skipped): an embedded picture counts once, by its first placement."""
+    once = images.groupBy(document, reference).agg(F.min_by(replaced, order).alias("_done"))
+    return once.groupBy(document).agg(F.count("*").alias("processed"), F.count_if("_done").alias("replaced"), F.count_if(~F.col("_done")).alias("skipped"))

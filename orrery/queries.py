@@ -694,3 +694,4 @@ def windowed_events(spark, sf):
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 6)})
 
 from . import queries_rules  # noqa: E402, F401  (adds its queries)
+from . import queries_requests  # noqa: E402, F401
