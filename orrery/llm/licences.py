@@ -60,10 +60,6 @@ EXPLAINED = 0.5  # share of a licence file's words that are in what matched
 FILE_NAME = "(?i)^(un)?licen[cs]e([-_.][^/]*)?$|^copying([-_.][^/]*)?$|^copyright([-_.][^/]*)?$"
 
 
-def _values() -> str:
-    return ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
-
-
 def _low(col):
     return F.translate(col, UPPER, UPPER.lower())
 
@@ -168,29 +164,54 @@ def op4_licences(spark, sf_dir: str) -> DataFrame:
 
 
 _LOW = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-ORACLE_SQL = {
-    "op4_licences": f"""
-    WITH t(tid, name, body) AS (VALUES {_values()}),
-    term AS (SELECT tid, name, unnest(regexp_extract_all({_LOW.replace("text", "body")}, '{TERM}')) term FROM t),
-    tf AS (SELECT tid, name, term, count(*) tf FROM term GROUP BY ALL),
-    idf AS (SELECT term, ln({1 + len(TEMPLATES)}.0 / (1 + count(*))) + 1 idf FROM tf GROUP BY term),
-    w AS (SELECT tid, name, term, tf * idf w FROM tf JOIN idf USING (term)),
-    tw AS (SELECT tid, name, term, w / sqrt(sum(w * w) OVER (PARTITION BY tid)) tw FROM w),
-    e AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN source WHEN doc_id % 10 = 1 THEN concat_ws('/', source, lang) ELSE concat_ws('/', source, lang, (doc_id // 100)::VARCHAR) END folder FROM documents),
+_LENGTH = "len(regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+'))"
+
+
+def _cosines(kind: int, templates: list[tuple[str, str]]) -> str:
+    """Common table expressions from u{kind} (doc_id, no, line, known) to m{kind} (doc_id, no, score, tid, name)."""
+    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(templates))
+    n = 1 + len(templates)
+    return f"""
+    t{kind}(tid, name, body) AS (VALUES {values}),
+    f{kind} AS (SELECT tid, name, term, count(*) tf FROM (SELECT tid, name, unnest(regexp_extract_all({_LOW.replace("text", "body")}, '{TERM}')) term FROM t{kind}) GROUP BY ALL),
+    i{kind} AS (SELECT term, ln({n}.0 / (1 + count(*))) + 1 idf FROM f{kind} GROUP BY term),
+    w{kind} AS (SELECT tid, name, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY tid)) tw FROM f{kind} JOIN i{kind} USING (term)),
+    o{kind} AS (SELECT doc_id, no, known, term, tf * coalesce(idf, ln({n}.0) + 1) w FROM (
+      SELECT doc_id, no, known, term, count(*) tf FROM (SELECT doc_id, no, known, unnest(regexp_extract_all(line, '{TERM}')) term FROM u{kind}) GROUP BY ALL) LEFT JOIN i{kind} USING (term)),
+    n{kind} AS (SELECT doc_id, no, sqrt(sum(w * w)) ln FROM o{kind} GROUP BY ALL),
+    m{kind} AS (SELECT doc_id, no, round(dot / ln, 6) score, tid, name FROM (
+      SELECT doc_id, no, tid, name, sum(w * tw) dot FROM o{kind} JOIN w{kind} USING (term) WHERE NOT known OR tid >= {len(TEMPLATES)} GROUP BY ALL) JOIN n{kind} USING (doc_id, no) WHERE round(dot / ln, 6) >= {LEAST}),"""
+
+
+def _oracle() -> str:
+    sep = "chr(1)"
+    plain = f"regexp_replace(low, '(?m)^[ \\t]*(?://+|/\\*+|\\*+/?|#+|;+|--+|%+|<!--|>+)[ \\t]*', '', 'g')"
+    plain = f"regexp_replace({plain}, '(?m)(copyright)(?: *(?:\\(c\\)|©))?[ ,]*[0-9]{{4}}(?:[ ,-]+[0-9]{{4}})*[^.\\n]*?(\\.? *all rights reserved|\\.|$)', '\\1\\2', 'g')"
+    plain = f"regexp_replace({plain}, '(?m)^(.*spdx-license-identifier:.*)$', chr(10) || chr(10) || '\\1' || chr(10) || chr(10), 'g')"
+    cut = f"regexp_replace(regexp_replace(regexp_replace({plain}, '([.!?])\\s+', '\\1' || {sep}, 'g'), '\\bv\\.' || {sep}, 'v. ', 'g'), '\\n[ \\t]*\\n\\s*', {sep}, 'g')"
+    spaces = "trim(regexp_replace(x, '\\s+', ' ', 'g'))"
+    return f"""
+    WITH e AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN source WHEN doc_id % 10 = 1 THEN concat_ws('/', source, lang) ELSE concat_ws('/', source, lang, (doc_id // 100)::VARCHAR) END folder FROM documents),
     d AS (SELECT doc_id, text, folder, concat_ws('/', folder, doc_id::VARCHAR) path FROM e),
-    l AS (SELECT doc_id, unnest(lines) line, generate_subscripts(lines, 1) no
-          FROM (SELECT doc_id, list_filter(string_split({_LOW}, chr(10)), lambda x: regexp_matches(x, '{TRIGGER}')) lines FROM d)),
-    ot AS (SELECT doc_id, no, term, count(*) tf FROM (SELECT doc_id, no, unnest(regexp_extract_all(line, '{TERM}')) term FROM l) GROUP BY ALL),
-    ow AS (SELECT doc_id, no, term, tf * coalesce(idf, ln({1 + len(TEMPLATES)}.0) + 1) w FROM ot LEFT JOIN idf USING (term)),
-    ln AS (SELECT doc_id, no, sqrt(sum(w * w)) ln FROM ow GROUP BY ALL),
-    dot AS (SELECT doc_id, no, tid, name, sum(w * tw) dot FROM ow JOIN tw USING (term) GROUP BY ALL),
-    m AS (SELECT doc_id, name, tid, round(dot / ln, 6) score FROM dot JOIN ln USING (doc_id, no) WHERE round(dot / ln, 6) >= {LEAST}),
-    own AS (SELECT doc_id, name licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, tid) k FROM m) WHERE k = 1),
-    x AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) words FROM l WHERE (doc_id, no) IN (SELECT (doc_id, no) FROM dot JOIN ln USING (doc_id, no) WHERE round(dot / ln, 6) >= {LEAST}) GROUP BY doc_id),
+    b AS (SELECT doc_id, {_LOW} low FROM documents WHERE regexp_matches({_LOW}, '{TRIGGER}')),
+    l AS (SELECT doc_id, list_filter(string_split(low, chr(10)), lambda x: regexp_matches(x, '{TRIGGER}')) lines,
+      list_transform(list_filter(string_split({cut}, {sep}), lambda x: trim(x) <> ''), lambda x: {spaces}) cut FROM b),
+    p AS (SELECT *, list_filter(generate_series(1, len(cut)), lambda i: regexp_matches(cut[i], '{TRIGGER}')) hits FROM l),
+    r AS (SELECT doc_id, lines, list_distinct(flatten(list_transform(hits, lambda i: flatten(list_transform(generate_series(1, {SPAN}), lambda k:
+      list_transform(list_filter(generate_series(0, k - 1), lambda y: i - y >= 1 AND i - y + k - 1 <= len(cut)), lambda y: array_to_string(cut[i - y : i - y + k - 1], ' '))))))) runs FROM p),
+    u0 AS (SELECT doc_id, unnest(lines) line, generate_subscripts(lines, 1) no, false known FROM l),
+    u1 AS (SELECT doc_id, line, no, list_contains(list_transform(lines, lambda x: {spaces}), line) known FROM (SELECT doc_id, lines, unnest(runs) line, generate_subscripts(runs, 1) no FROM r)),
+    {_cosines(0, TEMPLATES)}
+    {_cosines(1, TEMPLATES + HEADERS)}
+    own AS (SELECT doc_id, name licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, tid) k FROM (SELECT doc_id, score, tid, name FROM m0 UNION ALL SELECT doc_id, score, tid, name FROM m1)) WHERE k = 1),
+    x AS (SELECT doc_id, max(words) words FROM (
+      SELECT doc_id, sum({_LENGTH.format("line")}) words FROM u0 SEMI JOIN m0 USING (doc_id, no) GROUP BY doc_id UNION ALL SELECT doc_id, max({_LENGTH.format("line")}) FROM u1 SEMI JOIN m1 USING (doc_id, no) GROUP BY doc_id) GROUP BY doc_id),
     c AS (SELECT folder, licence given FROM (
             SELECT folder, licence, row_number() OVER (PARTITION BY folder ORDER BY score DESC, doc_id) k
-            FROM d JOIN own USING (doc_id) JOIN x USING (doc_id) WHERE words >= {EXPLAINED} * len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'))) WHERE k = 1),
+            FROM d JOIN own USING (doc_id) JOIN x USING (doc_id) WHERE words >= {EXPLAINED} * {_LENGTH.format("text")}) WHERE k = 1),
     n AS (SELECT DISTINCT ON (doc_id) doc_id, given FROM d JOIN c ON d.folder = c.folder OR starts_with(d.folder, c.folder || '/') ORDER BY doc_id, length(c.folder) DESC)
     SELECT doc_id, path, licence, score, CASE WHEN licence IS NULL THEN given END inherited, coalesce(licence, given) effective
     FROM d LEFT JOIN own USING (doc_id) LEFT JOIN n USING (doc_id)"""
-}
+
+
+ORACLE_SQL = {"op4_licences": _oracle()}
