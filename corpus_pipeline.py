@@ -24,11 +24,15 @@ def classify(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.score(docs, forest, out="_score").where(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
 
 
+#: A language is told if it is likelier than all the others together.
+CERTAIN = 0.5
+
+
 def identify(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents whose language can be told: with letters, and of a posterior of CERTAIN at least."""
     held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
     model = language_id.train(docs.where(~held), MODEL)
-    return language_id.predict(docs, model, pred="_pred", score="_score").where(F.col("_pred") != language_id.UNDETERMINED).select(*docs.columns)
+    return language_id.predict(docs, model, pred="_pred", score="_score").where((F.col("_pred") != language_id.UNDETERMINED) & (F.col("_score") >= CERTAIN)).select(*docs.columns)
 
 
 def deduplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
