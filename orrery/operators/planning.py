@@ -242,3 +242,46 @@ def concat_normal_form(df: DataFrame, group: str, w: str, h: str, fps: str, audi
 def ordered_concat(df: DataFrame, group: str, order: str, value: str, separator: str = "\n") -> DataFrame:
     """Each group's values joined in order."""
     return df.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]), separator).alias("joined"), F.count("*").alias("parts"))
+
+
+def best_of_ladder(documents: DataFrame, candidates: DataFrame, key: str, size: str, budget: str, quality: str, out: str, highest: int = 95, lowest: int = 20) -> DataFrame:
+    """(key, outcome, quality, bytes, error): a document that fits is copied; else the lossless candidate (null quality) if it fits, else the highest quality that does.
+
+    Sizes need not fall with the quality, so every candidate counts.
+    """
+    fits = F.col(out) <= F.col(budget)
+    tried = candidates.where(F.col(quality).isNull() | F.col(quality).between(lowest, highest)).join(documents.select(key, budget), key)
+    got = tried.groupBy(key).agg(
+        F.min(F.when(F.col(quality).isNull() & fits, F.col(out))).alias("_plain"), F.max(F.when(F.col(quality).isNotNull() & fits, F.struct(F.col(quality).alias("q"), F.col(out).alias("b")))).alias("_best"), F.min(out).alias("_least"),
+    )
+    rows = documents.join(got, key, "left")
+    copied = F.col(size) <= F.col(budget)
+    outcome = F.when(F.col(budget) <= 0, "").when(copied, "copied").when(F.col("_plain").isNotNull(), "lossless").when(F.col("_best").isNotNull(), F.concat(F.lit("image_quality_"), F.col("_best.q").cast("string"))).otherwise("")
+    error = F.when(F.col(budget) <= 0, "target_size_must_be_positive").when(outcome != "", "").otherwise("target_size_unreachable")
+    took = F.when(outcome == "copied", F.col(size)).when(outcome == "lossless", F.col("_plain")).when(outcome != "", F.col("_best.b"))
+    return rows.select(key, outcome.alias("outcome"), F.when(F.startswith(outcome, F.lit("image")), F.col("_best.q")).alias(quality), took.alias("bytes"), error.alias("error"))
+
+
+def recommended_flags(estimates: DataFrame, key: str, name: str, winner: str) -> DataFrame:
+    """``estimates`` with whether a row is its group's winner."""
+    return estimates.withColumn("recommended", F.coalesce(F.col(name) == F.col(winner), F.lit(False)))
+
+
+def declared_pixels(tasks: DataFrame, ordinal: str, w: str, h: str, sampled: int = 64) -> DataFrame:
+    """(pixels): the most declared pixels among the first tasks; headers that couldn't be read (null) are passed over, null if all are."""
+    first = tasks.orderBy(ordinal).limit(sampled)
+    return first.agg(F.max(F.col(w).cast("long") * F.col(h)).alias("pixels"))
+
+
+def zipped(tasks: DataFrame, results: DataFrame, ordinal: str) -> DataFrame:
+    """Tasks with the results of the same position; a task without one has an error, results without a task are left out."""
+    out = tasks.join(results.withColumn("_there", F.lit(True)), ordinal, "left")
+    return out.withColumn("missing", F.when(F.col("_there").isNull(), "result_missing").otherwise("")).drop("_there")
+
+
+def differing_semantics(source: DataFrame, candidate: DataFrame, key: str, aspects: list[str]) -> DataFrame:
+    """(key, warnings): the sorted aspects in which two documents' snapshots differ; documents without a counterpart differ in all."""
+    a, b = source.select(key, *(F.col(c).alias(f"_a_{c}") for c in aspects)), candidate.select(key, *(F.col(c).alias(f"_b_{c}") for c in aspects), F.lit(True).alias("_there"))
+    both = a.join(b, key, "left")
+    changed = F.array(*(F.when(F.col("_there").isNull() | ~F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")), F.lit(f"{c}_changed")) for c in aspects))
+    return both.select(key, F.array_sort(F.filter(changed, lambda c: c.isNotNull())).alias("warnings"))

@@ -60,3 +60,36 @@ def embedded_counts(images: DataFrame, document: str, reference: str, order: str
     """(document, processed, replaced, skipped): an embedded picture counts once, by its first placement."""
     once = images.groupBy(document, reference).agg(F.min_by(replaced, order).alias("_done"))
     return once.groupBy(document).agg(F.count("*").alias("processed"), F.count_if("_done").alias("replaced"), F.count_if(~F.col("_done")).alias("skipped"))
+
+
+# -- records as they go over the wire --------------------------------------------
+
+
+def hash_records(files: DataFrame, path: str, algorithm: str, digest: str, size: str, error: str) -> DataFrame:
+    """(path, algorithm, digest, size_bytes, error)."""
+    return files.select(F.col(path).alias("path"), F.lit(algorithm).alias("algorithm"), F.col(digest).alias("digest"), F.col(size).cast("long").alias("size_bytes"), F.coalesce(F.col(error), F.lit("")).alias("error"))
+
+
+def inventory_records(pictures: DataFrame, path: str, digest: str, size: str, tags: str, error: str) -> DataFrame:
+    """A picture's record: digest, size, format, dimensions, mode, alpha, frames, and the names of tags that tell about someone, without the tags."""
+    from ..sources.files import sensitive_keys
+
+    kept = [c for c in ("format", "width", "height", "mode", "has_alpha", "frame_count") if c in pictures.columns]
+    told = F.coalesce(sensitive_keys(F.col(tags)), F.array().cast("array<string>"))
+    return pictures.select(F.col(path).alias("path"), F.col(digest).alias("sha256"), F.col(size).cast("long").alias("size_bytes"), *kept, told.alias("sensitive_exif_keys"), F.coalesce(F.col(error), F.lit("")).alias("error"))
+
+
+def prepared_records(results: DataFrame, source: str, target: str, success: str, skipped: str, size: str, out: str, error: str) -> DataFrame:
+    """(input, output, ok, skipped, input_bytes, output_bytes, error); what was skipped is fine."""
+    skip = F.coalesce(F.col(skipped), F.lit(False))
+    return results.select(
+        F.col(source).alias("input"), F.col(target).alias("output"), (F.coalesce(F.col(success), F.lit(False)) | skip).alias("ok"), skip.alias("skipped"),
+        F.coalesce(F.col(size), F.lit(0)).cast("long").alias("input_bytes"), F.coalesce(F.col(out), F.lit(0)).cast("long").alias("output_bytes"), F.coalesce(F.col(error), F.lit("")).alias("error"),
+    )
+
+
+def tool_list(spark: SparkSession) -> DataFrame:
+    """(name, inputSchema, annotations) of all commands as tools: one array of texts, and what the command does to files."""
+    schema = F.to_json(F.struct(F.lit("object").alias("type"), F.struct(F.struct(F.lit("array").alias("type"), F.struct(F.lit("string").alias("type")).alias("items")).alias("args")).alias("properties"), F.lit(False).alias("additionalProperties")))
+    notes = F.struct(F.col("read_only").alias("readOnlyHint"), F.col("destructive").alias("destructiveHint"), F.col("idempotent").alias("idempotentHint"))
+    return catalogue(spark).select(F.col("tool").alias("name"), schema.alias("inputSchema"), notes.alias("annotations"))
