@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from .functions import scalars as S
 from .operators import compare as C
 from .operators import dedup as D
 from .operators import planning as P
+from .operators.tables import shared_dir
 from .plans import arguments as A
 from .plans import documents as PD
 from .sources import files as SRC
@@ -693,6 +695,16 @@ def windowed_events(spark, sf):
     out = ST.windowed_counts(t(spark, sf, "events"), "ts", "event_type", "value")
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 6)})
 
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_file_arrival(spark, sf):
+    folder = f"{shared_dir(spark)}/orrery-stream-{uuid.uuid4().hex}"
+    stream = ST.table_arrivals(spark, sf, "events.parquet", t(spark, sf, "events").schema)
+    for _ in range(2):  # the second run finds nothing new
+        ST.run_once(stream.select("event_type", "value"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
 from . import queries_rules  # noqa: E402, F401  (adds its queries)
 from . import queries_requests  # noqa: E402, F401
 from . import queries_records  # noqa: E402, F401

@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def arrivals(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of the files that arrive in a folder, each path once."""
+    """A stream of the files that arrive in a folder, each path once: the checkpoint remembers the files, so the stream needs no state."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    return spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").load(folder).dropDuplicates(["path"])
+    return spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+
+
+def table_arrivals(spark: SparkSession, folder: str, pattern: str, schema) -> DataFrame:
+    """A stream of the Parquet files of a folder whose names match a pattern."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
 def run_once(stream: DataFrame, target: str, checkpoint: str) -> None:
