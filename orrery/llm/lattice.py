@@ -144,22 +144,16 @@ def _place(df: DataFrame) -> DataFrame:
 def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
     """(id, links, low) of the vectors in each tile; rows of a tile are neighbours in sorted order."""
 
-    def compare(t: pd.DataFrame, first: int) -> pd.DataFrame | None:
-        length = t["vec"].map(len)
-        if length.nunique() > 1:  # vectors of different lengths have no cosine: each length by itself
-            found = [got for _, part in t.groupby(length) if len(part) > 1 and (got := compare(part, first)) is not None]
-            return pd.concat(found) if found else None
-        x = np.array(t["vec"].tolist(), float)
-        x /= np.abs(x).max(axis=1, keepdims=True)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        side = t["side"].to_numpy()
+    def compare(x: np.ndarray, ids: np.ndarray, side: np.ndarray, weight: np.ndarray, cell: int, table: int, first: bool) -> pd.DataFrame | None:
         near = x @ x.T >= threshold
-        near &= side[:, None] != side[None, :] if first else np.ones_like(near)
+        if near.sum() <= len(x):  # each is near itself
+            return None
+        if first:
+            near &= side[:, None] != side[None, :]
         np.fill_diagonal(near, False)
         i, j = np.nonzero(np.triu(near))
         if not len(i):
             return None
-        ids, cell, table = t["id"].to_numpy(np.int64), t["cell"].iloc[0], int(t["table"].iloc[0])
         some = np.union1d(i, j)  # only linked vectors' cells are needed again
         tried = np.empty((len(x), TABLES, PROBES**2), np.int64)
         tried[some] = cells(x[some])
@@ -175,8 +169,7 @@ def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
         i, j = i[good], j[good]
         if not len(i):
             return None
-        weight = t["copies"].to_numpy(np.int64)
-        links = np.bincount(i, weight[j], len(t)) + np.bincount(j, weight[i], len(t))
+        links = np.bincount(i, weight[j], len(x)) + np.bincount(j, weight[i], len(x))
         label = ids.copy()
         while True:
             before = label.copy()
@@ -187,19 +180,38 @@ def _tiles(rows: DataFrame, threshold: float) -> DataFrame:
         keep = links > 0
         return pd.DataFrame({"id": ids[keep], "links": links[keep].astype(np.int64), "low": label[keep]})
 
+    def units(vectors: list) -> np.ndarray:
+        x = np.array(vectors, float)
+        x /= np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def tiles(batch: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The tiles between cuts; columns become arrays once a batch, since most tiles are a few rows."""
+        key, ids, side, copies = batch[["table", "cell", "ti", "tj"]].to_numpy(np.int64), *(batch[c].to_numpy(np.int64) for c in ("id", "side", "copies"))
+        vectors, length = batch["vec"].tolist(), batch["vec"].map(len).to_numpy()
+        alike = len(length) > 0 and (length == length[0]).all()
+        unit = units(vectors) if alike else None
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a < 2:
+                continue
+            table, cell, ti, tj = key[a].tolist()
+            # vectors of different lengths have no cosine: each length by itself
+            for at in [np.arange(a, b)] if alike else [a + np.flatnonzero(length[a:b] == n) for n in np.unique(length[a:b])]:
+                if len(at) > 1:
+                    x = unit[a:b] if alike else units([vectors[k] for k in at])
+                    if (got := compare(x, ids[at], side[at], copies[at], cell, table, tj > ti)) is not None:
+                        yield got
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for batch in batches:
             batch = batch if held is None else pd.concat((held, batch), ignore_index=True)
-            tile = batch[["table", "cell", "ti", "tj", "label"]]
-            new = (tile != tile.shift()).any(axis=1).to_numpy()
-            cuts = np.flatnonzero(new)
+            at, label = batch[["table", "cell", "ti", "tj"]].to_numpy(np.int64), batch["label"].to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero((at[1:] != at[:-1]).any(axis=1) | (label[1:] != label[:-1])) + 1))
             held = batch.iloc[cuts[-1] :]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a > 1 and (got := compare(batch.iloc[a:b], int(batch["tj"].iat[a] > batch["ti"].iat[a]))) is not None:
-                    yield got
-        if held is not None and len(held) > 1 and (got := compare(held, int(held["tj"].iat[0] > held["ti"].iat[0]))) is not None:
-            yield got
+            yield from tiles(batch, cuts)
+        if held is not None:
+            yield from tiles(held, np.array([0, len(held)]))
 
     return rows.mapInPandas(run, "id long, links long, low long")
 
