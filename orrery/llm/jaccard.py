@@ -192,7 +192,7 @@ def _measure(rows: DataFrame, bits: int) -> DataFrame:
             cuts = np.flatnonzero(np.concatenate((part[:1] >= 0, part[1:] != part[:-1])))
             gaps = np.diff(value, prepend=0)
             gaps[cuts] = value[cuts]
-            ends = [*cuts[1:].tolist(), len(part)]
+            ends = [*cuts[1:].tolist(), len(part)][: len(cuts)]  # none if no set has a feature in the sieve's share
             loads = [_planes(gaps[a:b], "<u4") + _planes(who[a:b], "<u2") for a, b in zip(cuts.tolist(), ends, strict=True)]
             n = len(docs)
             none = [None] * len(loads)

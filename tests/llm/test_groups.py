@@ -153,6 +153,8 @@ def test_jaccard_edges(spark):
     got = sorted(map(tuple, jaccard.near_duplicates(df).collect()), key=repr)
     assert got == sorted([(3, 2, 3), (3, 2, 3), (None, 2, None), (9, 2, 3)], key=repr)
     assert jaccard.near_duplicates(df.limit(0)).count() == 0
+    blank = spark.createDataFrame([(1, None), (1, None), (2, "")], "doc_id long, text string").coalesce(1)  # a block without features
+    assert sorted(map(tuple, jaccard.near_duplicates(blank).collect())) == [(1, 0, 1), (1, 0, 1), (2, 0, 2)]
 
 
 def test_e8():
@@ -254,6 +256,8 @@ def test_dual_tree_prunes_clusters_and_is_no_dearer_than_a_product_elsewhere():
     s = cover_tree.Search(q, ids[::10], p, ids, 5)
     assert s.scored < 0.2 * len(q) * len(p)
     assert sorted(zip(ids[::10][s.who].tolist(), s.row.tolist(), s.top.astype(int).tolist(), strict=True)) == plain_best(q[:], ids[::10], p, ids, 5)
+    nothing = cover_tree.Search(q, ids[::10], p, ids, 5, floor=np.full(len(q), 1e15))
+    assert nothing.scored == 0 and not len(nothing.who)
     p = np.floor(rng.normal(size=(3000, 32)) * 1000)
     assert cover_tree.Search(p[::10], ids[:3000:10], p, ids[:3000], 5).scored <= 1.05 * 300 * 3000
 
