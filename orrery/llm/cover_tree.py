@@ -153,6 +153,8 @@ class Search:
             i, j, left = np.repeat(i, many), np.repeat(j, many), np.repeat(left, many)
             i, j = np.where(left, a.first[i] + number, i), np.where(left, j, b.first[j] + number)
         i, j, bound = (np.concatenate(x) for x in zip(*leaves, strict=True))
+        if not len(i):  # nothing here reaches the floors
+            return
         order = np.lexsort((-bound, i))  # a query leaf's most promising leaves come first
         i, j, bound = i[order], j[order], bound[order]
         cuts = np.flatnonzero(np.concatenate((i[:1] >= 0, i[1:] != i[:-1])))
