@@ -7,6 +7,7 @@ after lower-casing A-Z only; ``bytes.lower().split()`` does exactly that.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Give memory that is free again back to the system: Python workers live on between tasks and stages."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 @contextlib.contextmanager
 def no_collections():
     """No garbage collections while a task makes many objects and no cycles; later tasks of the worker have them again."""
@@ -47,6 +58,7 @@ def no_collections():
     finally:
         if was:
             gc.enable()
+        release()
 
 
 @contextlib.contextmanager

@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, dropped, small_batches, table, words, written
+from .common import components, dropped, release, small_batches, table, words, written
 
 WORDS = 5
 PERCENT = 75  # links: 100 * intersection >= PERCENT * union; the bounds below are those of 75
@@ -218,6 +218,8 @@ def _measure(rows: DataFrame, bits: int) -> DataFrame:
                     docs, held, seen, size, made = [], [], {}, 0, made + 1
         if docs:
             yield block()
+        del docs, held, seen
+        release()
 
     return rows.mapInPandas(run, "slot long, id long, n long, k1 long, k2 long, alone long, part long, load binary")
 
@@ -297,6 +299,7 @@ def sliced(batches: Iterator[pd.DataFrame], column: str, limit: int = 2_000_000)
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit, side="right")))
             yield batch.iloc[a:b]
             a = b
+    release()
 
 
 # -- sets left by the sieve --------------------------------------------------------
