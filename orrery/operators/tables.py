@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -23,6 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+@contextlib.contextmanager
+def _shuffles_cleared(spark: SparkSession):
+    """What frames made inside have shuffled goes when their query ends: their result is kept, so nothing reads it again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back.
 
@@ -33,7 +46,8 @@ def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orrery-{uuid.uuid4().hex}"
-    df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
+    with _shuffles_cleared(spark):
+        df.select("*").write.option("maxRecordsPerFile", rows_a_file).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._orrery_path = path
     return out
