@@ -15,6 +15,9 @@ _OPERATORS = {
     "op8_quality": "quality",
     "op9_sentencepiece": "sentencepiece_codec",
     "op10_language_id": "language_id",
+    "op11_elkan": "elkan",
+    "op12_suffix_array": "suffix_array",
+    "op13_fill_middle": "fill_middle",
 }
 
 
