@@ -36,7 +36,7 @@ def _shuffles_cleared(spark: SparkSession):
         spark.conf.set(name, was)
 
 
-def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
+def written(df: DataFrame, rows_a_file: int = 0, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write to the shared folder and read back.
 
     Unlike a cache this survives lost executors.  :func:`dropped` frees the
@@ -47,7 +47,7 @@ def written(df: DataFrame, rows_a_file: int = 0) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/orrery-{uuid.uuid4().hex}"
     with _shuffles_cleared(spark):
-        df.select("*").write.option("maxRecordsPerFile", rows_a_file).parquet(path)
+        df.select("*").write.option("maxRecordsPerFile", rows_a_file).option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._orrery_path = path
     return out
