@@ -43,7 +43,7 @@ BLOCK = 1 << 20  # bytes of a block
 KEYS = 1 << 17  # keys of a bucket
 ROWS_A_FILE = 16  # blocks are large rows, and readers hold many
 LONGEST_RUN = 64
-SAMPLED_BLOCKS, SAMPLED_KEYS = 2000, 64  # of which the cuts between buckets are made
+SAMPLED_BLOCKS, SAMPLED_KEYS = 200, 1024  # of which the cuts between buckets are made
 BYTE_BITS, TRIPLE_BITS = 9, 25  # of a symbol: a byte or the end, and three of them
 
 U = np.uint64
@@ -120,21 +120,40 @@ def runs(a: np.ndarray, lens: np.ndarray, usable: np.ndarray, width: int, k: int
 
 
 def contents(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of stretches of at most a few hundred bytes."""
-    size = end - start
-    out = np.zeros(len(start), U)
-    for n in np.unique(size):  # few sizes
-        rows = np.flatnonzero(size == n)
-        h = np.zeros(len(rows), U)
-        for k in range(int(n)):
-            h = h * U(0xD6E8FEB86659FD93) + a[start[rows] + k].astype(U) + U(1)
-        out[rows] = _mixed(h ^ U(int(n)))
-    return out
+    """64-bit hashes of stretches: differences of running sums of bytes times powers, brought to one place."""
+    base, inverse = U(0xD6E8FEB86659FD93), U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+    up, down = np.full(len(a) + 1, base), np.full(len(a) + 1, inverse)
+    up[0] = down[0] = 1
+    np.multiply.accumulate(up, out=up)
+    np.multiply.accumulate(down, out=down)
+    sums = np.zeros(len(a) + 1, U)
+    np.cumsum((a.astype(U) + U(1)) * down[:-1], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * up[start] + (end - start).astype(U) * base)
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in as few bytes as they need."""
+    return x.astype(np.min_scalar_type(x.max())) if len(x) and x.dtype.kind == "u" else x
+
+
+def packed(columns: list[np.ndarray], bits: list[int]) -> tuple[list[np.ndarray], int]:
+    """Columns put together, in order, as long as they fit 64 bits; and how many bits the first one has."""
+    out, room, first = [], 0, None
+    for c, b in zip(columns, bits, strict=True):
+        if out and b <= room:
+            out[-1] = (out[-1] << U(b)) | c.astype(U)
+            room -= b
+        else:
+            if len(out) == 1:
+                first = 64 - room
+            out.append(c.astype(U))
+            room = 64 - b
+    return out, first if first is not None else 64 - room
 
 
 def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order, first of each distinct row in it, number of the distinct row of each row), rows in their order."""
-    order = np.lexsort(columns[::-1])
+    order = np.argsort(columns[0]) if len(columns) == 1 else np.lexsort(columns[::-1])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for c in columns:
@@ -145,18 +164,6 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return order, np.flatnonzero(new), number
 
 
-def _prefix(parts: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """The leading 64 bits of columns of the given numbers of bits, in order."""
-    out, room = np.zeros(len(parts[0][0]), U), 64
-    for c, bits in parts:
-        if room <= 0:
-            break
-        c = c.astype(U)
-        out |= c << U(room - bits) if bits <= room else c >> U(bits - room)
-        room -= bits
-    return out
-
-
 def _shifted(x: np.ndarray, lens: np.ndarray, k: int) -> np.ndarray:
     """What comes k places later in the same text, 0 past its end."""
     out = np.zeros_like(x)
@@ -177,8 +184,20 @@ def _sampled(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- blocks and buckets ---------------------------------------------------------------------------------------------
 
 
+COUNTS = ("lens", "offs", "rank", "place")  # of a state's arrays, those that are never negative
+
+
 def _kept(state: dict) -> bytes:
-    return pickle.dumps(state, 5)
+    """A block's state, without what a step has only noted for itself."""
+    return pickle.dumps({k: _small(v.astype(U)) if k in COUNTS else v for k, v in state.items() if k[0] != "_"}, 5)
+
+
+def _state(data: bytes) -> dict:
+    return {k: v.astype(np.int64) if k in COUNTS else v for k, v in pickle.loads(data).items()}
+
+
+def _sent(columns: list[np.ndarray]) -> bytes:
+    return pickle.dumps([_small(c) for c in columns], 5)
 
 
 class Given:
@@ -206,7 +225,7 @@ def exchange(state: DataFrame, ask: Callable, settle: Callable, take: Callable,
     ``ask(state)`` gives, per lane, (prefix, columns) of the keys a block has;
     ``settle(lane, columns)`` an answer for each of them and one number for
     the bucket; ``take(state, answers, buckets, given)`` the block's new
-    state.  ``hashed_keys``: about how many keys there are, where prefixes are
+    state, after another ``ask`` that may have left notes in the old one.  ``hashed_keys``: about how many keys there are, where prefixes are
     hashes; else the cuts between buckets come from a sample of the blocks.
     The driver holds the cuts and one number a bucket (of ``KEYS`` keys).
     """
@@ -219,12 +238,12 @@ def exchange(state: DataFrame, ask: Callable, settle: Callable, take: Callable,
         for batch in batches:
             for block, packed in zip(batch["block"], batch["state"], strict=True):
                 rows = []
-                for lane, (prefix, columns) in enumerate(ask(pickle.loads(packed))):
+                for lane, (prefix, columns) in enumerate(ask(_state(packed))):
                     order, bucket = _dealt(prefix, cuts[lane])
                     edges = np.searchsorted(bucket[order], np.arange(len(cuts[lane]) + 2))
                     for b in np.flatnonzero(np.diff(edges)):
                         at = order[edges[b] : edges[b + 1]]
-                        rows.append((block, lane, int(b), _kept([c[at] for c in columns]), 0))
+                        rows.append((block, lane, int(b), _sent([c[at] for c in columns]), 0))
                 if rows:
                     yield pd.DataFrame(rows, columns=["block", "lane", "bucket", "data", "number"])
             release()
@@ -234,32 +253,32 @@ def exchange(state: DataFrame, ask: Callable, settle: Callable, take: Callable,
         got, number = settle(int(key[0]), [np.concatenate(c) for c in zip(*parts, strict=True)])
         ends = np.cumsum([len(p[0]) for p in parts])
         out = rows[["block", "lane", "bucket"]].copy()
-        out["data"] = [_kept(x) for x in np.split(got, ends[:-1])]
+        out["data"] = [_sent([x]) for x in np.split(got, ends[:-1])]
         out["number"] = number
         return out
 
     asked = state.mapInPandas(send, TOLD)
-    told = written(asked.groupBy("lane", "bucket").applyInPandas(answer, TOLD))
+    told = written(asked.groupBy("lane", "bucket").applyInPandas(answer, TOLD), 0, "zstd")
     numbers = [np.zeros(len(c) + 1, np.int64) for c in cuts]
     for r in told.groupBy("lane", "bucket").agg(F.max("number").alias("n")).collect():
         numbers[r["lane"]][r["bucket"]] = r["n"]
     given = Given(cuts, numbers)
 
     def receive(key, own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        block = pickle.loads(own["state"].iloc[0])
+        block = _state(own["state"].iloc[0])
         answers, buckets = [], []
         for lane, (prefix, _) in enumerate(ask(block)):
             order, bucket = _dealt(prefix, cuts[lane])
             mine = rows[rows["lane"] == lane].sort_values("bucket")
-            parts = [pickle.loads(d) for d in mine["data"]]
-            got = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            back = np.empty(len(order), got.dtype)
+            parts = [pickle.loads(d)[0] for d in mine["data"]]
+            got = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+            back = np.empty(len(order), np.int64)
             back[order] = got
             answers.append(back)
             buckets.append(bucket)
         return pd.DataFrame({"block": [key[0]], "state": [_kept(take(block, answers, buckets, given))]})
 
-    out = written(state.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(receive, "block long, state binary"), ROWS_A_FILE)
+    out = written(state.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(receive, "block long, state binary"), ROWS_A_FILE, "zstd")
     dropped(told)
     return out
 
@@ -276,7 +295,7 @@ def _cuts(state: DataFrame, ask: Callable) -> list[np.ndarray]:
         for batch in batches:
             rows = []
             for packed in batch["state"]:
-                for lane, (prefix, _) in enumerate(ask(pickle.loads(packed))):
+                for lane, (prefix, _) in enumerate(ask(_state(packed))):
                     some = np.sort(prefix)[:: max(1, len(prefix) // SAMPLED_KEYS)]
                     rows.append((lane, len(prefix), some.tobytes()))
             yield pd.DataFrame(rows, columns=["lane", "n", "some"])
@@ -324,15 +343,14 @@ def blocks(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             yield row()
 
     own = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.col(key).isNull().alias("none"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("text"))
-    return written(own.mapInPandas(make, "block long, whole long, piece int, state binary"), ROWS_A_FILE)
+    return written(own.mapInPandas(make, "block long, whole long, piece int, state binary"), ROWS_A_FILE, "zstd")
 
 
 # -- the sieves -----------------------------------------------------------------------------------------------------
 
 
-def _sieve(width: int):
+def _sieve(width: int, k: int):
     """Runs whose name two documents have: a text of them, and where it was."""
-    k = (width + 1) // 2
 
     def own(s: dict):
         a = np.frombuffer(s["text"], np.uint8)
@@ -349,17 +367,17 @@ def _sieve(width: int):
         return start, end, n[new], several, back
 
     def ask(s: dict):
-        _, _, name, several, _ = own(s)
+        s["_own"] = start, end, name, several, back = own(s)
         return [(name, [name.astype(np.uint32), several])]
 
     def settle(_, columns):
         _, number, count = np.unique(columns[0], return_inverse=True, return_counts=True)
         met = count >= 2
         met[number[columns[1]]] = True
-        return met[number], 0
+        return met[number].astype(np.uint8), 0
 
     def take(s: dict, answers, buckets, given):
-        start, end, _, _, back = own(s)
+        start, end, _, _, back = s["_own"]
         live = answers[0][back].astype(bool) if len(start) else np.zeros(0, bool)
         return _cut(np.frombuffer(s["text"], np.uint8), s["lens"], s["ids"], np.zeros(len(s["lens"]), np.int64), start[live], end[live], width, True)
 
@@ -377,9 +395,8 @@ def _cut(a, lens, ids, offs, start, end, width: int, first: bool = False) -> dic
     return {"text": a[at].tobytes(), "lens": size, "ids": ids[owner[new]], "offs": lo if first else lo - base + offs[owner[new]]}
 
 
-def _variants(width: int):
+def _variants(width: int, k: int):
     """Which runs the smallest document has too, and which stay to be sorted."""
-    k = width * 7 // 8
 
     def own(s: dict):
         a = np.frombuffer(s["text"], np.uint8)
@@ -391,7 +408,8 @@ def _variants(width: int):
         return a, start, end, ids, name[order][first], content[order][first], least, number
 
     def ask(s: dict):
-        _, _, _, _, name, content, least, _ = own(s)
+        s["_own"] = own(s)
+        _, _, _, _, name, content, least, _ = s["_own"]
         return [(name, [name.astype(np.uint32), content, least])]
 
     def settle(_, columns):
@@ -405,12 +423,12 @@ def _variants(width: int):
         return ((least == by_content[number]) + 2 * mixed[number]).astype(np.uint8), 0
 
     def take(s: dict, answers, buckets, given):
-        a, start, end, ids, _, _, least, number = own(s)
+        a, start, end, ids, _, _, least, number = s["_own"]
         said = answers[0][number] if len(start) else np.zeros(0, np.uint8)
         mine = (said & 1).astype(bool) & (ids == least[number]) if len(start) else np.zeros(0, bool)
         sort = mine & (said >= 2)
         place = s["offs"][_owners(s["lens"], start)] - (np.cumsum(s["lens"]) - s["lens"])[_owners(s["lens"], start)] if len(start) else start
-        gone = np.stack((start + place, end + place), 1)[~mine]
+        gone = np.concatenate((s.get("gone", np.zeros((0, 2), np.int64)), np.stack((start + place, end + place), 1)[~mine]))
         return _cut(a, s["lens"], s["ids"], s["offs"], start[sort], end[sort], width) | {"gone": gone}
 
     return ask, settle, take
@@ -428,111 +446,97 @@ def _strings(s: dict, level: int) -> tuple[np.ndarray, np.ndarray]:
     return ((t * 257 + _shifted(t, lens, 1)) * 257 + _shifted(t, lens, 2))[at], shorter
 
 
-def _named(columns: Callable, bits: Callable, put: Callable):
-    """Ranks of the distinct rows of ``columns(state)``, from 1, handed to ``put(state, ranks, number of ranks)``."""
+def _named(columns: Callable):
+    """Ranks, from 1, of the distinct rows of the packed ``columns(state)``; ``bits`` is what the number of ranks takes."""
 
     def ask(s: dict):
-        c = columns(s)
-        order, first, _ = distinct(c)
+        c, first_bits = columns(s)
+        order, first, s["_number"] = distinct(c)
         c = [x[order][first] for x in c]
-        return [(_prefix(list(zip(c, bits(s), strict=True))), c)]
+        return [(c[0] << U(64 - first_bits), c)]
 
     def settle(_, c):
         _, first, number = distinct(c)
         return number.astype(np.uint32), len(first)
 
     def take(s: dict, answers, buckets, given):
-        _, _, number = distinct(columns(s))
         ranks = answers[0] + given.before(0, buckets[0], np.add) + 1
-        return put(s, ranks[number] if len(number) else number, int(given.numbers[0].sum()))
+        n = int(given.numbers[0].sum())
+        return {k: v for k, v in s.items() if k != "place"} | {"rank": ranks[s["_number"]], "bits": max(n.bit_length(), 1)}
 
     return ask, settle, take
 
 
+def _classes(lens: np.ndarray) -> np.ndarray:
+    """Position in its string, modulo 3."""
+    return (np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)) % 3
+
+
+def _spread(s: dict, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, lengths, classes, ranks) of a level's strings, ranks being 0 where positions aren't sampled."""
+    sym, lens = _strings(s, level)
+    rank = np.zeros(len(sym), np.int64)
+    at, _ = _sampled(lens)
+    rank[at] = s["rank"]
+    return sym, lens, _classes(lens), rank
+
+
 def _placed(level: int):
     """Of each suffix that isn't sampled, the rank of the last sampled one that isn't larger."""
-
-    def parts(s: dict):
-        sym, lens = _strings(s, level)
-        rank = np.zeros(len(sym), np.int64)
-        at, _ = _sampled(lens)
-        rank[at] = s["rank"]
-        cls = (np.arange(len(sym)) - np.repeat(np.cumsum(lens) - lens, lens)) % 3
-        one, two = _shifted(rank, lens, 1), _shifted(rank, lens, 2)
-        wide = 1 << (TRIPLE_BITS if level else BYTE_BITS)
-        return rank, cls, [(sym, one, cls < 2), (sym * wide + _shifted(sym, lens, 1), two, cls != 1)]
-
-    def grouped(rank, lane):
-        head, tail, rows = lane
-        order, first, number = distinct([head[rows], tail[rows]])
-        c = [x[rows][order][first] for x in (head, tail)]
-        most = np.maximum.reduceat(rank[rows][order], first) if len(first) else rank[:0]
-        return c, most, number
+    wide = TRIPLE_BITS if level else BYTE_BITS
 
     def ask(s: dict):
-        rank, _, lanes = parts(s)
-        b, width = s["bits"], TRIPLE_BITS if level else BYTE_BITS
-        out = []
-        for n, lane in enumerate(lanes):
-            c, most, _ = grouped(rank, lane)
-            out.append((_prefix([(c[0], width * (n + 1)), (c[1], b)]), [*c, most]))
+        sym, lens, cls, rank = _spread(s, level)
+        out, s["_lanes"] = [], []
+        for heads, step, rows in (([sym], 1, cls < 2), ([sym, _shifted(sym, lens, 1)], 2, cls != 1)):
+            c, first_bits = packed([*(x[rows] for x in heads), _shifted(rank, lens, step)[rows]], [wide] * step + [s["bits"]])
+            order, first, number = distinct(c)
+            c = [x[order][first] for x in c]
+            most = np.maximum.reduceat(rank[rows][order], first) if len(first) else rank[:0]
+            out.append((c[0] << U(64 - first_bits), [*c, most.astype(U)]))
+            s["_lanes"].append(number[cls[rows] == 0])
         return out
 
-    def settle(_, c):
-        order, first, number = distinct(c[:2])
-        return np.maximum.accumulate(np.maximum.reduceat(c[2][order], first))[number], int(c[2].max())
+    def settle(_, columns):
+        *c, most = columns
+        order, first, number = distinct(c)
+        return np.maximum.accumulate(np.maximum.reduceat(most[order], first))[number], int(most.max())
 
     def take(s: dict, answers, buckets, given):
-        rank, cls, lanes = parts(s)
-        place = np.zeros(len(rank), np.int64)
-        for n, lane in enumerate(lanes):
-            _, _, number = grouped(rank, lane)
-            if len(number):
-                got = np.maximum(answers[n].astype(np.int64), given.before(n, buckets[n], np.maximum))
-                rows = np.flatnonzero(lane[2])
-                place[rows] = np.maximum(place[rows], got[number])
-        sampled = cls > 0
-        place[sampled] = rank[sampled]
-        return s | {"place": place, "rank": rank}
+        got = [np.maximum(answers[n], given.before(n, buckets[n], np.maximum))[s["_lanes"][n]] for n in range(2)]
+        return s | {"place": np.maximum(*got)}
 
     return ask, settle, take
 
 
-def _order(s: dict, level: int) -> list[np.ndarray]:
-    """The columns by which all suffixes of a level are in order: sampled ones by rank, the others behind their places."""
-    sym, lens = _strings(s, level)
-    cls = (np.arange(len(sym)) - np.repeat(np.cumsum(lens) - lens, lens)) % 3
+def _order(s: dict, level: int) -> tuple[list[np.ndarray], int]:
+    """Packed columns by which all suffixes of a level are in order: sampled ones by rank, the others behind their places."""
+    sym, lens, cls, rank = _spread(s, level)
     rest = cls == 0
-    return [s["place"], rest.astype(np.int64), np.where(rest, sym, 0), np.where(rest, _shifted(s["rank"], lens, 1), 0)]
-
-
-def _order_bits(s: dict, level: int) -> list[int]:
-    return [s["bits"], 1, TRIPLE_BITS if level else BYTE_BITS, s["bits"]]
-
-
-def _ranked(s: dict, ranks: np.ndarray, n: int) -> dict:
-    return {k: v for k, v in s.items() if k != "place"} | {"rank": ranks, "bits": max(n.bit_length(), 1)}
+    place = rank.copy()
+    place[rest] = s["place"]
+    return packed([place, rest, np.where(rest, sym, 0), np.where(rest, _shifted(rank, lens, 1), 0)], [s["bits"], 1, TRIPLE_BITS if level else BYTE_BITS, s["bits"]])
 
 
 def suffix_order(state: DataFrame, width: int) -> DataFrame:
-    """States with ``place`` and ``rank`` of all suffixes, which order them by their first ``width`` bytes at least."""
+    """States with ``place`` and ``rank``, by which :func:`_order` puts all suffixes in the order of their first ``width`` bytes at least."""
     names = -(-width // 9)  # a name spans nine bytes
 
     def triples(s: dict):
         sym, lens = _strings(s, 1)
         at, _ = _sampled(lens)
-        return [sym[at], _shifted(sym, lens, 1)[at], _shifted(sym, lens, 2)[at]]
+        return packed([_shifted(sym, lens, k)[at] for k in range(3)], [TRIPLE_BITS] * 3)
 
     def tuples(s: dict):
         _, lens = _strings(s, 1)
         _, shorter = _sampled(lens)
-        return [_shifted(s["rank"], shorter, k) for k in range(names)]
+        return packed([_shifted(s["rank"], shorter, k) for k in range(names)], [s["bits"]] * names)
 
     steps = [
-        _named(triples, lambda s: [TRIPLE_BITS] * 3, _ranked),  # names of nine bytes
-        _named(tuples, lambda s: [s["bits"]] * names, _ranked),  # ranks of the shortest strings' suffixes
+        _named(triples),  # names of nine bytes
+        _named(tuples),  # ranks of the shortest strings' suffixes
         _placed(1),
-        _named(lambda s: _order(s, 1), lambda s: _order_bits(s, 1), _ranked),  # of strings of triples
+        _named(lambda s: _order(s, 1)),  # of the suffixes of the strings of triples
         _placed(0),
     ]
     for step in steps:
@@ -545,29 +549,28 @@ def suffix_order(state: DataFrame, width: int) -> DataFrame:
 def smaller(state: DataFrame, width: int) -> DataFrame:
     """(block, gone): starts of windows that a smaller document has, by comparing neighbours in the order of suffixes."""
 
-    def own(s: dict):
+    def ask(s: dict):
         text, lens = np.frombuffer(s["text"], np.uint8), s["lens"]
         at = np.flatnonzero(np.arange(len(text)) + width <= _ends(lens))
-        c = [x[at] for x in _order(s, 0)]
+        c, first_bits = _order(s, 0)
+        c = [x[at] for x in c]
         ids = s["ids"][_owners(lens, at)]
         order, first, number = distinct(c)
         least = np.minimum.reduceat(ids[order], first) if len(first) else ids
         some = at[order][first]
-        return at, ids, [x[order][first] for x in c], least, text[some[:, None] + np.arange(width)], number
-
-    def ask(s: dict):
-        _, _, c, least, head, _ = own(s)
-        return [(_prefix(list(zip(c, _order_bits(s, 0), strict=True))), [*c, least, head])]
+        s["_own"] = at, ids, number
+        c = [x[order][first] for x in c]
+        return [(c[0] << U(64 - first_bits), [*c, least, text[some[:, None] + np.arange(width)]])]
 
     cuts = _cuts(state, ask)
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, packed in zip(batch["block"], batch["state"], strict=True):
-                prefix, columns = ask(pickle.loads(packed))[0]
+                prefix, columns = ask(_state(packed))[0]
                 order, bucket = _dealt(prefix, cuts[0])
                 edges = np.searchsorted(bucket[order], np.arange(len(cuts[0]) + 2))
-                rows = [(block, int(b), _kept([c[order[edges[b] : edges[b + 1]]] for c in columns])) for b in np.flatnonzero(np.diff(edges))]
+                rows = [(block, int(b), pickle.dumps([c[order[edges[b] : edges[b + 1]]] for c in columns], 5)) for b in np.flatnonzero(np.diff(edges))]
                 if rows:
                     yield pd.DataFrame(rows, columns=["block", "bucket", "data"])
             release()
@@ -575,7 +578,7 @@ def smaller(state: DataFrame, width: int) -> DataFrame:
     def compare(key, rows: pd.DataFrame) -> pd.DataFrame:
         parts = [pickle.loads(d) for d in rows["data"]]
         *c, least, head = [np.concatenate(x) for x in zip(*parts, strict=True)]
-        order = np.lexsort(c[::-1])
+        order = distinct(c)[0]
         new = np.append(True, (head[order[1:]] != head[order[:-1]]).any(1))  # adjacent prefixes
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
@@ -583,7 +586,7 @@ def smaller(state: DataFrame, width: int) -> DataFrame:
         # groups at a bucket's ends may go on in the next ones
         answers = np.stack((low[group], group == 0, group == len(low) - 1), 1)
         out = rows[["block", "bucket"]].copy()
-        out["data"] = [_kept(x) for x in np.split(answers, np.cumsum([len(p[0]) for p in parts])[:-1])]
+        out["data"] = [pickle.dumps(x, 5) for x in np.split(answers, np.cumsum([len(p[0]) for p in parts])[:-1])]
         out["head"], out["low"] = None, 0
         ends = [(order[0], low[0], -1), (order[-1], low[-1], -2)]
         return pd.concat([out, pd.DataFrame([(e, key[0], None, head[at].tobytes(), int(m)) for at, m, e in ends], columns=out.columns)])
@@ -595,11 +598,11 @@ def smaller(state: DataFrame, width: int) -> DataFrame:
     rows = told.where("block >= 0").select("block", "bucket", "data").join(ends, "bucket")
 
     def receive(key, own_rows: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        s = pickle.loads(own_rows["state"].iloc[0])
+        s = _state(own_rows["state"].iloc[0])
         gone = s["gone"]
         if len(rows):
-            at, ids, c, least, _, number = own(s)
-            prefix = _prefix(list(zip(c, _order_bits(s, 0), strict=True)))
+            prefix, _ = ask(s)[0]
+            at, ids, number = s["_own"]
             order, _ = _dealt(prefix, cuts[0])
             parts = []
             for d, first, last in rows.sort_values("bucket")[["data", "first", "last"]].itertuples(index=False):
@@ -614,7 +617,7 @@ def smaller(state: DataFrame, width: int) -> DataFrame:
             gone = np.concatenate((gone, np.stack((place, place + 1), 1)))
         return pd.DataFrame({"block": [key[0]], "gone": [gone.astype(np.int64).tobytes()]})
 
-    return written(state.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(receive, "block long, gone binary"), ROWS_A_FILE)
+    return written(state.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(receive, "block long, gone binary"), ROWS_A_FILE, "zstd")
 
 
 def _removed(n: int, gone: np.ndarray, width: int) -> np.ndarray:
@@ -631,40 +634,18 @@ def _row(key, text: bytes, mask: np.ndarray) -> tuple:
 FIELDS = "n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
 
 
-def _done(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """Rows of whole texts (``whole`` -1), and of the pieces of long ones."""
-    all_blocks = blocks(docs, key, text, width)
-    grams_share = 2 / (width - (width + 1) // 2 + 2)
-    n = all_blocks.count()
-    live = exchange(all_blocks.select("block", "state"), *_sieve(width), hashed_keys=max(1, int(n * BLOCK * grams_share)))
-    state = exchange(live, *_variants(width), hashed_keys=max(1, int(n * BLOCK * 0.05)))
-    dropped(live)
-    state = suffix_order(state, width)
+def _gone(all_blocks: DataFrame, width: int) -> DataFrame:
+    """(block, gone): starts of the windows of a block that a smaller document has."""
+    k, n = (width + 1) // 2, all_blocks.count()
+    live = exchange(all_blocks.select("block", "state"), *_sieve(width, k), hashed_keys=max(1, int(n * BLOCK * 2 / (width - k + 2))))
+    for k in (width * 7 // 8, width - 2):  # the second on what the first leaves
+        after = exchange(live, *_variants(width, k), hashed_keys=max(1, int(n * BLOCK * 0.04)))
+        dropped(live)
+        live = after
+    state = suffix_order(live, width)
     gone = smaller(state, width)
     dropped(state)
-
-    def finish(_, own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        s = pickle.loads(own["state"].iloc[0])
-        cut = np.frombuffer(rows["gone"].iloc[0], np.int64).reshape(-1, 2) if len(rows) else np.zeros((0, 2), np.int64)
-        whole, piece = int(own["whole"].iloc[0]), int(own["piece"].iloc[0])
-        mask = _removed(len(s["text"]), cut, width)
-        out, at = [], 0
-        for i, known, n in zip(s["ids"].tolist(), s["known"], s["lens"].tolist(), strict=True):
-            mine = mask[at : at + n]
-            if whole < 0:
-                out.append((-1, 0, *_row(i if known else None, s["text"][at : at + n], mine)))
-            else:  # the stretches of a piece, with those of the others later
-                key, size, lost, where, _ = _row(i if known else None, s["text"], mine)
-                out.append((whole, piece, key, size, lost, where, s["text"]))
-            at += n
-        made = pd.DataFrame(out, columns=["whole", "piece", "key", "n_bytes", "n_removed", "spans", "kept"])
-        made["key"] = pd.array([r[2] for r in out], "Int64")
-        return made
-
-    done = written(all_blocks.groupBy("block").cogroup(gone.groupBy("block")).applyInPandas(finish, f"whole long, piece int, key long, {FIELDS}"))
-    dropped(all_blocks)
-    dropped(gone)
-    return done
+    return gone
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
@@ -682,7 +663,28 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         raise ValueError("width: at least 16 bytes")
     kind = dict(docs.dtypes)[key]
     with small_batches(docs.sparkSession, ROWS_A_FILE):
-        done = _done(docs, key, text, width)
+        all_blocks = blocks(docs, key, text, width)
+        gone = _gone(all_blocks, width)
+
+    def finish(_, own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):  # a block of the other kind
+            return pd.DataFrame(columns=["whole", "piece", "key", "n_bytes", "n_removed", "spans", "kept"])
+        s = _state(own["state"].iloc[0])
+        cut = np.frombuffer(rows["gone"].iloc[0], np.int64).reshape(-1, 2) if len(rows) else np.zeros((0, 2), np.int64)
+        whole, piece = int(own["whole"].iloc[0]), int(own["piece"].iloc[0])
+        mask = _removed(len(s["text"]), cut, width)
+        out, at = [], 0
+        for i, known, n in zip(s["ids"].tolist(), s["known"], s["lens"].tolist(), strict=True):
+            mine = mask[at : at + n]
+            if whole < 0:
+                out.append((-1, 0, *_row(i if known else None, s["text"][at : at + n], mine)))
+            else:  # the stretches of a piece, with those of the others later
+                key, size, lost, where, _ = _row(i if known else None, s["text"], mine)
+                out.append((whole, piece, key, size, lost, where, s["text"]))
+            at += n
+        made = pd.DataFrame(out, columns=["whole", "piece", "key", "n_bytes", "n_removed", "spans", "kept"])
+        made["key"] = pd.array([r[2] for r in out], "Int64")
+        return made
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("piece")
@@ -696,8 +698,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         made["key"] = pd.array([None if pd.isna(key) else int(key)], "Int64")
         return made
 
-    short = done.where("whole < 0").select("key", "n_bytes", "n_removed", "spans", "kept")
-    long = done.where("whole >= 0").groupBy("whole").applyInPandas(join, f"key long, {FIELDS}")
+    def told(some: str) -> DataFrame:
+        return all_blocks.where(some).groupBy("block").cogroup(gone.groupBy("block")).applyInPandas(finish, f"whole long, piece int, key long, {FIELDS}")
+
+    short = told("whole < 0").select("key", "n_bytes", "n_removed", "spans", "kept")
+    long = told("whole >= 0").groupBy("whole").applyInPandas(join, f"key long, {FIELDS}")
     return short.union(long).select(F.col("key").cast(kind).alias(key), "n_bytes", "n_removed", "spans", "kept")
 
 
