@@ -1,15 +1,18 @@
-"""Publishing bytes under their final names on a file system all executors share.
+"""Removing duplicates and bringing them back, on a file system all executors share.
 
-A file appears whole or not at all: bytes go to a temporary name in the target
-folder, are flushed, and take their name by one link or rename.  Nothing is
-overwritten unless asked for.  A task that runs again finds its own bytes and
-counts as done, so lost executors do no harm.
+A file that moves takes its new name by one link, or as a copy that appears
+whole, and loses the old one afterwards; nothing is overwritten.  A task that
+runs again finds what it has done, so lost executors do no harm.  New files are
+published by ``sources.published``.
 """
 
 from __future__ import annotations
 
+import contextlib
+import errno
 import hashlib
 import os
+import shutil
 import uuid
 from collections.abc import Iterator
 
@@ -17,67 +20,50 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+CHUNK = 1 << 20
+
 
 def sha256_of(path: str) -> str:
     digest = hashlib.sha256()
     with open(path, "rb") as f:
-        for chunk in iter(lambda: f.read(1 << 20), b""):
+        for chunk in iter(lambda: f.read(CHUNK), b""):
             digest.update(chunk)
     return digest.hexdigest()
 
 
-def place(data: bytes, path: str, overwrite: bool = False) -> str:
-    """'published', 'there' (the same bytes have the name) or an error code."""
-    folder = os.path.dirname(path)
+def moved_to(source: str, target: str, size: int, digest: str) -> str:
+    """'published', 'there' (the same bytes have the name) or an error code; the source stays.
+
+    A link where both names are on one device, elsewhere a copy in chunks that
+    is compared with the digest before it gets its name.
+    """
+    folder = os.path.dirname(target)
     temporary = os.path.join(folder, f".{uuid.uuid4().hex}.part")
     try:
         os.makedirs(folder, exist_ok=True)
-        with open(temporary, "xb") as f:
-            f.write(data)
-            f.flush()
-            os.fsync(f.fileno())
-        if overwrite:
-            if os.path.islink(path) or os.path.isdir(path):
-                return "unsafe_target"
-            os.replace(temporary, path)
-            return "published"
         try:
-            os.link(temporary, path)  # fails if the name is taken
+            os.link(source, temporary, follow_symlinks=False)
+        except OSError as error:
+            if error.errno not in (errno.EXDEV, errno.EPERM, errno.EMLINK, errno.ENOTSUP):
+                raise
+            with open(source, "rb") as f, open(temporary, "xb") as out:
+                shutil.copyfileobj(f, out, CHUNK)
+                out.flush()
+                os.fsync(out.fileno())
+        if not still_safe(temporary, size, digest):
+            return "source_changed"
+        try:
+            os.link(temporary, target, follow_symlinks=False)  # fails if the name is taken
             return "published"
         except FileExistsError:
-            same = os.path.isfile(path) and not os.path.islink(path) and os.path.getsize(path) == len(data) and sha256_of(path) == hashlib.sha256(data).hexdigest()
-            return "there" if same else "output_exists"
+            return "there" if still_safe(target, size, digest) else "output_exists"
     except OSError:
         return "output_not_created"
     finally:
-        if os.path.exists(temporary):
+        with contextlib.suppress(OSError):
             os.unlink(temporary)
 
 
-def publish(df: DataFrame, path: str, content: str, overwrite: bool = False) -> DataFrame:
-    """(path, bytes, outcome, error) of writing every row's ``content`` to its absolute ``path``.
-
-    Rows without content or an absolute path get an error.  Paths should be
-    distinct (see ``planning.collisions``); of equal ones the first wins, the
-    others find the name taken.  The files are written when the result is
-    computed, so compute it once (write it, or count it).
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for target, data in zip(batch["_p"], batch["_c"], strict=True):
-                if target is None or not target.startswith("/") or data is None:
-                    out.append((target, 0, "", "missing_content" if data is None else "unsafe_path"))
-                    continue
-                got = place(bytes(data), target, overwrite)
-                good = got in ("published", "there")
-                out.append((target, len(data) if good else 0, got if good else "", "" if good else got))
-            yield pd.DataFrame(out, columns=["path", "bytes", "outcome", "error"])
-
-    return df.select(F.col(path).alias("_p"), F.col(content).cast("binary").alias("_c")).mapInPandas(run, "path string, bytes long, outcome string, error string")
-
-
 def still_safe(path: str, size: int, digest: str) -> bool:
     """Whether a path is still the regular file that was measured."""
     try:
@@ -113,8 +99,7 @@ def remove_duplicates(df: DataFrame, backup: str | None = None) -> DataFrame:
                 return "deleted", ""
             if target is None:
                 return "", "missing_backup_name"
-            with open(duplicate, "rb") as f:
-                got = place(f.read(), target)
+            got = moved_to(duplicate, target, size, digest)
             if got not in ("published", "there"):
                 return "", got
             os.unlink(duplicate)
@@ -141,8 +126,7 @@ def restore(df: DataFrame) -> DataFrame:
                 if not os.path.isfile(stored) or os.path.islink(stored):
                     out.append((path, "", "input_not_found"))
                     continue
-                with open(stored, "rb") as f:
-                    got = place(f.read(), path)
+                got = moved_to(stored, path, os.path.getsize(stored), sha256_of(stored))
                 if got in ("published", "there"):
                     os.unlink(stored)
                 out.append((path, "restored", "") if got in ("published", "there") else (path, "", got))

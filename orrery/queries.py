@@ -708,3 +708,4 @@ def stream_file_arrival(spark, sf):
 from . import queries_rules  # noqa: E402, F401  (adds its queries)
 from . import queries_requests  # noqa: E402, F401
 from . import queries_records  # noqa: E402, F401
+from . import queries_files  # noqa: E402, F401

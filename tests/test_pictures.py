@@ -102,17 +102,17 @@ def test_montage_and_tiles():
     assert PX.tiled(np.zeros((20, 20, 3), np.uint8), np.full((4, 4, 4), 255, np.uint8), 2, 255)[0, 6].tolist() == [255, 255, 255]
 
 
-def test_publish_never_overwrites(spark, tmp_path):
-    (tmp_path / "there.bin").write_bytes(b"old")
-    rows = [(f"{tmp_path}/new/a.bin", b"one"), (f"{tmp_path}/there.bin", b"new"), (f"{tmp_path}/empty", b""), ("relative", b"x"), (f"{tmp_path}/none", None)]
-    df = spark.createDataFrame(rows, "path string, content binary")
-    for again in (False, True):  # a second run finds its own files
-        got = {r.path.rsplit("/", 1)[-1]: (r.outcome, r.error) for r in PB.publish(df, "path", "content").collect()}
-        done = "there" if again else "published"
-        assert got == {"a.bin": (done, ""), "there.bin": ("", "output_exists"), "empty": (done, ""), "relative": ("", "unsafe_path"), "none": ("", "missing_content")}
-    assert (tmp_path / "there.bin").read_bytes() == b"old" and (tmp_path / "new" / "a.bin").read_bytes() == b"one"
-    assert {r.error for r in PB.publish(df.where("path like '%there.bin'"), "path", "content", overwrite=True).collect()} == {""}
-    assert (tmp_path / "there.bin").read_bytes() == b"new" and not [f for f in os.listdir(tmp_path) if f.endswith(".part")]
+def test_moves_across_devices_are_copies(tmp_path, monkeypatch):
+    source, target = tmp_path / "a", tmp_path / "far" / "b"
+    source.write_bytes(b"x" * 3_000_000)
+    digest, real = PB.sha256_of(str(source)), os.link
+    monkeypatch.setattr(PB.os, "link", lambda a, b, **more: (_ for _ in ()).throw(OSError(18, "cross-device")) if str(a) == str(source) else real(a, b, **more))
+    assert PB.moved_to(str(source), str(target), 3_000_000, digest) == "published"
+    assert PB.moved_to(str(source), str(target), 3_000_000, digest) == "there"
+    assert PB.moved_to(str(source), str(tmp_path / "c"), 3_000_000, "0" * 64) == "source_changed"
+    target.write_bytes(b"y")
+    assert PB.moved_to(str(source), str(target), 3_000_000, digest) == "output_exists" and target.read_bytes() == b"y"
+    assert sorted(os.listdir(tmp_path)) == ["a", "far"] and os.listdir(tmp_path / "far") == ["b"]
 
 
 def test_duplicates_are_removed_only_if_unchanged(spark, tmp_path):
