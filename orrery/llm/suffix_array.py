@@ -40,10 +40,13 @@ from .common import dropped, release, small_batches, table, written
 
 WIDTH = 50
 BLOCK = 1 << 20  # bytes of a block
-KEYS = 1 << 17  # keys of a bucket
+KEYS = 1 << 19  # keys of a bucket
+LEAST_BUCKETS = 16
+MERGED = 8  # blocks that go on as one, once most of their texts are sieved out
+CHUNK = 1 << 15  # bytes hashed at once, so that the numbers stay near the processor
 ROWS_A_FILE = 16  # blocks are large rows, and readers hold many
 LONGEST_RUN = 64
-SAMPLED_BLOCKS, SAMPLED_KEYS = 200, 1024  # of which the cuts between buckets are made
+SAMPLED_BLOCKS, SAMPLED_KEYS = 64, 4096  # of which the cuts between buckets are made
 BYTE_BITS, TRIPLE_BITS = 9, 25  # of a symbol: a byte or the end, and three of them
 
 U = np.uint64
@@ -105,7 +108,7 @@ def runs(a: np.ndarray, lens: np.ndarray, usable: np.ndarray, width: int, k: int
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none.astype(U)
-    name = _least(grams(a, k), width - k + 1)
+    name = np.concatenate([_least(grams(a[at : at + CHUNK + width - 1], k), width - k + 1) for at in range(0, n, CHUNK)])
     ok = (np.arange(n) + width <= _ends(lens)[:n]) & np.repeat(usable, lens)[:n]
     first = ok.copy()
     first[1:] &= (name[1:] != name[:-1]) | ~ok[:-1]
@@ -184,7 +187,7 @@ def _sampled(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # -- blocks and buckets ---------------------------------------------------------------------------------------------
 
 
-COUNTS = ("lens", "offs", "rank", "place")  # of a state's arrays, those that are never negative
+COUNTS = ("lens", "offs", "home", "rank", "place")  # of a state's arrays, those that are never negative
 
 
 def _kept(state: dict) -> bytes:
@@ -284,7 +287,7 @@ def exchange(state: DataFrame, ask: Callable, settle: Callable, take: Callable,
 
 
 def _even(keys: int) -> np.ndarray:
-    n = max(32, keys // KEYS)
+    n = max(LEAST_BUCKETS, keys // KEYS)
     return np.array([(b << 64) // n for b in range(1, n)], U)
 
 
@@ -304,7 +307,7 @@ def _cuts(state: DataFrame, ask: Callable) -> list[np.ndarray]:
     out = []
     for lane in range(1 + max((r["lane"] for r in rows), default=0)):
         mine = [r for r in rows if r["lane"] == lane]
-        n = max(32, share * sum(r["n"] for r in mine) // KEYS)
+        n = max(LEAST_BUCKETS, share * sum(r["n"] for r in mine) // KEYS)
         seen = np.sort(np.concatenate([np.zeros(0, U), *(np.frombuffer(r["some"], U) for r in mine)]))
         out.append(np.unique(seen[(np.arange(1, n) * len(seen)) // n]) if len(seen) else seen)
     return out
@@ -320,7 +323,7 @@ def blocks(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
         def row(whole: int = -1, piece: int = 0) -> pd.DataFrame:
             nonlocal block, ids, known, texts, size
-            state = {"ids": np.array(ids, np.int64), "known": np.array(known, bool), "lens": np.array([len(t) for t in texts], np.int64), "text": b"".join(texts)}
+            state = {"homes": np.array([block]), "ids": np.array(ids, np.int64), "known": np.array(known, bool), "lens": np.array([len(t) for t in texts], np.int64), "text": b"".join(texts)}
             out = pd.DataFrame({"block": [block], "whole": [whole], "piece": [piece], "state": [_kept(state)]})
             block, ids, known, texts, size = block + 1, [], [], [], 0
             return out
@@ -356,15 +359,10 @@ def _sieve(width: int, k: int):
         a = np.frombuffer(s["text"], np.uint8)
         start, end, name = runs(a, s["lens"], s["known"], width, k)
         ids = s["ids"][_owners(s["lens"], start)]
-        order = np.lexsort((ids, name))
-        n, i = name[order], ids[order]
-        new = np.append(True, n[1:] != n[:-1])[: len(n)]
-        number = np.cumsum(new) - 1
-        several = np.zeros(number[-1] + 1 if len(number) else 0, bool)
-        several[number[1:][~new[1:] & (i[1:] != i[:-1])]] = True
-        back = np.empty(len(order), np.int64)
-        back[order] = number
-        return start, end, n[new], several, back
+        order, first, number = distinct([name])
+        of = ids[order]
+        several = np.minimum.reduceat(of, first) < np.maximum.reduceat(of, first) if len(first) else np.zeros(0, bool)
+        return start, end, name[order][first], several, number
 
     def ask(s: dict):
         s["_own"] = start, end, name, several, back = own(s)
@@ -379,20 +377,37 @@ def _sieve(width: int, k: int):
     def take(s: dict, answers, buckets, given):
         start, end, _, _, back = s["_own"]
         live = answers[0][back].astype(bool) if len(start) else np.zeros(0, bool)
-        return _cut(np.frombuffer(s["text"], np.uint8), s["lens"], s["ids"], np.zeros(len(s["lens"]), np.int64), start[live], end[live], width, True)
+        nothing = np.zeros(len(s["lens"]), np.int64)
+        out = _cut(s | {"offs": np.cumsum(s["lens"]) - s["lens"], "home": nothing}, start[live], end[live], width)
+        return out | {"homes": s["homes"], "gone": np.zeros((0, 3), np.int64)}
 
     return ask, settle, take
 
 
-def _cut(a, lens, ids, offs, start, end, width: int, first: bool = False) -> dict:
-    """The stretches of text that runs of windows need: neighbouring runs of a text together."""
+def _cut(s: dict, start: np.ndarray, end: np.ndarray, width: int) -> dict:
+    """The stretches of text that runs of windows need, those of neighbouring runs together, and where they were in their first blocks."""
+    a, lens = np.frombuffer(s["text"], np.uint8), s["lens"]
     owner = _owners(lens, start)
     new = np.append(True, (start[1:] != end[:-1]) | (owner[1:] != owner[:-1]))[: len(start)]
     lo, hi = start[new], end[np.append(new[1:], True)[: len(end)]] + width - 1
-    base = (np.cumsum(lens) - lens)[owner[new]]
+    owner = owner[new]
     size = hi - lo
     at = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    return {"text": a[at].tobytes(), "lens": size, "ids": ids[owner[new]], "offs": lo if first else lo - base + offs[owner[new]]}
+    return {"text": a[at].tobytes(), "lens": size, "ids": s["ids"][owner], "offs": lo - (np.cumsum(lens) - lens)[owner] + s["offs"][owner], "home": s["home"][owner]}
+
+
+def _merged(states: list[dict]) -> dict:
+    """Several blocks as one."""
+    out = {k: np.concatenate([s[k] for s in states]) for k in ("lens", "ids", "offs", "homes", "gone")}
+    before = np.cumsum([0] + [len(s["homes"]) for s in states])
+    return out | {"text": b"".join(s["text"] for s in states), "home": np.concatenate([s["home"] + n for s, n in zip(states, before, strict=False)])}
+
+
+def _places(s: dict, at: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Positions in a state's texts as rows of positions in their first blocks, and the number of that block."""
+    owner = _owners(s["lens"], at)
+    shift = s["offs"][owner] - (np.cumsum(s["lens"]) - s["lens"])[owner]
+    return np.stack((*(x + shift for x in (at, *more)), s["home"][owner]), 1)
 
 
 def _variants(width: int, k: int):
@@ -423,13 +438,11 @@ def _variants(width: int, k: int):
         return ((least == by_content[number]) + 2 * mixed[number]).astype(np.uint8), 0
 
     def take(s: dict, answers, buckets, given):
-        a, start, end, ids, _, _, least, number = s["_own"]
+        _, start, end, ids, _, _, least, number = s["_own"]
         said = answers[0][number] if len(start) else np.zeros(0, np.uint8)
         mine = (said & 1).astype(bool) & (ids == least[number]) if len(start) else np.zeros(0, bool)
         sort = mine & (said >= 2)
-        place = s["offs"][_owners(s["lens"], start)] - (np.cumsum(s["lens"]) - s["lens"])[_owners(s["lens"], start)] if len(start) else start
-        gone = np.concatenate((s.get("gone", np.zeros((0, 2), np.int64)), np.stack((start + place, end + place), 1)[~mine]))
-        return _cut(a, s["lens"], s["ids"], s["offs"], start[sort], end[sort], width) | {"gone": gone}
+        return _cut(s, start[sort], end[sort], width) | {"homes": s["homes"], "gone": np.concatenate((s["gone"], _places(s, start, end)[~mine]))}
 
     return ask, settle, take
 
@@ -612,10 +625,8 @@ def smaller(state: DataFrame, width: int) -> DataFrame:
             low = np.empty(len(order), np.int64)
             low[order] = np.concatenate(parts)
             hit = at[low[number] < ids]
-            text = _owners(s["lens"], hit)
-            place = hit - (np.cumsum(s["lens"]) - s["lens"])[text] + s["offs"][text]
-            gone = np.concatenate((gone, np.stack((place, place + 1), 1)))
-        return pd.DataFrame({"block": [key[0]], "gone": [gone.astype(np.int64).tobytes()]})
+            gone = np.concatenate((gone, _places(s, hit, hit + 1)))
+        return pd.DataFrame({"block": s["homes"], "gone": [gone[gone[:, 2] == n, :2].tobytes() for n in range(len(s["homes"]))]})
 
     return written(state.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(receive, "block long, gone binary"), ROWS_A_FILE, "zstd")
 
@@ -634,10 +645,23 @@ def _row(key, text: bytes, mask: np.ndarray) -> tuple:
 FIELDS = "n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
 
 
+def merged(state: DataFrame, n: int) -> DataFrame:
+    """About ``n`` blocks of what is left of more."""
+
+    def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"block": [key[0]], "state": [_kept(_merged([_state(x) for x in rows["state"]]))]})
+
+    dealt = state.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(n)))
+    return written(dealt.groupBy("block").applyInPandas(merge, "block long, state binary"), ROWS_A_FILE, "zstd")
+
+
 def _gone(all_blocks: DataFrame, width: int) -> DataFrame:
     """(block, gone): starts of the windows of a block that a smaller document has."""
     k, n = (width + 1) // 2, all_blocks.count()
     live = exchange(all_blocks.select("block", "state"), *_sieve(width, k), hashed_keys=max(1, int(n * BLOCK * 2 / (width - k + 2))))
+    after = merged(live, max(1, n // MERGED))
+    dropped(live)
+    live = after
     for k in (width * 7 // 8, width - 2):  # the second on what the first leaves
         after = exchange(live, *_variants(width, k), hashed_keys=max(1, int(n * BLOCK * 0.04)))
         dropped(live)

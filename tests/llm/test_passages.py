@@ -154,7 +154,7 @@ def test_order_of_suffixes_is_lexicographic(spark):
     states = []
     for n in range(2):
         mine = texts[n::2]
-        states.append((n, suffix_array._kept({"text": b"".join(mine), "lens": np.array([len(t) for t in mine]), "ids": np.arange(len(mine)), "offs": np.zeros(len(mine), np.int64), "gone": np.zeros((0, 2), np.int64)})))
+        states.append((n, suffix_array._kept({"text": b"".join(mine), "lens": np.array([len(t) for t in mine]), "ids": np.arange(len(mine)), "offs": np.zeros(len(mine), np.int64), "home": np.zeros(len(mine), np.int64), "homes": np.array([n]), "gone": np.zeros((0, 3), np.int64)})))
     made = suffix_array.suffix_order(spark.createDataFrame(states, "block long, state binary"), 20).collect()
     ranked = []
     for r in made:
