@@ -12,6 +12,10 @@ directories.  Texts are read once: what is compared later is written down.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +48,7 @@ HEADERS = [
     ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or any later version."),
     ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-or-later"), ("AGPL-3.0", "GNU Affero General Public License Version 3"),
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"), ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MIT", "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."),
     ("BSD-3-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
@@ -53,13 +57,51 @@ HEADERS = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
 ]
 SPAN = 3  # sentences of a window at most
-TRIGGER = "licen[cs]e|copyright|permission is hereby|redistribut|free software|all rights reserved"
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.7  # cosine of a match
+RESERVED = "Proprietary"  # rights are reserved beside any licence: it only counts where there is no other
+#: Words that any text has, taken as keys last.
+COMMON = set("the of and or to in is be this that it you may are by any for with from not on as a".split())
 EXPLAINED = 0.5  # share of a licence file's words that are in what matched
 FILE_NAME = "(?i)^(un)?licen[cs]e([-_.][^/]*)?$|^copying([-_.][^/]*)?$|^copyright([-_.][^/]*)?$"
 
 
+def _squares(templates: list[tuple[str, str]]) -> list[dict[str, float]]:
+    """Squared weights of each template's terms, of unit length."""
+    counts = [Counter(re.findall(TERM, body.lower())) for _, body in templates]
+    held = Counter(t for c in counts for t in c)
+    out = []
+    for c in counts:
+        w = {t: (n * (math.log((1 + len(templates)) / (1 + held[t])) + 1)) ** 2 for t, n in c.items()}
+        whole = sum(w.values())
+        out.append({t: x / whole for t, x in w.items()})
+    return out
+
+
+def key_terms(least: float = LEAST) -> list[str]:
+    """Terms of which every text that matches some template has one.
+
+    A text's cosine is at most the root of the squared weights of the terms
+    that it shares with the template.  So terms are taken, those that help most
+    templates first, until what is left of each template stays below ``least``.
+    """
+    left = _squares(TEMPLATES) + _squares(TEMPLATES + HEADERS)
+    enough, keys = least * least - 1e-6, []
+    while left := [w for w in left if sum(w.values()) >= enough]:
+        gain = Counter()
+        for w in left:
+            need = sum(w.values()) - enough
+            for t, x in w.items():
+                gain[t] += min(x, need) + 1e-9
+        keys.append(max(gain, key=lambda t: (t not in COMMON, gain[t], t)))
+        left = [{t: x for t, x in w.items() if t != keys[-1]} for w in left]
+    return sorted(keys)
+
+
+#: What is of interest: texts, lines and sentences with a key term.
+TRIGGER = f"(?:^|[^a-z0-9])(?:{'|'.join(re.escape(t) for t in key_terms())})(?:[^a-z0-9]|$)"
+
+
 def _low(col):
     return F.translate(col, UPPER, UPPER.lower())
 
@@ -109,10 +151,12 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "pa
     """(key, path, licence, score, inherited, effective) for every row of ``df``.
 
     licence and score (rounded to 6 places) are the text's own best match (ties
-    to the earlier template), null below ``least``; inherited is what the
+    to the earlier template), null below ``least``; that rights are reserved
+    counts only where no licence matches, however well it does; inherited is what the
     nearest covered ancestor directory has, null for files with a licence of
     their own; effective is one or the other.  Of several licence files in a
-    directory the best score counts, then the smaller key (null last).  Null
+    directory one with a licence counts before one that reserves rights, then the
+    best score, then the smaller key (null last).  Null
     and empty texts have no licence of their own; a null path inherits nothing.
     Repeated keys, and null ones, are rows of their own.
     """
@@ -130,7 +174,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "pa
     trimmed = F.transform("_lines", lambda x: F.trim(F.regexp_replace(x, "\\s+", " ")))
     windows = base.where("size(_windows) > 0").select("_slot", trimmed.alias("lines"), F.posexplode("_windows").alias("no", "line")).select("_slot", "no", "line", F.array_contains("lines", F.col("line")).alias("known"))
     found = written(_matches(spark, lines, TEMPLATES, least).withColumn("kind", F.lit(0)).union(_matches(spark, windows, TEMPLATES + HEADERS, least).withColumn("kind", F.lit(1))))
-    own = found.groupBy("_slot").agg(F.max(F.struct("score", (-F.col("tid")).alias("t"), "name")).alias("m")).select("_slot", F.col("m.name").alias("licence"), F.col("m.score").alias("score"))
+    own = found.groupBy("_slot").agg(F.max(F.struct((F.col("name") != RESERVED).alias("r"), "score", (-F.col("tid")).alias("t"), "name")).alias("m")).select("_slot", F.col("m.name").alias("licence"), F.col("m.score").alias("score"))
 
     # words in what matched: of all lines, or of the longest window
     length = lambda c: F.regexp_count(c, F.lit(WORD))
@@ -140,7 +184,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "pa
     in_window = F.aggregate("w", F.lit(0), lambda s, i: F.greatest(s, length(F.get("_windows", i))))
     folder = F.regexp_extract("_path", "^(.*)/[^/]*$", 1)
     files = counted.where(F.col("_path").isNotNull() & (name.rlike(FILE_NAME) | (F.greatest(in_lines, in_window) >= EXPLAINED * F.col("_words")))).select("_slot", "_key", folder.alias("folder")).join(own, "_slot")
-    order = F.struct("score", F.col("_key").isNotNull(), -F.col("_key"))
+    order = F.struct((F.col("licence") != RESERVED).alias("r"), "score", F.col("_key").isNotNull(), -F.col("_key"))
     covered = files.groupBy("folder").agg(F.max_by("licence", order).alias("given"))
     # one row a directory, not a file, looks for its ancestors
     folders = base.where("_path IS NOT NULL").select(folder.alias("folder")).distinct()
@@ -203,11 +247,11 @@ def _oracle() -> str:
     u1 AS (SELECT doc_id, line, no, list_contains(list_transform(lines, lambda x: {spaces}), line) known FROM (SELECT doc_id, lines, unnest(runs) line, generate_subscripts(runs, 1) no FROM r)),
     {_cosines(0, TEMPLATES)}
     {_cosines(1, TEMPLATES + HEADERS)}
-    own AS (SELECT doc_id, name licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, tid) k FROM (SELECT doc_id, score, tid, name FROM m0 UNION ALL SELECT doc_id, score, tid, name FROM m1)) WHERE k = 1),
+    own AS (SELECT doc_id, name licence, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name = '{RESERVED}', score DESC, tid) k FROM (SELECT doc_id, score, tid, name FROM m0 UNION ALL SELECT doc_id, score, tid, name FROM m1)) WHERE k = 1),
     x AS (SELECT doc_id, max(words) words FROM (
       SELECT doc_id, sum({_LENGTH.format("line")}) words FROM u0 SEMI JOIN m0 USING (doc_id, no) GROUP BY doc_id UNION ALL SELECT doc_id, max({_LENGTH.format("line")}) FROM u1 SEMI JOIN m1 USING (doc_id, no) GROUP BY doc_id) GROUP BY doc_id),
     c AS (SELECT folder, licence given FROM (
-            SELECT folder, licence, row_number() OVER (PARTITION BY folder ORDER BY score DESC, doc_id) k
+            SELECT folder, licence, row_number() OVER (PARTITION BY folder ORDER BY licence = '{RESERVED}', score DESC, doc_id) k
             FROM d JOIN own USING (doc_id) JOIN x USING (doc_id) WHERE words >= {EXPLAINED} * {_LENGTH.format("text")}) WHERE k = 1),
     n AS (SELECT DISTINCT ON (doc_id) doc_id, given FROM d JOIN c ON d.folder = c.folder OR starts_with(d.folder, c.folder || '/') ORDER BY doc_id, length(c.folder) DESC)
     SELECT doc_id, path, licence, score, CASE WHEN licence IS NULL THEN given END inherited, coalesce(licence, given) effective

@@ -435,3 +435,33 @@ def test_licences_in_wrapped_headers_and_paragraphs(spark):
     df = spark.createDataFrame([(i, t, f"p{i}/x") for i, t in enumerate(want)], "doc_id long, text string, path string")
     got = {r.doc_id: r.licence for r in licences.scan(df).collect()}
     assert [got[i] for i in range(len(want))] == list(want.values())
+
+
+def test_reserved_rights_count_only_without_a_licence(spark):
+    reserved = "Copyright (c) 2020 Foo Corporation. All rights reserved."
+    want = {
+        f"MIT License\n\n{reserved}\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software": "MIT", MIT_TEXT.replace("Copyright (c) 2020 Some One", reserved): "MIT",
+        f"# {reserved}\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met:\n": "BSD-3-Clause",
+        f"/* {reserved}\n * Licensed under the Apache License, Version 2.0 (the \"License\"); you may\n * not use this file except in compliance with the License. */": "Apache-2.0",
+        "// Copyright 2009 The Go Authors. All rights reserved.\n// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n\npackage main": "BSD-3-Clause",
+        f"{reserved}\nint main": "Proprietary",
+    }
+    rows = [(2 * i + k, t if k == 0 else "code", f"p{i}/{'LICENSE' if k == 0 else 'a/x.c'}") for i, t in enumerate(want) for k in range(2)]
+    rows += [(100, reserved, "p0/COPYRIGHT"), (101, "Licensed under CC BY 4.0.", "p9/LICENSE"), (102, reserved, "p9/COPYING"), (103, "code", "p9/y")]
+    got = {r.doc_id: (r.licence, r.effective) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, path string")).collect()}
+    for i, name in enumerate(want.values()):
+        assert got[2 * i] == (name, name) and got[2 * i + 1] == (None, name)
+    assert got[102] == ("Proprietary", "Proprietary") and got[103] == (None, "CC-BY-4.0")
+
+
+def test_every_match_has_a_key_term():
+    """What a text without key terms shares with a template can't reach the least cosine, whatever else it holds."""
+    import re
+
+    keys = set(licences.key_terms())
+    for templates in (licences.TEMPLATES, licences.TEMPLATES + licences.HEADERS):
+        for (_, body), squares in zip(templates, licences._squares(templates), strict=True):
+            assert abs(sum(squares.values()) - 1) < 1e-9
+            assert sum(x for t, x in squares.items() if t not in keys) < licences.LEAST**2
+            for term in re.findall(licences.TERM, body.lower()):
+                assert term not in keys or all(re.search(licences.TRIGGER, t) for t in (term, f"é{term}", f"x {term}.", f"({term}) y"))
