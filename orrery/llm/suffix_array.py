@@ -42,7 +42,7 @@ WIDTH = 50
 BLOCK = 1 << 20  # bytes of a block
 KEYS = 1 << 19  # keys of a bucket
 LEAST_BUCKETS = 16
-MERGED = 8  # blocks that go on as one, once most of their texts are sieved out
+MERGED = 4  # blocks that go on as one, once most of their texts are sieved out
 CHUNK = 1 << 15  # bytes hashed at once, so that the numbers stay near the processor
 ROWS_A_FILE = 16  # blocks are large rows, and readers hold many
 LONGEST_RUN = 64
@@ -93,11 +93,6 @@ def _least(h: np.ndarray, w: int) -> np.ndarray:
     return h
 
 
-def _ends(lens: np.ndarray) -> np.ndarray:
-    """End of the text each position lies in."""
-    return np.repeat(np.cumsum(lens), lens)
-
-
 def _owners(lens: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.searchsorted(np.cumsum(lens), at, "right")
 
@@ -109,7 +104,7 @@ def runs(a: np.ndarray, lens: np.ndarray, usable: np.ndarray, width: int, k: int
     if n <= 0:
         return none, none, none.astype(U)
     name = np.concatenate([_least(grams(a[at : at + CHUNK + width - 1], k), width - k + 1) for at in range(0, n, CHUNK)])
-    ok = (np.arange(n) + width <= _ends(lens)[:n]) & np.repeat(usable, lens)[:n]
+    ok = _whole(lens, usable, width, n)
     first = ok.copy()
     first[1:] &= (name[1:] != name[:-1]) | ~ok[:-1]
     start = np.flatnonzero(first)
@@ -119,7 +114,18 @@ def runs(a: np.ndarray, lens: np.ndarray, usable: np.ndarray, width: int, k: int
     end = np.minimum(np.append(start[1:], n), last[np.searchsorted(last, start, "right")])
     parts = -(-(end - start) // LONGEST_RUN)
     at = np.repeat(start, parts) + LONGEST_RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    return at, np.minimum(at + LONGEST_RUN, np.repeat(end, parts)), name[at]
+    return at, np.minimum(at + LONGEST_RUN, np.repeat(end, parts)), _mixed(name[at])  # minima are small numbers
+
+
+def _whole(lens: np.ndarray, usable: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of the first n positions start a window within their text."""
+    start = (np.cumsum(lens) - lens)[usable]
+    some = lens[usable] >= width
+    start, end = start[some], (start + lens[usable] - width + 1)[some]
+    edge = np.zeros(n + 1, np.int8)
+    edge[start] += 1  # no two texts start or end at one place, as each has a byte
+    edge[end] -= 1
+    return np.cumsum(edge[:n], dtype=np.int8).view(bool)
 
 
 def contents(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -139,6 +145,15 @@ def _small(x: np.ndarray) -> np.ndarray:
     return x.astype(np.min_scalar_type(x.max())) if len(x) and x.dtype.kind == "u" else x
 
 
+def alike(name: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`distinct` rows of names and contents in the order of contents, if those alone tell (equal ones have equal names)."""
+    order, first, number = distinct([content])
+    sorted_names = name[order]
+    if (sorted_names == sorted_names[first][number[order]]).all():
+        return order, first, number
+    return distinct([name, content])
+
+
 def packed(columns: list[np.ndarray], bits: list[int]) -> tuple[list[np.ndarray], int]:
     """Columns put together, in order, as long as they fit 64 bits; and how many bits the first one has."""
     out, room, first = [], 0, None
@@ -167,23 +182,46 @@ def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return order, np.flatnonzero(new), number
 
 
-def _shifted(x: np.ndarray, lens: np.ndarray, k: int) -> np.ndarray:
-    """What comes k places later in the same text, 0 past its end."""
+def _sampled(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions 1 and 2 of every 3, those of a text by class; and the lengths of the strings so made, two a text."""
+    shorter = np.stack(((lens + 1) // 3, lens // 3), 1).ravel()
+    first = (np.cumsum(lens) - lens)[:, None] + np.array([1, 2])
+    return np.repeat(first.ravel() - 3 * (np.cumsum(shorter) - shorter), shorter) + 3 * np.arange(shorter.sum()), shorter
+
+
+class Strings:
+    """A level's strings, one behind the other: bytes (from 1), or triples of them at sampled positions."""
+
+    def __init__(self, s: dict, level: int):
+        text, lens = np.frombuffer(s["text"] + b"\0\0", np.uint8).astype(np.int64) + 1, s["lens"]
+        if level == 0:
+            self.sym, self.lens, self.wide = text[:-2], lens, BYTE_BITS
+        else:
+            at, self.lens = _sampled(lens)
+            left = np.repeat(np.repeat(np.cumsum(lens), 2), self.lens) - at
+            self.sym, self.wide = (text[at] * 257 + text[at + 1] * (left > 1)) * 257 + text[at + 2] * (left > 2), TRIPLE_BITS
+        self.left = np.repeat(np.cumsum(self.lens), self.lens) - np.arange(len(self.sym))
+        self.at, self.shorter = _sampled(self.lens)
+
+    def later(self, x: np.ndarray, k: int) -> np.ndarray:
+        """What comes k places later in the same string, 0 past its end."""
+        return _later(x, self.left, k)
+
+    def ranks(self, s: dict) -> tuple[np.ndarray, np.ndarray]:
+        """(ranks, classes) of all positions; ranks are 0 where positions aren't sampled."""
+        rank, cls = np.zeros(len(self.sym), np.int64), np.zeros(len(self.sym), np.int8)
+        rank[self.at] = s["rank"]
+        cls[self.at] = np.repeat(np.tile(np.array([1, 2], np.int8), len(self.lens)), self.shorter)
+        return rank, cls
+
+
+def _later(x: np.ndarray, left: np.ndarray, k: int) -> np.ndarray:
     out = np.zeros_like(x)
     out[: max(len(x) - k, 0)] = x[k:]
-    out[_ends(lens) - np.arange(len(x)) <= k] = 0
+    out[left <= k] = 0
     return out
 
 
-def _sampled(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions 1 and 2 of every 3, those of a text by class; and the lengths of the strings so made, two a text."""
-    text = np.repeat(np.arange(len(lens)), lens)
-    cls = (np.arange(len(text)) - np.repeat(np.cumsum(lens) - lens, lens)) % 3
-    at = np.flatnonzero(cls)
-    string = text[at] * 2 + cls[at] - 1
-    return at[np.argsort(string, kind="stable")], np.bincount(string, minlength=2 * len(lens))
-
-
 # -- blocks and buckets ---------------------------------------------------------------------------------------------
 
 
@@ -228,8 +266,9 @@ def exchange(state: DataFrame, ask: Callable, settle: Callable, take: Callable,
     ``ask(state)`` gives, per lane, (prefix, columns) of the keys a block has;
     ``settle(lane, columns)`` an answer for each of them and one number for
     the bucket; ``take(state, answers, buckets, given)`` the block's new
-    state, after another ``ask`` that may have left notes in the old one.  ``hashed_keys``: about how many keys there are, where prefixes are
-    hashes; else the cuts between buckets come from a sample of the blocks.
+    state, after another ``ask`` that may have left notes in the old one.
+    ``hashed_keys``: about how many keys there are, where prefixes are hashes;
+    else the cuts between buckets come from a sample of the blocks.
     The driver holds the cuts and one number a bucket (of ``KEYS`` keys).
     """
     if hashed_keys:
@@ -279,7 +318,9 @@ def exchange(state: DataFrame, ask: Callable, settle: Callable, take: Callable,
             back[order] = got
             answers.append(back)
             buckets.append(bucket)
-        return pd.DataFrame({"block": [key[0]], "state": [_kept(take(block, answers, buckets, given))]})
+        out = pd.DataFrame({"block": [key[0]], "state": [_kept(take(block, answers, buckets, given))]})
+        release()
+        return out
 
     out = written(state.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(receive, "block long, state binary"), ROWS_A_FILE, "zstd")
     dropped(told)
@@ -417,7 +458,7 @@ def _variants(width: int, k: int):
         a = np.frombuffer(s["text"], np.uint8)
         start, end, name = runs(a, s["lens"], np.ones(len(s["lens"]), bool), width, k)
         content = contents(a, start, end + width - 1)
-        order, first, number = distinct([name, content])
+        order, first, number = alike(name, content)
         ids = s["ids"][_owners(s["lens"], start)]
         least = np.minimum.reduceat(ids[order], first) if len(first) else ids
         return a, start, end, ids, name[order][first], content[order][first], least, number
@@ -429,7 +470,8 @@ def _variants(width: int, k: int):
 
     def settle(_, columns):
         name, content, least = columns
-        order, first, number = distinct([name, content])
+        number_of_content = alike(name, content)[2].astype(U)  # fewer bits than a hash has
+        order, first, number = distinct([(name.astype(U) << U(32)) | number_of_content])
         by_content = np.minimum.reduceat(least[order], first)
         heads = name[order][first]
         new = np.flatnonzero(np.append(True, heads[1:] != heads[:-1]))
@@ -450,15 +492,6 @@ def _variants(width: int, k: int):
 # -- the suffix array -----------------------------------------------------------------------------------------------
 
 
-def _strings(s: dict, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and lengths of a level's strings: bytes, or triples of them at sampled positions."""
-    t, lens = np.frombuffer(s["text"], np.uint8).astype(np.int64) + 1, s["lens"]
-    if level == 0:
-        return t, lens
-    at, shorter = _sampled(lens)
-    return ((t * 257 + _shifted(t, lens, 1)) * 257 + _shifted(t, lens, 2))[at], shorter
-
-
 def _named(columns: Callable):
     """Ranks, from 1, of the distinct rows of the packed ``columns(state)``; ``bits`` is what the number of ranks takes."""
 
@@ -480,29 +513,15 @@ def _named(columns: Callable):
     return ask, settle, take
 
 
-def _classes(lens: np.ndarray) -> np.ndarray:
-    """Position in its string, modulo 3."""
-    return (np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)) % 3
-
-
-def _spread(s: dict, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, lengths, classes, ranks) of a level's strings, ranks being 0 where positions aren't sampled."""
-    sym, lens = _strings(s, level)
-    rank = np.zeros(len(sym), np.int64)
-    at, _ = _sampled(lens)
-    rank[at] = s["rank"]
-    return sym, lens, _classes(lens), rank
-
-
 def _placed(level: int):
     """Of each suffix that isn't sampled, the rank of the last sampled one that isn't larger."""
-    wide = TRIPLE_BITS if level else BYTE_BITS
 
     def ask(s: dict):
-        sym, lens, cls, rank = _spread(s, level)
+        own = Strings(s, level)
+        rank, cls = own.ranks(s)
         out, s["_lanes"] = [], []
-        for heads, step, rows in (([sym], 1, cls < 2), ([sym, _shifted(sym, lens, 1)], 2, cls != 1)):
-            c, first_bits = packed([*(x[rows] for x in heads), _shifted(rank, lens, step)[rows]], [wide] * step + [s["bits"]])
+        for heads, step, rows in (([own.sym], 1, cls < 2), ([own.sym, own.later(own.sym, 1)], 2, cls != 1)):
+            c, first_bits = packed([*(x[rows] for x in heads), own.later(rank, step)[rows]], [own.wide] * step + [s["bits"]])
             order, first, number = distinct(c)
             c = [x[order][first] for x in c]
             most = np.maximum.reduceat(rank[rows][order], first) if len(first) else rank[:0]
@@ -524,11 +543,12 @@ def _placed(level: int):
 
 def _order(s: dict, level: int) -> tuple[list[np.ndarray], int]:
     """Packed columns by which all suffixes of a level are in order: sampled ones by rank, the others behind their places."""
-    sym, lens, cls, rank = _spread(s, level)
+    own = Strings(s, level)
+    place, cls = own.ranks(s)
+    following = own.later(place, 1)
     rest = cls == 0
-    place = rank.copy()
     place[rest] = s["place"]
-    return packed([place, rest, np.where(rest, sym, 0), np.where(rest, _shifted(rank, lens, 1), 0)], [s["bits"], 1, TRIPLE_BITS if level else BYTE_BITS, s["bits"]])
+    return packed([place, rest, np.where(rest, own.sym, 0), np.where(rest, following, 0)], [s["bits"], 1, own.wide, s["bits"]])
 
 
 def suffix_order(state: DataFrame, width: int) -> DataFrame:
@@ -536,14 +556,13 @@ def suffix_order(state: DataFrame, width: int) -> DataFrame:
     names = -(-width // 9)  # a name spans nine bytes
 
     def triples(s: dict):
-        sym, lens = _strings(s, 1)
-        at, _ = _sampled(lens)
-        return packed([_shifted(sym, lens, k)[at] for k in range(3)], [TRIPLE_BITS] * 3)
+        own = Strings(s, 1)
+        return packed([own.later(own.sym, k)[own.at] for k in range(3)], [TRIPLE_BITS] * 3)
 
     def tuples(s: dict):
-        _, lens = _strings(s, 1)
-        _, shorter = _sampled(lens)
-        return packed([_shifted(s["rank"], shorter, k) for k in range(names)], [s["bits"]] * names)
+        shorter = _sampled(_sampled(s["lens"])[1])[1]
+        left = np.repeat(np.cumsum(shorter), shorter) - np.arange(len(s["rank"]))
+        return packed([_later(s["rank"], left, k) for k in range(names)], [s["bits"]] * names)
 
     steps = [
         _named(triples),  # names of nine bytes
@@ -564,7 +583,7 @@ def smaller(state: DataFrame, width: int) -> DataFrame:
 
     def ask(s: dict):
         text, lens = np.frombuffer(s["text"], np.uint8), s["lens"]
-        at = np.flatnonzero(np.arange(len(text)) + width <= _ends(lens))
+        at = np.flatnonzero(_whole(lens, np.ones(len(lens), bool), width, len(text)))
         c, first_bits = _order(s, 0)
         c = [x[at] for x in c]
         ids = s["ids"][_owners(lens, at)]
