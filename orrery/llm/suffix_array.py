@@ -451,6 +451,14 @@ def _places(s: dict, at: np.ndarray, *more: np.ndarray) -> np.ndarray:
     return np.stack((*(x + shift for x in (at, *more)), s["home"][owner]), 1)
 
 
+def _joined(gone: np.ndarray) -> np.ndarray:
+    """Intervals (start, end, block) in order, those that touch as one."""
+    gone = gone[np.lexsort((gone[:, 0], gone[:, 2]))]
+    new = np.append(True, (gone[1:, 2] != gone[:-1, 2]) | (gone[1:, 0] > gone[:-1, 1]))[: len(gone)]
+    first = np.flatnonzero(new)
+    return np.stack((gone[first, 0], np.maximum.reduceat(gone[:, 1], first), gone[first, 2]), 1) if len(first) else gone
+
+
 def _variants(width: int, k: int):
     """Which runs the smallest document has too, and which stay to be sorted."""
 
@@ -484,7 +492,7 @@ def _variants(width: int, k: int):
         said = answers[0][number] if len(start) else np.zeros(0, np.uint8)
         mine = (said & 1).astype(bool) & (ids == least[number]) if len(start) else np.zeros(0, bool)
         sort = mine & (said >= 2)
-        return _cut(s, start[sort], end[sort], width) | {"homes": s["homes"], "gone": np.concatenate((s["gone"], _places(s, start, end)[~mine]))}
+        return _cut(s, start[sort], end[sort], width) | {"homes": s["homes"], "gone": _joined(np.concatenate((s["gone"], _places(s, start, end)[~mine])))}
 
     return ask, settle, take
 
@@ -644,7 +652,8 @@ def smaller(state: DataFrame, width: int) -> DataFrame:
             low = np.empty(len(order), np.int64)
             low[order] = np.concatenate(parts)
             hit = at[low[number] < ids]
-            gone = np.concatenate((gone, _places(s, hit, hit + 1)))
+            gone = _joined(np.concatenate((gone, _places(s, hit, hit + 1))))
+        release()
         return pd.DataFrame({"block": s["homes"], "gone": [gone[gone[:, 2] == n, :2].tobytes() for n in range(len(s["homes"]))]})
 
     return written(state.groupBy("block").cogroup(rows.groupBy("block")).applyInPandas(receive, "block long, gone binary"), ROWS_A_FILE, "zstd")
