@@ -60,8 +60,8 @@ SPAN = 3  # sentences of a window at most
 TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.7  # cosine of a match
 RESERVED = "Proprietary"  # rights are reserved beside any licence: it only counts where there is no other
-#: Words that any text has, taken as keys last.
-COMMON = set("the of and or to in is be this that it you may are by any for with from not on as a".split())
+#: Words that any text has (one of them in German); on their own they make no match.
+PLAIN = set("a an and are as at be by for from in is it mit no of or that the this to was with".split())
 EXPLAINED = 0.5  # share of a licence file's words that are in what matched
 FILE_NAME = "(?i)^(un)?licen[cs]e([-_.][^/]*)?$|^copying([-_.][^/]*)?$|^copyright([-_.][^/]*)?$"
 
@@ -78,24 +78,9 @@ def _squares(templates: list[tuple[str, str]]) -> list[dict[str, float]]:
     return out
 
 
-def key_terms(least: float = LEAST) -> list[str]:
-    """Terms of which every text that matches some template has one.
-
-    A text's cosine is at most the root of the squared weights of the terms
-    that it shares with the template.  So terms are taken, those that help most
-    templates first, until what is left of each template stays below ``least``.
-    """
-    left = _squares(TEMPLATES) + _squares(TEMPLATES + HEADERS)
-    enough, keys = least * least - 1e-6, []
-    while left := [w for w in left if sum(w.values()) >= enough]:
-        gain = Counter()
-        for w in left:
-            need = sum(w.values()) - enough
-            for t, x in w.items():
-                gain[t] += min(x, need) + 1e-9
-        keys.append(max(gain, key=lambda t: (t not in COMMON, gain[t], t)))
-        left = [{t: x for t, x in w.items() if t != keys[-1]} for w in left]
-    return sorted(keys)
+def key_terms() -> list[str]:
+    """Terms of which a line or sentence must have one to be compared: all of the templates but plain words."""
+    return sorted({t for _, body in TEMPLATES + HEADERS for t in re.findall(TERM, body.lower())} - PLAIN)
 
 
 #: What is of interest: texts, lines and sentences with a key term.
@@ -152,7 +137,9 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", path: str = "pa
 
     licence and score (rounded to 6 places) are the text's own best match (ties
     to the earlier template), null below ``least``; that rights are reserved
-    counts only where no licence matches, however well it does; inherited is what the
+    counts only where no licence matches, however well it does.  A line or
+    sentence of plain words only is no match (templates can't reach ``least``
+    by those, but for a few that are hardly more than a name); inherited is what the
     nearest covered ancestor directory has, null for files with a licence of
     their own; effective is one or the other.  Of several licence files in a
     directory one with a licence counts before one that reserves rights, then the
