@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.arguments import POLICIES
+from .rules import container_error
 from .scalars import aspect_ratio, case, human_size, target_bitrate, valid_component
 
 #: Suffixes that can be compressed, those copied as they are without loss, and where a montage can go.
@@ -140,11 +141,13 @@ def target_error(policy: Column, source_there: Column, output_there: Column, tar
     )
 
 
-def concat_error(paths: Column, output: Column, all_there: Column, output_there: Column, overwrite: bool = False) -> Column:
+def concat_error(paths: Column, output: Column, all_there: Column, output_there: Column, overwrite: bool = False, reencode: bool = False) -> Column:
+    """The first fault of a request to join clips; one that encodes them anew needs a container for that."""
+    container = container_error(F.regexp_extract(output, "(\\.[^./]*)?$", 1), F.lit("h264"))
     taken = F.lit(False) if overwrite else output_there
     return (
         F.when(F.size(paths) < 2, "concat_requires_two_inputs").when(aggregate_aliases(paths, output), "output_collision").when(~all_there, "input_not_found")
-        .when(taken, "output_exists").otherwise("")
+        .when(taken, "output_exists").otherwise(container if reencode else F.lit(""))
     )
 
 

@@ -223,7 +223,7 @@ def estimated_video_bytes(codec: Column, rate: Column, duration: Column, has_aud
     return F.floor(bits * duration / 8).cast("long")
 
 
-def target_bitrate(size: Column, duration: Column, has_audio: Column, audio_bps: int = 96_000) -> Column:
+def target_bitrate(size: Column, duration: Column, has_audio: Column, audio_bps: int = 192_000) -> Column:
     """Video bits a second that make a file of ``size`` bytes, with 2 % left for the container; 0 where there's no such rate."""
     bits = size * 8 / duration * 0.98 - F.when(has_audio, float(audio_bps)).otherwise(0.0)
     good = (duration >= 0.05) & (duration < INFINITY) & (size > 0)

@@ -142,13 +142,17 @@ def compare_pictures(pairs: DataFrame, a: str, b: str, block: int = 64) -> DataF
 def block_ssim(pairs: DataFrame, key: list[str], a: str, b: str, width: int, block: int, stride: int) -> DataFrame:
     """(key..., ssim): the mean over sliding square blocks, of single planes of ``width`` columns in row order; blocks over the edge are left out.
 
-    Planes smaller than a block have their whole similarity.
+    Planes smaller than a block have their whole similarity.  Pairs of planes
+    that aren't of one length, or not of whole lines, have none (null).
     """
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for p, q in zip(x, y, strict=True):
+            if len(p) != len(q) or not len(p) or len(p) % width:
+                out.append(None)
+                continue
             p, q = (np.asarray(v, float).reshape(-1, width) for v in (p, q))
             one = mean_block_ssim(p, q, block, stride)
             out.append(float(np.clip(global_ssim(p, q) if one is None else one, 0.0, 1.0)))

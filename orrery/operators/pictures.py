@@ -5,16 +5,18 @@ A row that can't be processed keeps its place with an error code.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import pixels
+from .planning import montage_geometry
 
 LOBES = 3
 BITS = 22  # of a fixed-point weight
@@ -97,11 +99,21 @@ OPAQUE = {"bmp", "ppm"}
 
 
 def decoded(data: bytes, width: int, height: int, channels: int) -> np.ndarray:
-    """RGB or RGBA or grey, from the image source's blue-first order."""
+    """RGB or RGBA or grey, from the image source's blue-first order; ValueError with a stable code for what is no such picture."""
+    if data is None or not (width > 0 and height > 0 and channels in (1, 2, 3, 4)) or len(data) != width * height * channels:
+        raise ValueError("unreadable_picture")
     a = pixels.raster(bytes(data), width, height, channels)
     return np.concatenate((a[..., 2::-1], a[..., 3:]), axis=2) if channels >= 3 else a
 
 
+def readable(r) -> np.ndarray:
+    """The picture of a row of the image source; ValueError for null and negative sizes, too."""
+    sizes = [r.width, r.height, r.nChannels]
+    if r.data is None or any(pd.isna(n) for n in sizes):
+        raise ValueError("unreadable_picture")
+    return decoded(bytes(r.data), *(int(n) for n in sizes))
+
+
 def step(a: np.ndarray, name: str, *args) -> np.ndarray:
     """One step: orient n, rotate degrees, flip how, resize w h, fit longest, crop l t r b, flatten r g b, grey, overlay (an array) x y opacity."""
     h, w = a.shape[:2]
@@ -148,13 +160,11 @@ def processed(df: DataFrame, steps: list[tuple], fmt: str = "png", limit: int =
         for batch in batches:
             for r in batch.itertuples(index=False):  # a picture is a batch of its own on its way out
                 w, h, content, error = None, None, None, ""
-                if r.data is None or not (r.width > 0 and r.height > 0):
-                    error = "unreadable_picture"
-                elif r.width * r.height > limit:
+                if r.data is not None and r.width > 0 and r.height > 0 and r.width * r.height > limit:
                     error = "image_too_large"
                 else:
                     try:
-                        a = decoded(r.data, int(r.width), int(r.height), int(r.nChannels))
+                        a = readable(r)
                         for s in steps:
                             a = step(a, *s)
                         if fmt in OPAQUE:
@@ -186,9 +196,11 @@ def hashed(df: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                good = r.data is not None and r.width > 0 and r.height > 0
-                h = [signed(x) for x in hashes(decoded(r.data, int(r.width), int(r.height), int(r.nChannels)))] if good else [None] * 3
-                out.append((r.origin, *h, int(r.width) * int(r.height) if good else None))
+                try:
+                    a = readable(r)
+                    out.append((r.origin, *(signed(x) for x in hashes(a)), a.shape[0] * a.shape[1]))
+                except ValueError:
+                    out.append((r.origin, None, None, None, None))
             yield pd.DataFrame({c: pd.array([o[k] for o in out], "Int64") if k else [o[0] for o in out] for k, c in enumerate(("origin", "ahash", "dhash", "phash", "pixels"))})
 
     return df.select("origin", "width", "height", "nChannels", "data").mapInPandas(run, "origin string, ahash long, dhash long, phash long, pixels long")
@@ -203,20 +215,123 @@ def tiled(a: np.ndarray, mark: np.ndarray, gap: int, opacity: int) -> np.ndarray
     return out
 
 
-def montage(pictures: list[np.ndarray], cols: int, cell_w: int, cell_h: int, gap: int = 10, border: int = 0, background: tuple[int, int, int] = (255, 255, 255)) -> np.ndarray:
-    """Pictures in a grid, each fitted into its cell and centred."""
-    rows = -(-len(pictures) // cols)
-    out = np.empty((2 * border + rows * cell_h + (rows - 1) * gap, 2 * border + cols * cell_w + (cols - 1) * gap, 3), np.uint8)
-    out[:] = background
-    for k, a in enumerate(pictures):
-        a = step(a, "flatten", *background)
-        a = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a
-        scale = min(cell_w / a.shape[1], cell_h / a.shape[0])
-        a = lanczos(a, max(1, int(a.shape[1] * scale)), max(1, int(a.shape[0] * scale)))
-        row, col = divmod(k, cols)
-        y, x = border + row * (cell_h + gap) + (cell_h - a.shape[0]) // 2, border + col * (cell_w + gap) + (cell_w - a.shape[1]) // 2
-        out[y : y + a.shape[0], x : x + a.shape[1]] = a
-    return out
+def fitted(w: int, h: int, most_w: int, most_h: int) -> tuple[int, int]:
+    """The largest size within bounds whose sides are most nearly in proportion; pictures are never enlarged."""
+    if w <= most_w and h <= most_h:
+        return w, h
+    ratio = w / h
+    nearest = lambda x, off: max(1, min((math.floor(x), math.ceil(x)), key=off))
+    if most_w / most_h >= ratio:
+        return nearest(most_h * ratio, lambda n: abs(ratio - n / most_h)), most_h
+    return most_w, nearest(most_w / ratio, lambda n: abs(ratio - most_w / n) if n else 0)
+
+
+STRIP = 256  # lines of a canvas that a task makes
+MONTAGE_LIMIT = 120_000_000  # pixels of a canvas
+
+
+def montages(
+    df: DataFrame, group: str, order: str, cols: int = 3, gap: int = 10, border: int = 0, background: tuple[int, int, int] = (255, 255, 255), border_color: tuple[int, int, int] = (200, 200, 200),
+    cell_width: int | None = None, cell_height: int | None = None, auto_size: bool = True, strip: int = STRIP,
+) -> DataFrame:
+    """(group, pictures, width, height, content, error): each group's pictures in a grid, as a PNG.
+
+    Cells are as large as the pictures' upper medians (at most 800 x 600), or
+    as the largest ones without ``auto_size``, or as given.  There is a gap
+    around every cell; pictures are fitted and centred, never enlarged, with
+    the border outside.  Unreadable pictures are left out.  Canvases of more
+    than ``MONTAGE_LIMIT`` pixels give ``image_too_large``.
+
+    No task holds a canvas: pictures go to the strips of lines that they touch,
+    a strip is drawn and deflated by itself, and the pieces make one stream,
+    whose checksum is put together from the pieces'.
+    """
+    good = df.where((F.col("width") > 0) & (F.col("height") > 0) & (F.octet_length("data") == F.col("width") * F.col("height") * F.col("nChannels")) & F.col("nChannels").isin(1, 3, 4))
+    good = good.select(F.col(group).alias("g"), F.col(order).alias("o"), "width", "height", "nChannels", "data")
+    if auto_size:
+        sizes = montage_geometry(good, "g", "width", "height").select("g", "items", F.col("cell_width").alias("cw"), F.col("cell_height").alias("ch"))
+    else:
+        sizes = good.groupBy("g").agg(F.count("*").cast("int").alias("items"), F.max("width").alias("cw"), F.max("height").alias("ch"))
+    given = lambda n, c: F.lit(n) if n else F.col(c)
+    rows = F.ceil(F.col("items") / cols).cast("long")
+    canvas = sizes.withColumns({"cw": given(cell_width, "cw"), "ch": given(cell_height, "ch")}).withColumns({"W": F.lit(cols) * (F.col("cw") + gap) + gap, "H": rows * (F.col("ch") + gap) + gap})
+    canvas = canvas.withColumn("fits", F.col("W").cast("long") * F.col("H") <= MONTAGE_LIMIT)
+    # positions come from keys alone
+    at = F.row_number().over(Window.partitionBy("g").orderBy("o")) - 1
+    placed = good.join(good.select("g", "o").withColumn("at", at), ["g", "o"]).join(canvas.where("fits"), "g")
+    # of the lines that a cell and its border take
+    top = F.lit(gap) + F.floor(F.col("at") / cols) * (F.col("ch") + gap)
+    first, last = F.greatest(F.floor((top - border) / strip), F.lit(0)), F.floor(F.least(top + F.col("ch") + border - 1, F.col("H") - 1) / strip)
+    touched = placed.withColumn("strip", F.explode(F.sequence(first.cast("int"), last.cast("int")))).drop("fits", "items")
+    every = canvas.where("fits").select("g", "W", "H", "cw", "ch", F.explode(F.sequence(F.lit(0), F.floor((F.col("H") - 1) / strip).cast("int"))).alias("strip"))
+    every = every.toDF(*every.columns)  # columns of its own: both sides come from one canvas
+
+    def draw(key, empty: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        one = empty.iloc[0]
+        width, height, cw, ch, low = (int(one[c]) for c in ("W", "H", "cw", "ch", "strip"))
+        low *= strip
+        lines = min(strip, height - low)
+        out = np.empty((lines, 1 + width * 3), np.uint8)
+        out[:, 0] = 0
+        pixels_ = out[:, 1:].reshape(lines, width, 3)
+        pixels_[:] = background
+
+        def paint(x0, y0, x1, y1, what):  # in canvas coordinates; what lies outside the strip is cut
+            a, b, c, d = max(x0, 0), max(y0, low), min(x1, width), min(y1, low + lines)
+            if a < c and b < d:
+                pixels_[b - low : d - low, a:c] = what if len(what) == 3 and np.ndim(what) == 1 else what[b - y0 : d - y0, a - x0 : c - x0]
+
+        for r in rows.sort_values("at").itertuples(index=False):
+            a = decoded(bytes(r.data), int(r.width), int(r.height), int(r.nChannels))
+            a = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a
+            a = lanczos(a, *fitted(a.shape[1], a.shape[0], cw, ch)) if a.shape[1] > cw or a.shape[0] > ch else a
+            row, col = divmod(int(r.at), cols)
+            x, y = gap + col * (cw + gap) + (cw - a.shape[1]) // 2, gap + row * (ch + gap) + (ch - a.shape[0]) // 2
+            if border:
+                part = (slice(max(y, low) - low, max(min(y + a.shape[0], low + lines), max(y, low)) - low), slice(x, x + a.shape[1]))
+                kept = pixels_[part].copy()
+                paint(x - border, y - border, x + a.shape[1] + border, y + a.shape[0] + border, border_color)
+                pixels_[part] = kept
+            if a.shape[2] == 4:
+                under = np.empty((a.shape[0], a.shape[1], 3), np.uint8)
+                under[:] = background
+                alpha = a[..., 3:].astype(np.int64)
+                t = a[..., :3] * alpha + under * (255 - alpha) + 128
+                a = (((t >> 8) + t) >> 8).astype(np.uint8)
+            paint(x, y, x + a.shape[1], y + a.shape[0], a)
+        raw = out.tobytes()
+        deflate = zlib.compressobj(6, zlib.DEFLATED, -15)
+        piece = deflate.compress(raw) + deflate.flush(zlib.Z_FULL_FLUSH)
+        return pd.DataFrame({"g": [one["g"]], "strip": [int(one["strip"])], "W": [width], "H": [height], "piece": [piece], "adler": [zlib.adler32(raw)], "n": [len(raw)]})
+
+    kind = good.schema["g"].dataType.simpleString()
+    pieces = every.groupBy("g", "strip").cogroup(touched.groupBy("g", "strip")).applyInPandas(draw, f"g {kind}, strip int, W int, H int, piece binary, adler long, n long")
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("strip")
+        total = 1
+        for adler, n in zip(rows["adler"].tolist(), rows["n"].tolist(), strict=True):
+            total = joined_adler(total, adler, n)
+        parts = rows["piece"].tolist()
+        parts[0] = b"\x78\x9c" + parts[0]
+        parts[-1] += b"\x03\x00" + struct.pack(">I", total)  # an empty last block
+        width, height = int(rows["W"].iloc[0]), int(rows["H"].iloc[0])
+        chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+        head = chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0))
+        content = b"\x89PNG\r\n\x1a\n" + head + b"".join(chunk(b"IDAT", p) for p in parts) + chunk(b"IEND", b"")
+        return pd.DataFrame({"g": [rows["g"].iloc[0]], "content": [content]})
+
+    made = pieces.groupBy("g").applyInPandas(join, f"g {kind}, content binary")
+    out = canvas.join(made, "g", "left")
+    return out.select(F.col("g").alias(group), F.col("items").alias("pictures"), F.col("W").cast("int").alias("width"), F.col("H").cast("int").alias("height"), "content", F.when(F.col("fits"), "").otherwise("image_too_large").alias("error"))
+
+
+def joined_adler(a: int, b: int, n: int) -> int:
+    """Adler-32 of two pieces one behind the other, from theirs and the second one's length."""
+    base = 65521
+    low = ((a & 0xFFFF) + (b & 0xFFFF) - 1) % base
+    high = ((a >> 16) + (b >> 16) + n % base * ((a & 0xFFFF) - 1)) % base
+    return high << 16 | low
 
 
 def read_png(data: bytes) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -60,42 +61,49 @@ def grey(a: np.ndarray) -> np.ndarray:
     return np.rint(a[..., 0] * 0.299 + a[..., 1] * 0.587 + a[..., 2] * 0.114).astype(np.uint8) if a.shape[2] >= 3 else a[..., 0]
 
 
+#: The next marker in coded data: neither a stuffed byte nor a restart, behind any number of fill bytes.
+_MARKER = re.compile(rb"\xff+[^\x00\xff\xd0-\xd7]", re.DOTALL)
+
+
 def strip_jpeg(data: bytes) -> bytes:
-    """A JPEG without its APP1-APP15 and comment segments; the picture's own segments and scans stay byte for byte.
+    """A JPEG without its APP1-APP15 and comment segments but colour profiles (APP2) and how colours are coded (APP14); the picture's own segments and scans stay byte for byte.
 
     Raises ValueError for what is no whole JPEG.
     """
     if data[:2] != b"\xff\xd8":
         raise ValueError("not_a_jpeg")
-    out, i = bytearray(b"\xff\xd8"), 2
-    while i < len(data):
-        if data[i] != 0xFF:
+    out, at = [b"\xff\xd8"], 2
+    while at < len(data):
+        if data[at] != 0xFF:
             raise ValueError("broken_jpeg")
-        j = i
-        while j < len(data) and data[j] == 0xFF:
-            j += 1
-        if j >= len(data):
+        name = at
+        while name < len(data) and data[name] == 0xFF:
+            name += 1
+        if name >= len(data):
             break
-        kind = data[j]
+        kind = data[name]
         if kind == 0xD9:
-            return bytes(out + b"\xff\xd9")
+            return b"".join((*out, b"\xff\xd9"))
         if kind == 0x01 or 0xD0 <= kind <= 0xD7:
-            out += bytes((0xFF, kind))
-            i = j + 1
+            out.append(bytes((0xFF, kind)))
+            at = name + 1
             continue
-        if j + 3 > len(data):
+        if name + 3 > len(data):
             break
-        (size,) = struct.unpack(">H", data[j + 1 : j + 3])
-        end = j + 1 + size
+        (size,) = struct.unpack(">H", data[name + 1 : name + 3])
+        end = name + 1 + size
         if size < 2 or end > len(data):
             break
-        if not (0xE1 <= kind <= 0xEF and kind != 0xEE or kind == 0xFE):  # APP14 tells how colours are coded
-            out += bytes((0xFF, kind)) + data[j + 1 : end]
-        i = end
-        if kind == 0xDA:  # coded data, up to the next marker that is neither stuffed nor a restart
-            while i + 1 < len(data) and not (data[i] == 0xFF and data[i + 1] != 0 and not 0xD0 <= data[i + 1] <= 0xD7):
-                out.append(data[i])
-                i += 1
+        told = 0xE1 <= kind <= 0xEF or kind == 0xFE
+        if not told or kind == 0xEE or kind == 0xE2 and data.startswith(b"ICC_PROFILE\0", name + 3):
+            out.append(b"\xff" + data[name:end])
+        at = end
+        if kind == 0xDA:  # coded data, up to the next marker
+            found = _MARKER.search(data, at)
+            if not found:
+                break
+            out.append(data[at : found.start()])
+            at = found.start()
     raise ValueError("truncated_jpeg")
 
 

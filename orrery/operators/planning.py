@@ -223,7 +223,7 @@ def montage_geometry(df: DataFrame, group: str, w: str, h: str, cols: int = 3, g
 
     out = median(w, widest).join(median(h, highest).drop("items"), group)
     rows = F.ceil(F.col("items") / cols).cast("int")
-    used = F.least(F.lit(cols), F.col("items"))
+    used = F.lit(cols)  # empty cells of a short row are there, too
     return out.select(group, "items", F.col(f"cell_{w}").alias("cell_width"), F.col(f"cell_{h}").alias("cell_height"), used.alias("cols"), rows.alias("rows"), (used * F.col(f"cell_{w}") + (used + 1) * gap).alias("canvas_width"), (rows * F.col(f"cell_{h}") + (rows + 1) * gap).alias("canvas_height"))
 
 
@@ -244,22 +244,26 @@ def ordered_concat(df: DataFrame, group: str, order: str, value: str, separator:
     return df.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda s: s[value]), separator).alias("joined"), F.count("*").alias("parts"))
 
 
-def best_of_ladder(documents: DataFrame, candidates: DataFrame, key: str, size: str, budget: str, quality: str, out: str, highest: int = 95, lowest: int = 20) -> DataFrame:
-    """(key, outcome, quality, bytes, error): a document that fits is copied; else the lossless candidate (null quality) if it fits, else the highest quality that does.
+def best_of_ladder(documents: DataFrame, candidates: DataFrame, key: str, size: str, budget: str, quality: str, out: str, highest: int = 95, lowest: int = 20, dpi: int | None = None) -> DataFrame:
+    """(key, outcome, quality, bytes, error, closest_size, attempts): a document that fits stays; else the lossless candidate (null quality) if it fits, else the highest quality that does.
 
-    Sizes need not fall with the quality, so every candidate counts.
+    Sizes need not fall with the quality, so every candidate counts.  Where
+    none fits, ``closest_size`` is the smallest one and ``attempts`` their
+    number; both are null elsewhere.  A ``dpi`` outside 72 to 1200 is every
+    row's error, after that of its budget.
     """
     fits = F.col(out) <= F.col(budget)
     tried = candidates.where(F.col(quality).isNull() | F.col(quality).between(lowest, highest)).join(documents.select(key, budget), key)
     got = tried.groupBy(key).agg(
-        F.min(F.when(F.col(quality).isNull() & fits, F.col(out))).alias("_plain"), F.max(F.when(F.col(quality).isNotNull() & fits, F.struct(F.col(quality).alias("q"), F.col(out).alias("b")))).alias("_best"), F.min(out).alias("_least"),
+        F.min(F.when(F.col(quality).isNull() & fits, F.col(out))).alias("_plain"), F.max(F.when(F.col(quality).isNotNull() & fits, F.struct(F.col(quality).alias("q"), F.col(out).alias("b")))).alias("_best"), F.min(out).alias("_least"), F.count("*").alias("_n"),
     )
     rows = documents.join(got, key, "left")
-    copied = F.col(size) <= F.col(budget)
-    outcome = F.when(F.col(budget) <= 0, "").when(copied, "copied").when(F.col("_plain").isNotNull(), "lossless").when(F.col("_best").isNotNull(), F.concat(F.lit("image_quality_"), F.col("_best.q").cast("string"))).otherwise("")
-    error = F.when(F.col(budget) <= 0, "target_size_must_be_positive").when(outcome != "", "").otherwise("target_size_unreachable")
-    took = F.when(outcome == "copied", F.col(size)).when(outcome == "lossless", F.col("_plain")).when(outcome != "", F.col("_best.b"))
-    return rows.select(key, outcome.alias("outcome"), F.when(F.startswith(outcome, F.lit("image")), F.col("_best.q")).alias(quality), took.alias("bytes"), error.alias("error"))
+    bad = F.lit(dpi is not None and not 72 <= dpi <= 1200)
+    stays = F.col(size) <= F.col(budget)
+    outcome = F.when((F.col(budget) <= 0) | bad, "").when(stays, "already_within_target").when(F.col("_plain").isNotNull(), "lossless").when(F.col("_best").isNotNull(), F.concat(F.lit("image_quality_"), F.col("_best.q").cast("string"))).otherwise("")
+    error = F.when(F.col(budget) <= 0, "target_size_must_be_positive").when(bad, "max_image_dpi_must_be_between_72_and_1200").when(outcome != "", "").otherwise("target_size_unreachable")
+    took = F.when(outcome == "already_within_target", F.col(size)).when(outcome == "lossless", F.col("_plain")).when(outcome != "", F.col("_best.b"))
+    return rows.select(key, outcome.alias("outcome"), F.when(F.startswith(outcome, F.lit("image")), F.col("_best.q")).alias(quality), took.alias("bytes"), error.alias("error"), *(F.when(error == "target_size_unreachable", F.col(c)).alias(n) for c, n in (("_least", "closest_size"), ("_n", "attempts"))))
 
 
 def recommended_flags(estimates: DataFrame, key: str, name: str, winner: str) -> DataFrame:
@@ -281,7 +285,9 @@ def zipped(tasks: DataFrame, results: DataFrame, ordinal: str) -> DataFrame:
 
 def differing_semantics(source: DataFrame, candidate: DataFrame, key: str, aspects: list[str]) -> DataFrame:
     """(key, warnings): the sorted aspects in which two documents' snapshots differ; documents without a counterpart differ in all."""
-    a, b = source.select(key, *(F.col(c).alias(f"_a_{c}") for c in aspects)), candidate.select(key, *(F.col(c).alias(f"_b_{c}") for c in aspects), F.lit(True).alias("_there"))
-    both = a.join(b, key, "left")
-    changed = F.array(*(F.when(F.col("_there").isNull() | ~F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")), F.lit(f"{c}_changed")) for c in aspects))
+    a = source.select(key, *(F.col(c).alias(f"_a_{c}") for c in aspects), F.lit(True).alias("_here"))
+    b = candidate.select(key, *(F.col(c).alias(f"_b_{c}") for c in aspects), F.lit(True).alias("_there"))
+    both = a.join(b, key, "full")
+    alone = F.col("_here").isNull() | F.col("_there").isNull()
+    changed = F.array(*(F.when(alone | ~F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}")), F.lit(f"{c}_changed")) for c in aspects))
     return both.select(key, F.array_sort(F.filter(changed, lambda c: c.isNotNull())).alias("warnings"))

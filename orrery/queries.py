@@ -421,7 +421,7 @@ def estimate_rank(spark, sf):
 
 @query("""
 WITH g AS (SELECT l_orderkey AS o, list_sort(list(l_quantity::INTEGER * 40)) AS w, list_sort(list(l_linenumber * 150)) AS h, count(*)::INTEGER AS n FROM lineitem GROUP BY 1),
-c AS (SELECT o, n, least(w[n // 2 + 1], 800)::INTEGER AS cw, least(h[n // 2 + 1], 600)::INTEGER AS ch, least(3, n) AS cols, ((n + 2) // 3)::INTEGER AS r FROM g)
+c AS (SELECT o, n, least(w[n // 2 + 1], 800)::INTEGER AS cw, least(h[n // 2 + 1], 600)::INTEGER AS ch, 3 AS cols, ((n + 2) // 3)::INTEGER AS r FROM g)
 SELECT o AS l_orderkey, n AS items, cw AS cell_width, ch AS cell_height, cols, r AS rows, cols * cw + (cols + 1) * 10 AS canvas_width, r * ch + (r + 1) * 10 AS canvas_height FROM c""")
 def montage_geometry(spark, sf):
     rows = t(spark, sf, "lineitem").select("l_orderkey", (F.col("l_quantity").cast("int") * 40).alias("w"), (F.col("l_linenumber") * 150).alias("h"))
@@ -567,7 +567,7 @@ def media_types(spark, sf):
 
 
 @query("""
-SELECT l_orderkey, l_linenumber, CASE WHEN d < 0.05 OR l_quantity <= 0 THEN 0 ELSE trunc(least(greatest(l_extendedprice * 1000 * 8 / d * 0.98 - CASE WHEN l_returnflag = 'R' THEN 96000 ELSE 0 END, 0), 2e9))::BIGINT END AS bps
+SELECT l_orderkey, l_linenumber, CASE WHEN d < 0.05 OR l_quantity <= 0 THEN 0 ELSE trunc(least(greatest(l_extendedprice * 1000 * 8 / d * 0.98 - CASE WHEN l_returnflag = 'R' THEN 192000 ELSE 0 END, 0), 2e9))::BIGINT END AS bps
 FROM (SELECT *, l_quantity * l_discount AS d FROM lineitem)""")
 def target_bitrates(spark, sf):
     d = F.col("l_quantity") * F.col("l_discount")
@@ -709,3 +709,4 @@ from . import queries_rules  # noqa: E402, F401  (adds its queries)
 from . import queries_requests  # noqa: E402, F401
 from . import queries_records  # noqa: E402, F401
 from . import queries_files  # noqa: E402, F401
+from . import queries_pictures  # noqa: E402, F401

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import planning as P
 from .operators import report as RP
-from .queries import literals, query, sql_literals, t
+from .queries import query, t
 from .sources import files as SRC
 from .sources import lines as L
 
@@ -48,10 +48,11 @@ c AS (SELECT p_partkey AS k, CASE WHEN q = 0 THEN NULL ELSE q END AS q, CASE WHE
 
 
 @query(f"""WITH {_LADDER},
-f AS (SELECT d.k, size, budget, min(b) FILTER (q IS NULL AND b <= budget) AS plain, max(q) FILTER (q BETWEEN 20 AND 95 AND b <= budget) AS best, arg_max(b, q) FILTER (q BETWEEN 20 AND 95 AND b <= budget) AS took FROM d JOIN c ON d.k = c.k GROUP BY ALL)
-SELECT k, CASE WHEN budget <= 0 THEN '' WHEN size <= budget THEN 'copied' WHEN plain IS NOT NULL THEN 'lossless' WHEN best IS NOT NULL THEN 'image_quality_' || best ELSE '' END AS outcome,
+f AS (SELECT d.k, size, budget, min(b) FILTER (q IS NULL AND b <= budget) AS plain, min(b) FILTER (q IS NULL OR q BETWEEN 20 AND 95) AS least, count(*) FILTER (q IS NULL OR q BETWEEN 20 AND 95) AS tried, max(q) FILTER (q BETWEEN 20 AND 95 AND b <= budget) AS best, arg_max(b, q) FILTER (q BETWEEN 20 AND 95 AND b <= budget) AS took FROM d JOIN c ON d.k = c.k GROUP BY ALL)
+SELECT k, CASE WHEN budget <= 0 THEN '' WHEN size <= budget THEN 'already_within_target' WHEN plain IS NOT NULL THEN 'lossless' WHEN best IS NOT NULL THEN 'image_quality_' || best ELSE '' END AS outcome,
 CASE WHEN budget > 0 AND size > budget AND plain IS NULL THEN best END AS q, CASE WHEN budget <= 0 THEN NULL WHEN size <= budget THEN size WHEN plain IS NOT NULL THEN plain ELSE took END AS bytes,
-CASE WHEN budget <= 0 THEN 'target_size_must_be_positive' WHEN size <= budget OR plain IS NOT NULL OR best IS NOT NULL THEN '' ELSE 'target_size_unreachable' END AS error FROM f""")
+CASE WHEN budget <= 0 THEN 'target_size_must_be_positive' WHEN size <= budget OR plain IS NOT NULL OR best IS NOT NULL THEN '' ELSE 'target_size_unreachable' END AS error,
+CASE WHEN budget > 0 AND size > budget AND plain IS NULL AND best IS NULL THEN least END AS closest_size, CASE WHEN budget > 0 AND size > budget AND plain IS NULL AND best IS NULL THEN tried END AS attempts FROM f""")
 def budget_ladder(spark, sf):
     part = t(spark, sf, "part")
     documents = part.select(F.col("p_partkey").alias("k"), (F.col("p_size") * 100).alias("size"), (F.col("p_partkey") % 40 * 100).cast("int").alias("budget"))
@@ -85,14 +86,20 @@ def semantic_differences(spark, sf):
     part = t(spark, sf, "part")
     links = lambda extra: F.array(F.col("p_name"), extra)
     a = part.select("p_partkey", F.col("p_name").alias("text"), links(F.lit("x")).alias("links"))
-    b = part.where("p_partkey % 5 <> 0").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("text"), links(F.when(F.col("p_size") % 2 == 0, "y").otherwise("x")).alias("links"))
+    a = a.where("p_partkey % 10 <> 5")  # those and the rows below are on one side only
+    b = part.where("p_partkey % 10 <> 0").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("text"), links(F.when(F.col("p_size") % 2 == 0, "y").otherwise("x")).alias("links"))
     return P.differing_semantics(a, b, "p_partkey", ["text", "links"]).select("p_partkey", F.array_join("warnings", ",").alias("warnings"))
 
 
-_REQUESTS = ['{"jsonrpc":"2.0","id":1,"method":"tools/list"}', '{"jsonrpc":"2.0","method":"note","params":{"a":1}}', "[1]", "nonsense", '{"id":2,"method":"x"}', "", '{"jsonrpc":"2.0","id":"z","method":"tools/call","params":{"name":"hash"}}']
+#: A line of each kind, with an order's key: good ones, a note, no object, no JSON, no version, blank, too long, no UTF-8.
+_LINES = """CASE o_orderkey % 9 WHEN 0 THEN '{"jsonrpc":"2.0","id":' || o_orderkey || ',"method":"tools/list"}' WHEN 1 THEN '{"jsonrpc":"2.0","method":"note","params":{"a":' || o_orderkey || '}}' WHEN 2 THEN '[' || o_orderkey || ']'
+WHEN 3 THEN 'nonsense ' || o_orderkey WHEN 4 THEN '{"id":' || o_orderkey || ',"method":"x"}' WHEN 5 THEN ' ' WHEN 6 THEN '{"jsonrpc":"2.0","id":"z' || o_orderkey || '","method":"tools/call","params":{"name":"hash"}}'
+WHEN 7 THEN '{"jsonrpc":"2.0","id":1,"method":"tools/list","x":"' || repeat('y', 200) || '"}' ELSE '' END"""
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_REQUESTS)}) SELECT s, CASE WHEN s LIKE '%"id":1%' THEN '1' WHEN s LIKE '%"id":2%' THEN '2' WHEN s LIKE '%"z"%' THEN 'z' END AS id,
-CASE WHEN s LIKE '%tools/list%' THEN 'tools/list' WHEN s LIKE '%note%' THEN 'note' WHEN s LIKE '%tools/call%' THEN 'tools/call' END AS method, CASE WHEN s IN ('nonsense', '') THEN -32700 WHEN s = '[1]' OR s LIKE '%"id":2%' THEN -32600 END AS code FROM t""")
+@query("""SELECT o_orderkey AS k, CASE o_orderkey % 9 WHEN 0 THEN o_orderkey::VARCHAR WHEN 4 THEN o_orderkey::VARCHAR WHEN 6 THEN 'z' || o_orderkey END AS id, CASE o_orderkey % 9 WHEN 0 THEN 'tools/list' WHEN 1 THEN 'note' WHEN 6 THEN 'tools/call' END AS method,
+CASE o_orderkey % 9 WHEN 1 THEN '{"a":' || o_orderkey || '}' WHEN 6 THEN '{"name":"hash"}' END AS params, CASE WHEN o_orderkey % 9 IN (3, 7, 8) THEN -32700 WHEN o_orderkey % 9 IN (2, 4) THEN -32600 END AS code FROM orders WHERE o_orderkey % 9 <> 5""")
 def request_lines(spark, sf):
-    return L.requests(literals(spark, _REQUESTS), "s").select("s", "id", "method", "code")
+    line = F.expr(_LINES.replace("ELSE '' END", "ELSE 'x' END"))
+    rows = t(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.when(F.col("o_orderkey") % 9 == 8, F.unhex(F.lit("7BFF7D"))).otherwise(line.cast("binary")).alias("line"))
+    return L.requests(rows, "line", 200).select("k", "id", "method", "params", "code")

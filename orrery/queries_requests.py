@@ -115,11 +115,13 @@ def target_requests(spark, sf):
     )
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'concat_requires_two_inputs' WHEN o_orderkey % 5 = 0 THEN 'output_collision' WHEN o_custkey % 6 = 0 THEN 'input_not_found' WHEN o_custkey % 7 = 0 THEN 'output_exists' ELSE '' END AS error FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'concat_requires_two_inputs' WHEN o_orderkey % 5 = 0 THEN 'output_collision' WHEN o_custkey % 6 = 0 THEN 'input_not_found' WHEN o_custkey % 7 = 0 THEN 'output_exists' ELSE '' END AS error,
+CASE WHEN o_orderkey % 4 = 0 THEN 'concat_requires_two_inputs' WHEN o_custkey % 6 = 0 THEN 'input_not_found' WHEN o_custkey % 7 = 0 THEN 'output_exists' WHEN o_orderkey % 3 = 1 THEN 'unsupported_codec_for_container:h264:webm' WHEN o_orderkey % 3 = 2 THEN 'unsupported_target_container:avi' ELSE '' END AS recoded FROM orders""")
 def concat_requests(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     paths = F.when(k % 4 == 0, F.array(F.lit("/a.mp4"))).otherwise(F.array(F.lit("/a.mp4"), F.when(k % 5 == 0, "/x/../out.mp4").otherwise("/b.mp4")))
-    return t(spark, sf, "orders").select("o_orderkey", Q.concat_error(paths, F.lit("/out.mp4"), c % 6 != 0, c % 7 == 0).alias("error"))
+    output = F.concat(F.lit("/joined."), _pick(["MOV", "webm", "avi"], k % 3))
+    return t(spark, sf, "orders").select("o_orderkey", Q.concat_error(paths, F.lit("/out.mp4"), c % 6 != 0, c % 7 == 0).alias("error"), Q.concat_error(paths, output, c % 6 != 0, c % 7 == 0, reencode=True).alias("recoded"))
 
 
 @query("""SELECT p_partkey, p_partkey % 3 = 0 AND p_size % 5 <> 0 AND p_size % 7 <> 0 AS replaceable,

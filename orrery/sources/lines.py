@@ -14,7 +14,8 @@ def requests(df: DataFrame, line: str, longest: int = LONGEST) -> DataFrame:
     ``line`` is binary or text.  Lines that are too long or no UTF-8 are parse
     errors (-32700), as is what isn't JSON; JSON that is no request object with
     a method is invalid (-32600).  code and message are null for good ones; a
-    request without an id is a notification, its id is null.
+    request without an id is a notification, its id is null.  Lines of white
+    space only are left out.
     """
     raw = F.col(line).cast("binary")
     able = (F.octet_length(raw) <= longest - 1) & F.is_valid_utf8(F.col(line).cast("string"))
@@ -27,4 +28,5 @@ def requests(df: DataFrame, line: str, longest: int = LONGEST) -> DataFrame:
     good = F.startswith(shape, F.lit("OBJECT")) & method.isNotNull() & (F.coalesce(field("$.jsonrpc", "string"), F.lit("")) == "2.0")
     code = F.when(parsed.isNull(), -32700).when(~F.coalesce(good, F.lit(False)), -32600)
     message = F.when(code == -32700, "Parse error").when(code == -32600, "Invalid Request")
-    return df.withColumns({"id": field("$.id", "string"), "method": F.when(code.isNull(), method), "params": F.when(code.isNull(), field("$.params", "string")), "code": code, "message": message})
+    blank = F.coalesce(F.regexp_replace(text, "\\s+", "") == "", F.lit(False))
+    return df.where(~blank).withColumns({"id": field("$.id", "string"), "method": F.when(code.isNull(), method), "params": F.when(code.isNull(), field("$.params", "string")), "code": code, "message": message})

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from orrery.operators import dedup as D
 from orrery.operators import pictures as PX
 from orrery.operators import planning as P
+from orrery.operators import pixels as PXL
 from orrery.operators import publish as PB
 from orrery.sources import files as SRC
 
@@ -96,12 +98,75 @@ def test_png_is_what_the_image_source_reads(spark, tmp_path):
         assert (PX.decoded(r.data, r.width, r.height, r.nChannels) == a).all()
 
 
-def test_montage_and_tiles():
-    out = PX.montage([picture(10, 20, 3), picture(20, 10, 4), picture(5, 5, 1)], 2, 16, 16, gap=2, border=3)
-    assert out.shape == (2 * 3 + 34, 2 * 3 + 34, 3) and (out[:3] == 255).all()
+def plain_montage(pictures, cols, cw, ch, gap, border, background, colour):
+    rows = -(-len(pictures) // cols)
+    out = np.empty((rows * (ch + gap) + gap, cols * (cw + gap) + gap, 3), np.uint8)
+    out[:] = background
+    for k, a in enumerate(pictures):
+        w, h = PX.fitted(a.shape[1], a.shape[0], cw, ch)
+        a = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a
+        a = PX.lanczos(a, w, h) if (w, h) != (a.shape[1], a.shape[0]) else a
+        x, y = gap + k % cols * (cw + gap) + (cw - w) // 2, gap + k // cols * (ch + gap) + (ch - h) // 2
+        for line in range(max(0, y - border), min(out.shape[0], y + h + border)):
+            for at in range(max(0, x - border), min(out.shape[1], x + w + border)):
+                inside = y <= line < y + h and x <= at < x + w
+                if not inside:
+                    out[line, at] = colour
+        if a.shape[2] == 4:
+            t = a[..., :3].astype(int) * a[..., 3:] + np.array(background) * (255 - a[..., 3:].astype(int)) + 128
+            a = ((t >> 8) + t) >> 8
+        out[y : y + h, x : x + w] = a
+    return out
+
+
+@pytest.mark.parametrize("strip,border,gap", [(256, 0, 10), (7, 3, 4), (1, 2, 0), (16, 6, 3)])
+def test_montages_by_strips(spark, strip, border, gap):
+    pictures = {"a": [picture(10, 20, 3), picture(20, 10, 4), picture(5, 5, 1), picture(40, 90, 3)], "b": [picture(20, 20, 3)] * 4, "c": [picture(3, 2, 4)]}
+    rows = [(f"{g}{k}", a) for g, ps in pictures.items() for k, a in enumerate(ps)]
+    df = source(spark, [*rows, ("c9", None)]).withColumns({"g": F.substring("origin", 1, 1), "n": F.substring("origin", 2, 1)})
+    got = {r.g: r for r in PX.montages(df, "g", "n", 2, gap, border, (250, 240, 230), (1, 2, 3), strip=strip).collect()}
+    for g, ps in pictures.items():
+        cw, ch = (sorted(a.shape[axis] for a in ps)[len(ps) // 2] for axis in (1, 0))
+        want = plain_montage(ps, 2, cw, ch, gap, border, (250, 240, 230), (1, 2, 3))
+        assert (got[g].pictures, got[g].height, got[g].width, got[g].error) == (len(ps), *want.shape[:2], "")
+        assert (PX.read_png(bytes(got[g].content)) == want).all()
+    if gap == 10:
+        assert (got["b"].width, got["b"].height) == (70, 70)
+        assert PX.montages(df.limit(0), "g", "n").count() == 0
+
+
+def test_sizes_fit_and_stay_in_proportion(monkeypatch):
+    assert PX.fitted(10, 5, 20, 20) == (10, 5) and PX.fitted(100, 50, 20, 20) == (20, 10) and PX.fitted(1000, 1, 20, 20) == (20, 1) and PX.fitted(30, 100, 20, 20) == (6, 20)
+    a, b = b"abc" * 1000, b"z" * 70000
+    assert PX.joined_adler(zlib.adler32(a), zlib.adler32(b), len(b)) == zlib.adler32(a + b)
+
+
+def test_tiles():
     assert PX.tiled(np.zeros((20, 20, 3), np.uint8), np.full((4, 4, 4), 255, np.uint8), 2, 255)[0, 6].tolist() == [255, 255, 255]
 
 
+def test_bad_rows_stay_rows(spark):
+    rows = [("short", 2, 2, 3, 16, b"123"), ("none", 2, 2, 3, 16, None), ("size", None, 2, 3, 16, b"123"), ("odd", 1, 1, 7, 16, b"1234567"), ("good", 1, 1, 3, 16, b"123")]
+    df = spark.createDataFrame(rows, "origin string, height int, width int, nChannels int, mode int, data binary")
+    assert {r.origin: r.error for r in PX.processed(df, []).collect()} == dict.fromkeys(["short", "none", "size", "odd"], "unreadable_picture") | {"good": ""}
+    assert {r.origin: r.pixels for r in PX.hashed(df).collect()} == dict.fromkeys(["short", "none", "size", "odd"]) | {"good": 1}
+    pairs = spark.createDataFrame([(1, [1] * 16, [2] * 16), (2, [1] * 16, [2] * 12), (3, [1] * 15, [2] * 15), (4, [], [])], "k int, a array<int>, b array<int>")
+    from orrery.operators import compare
+
+    assert {r.k: r.ssim is None for r in compare.block_ssim(pairs, ["k"], "a", "b", 4, 2, 1).collect()} == {1: False, 2: True, 3: True, 4: True}
+
+
+def test_jpeg_profiles_and_scans_stay():
+    part = lambda kind, body: bytes((0xFF, kind)) + (len(body) + 2).to_bytes(2, "big") + body
+    icc, exif, other = part(0xE2, b"ICC_PROFILE\0\1\1profile"), part(0xE1, b"Exif\0\0x"), part(0xE2, b"MPF\0")
+    scan = part(0xDA, b"\1\0") + b"ab\xff\x00c\xff\xd3d\xff\xff\xff\x00e" * 1000
+    tail = part(0xDA, b"\2\0") + b"zz" + b"\xff\xd9"
+    assert PXL.strip_jpeg(b"\xff\xd8" + exif + icc + other + part(0xEE, b"Adobe") + part(0xDB, b"q") + part(0xFE, b"hi") + scan + b"\xff" + tail) == b"\xff\xd8" + icc + part(0xEE, b"Adobe") + part(0xDB, b"q") + scan + tail
+    for cut in (b"\xff\xd8" + scan, b"\xff\xd8" + icc[:-2]):
+        with pytest.raises(ValueError, match="truncated_jpeg"):
+            PXL.strip_jpeg(cut)
+
+
 def test_moves_across_devices_are_copies(tmp_path, monkeypatch):
     source, target = tmp_path / "a", tmp_path / "far" / "b"
     source.write_bytes(b"x" * 3_000_000)
