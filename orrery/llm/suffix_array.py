@@ -45,6 +45,7 @@ LEAST_BUCKETS = 16
 MERGED = 4  # blocks that go on as one, once most of their texts are sieved out
 CHUNK = 1 << 15  # bytes hashed at once, so that the numbers stay near the processor
 ROWS_A_FILE = 16  # blocks are large rows, and readers hold many
+BATCH = 64  # of them that a task is sent at once
 LONGEST_RUN = 64
 SAMPLED_BLOCKS, SAMPLED_KEYS = 64, 4096  # of which the cuts between buckets are made
 BYTE_BITS, TRIPLE_BITS = 9, 25  # of a symbol: a byte or the end, and three of them
@@ -714,8 +715,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     if width < 16:
         raise ValueError("width: at least 16 bytes")
     kind = dict(docs.dtypes)[key]
-    with small_batches(docs.sparkSession, ROWS_A_FILE):
+    with small_batches(docs.sparkSession):
         all_blocks = blocks(docs, key, text, width)
+    with small_batches(docs.sparkSession, BATCH):
         gone = _gone(all_blocks, width)
 
     def finish(_, own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
