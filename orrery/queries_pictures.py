@@ -103,3 +103,28 @@ def stripped_jpegs(spark, sf):
     )
     rows = t(spark, sf, "pages").select("page_id", F.unhex(data).alias("content"))
     return pixels.strip_jpegs(rows).select("page_id", F.upper(F.sha2("stripped", 256)).alias("stripped"), "error")
+
+
+#: Each turn of a conversation as a page of 8 x 4 grey levels, from the digest of its text; of the other side some turns are altered (every third conversation's second, by one bit of each level), some lost.
+_TURNS = """t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS n, sha256(coalesce(text, '')) AS h FROM conversations),
+x AS (SELECT conv_id, n, conv_id % 3 = 1 AND n = 1 AS altered, conv_id % 3 = 2 AND n = 2 AS lost FROM t)"""
+
+
+@query(f"""WITH {_TURNS}, c AS (SELECT conv_id, count(*) AS a, count(*) FILTER (NOT lost) AS b, bool_or(altered) AS altered FROM x GROUP BY conv_id)
+SELECT conv_id, a AS source_frames, b AS candidate_frames, a = b AS page_count, CASE WHEN a = b THEN true END AS page_geometry, CASE WHEN a = b THEN NOT altered END AS same, CASE WHEN a = b THEN CASE WHEN altered THEN 1 ELSE 0 END END::BIGINT AS worst,
+CASE WHEN a = b THEN CASE WHEN altered THEN round(10 * log10(65025 / 0.75), 6) ELSE 1e9 END END AS psnr, a = b AS passed, CASE WHEN a = b THEN '' ELSE 'quality_gate_failed' END AS error FROM c""")
+def verify_turns(spark, sf):
+    from pyspark.sql import Window
+
+    from .operators import verify
+
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    turns = t(spark, sf, "conversations").select("conv_id", n.cast("long").alias("n"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("data"))
+    page = [F.lit(4).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("nChannels")]
+    odd = (F.col("conv_id") % 3 == 1) & (F.col("n") == 1)
+    # the lowest bit of every level the other way
+    turned = F.unhex(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(32)), lambda k: F.lpad(F.hex(F.conv(F.hex(F.substring("data", k, 1)), 16, 10).cast("int").bitwiseXOR(1)), 2, "0")), ""))
+    other = turns.where((F.col("conv_id") % 3 != 2) | (F.col("n") != 2)).withColumn("data", F.when(odd, turned).otherwise(F.col("data")))
+    out = verify.verified(turns.select("*", *page), other.select("*", *page), "conv_id", "n", pages=True, min_ssim=0.9)
+    told = lambda k: F.try_element_at(F.col("checks"), F.lit(k))
+    return out.select("conv_id", "source_frames", "candidate_frames", told("page_count").alias("page_count"), told("page_geometry").alias("page_geometry"), (F.col("ssim") == 1).alias("same"), F.col("worst_position").alias("worst"), F.when(F.col("psnr") < 1e9, F.round("psnr", 6)).when(F.col("psnr").isNotNull(), 1e9).alias("psnr"), "passed", "error")
