@@ -139,6 +139,110 @@ def compare_pictures(pairs: DataFrame, a: str, b: str, block: int = 64) -> DataF
     return out.withColumn("rating", F.when(F.col("mse").isNotNull(), quality_rating(F.col("block_ssim"), F.col("psnr"), F.col("mse"))))
 
 
+TILE = 512  # lines and columns of a tile without its halo
+BLOCK, STRIDE = 64, 32
+HALO = 32  # beyond a tile: of its last blocks, and more than three passes of the blur reach
+TILES = "height int, width int, tile_y int, tile_x int, top int, left int, tile_height int, tile_width int, nChannels int, data binary"
+MOMENTS = ["n", "ba", "bb", "sx", "sy", "sxx", "syy", "sxy", "blocks", "scores"]
+
+
+def tiles(pictures: DataFrame, key: str, size: int = TILE) -> DataFrame:
+    """(key, ...TILES): pictures of the image source cut into tiles with a halo of their neighbours' pixels; unreadable ones give no tile.
+
+    ``size`` is a multiple of the stride of blocks.  Pictures that don't fit a
+    row can be brought as such tiles to :func:`compare_tiles` from the start.
+    """
+    if size % STRIDE:
+        raise ValueError("tile size: a multiple of the stride of blocks")
+    kind = pictures.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if r.data is None or not (r.height > 0 and r.width > 0) or len(r.data) != r.height * r.width * r.nChannels:
+                    continue
+                h, w, c = int(r.height), int(r.width), int(r.nChannels)
+                a = np.frombuffer(r.data, np.uint8).reshape(h, w, c)
+                for y in range(-(-h // size)):
+                    rows = []
+                    for x in range(-(-w // size)):
+                        top, left = max(0, y * size - HALO), max(0, x * size - HALO)
+                        part = a[top : (y + 1) * size + HALO, left : (x + 1) * size + HALO]
+                        rows.append((r.k, h, w, y, x, top, left, *part.shape[:2], c, part.tobytes()))
+                    yield pd.DataFrame(rows, columns=["k", *(f.split()[0] for f in TILES.split(", "))])
+
+    out = pictures.select(F.col(key).alias("k"), "height", "width", "nChannels", "data").mapInPandas(run, f"k {kind}, {TILES}")
+    return out.withColumnRenamed("k", key)
+
+
+def tile_moments(a: np.ndarray, b: np.ndarray, inner: tuple[slice, slice], origin: tuple[int, int], size: int) -> list[tuple]:
+    """What two planes of a tile add to a picture's sums, without the halo; ``origin`` is where the array begins in the picture."""
+    x, y = a[inner].astype(np.int64), b[inner].astype(np.int64)
+    ba, bb = int(blurred(a)[inner].sum()), int(blurred(b)[inner].sum())
+    first = [-(-(origin[k] + inner[k].start) // STRIDE) * STRIDE - origin[k] for k in range(2)]
+    # blocks that begin in the tile, and are whole
+    spans = [range(first[k], min(inner[k].stop, a.shape[k] - BLOCK + 1), STRIDE) for k in range(2)]
+    scores = 0.0
+    if len(spans[0]) and len(spans[1]):
+        reach = [slice(s[0], s[-1] + BLOCK) for s in spans]
+        scores = mean_block_ssim(a[reach[0], reach[1]], b[reach[0], reach[1]], BLOCK, STRIDE) * len(spans[0]) * len(spans[1])
+    return [x.size, ba, bb, int(x.sum()), int(y.sum()), int((x * x).sum()), int((y * y).sum()), int((x * y).sum()), len(spans[0]) * len(spans[1]), float(scores)]
+
+
+def compare_tiles(a: DataFrame, b: DataFrame, key: str, size: int = TILE) -> DataFrame:
+    """(key, tiles, mse, psnr, ssim, block_ssim, rating, error) of pictures that come as :func:`tiles`: what :func:`compare_pictures` has for whole ones.
+
+    A pair of tiles gives sums (of values, squares, products, blurred values
+    and blocks' similarities) that add up to the picture's; no row is larger
+    than a tile.  Pictures of different sizes have ``size_mismatch``, those of
+    which a tile is missing on one side ``tile_missing``.
+    """
+    names = [f.split()[0] for f in TILES.split(", ")]
+    side = lambda t, n: t.select(key, "tile_y", "tile_x", F.struct(*names).alias(n))
+    pairs = side(a, "a").join(side(b, "b"), [key, "tile_y", "tile_x"], "full")
+    fields = ", ".join(f"{m} array<{'double' if m == 'scores' else 'long'}>" for m in MOMENTS)
+
+    @F.pandas_udf(f"squares long, values long, error string, {fields}")
+    def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r, s in zip(p.itertuples(index=False), q.itertuples(index=False), strict=True):
+            if r.data is None or s.data is None:
+                out.append((None, None, "tile_missing", *[None] * len(MOMENTS)))
+                continue
+            if (r.height, r.width) != (s.height, s.width):
+                out.append((None, None, "size_mismatch", *[None] * len(MOMENTS)))
+                continue
+            (rgba, x), (other, y) = (planes(t.data, int(t.tile_width), int(t.tile_height), int(t.nChannels)) for t in (r, s))
+            at = (int(r.tile_y) * size - int(r.top), int(r.tile_x) * size - int(r.left))
+            end = (min(size, int(r.height) - int(r.tile_y) * size), min(size, int(r.width) - int(r.tile_x) * size))
+            inner = tuple(slice(f, f + n) for f, n in zip(at, end, strict=True))
+            each = [tile_moments(v, w, inner, (int(r.top), int(r.left)), size) for v, w in zip(x, y, strict=True)]
+            squares = int(((rgba[inner] - other[inner]) ** 2).sum())
+            out.append((squares, 4 * end[0] * end[1], "", *(list(m) for m in zip(*each, strict=True))))
+        return pd.DataFrame(out, columns=["squares", "values", "error", *MOMENTS])
+
+    whole = lambda n: F.struct(*(F.col(f"{n}.{f}").alias(f) for f in names))
+    scored = pairs.select(key, run(whole("a"), whole("b")).alias("m"))
+    sums = [F.sum(F.get(f"m.{m}", F.lit(c))).alias(f"{m}{c}") for c in range(4) for m in MOMENTS]
+    out = scored.groupBy(key).agg(F.count("*").alias("tiles"), F.max("m.error").alias("error"), (F.sum("m.squares") / F.sum("m.values")).alias("mse"), *sums)
+
+    def channel(c: int):
+        v = {m: F.col(f"{m}{c}").cast("double") for m in MOMENTS}
+        n, ma, mb = v["n"], v["ba"] / v["n"], v["bb"] / v["n"]
+        about = lambda xy, x, y, p, q: v[xy] / n - q * (v[x] / n) - p * (v[y] / n) + p * q
+        one = similarity(ma, mb, about("sxx", "sx", "sx", ma, ma), about("syy", "sy", "sy", mb, mb), about("sxy", "sx", "sy", ma, mb))
+        return F.greatest(F.lit(0.0), F.least(F.lit(1.0), one)), F.when(v["blocks"] > 0, v["scores"] / v["blocks"])  # null: no block
+
+    each = [channel(c) for c in range(4)]
+    ssim_ = F.least(*(g for g, _ in each))
+    # all channels have as many blocks; without any the whole counts
+    block = F.when(F.col("blocks0") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), *(b for _, b in each)))).otherwise(ssim_)
+    good = F.col("error") == ""
+    out = out.select(key, "tiles", *(F.when(good, c).alias(n) for c, n in ((F.col("mse"), "mse"), (ssim_, "ssim"), (block, "block_ssim"))), "error")
+    out = out.withColumn("psnr", F.when(good, psnr(F.col("mse"))))
+    return out.withColumn("rating", F.when(good, quality_rating(F.col("block_ssim"), F.col("psnr"), F.col("mse"))))
+
+
 def block_ssim(pairs: DataFrame, key: list[str], a: str, b: str, width: int, block: int, stride: int) -> DataFrame:
     """(key..., ssim): the mean over sliding square blocks, of single planes of ``width`` columns in row order; blocks over the edge are left out.
 

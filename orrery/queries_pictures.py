@@ -128,3 +128,18 @@ def verify_turns(spark, sf):
     out = verify.verified(turns.select("*", *page), other.select("*", *page), "conv_id", "n", pages=True, min_ssim=0.9)
     told = lambda k: F.try_element_at(F.col("checks"), F.lit(k))
     return out.select("conv_id", "source_frames", "candidate_frames", told("page_count").alias("page_count"), told("page_geometry").alias("page_geometry"), (F.col("ssim") == 1).alias("same"), F.col("worst_position").alias("worst"), F.when(F.col("psnr") < 1e9, F.round("psnr", 6)).when(F.col("psnr").isNotNull(), 1e9).alias("psnr"), "passed", "error")
+
+
+@query(f"""WITH v AS (SELECT label, vec_id, {_LEVELS} AS l FROM embeddings WHERE len(embedding) = 64), p AS (SELECT label, vec_id, unnest(l) AS x FROM v), g AS (SELECT label, count(*) * 8 AS height FROM v GROUP BY label)
+SELECT p.label, ((max(height) + 31) // 32)::BIGINT AS tiles, round(avg(CASE WHEN vec_id % 3 = 0 THEN power(least(x + 9, 255) - x, 2) ELSE 0 END) * 0.75, 6) AS mse, '' AS error FROM p JOIN g USING (label) GROUP BY p.label""")
+def compare_sheets(spark, sf):
+    """A label's pictures below each other as one tall picture, compared by tiles with one in which every third is brighter."""
+    from .operators import compare as C
+
+    def sheet(levels):
+        rows = t(spark, sf, "embeddings").where("size(embedding) = 64").select("label", "vec_id", F.array_join(F.transform(levels, lambda v: F.lpad(F.hex(v), 2, "0")), "").alias("h"))
+        joined = rows.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "h"))), lambda s: s["h"]), "").alias("h"), (F.count("*") * 8).cast("int").alias("height"))
+        return C.tiles(joined.select("label", "height", F.lit(8).alias("width"), F.lit(1).alias("nChannels"), F.unhex("h").alias("data")), "label", 32)
+
+    brighter = F.transform(_levels(), lambda v: F.when(F.col("vec_id") % 3 == 0, F.least(v + 9, F.lit(255))).otherwise(v))
+    return C.compare_tiles(sheet(_levels()), sheet(brighter), "label", 32).select("label", "tiles", F.round("mse", 6).alias("mse"), "error")

@@ -71,3 +71,21 @@ def test_positions_without_a_partner(spark):
     a = table(spark, {"x": (None, [(frame(), 1)] * 2)})
     (r,) = verify.verified(a, a.withColumn("frame", F.col("frame") + 1)).collect()
     assert r.error == "verification_failed" and not r.passed
+
+
+@pytest.mark.parametrize("h,w,c,size", [(150, 203, 3, 64), (64, 64, 1, 32), (300, 70, 4, 96), (40, 500, 3, 128), (5, 7, 3, 64), (129, 129, 2, 64)])
+def test_tiles_add_up_to_whole_pictures(spark, h, w, c, size):
+    a = np.clip(np.cumsum(RNG.integers(-9, 10, (h, w, c)), axis=1) + 128, 0, 255).astype(np.uint8)
+    b = np.clip(a + RNG.integers(-20, 21, a.shape), 0, 255).astype(np.uint8)
+    row = lambda k, x: (k, x.shape[0], x.shape[1], x.shape[2], x.tobytes())
+    kind = "k int, height int, width int, nChannels int, data binary"
+    left = spark.createDataFrame([row(1, a), row(2, a), row(3, a), row(4, a), (5, -1, -1, -1, None)], kind)
+    right = spark.createDataFrame([row(1, b), row(2, a), row(3, a[:-1])], kind)
+    mine, other = compare.tiles(left, "k", size), compare.tiles(right, "k", size)
+    got = {r.k: r for r in compare.compare_tiles(mine, other, "k", size).collect()}
+    mse, ssim, block = compare.picture_scores(*((x.tobytes(), w, h, c) for x in (a, b)))
+    assert got[1].tiles == -(-h // size) * -(-w // size) and got[1].error == ""
+    assert (got[1].mse, got[1].ssim, got[1].block_ssim) == (pytest.approx(mse), pytest.approx(ssim), pytest.approx(block))
+    assert (got[2].mse, got[2].ssim, got[2].block_ssim, got[2].rating) == (0.0, pytest.approx(1.0), pytest.approx(1.0), "完美")
+    assert {k: r.error for k, r in got.items()} == {1: "", 2: "", 3: got[3].error, 4: "tile_missing"} and got[3].error in ("size_mismatch", "tile_missing") and got[3].mse is None
+    assert compare.compare_tiles(mine.limit(0), other.limit(0), "k", size).count() == 0
