@@ -40,14 +40,14 @@ from .common import dropped, release, small_batches, table, written
 
 WIDTH = 50
 BLOCK = 1 << 20  # bytes of a block
-KEYS = 1 << 19  # keys of a bucket
+KEYS = 3 << 18  # keys of a bucket
 LEAST_BUCKETS = 16
 MERGED = 4  # blocks that go on as one, once most of their texts are sieved out
 CHUNK = 1 << 15  # bytes hashed at once, so that the numbers stay near the processor
 ROWS_A_FILE = 16  # blocks are large rows, and readers hold many
 BATCH = 64  # of them that a task is sent at once
 LONGEST_RUN = 64
-SAMPLED_BLOCKS, SAMPLED_KEYS = 64, 4096  # of which the cuts between buckets are made
+SAMPLED_BLOCKS, SAMPLED_KEYS = 24, 8192  # of which the cuts between buckets are made
 BYTE_BITS, TRIPLE_BITS = 9, 25  # of a symbol: a byte or the end, and three of them
 
 U = np.uint64
@@ -255,7 +255,7 @@ class Given:
 
 def _dealt(prefix: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bucket = np.searchsorted(cuts, prefix, "right")
-    return np.argsort(bucket, kind="stable"), bucket
+    return np.argsort(bucket.astype(np.uint16) if len(cuts) < 1 << 16 else bucket, kind="stable"), bucket  # 16 bits are sorted by radix
 
 
 TOLD = "block long, lane int, bucket int, data binary, number long"
@@ -728,13 +728,16 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         whole, piece = int(own["whole"].iloc[0]), int(own["piece"].iloc[0])
         mask = _removed(len(s["text"]), cut, width)
         out, at = [], 0
-        for i, known, n in zip(s["ids"].tolist(), s["known"], s["lens"].tolist(), strict=True):
+        lost = np.diff(np.concatenate(([0], np.cumsum(mask)))[np.concatenate(([0], np.cumsum(s["lens"])))])
+        for i, known, n, some in zip(s["ids"].tolist(), s["known"], s["lens"].tolist(), lost.tolist(), strict=True):
             mine = mask[at : at + n]
-            if whole < 0:
+            if whole < 0 and not some:
+                out.append((-1, 0, i if known else None, n, 0, [], s["text"][at : at + n]))
+            elif whole < 0:
                 out.append((-1, 0, *_row(i if known else None, s["text"][at : at + n], mine)))
             else:  # the stretches of a piece, with those of the others later
-                key, size, lost, where, _ = _row(i if known else None, s["text"], mine)
-                out.append((whole, piece, key, size, lost, where, s["text"]))
+                key, size, gone_, where, _ = _row(i if known else None, s["text"], mine)
+                out.append((whole, piece, key, size, gone_, where, s["text"]))
             at += n
         made = pd.DataFrame(out, columns=["whole", "piece", "key", "n_bytes", "n_removed", "spans", "kept"])
         made["key"] = pd.array([r[2] for r in out], "Int64")
