@@ -67,17 +67,46 @@ def partition_existing(tasks: DataFrame, existing: DataFrame, output: str, overw
     return tasks.join(there, F.col(output) == F.col("_o"), "left").withColumn("state", F.when(F.col("_there"), "skipped").otherwise("pending")).drop("_o", "_there")
 
 
-def collisions(tasks: DataFrame, source: str, output: str) -> DataFrame:
-    """Outputs that several sources would write: (output, first, second, n)."""
-    by = tasks.groupBy(output).agg(F.min(source).alias("first"), F.max(source).alias("last"), F.count_distinct(source).alias("n")).where("n > 1")
-    rest = tasks.join(by, output).where(F.col(source) > F.col("first")).groupBy(output).agg(F.min(source).alias("second"))
-    return by.drop("last").join(rest, output).select(output, "first", "second", "n")
+#: How file systems tell names apart, as collations of Spark; "posix" compares bytes.
+EQUALITY = {"posix": None, "windows": "UTF8_LCASE", "macos": "UNICODE"}
 
 
-def aliases(tasks: DataFrame, source: str, output: str) -> DataFrame:
-    """Outputs that are another task's source."""
-    s = tasks.select(F.col(source).alias("other")).distinct()
-    return tasks.join(s, F.col(output) == F.col("other")).where(F.col(source) != F.col("other")).select(source, output)
+def same_name(path: Column, system: str = "posix") -> Column:
+    """A path whose comparisons, groups and joins follow a file system's equality of names.
+
+    ``posix`` compares bytes, ``windows`` ignores case.  ``macos`` ignores how
+    characters are composed, and case with full folding (so sharp s is ss).
+    """
+    if system not in EQUALITY:
+        raise ValueError(f"unsupported_file_system:{system}")
+    if system == "posix":
+        return path
+    folded = F.upper(path) if system == "macos" else path  # upper case folds fully, unlike lower case
+    return F.collate(folded, EQUALITY[system])
+
+
+def collisions(tasks: DataFrame, source: str, output: str, system: str = "posix") -> DataFrame:
+    """Outputs that several sources would write: (output, first, second, n); under a file system's equality of names the smallest spelling stands for all."""
+    keyed = tasks.select(F.col(source).alias("_s"), F.col(output).alias("_o"), same_name(F.col(output), system).alias("_key"))
+    by = keyed.groupBy("_key").agg(F.min("_o").alias(output), F.min("_s").alias("first"), F.count_distinct("_s").alias("n")).where("n > 1")
+    rest = keyed.select("_key", "_s").join(by.select("_key", "first"), "_key").where("_s > first").groupBy("_key").agg(F.min("_s").alias("second"))
+    return by.join(rest, "_key").select(output, "first", "second", "n")
+
+
+def aliases(tasks: DataFrame, source: str, output: str, system: str = "posix") -> DataFrame:
+    """Outputs that are another task's source, under a file system's equality of names."""
+    s = tasks.select(same_name(F.col(source), system).alias("other")).distinct()
+    return tasks.join(s, same_name(F.col(output), system) == F.col("other")).where(same_name(F.col(source), system) != F.col("other")).select(source, output)
+
+
+def below_root(path: Column, root: str, system: str = "posix") -> Column:
+    """Whether a path is strictly below a root, part by part under a file system's equality of names."""
+    parts = [p for p in root.split("/") if p]
+    own = F.filter(F.split(path, "/"), lambda p: p != "")
+    same = F.lit(True)
+    for k, part in enumerate(parts):
+        same &= same_name(F.get(own, F.lit(k)), system) == same_name(F.lit(part), system)
+    return F.coalesce(same & (F.size(own) > len(parts)), F.lit(False))
 
 
 def claimed(steps: DataFrame, existing: DataFrame, target: str, order: str) -> DataFrame:

@@ -92,3 +92,21 @@ def remove_copies(spark, sf):
     out = before.join(done.withColumnRenamed("duplicate", "path"), "path", "left").join(after, "path", "left")
     outcome = F.when(F.col("there") & F.col("outcome").isNull(), "").when(F.col("there").isNull() & (F.col("error") == ""), F.col("outcome")).otherwise(F.concat(F.lit("wrong: "), F.coalesce("error", F.lit(""))))
     return out.select(FO.below(F.col("path"), root).alias("path"), outcome.alias("outcome"))
+
+
+#: Names that some file systems tell apart: composed and decomposed, sharp s and ss, upper and lower case; of every tenth customer a name of its own.
+_SPELLED = "CASE c_custkey % 10 WHEN 0 THEN 'Caf' || chr(233) WHEN 1 THEN 'Cafe' || chr(769) WHEN 2 THEN 'CAF' || chr(201) WHEN 3 THEN 'stra' || chr(223) || 'e' WHEN 4 THEN 'STRASSE' WHEN 5 THEN 'plain' WHEN 6 THEN 'Plain' WHEN 7 THEN 'cafe' ELSE 'own' || c_custkey END || '-' || c_custkey // 40 || '.webp'"
+
+
+@query(f"""WITH n AS (SELECT c_custkey AS k, {_SPELLED} AS o FROM customer), f AS (SELECT k, o, replace(lower(nfc_normalize(o)), chr(223), 'ss') AS mac, lower(o) AS win FROM n),
+g AS (SELECT 'macos' AS system, min(o) AS o, list_sort(list(k)) AS ks FROM f GROUP BY mac UNION ALL SELECT 'windows', min(o), list_sort(list(k)) FROM f GROUP BY win UNION ALL SELECT 'posix', o, list_sort(list(k)) FROM f GROUP BY o)
+SELECT system, hex(encode(o)) AS o, ks[1] AS first, ks[2] AS second, len(ks) AS n FROM g WHERE len(ks) > 1""")
+def name_collisions(spark, sf):
+    from .operators import planning as P
+
+    k = F.col("c_custkey")
+    bits = ["Caf\u00e9", "Cafe\u0301", "CAF\u00c9", "stra\u00dfe", "STRASSE", "plain", "Plain", "cafe"]
+    name = F.coalesce(F.get(F.array(*(F.lit(b) for b in bits)), (k % 10).cast("int")), F.concat(F.lit("own"), k.cast("string")))
+    tasks = t(spark, sf, "customer").select(k.alias("k"), F.concat(name, F.lit("-"), F.expr("CAST(c_custkey DIV 40 AS STRING)"), F.lit(".webp")).alias("o"))
+    out = [P.collisions(tasks, "k", "o", s).select(F.lit(s).alias("system"), F.hex(F.encode("o", "UTF-8")).alias("o"), "first", "second", "n") for s in ("macos", "windows", "posix")]
+    return out[0].union(out[1]).union(out[2])

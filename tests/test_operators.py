@@ -242,3 +242,19 @@ def test_compare_pictures(spark):
             assert got[i].block_ssim == got[i].ssim
     assert got[3].block_ssim < 0.95 and got[4].block_ssim < 0.9
     assert [got[i].error for i in (5, 6, 7)] == ["size_mismatch", "unreadable_picture", "unreadable_picture"] and got[6].mse is None
+
+
+def test_names_under_file_systems(spark):
+    from orrery.operators import planning as P
+
+    names = ["Café", "Café", "CAFÉ", "straße", "STRASSE", "cafe", "a/b", "A/B"]
+    df = spark.createDataFrame(list(enumerate(names)), "k int, o string")
+    groups = lambda s: sorted((r.first, r.n) for r in P.collisions(df, "k", "o", s).select("first", "n").collect())
+    assert groups("posix") == [] and groups("windows") == [(0, 2), (6, 2)] and groups("macos") == [(0, 3), (3, 2), (6, 2)]
+    pairs = spark.createDataFrame([("/in/Café", "/out/x"), ("/in/y", "/in/CAFÉ"), ("/in/z", "/IN/Z")], "s string, o string")
+    assert P.aliases(pairs, "s", "o").count() == 0 and [r.s for r in P.aliases(pairs, "s", "o", "macos").collect()] == ["/in/y"]
+    paths = spark.createDataFrame([("/Café/out/x",), ("/café/OUT",), ("/Café/outer/x",), ("/Caf",), (None,)], "p string")
+    inside = lambda s: [r[0] for r in paths.select(P.below_root(F.col("p"), "/CAFÉ/out", s)).collect()]
+    assert inside("macos") == [True, False, False, False, False] and inside("posix") == [False] * 5
+    with pytest.raises(ValueError, match="unsupported_file_system"):
+        P.same_name(F.col("p"), "vms")
