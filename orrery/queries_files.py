@@ -110,3 +110,20 @@ def name_collisions(spark, sf):
     tasks = t(spark, sf, "customer").select(k.alias("k"), F.concat(name, F.lit("-"), F.expr("CAST(c_custkey DIV 40 AS STRING)"), F.lit(".webp")).alias("o"))
     out = [P.collisions(tasks, "k", "o", s).select(F.lit(s).alias("system"), F.hex(F.encode("o", "UTF-8")).alias("o"), "first", "second", "n") for s in ("macos", "windows", "posix")]
     return out[0].union(out[1]).union(out[2])
+
+
+@query("SELECT min(doc_id) OVER (PARTITION BY text) AS keep, doc_id AS duplicate, strlen(text)::BIGINT AS size FROM documents WHERE text IS NOT NULL QUALIFY doc_id > min(doc_id) OVER (PARTITION BY text)")
+def stream_duplicates(spark, sf):
+    """Documents arrive in three batches of ascending ids, each taken in by a run of its own."""
+    from .streaming import duplicates as SD
+
+    SD.use_state_store(spark)
+    folder = f"{shared_dir(spark)}/orrery-stream-{uuid.uuid4().hex}"
+    docs = t(spark, sf, "documents").select("doc_id", "text")
+    (most,) = docs.agg(F.max("doc_id")).first()
+    part = F.expr(f"3 * doc_id DIV {(most or 0) + 1}")
+    for k in range(3):
+        docs.where(part == k).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("doc_id long, text string").parquet(f"{folder}/in")
+        SD.run_batches(SD.duplicates(stream, "doc_id", "text"), f"{folder}/out", f"{folder}/state")
+    return spark.read.schema("keep long, duplicate long, size long").parquet(f"{folder}/out")
