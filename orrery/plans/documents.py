@@ -12,6 +12,10 @@ from .arguments import CODECS, CONTAINERS, POLICIES, PRESETS
 STEP = "struct<input:string,input_path:string,command:string,arguments:map<string,string>,plan:struct<command:string,arguments:map<string,string>>>"
 
 
+#: What a document may be: its members, if it's an object of steps, and those of a step that stands alone.
+ENVELOPE = f"struct<listed:array<{STEP}>,results:array<{STEP}>,plans:array<{STEP}>,{STEP[len('struct<') : -1]}>"
+
+
 def make_plan(input_: Column, command: Column, arguments: Column) -> Column:
     """JSON text of one step."""
     return F.to_json(F.struct(input_.alias("input"), command.alias("command"), arguments.alias("arguments")))
@@ -26,26 +30,28 @@ def read_plans(df: DataFrame, document: str) -> DataFrame:
     steps without input or command, get an error code.
     """
     text = F.trim(F.col(document))
-    keyed = lambda k: F.from_json(text, f"struct<{k}:array<{STEP}>>")[k]
-    source = lambda s: F.coalesce(F.nullif(s["input"], F.lit("")), s["input_path"]).alias("input")
-    planned = lambda a: F.filter(a, lambda s: F.coalesce(s["plan"]["command"], F.lit("")) != "")
-    nested = lambda a: F.transform(planned(a), lambda s: F.struct(source(s), s["plan"]["command"].alias("command"), s["plan"]["arguments"].alias("arguments")))
-    flat = lambda a: F.transform(a, lambda s: F.struct(source(s), s["command"].alias("command"), s["arguments"].alias("arguments")))
-    as_list, one = F.from_json(text, f"array<{STEP}>"), F.from_json(text, STEP)
     listed = text.startswith("[")
+    # a list is the member of an object, too, so every document is parsed once and by one schema
+    parsed = df.withColumn("_listed", listed).withColumn("_doc", F.from_json(F.when(listed, F.concat(F.lit('{"listed":'), text, F.lit("}"))).otherwise(text), ENVELOPE))
+    source = lambda s: F.coalesce(F.nullif(s["input"], F.lit("")), s["input_path"]).alias("input")
+    told = lambda s, of: F.struct(source(s), of["command"].alias("command"), of["arguments"].alias("arguments"), F.lit(False).alias("bad"))
+    flat = lambda a: F.transform(a, lambda s: told(s, s))
+    nested = lambda a: F.transform(F.filter(a, lambda s: F.coalesce(s["plan"]["command"], F.lit("")) != ""), lambda s: told(s, s["plan"]))
+    doc = lambda name: F.col("_doc")[name]
+    row = lambda bad: F.struct(F.lit(None).cast("string").alias("input"), F.lit(None).cast("string").alias("command"), F.lit(None).cast("map<string,string>").alias("arguments"), F.lit(bad).alias("bad"))
     # a list with something else than objects: as many steps, none of them valid
-    nothing = F.lit(None).cast("struct<input:string,command:string,arguments:map<string,string>>")
-    others = F.transform(F.from_json(text, "array<string>"), lambda _: nothing)
+    others = F.transform(F.from_json(text, "array<string>"), lambda _: row(False))
     steps = (
-        F.when(listed, F.coalesce(flat(as_list), others)).when(keyed("results").isNotNull(), nested(keyed("results"))).when(keyed("plans").isNotNull(), flat(keyed("plans")))
-        .when(one["command"].isNotNull(), flat(F.array(one)))
+        F.when(F.col("_listed"), F.coalesce(flat(doc("listed")), others)).when(doc("results").isNotNull(), nested(doc("results"))).when(doc("plans").isNotNull(), flat(doc("plans")))
+        .when(doc("command").isNotNull(), F.array(told(F.col("_doc"), F.col("_doc"))))
     )
-    out = df.withColumn("_steps", steps)
-    bad = out.where("_steps IS NULL").select(*df.columns, F.lit(0).alias("step"), *(F.lit(None).cast(t).alias(c) for c, t in (("input", "string"), ("command", "string"), ("arguments", "map<string,string>"))), F.lit("unrecognized_plan_document").alias("error"))
-    rows = out.where("_steps IS NOT NULL").select(*df.columns, F.posexplode("_steps").alias("step", "_s")).select(*df.columns, "step", "_s.*")
+    rows = parsed.select(*df.columns, F.posexplode(F.coalesce(steps, F.array(row(True)))).alias("step", "_s")).select(*df.columns, "step", "_s.*")
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
-    error = F.when(F.col("input").isNull() & F.col("command").isNull() & F.col("arguments").isNull(), "invalid_plan_step").when(empty("input"), "missing_input").when(empty("command"), "missing_command")
-    return rows.withColumn("error", error.otherwise("")).unionByName(bad)
+    error = (
+        F.when(F.col("bad"), "unrecognized_plan_document").when(F.col("input").isNull() & F.col("command").isNull() & F.col("arguments").isNull(), "invalid_plan_step")
+        .when(empty("input"), "missing_input").when(empty("command"), "missing_command")
+    )
+    return rows.withColumn("error", error.otherwise("")).drop("bad")
 
 
 #: What the arguments of the commands may be.
@@ -58,24 +64,30 @@ COMMANDS = ["convert", "compress", "strip", "keep", "video.convert", "video.comp
 
 def validated(steps: DataFrame) -> DataFrame:
     """``steps`` with an error code where the command or an argument isn't allowed."""
-    argument = lambda k: F.try_element_at(F.col("arguments"), F.lit(k))
-    given = lambda k, default="": F.coalesce(F.nullif(argument(k), F.lit("")), F.lit(default))
-    code = lambda name, of: F.concat(F.lit(f"{name}:"), F.when(of == "", "?").otherwise(of))
-    target = F.lower(F.coalesce(F.nullif(argument("to"), F.lit("")), F.nullif(argument("format"), F.lit("")), F.lit("")))
-    quality, crf = argument("quality"), argument("crf")
+    # arguments are looked up once, and the codes of each command are columns: no projection is a large one
+    names = ["to", "format", "quality", "crf", "codec", "audio_policy", "preset", "mode", "color_space"]
+    own = steps.withColumns({f"_{k}": F.try_element_at(F.col("arguments"), F.lit(k)) for k in names})
+    given = lambda k, default="": F.coalesce(F.nullif(F.col(f"_{k}"), F.lit("")), F.lit(default))
     within = lambda c, low, high: F.coalesce(c.try_cast("int").between(low, high), F.lit(False))
-    box, codec, policy, preset = F.regexp_replace(F.lower(given("to")), "^[.]+", ""), given("codec"), F.lower(given("audio_policy", "compatible")), given("preset", "web")
-    mode = F.lower(F.trim(argument("mode")))
-    convert = F.when(target == "", "missing_target_format").when(~target.isin(FORMATS), "unsupported_target_format").when(~given("quality", "high").isin(QUALITIES), "unsupported_quality").when(~given("color_space", "preserve").isin(COLOUR_SPACES), "unsupported_color_space")
-    compress = F.when(~given("preset", "medium").isin(COMPRESS_PRESETS), "unsupported_compress_preset").when(quality.isNotNull() & ~within(quality, 1, 100), "invalid_quality")
-    strip = F.when(mode.isNotNull() & ~mode.isin(list(STRIP_MODES)), code("unsupported_strip_mode", mode))
-    sound = F.when(~policy.isin(list(POLICIES)), F.concat(F.lit("unsupported_audio_policy:"), policy)).when(crf.isNotNull() & ~within(crf, 0, 63), "invalid_crf")
-    default = case(box, {k: own for k, (own, _) in CONTAINERS.items()})
-    into = F.when(~box.isin(list(CONTAINERS)), code("unsupported_target_container", box)).otherwise(F.nullif(container_error(box, F.when(codec == "", default).otherwise(codec)), F.lit("")))
-    smaller = F.when(~preset.isin(list(PRESETS)), F.concat(F.lit("unsupported_video_preset:"), preset)).when(~given("codec", "h264").isin(list(CODECS)), F.concat(F.lit("unsupported_video_codec:"), given("codec", "h264")))
+    own = own.withColumns({
+        "_target": F.lower(F.coalesce(F.nullif(F.col("_to"), F.lit("")), given("format"))), "_box": F.regexp_replace(F.lower(given("to")), "^[.]+", ""), "_sound": F.lower(given("audio_policy", "compatible")),
+        "_how": F.lower(F.trim(F.col("_mode"))), "_size": given("preset", "web"), "_coder": given("codec", "h264"),
+    })
+    box, sound, how, size, coder = (F.col(c) for c in ("_box", "_sound", "_how", "_size", "_coder"))
+    default = F.when(given("codec") == "", case(box, {k: name for k, (name, _) in CONTAINERS.items()})).otherwise(F.col("_codec"))
+    own = own.withColumns({
+        "_convert": F.when(F.col("_target") == "", "missing_target_format").when(~F.col("_target").isin(FORMATS), "unsupported_target_format").when(~given("quality", "high").isin(QUALITIES), "unsupported_quality").when(~given("color_space", "preserve").isin(COLOUR_SPACES), "unsupported_color_space"),
+        "_compress": F.when(~given("preset", "medium").isin(COMPRESS_PRESETS), "unsupported_compress_preset").when(F.col("_quality").isNotNull() & ~within(F.col("_quality"), 1, 100), "invalid_quality"),
+        "_strip": F.when(how.isNotNull() & ~how.isin(list(STRIP_MODES)), F.concat(F.lit("unsupported_strip_mode:"), F.when(how == "", "?").otherwise(how))),
+        "_video": F.when(~sound.isin(list(POLICIES)), F.concat(F.lit("unsupported_audio_policy:"), sound)).when(F.col("_crf").isNotNull() & ~within(F.col("_crf"), 0, 63), "invalid_crf"), "_default": default,
+    })
+    own = own.withColumns({
+        "_into": F.when(~box.isin(list(CONTAINERS)), F.concat(F.lit("unsupported_target_container:"), F.when(box == "", "?").otherwise(box))).otherwise(F.nullif(container_error(box, F.col("_default")), F.lit(""))),
+        "_smaller": F.when(~size.isin(list(PRESETS)), F.concat(F.lit("unsupported_video_preset:"), size)).when(~coder.isin(list(CODECS)), F.concat(F.lit("unsupported_video_codec:"), coder)),
+    })
     command = F.col("command")
-    error = (
-        F.when(F.col("error") != "", F.col("error")).when(~command.isin(COMMANDS), "unsupported_plan_command").when(command == "convert", convert).when(command == "compress", compress)
-        .when(command == "strip", strip).when(command == "video.convert", F.coalesce(sound, into)).when(command == "video.compress", F.coalesce(sound, smaller))
+    code = (
+        F.when(F.col("error") != "", F.col("error")).when(~command.isin(COMMANDS), "unsupported_plan_command").when(command == "convert", F.col("_convert")).when(command == "compress", F.col("_compress"))
+        .when(command == "strip", F.col("_strip")).when(command == "video.convert", F.coalesce("_video", "_into")).when(command == "video.compress", F.coalesce("_video", "_smaller"))
     )
-    return steps.withColumn("error", F.coalesce(error, F.lit("")))
+    return own.withColumn("error", F.coalesce(code, F.lit(""))).select(*steps.columns)
