@@ -161,12 +161,6 @@ class Search:
         ends = np.append(cuts[1:], len(i)).astype(int)
         for s, e in zip(cuts, ends, strict=True):  # the best leaves first, which raise the k-th scores
             self._leaves(a.nodes[i[s]].rows, np.concatenate([b.nodes[n].rows for n in j[s : min(e, s + 2)]]))
-        left = bound >= a.least(self.worst)[i]
-        size_a, size_b = (np.array([0 if n.children else len(n.rows) for n in x.nodes]) for x in (a, b))
-        if (size_a[i] * size_b[j])[left].sum() > len(self.q) * len(self.p) / 2:  # little is pruned: one product is cheaper than many
-            self.who, self.row, self.top = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-            self._leaves(np.arange(len(self.q)), np.arange(len(self.p)))
-            return
         for s, e in zip(cuts, ends, strict=True):
             own, at, step = a.nodes[i[s]].rows, s + 2, 4
             while at < e and bound[at] >= self.worst[own].min():
@@ -300,7 +294,8 @@ def top_k(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     for r in data.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect():
         sample.setdefault(len(r.v), []).append(r.v)
     centres = {dim: centres_of(np.array(v, float).reshape(len(v), dim), min(CENTRES, -(-n // BLOCK))) for dim, v in sample.items()}
-    data, asked = written(_placed(data, centres)), written(_placed(asked, centres))
+    placed, asked = written(_placed(data, centres)), written(_placed(asked, centres))
+    data = placed
     # a row a centre: at most CENTRES of each vector length
     blocks = data.groupBy("dim", "centre").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).toPandas()
     blocks["chunks"] = -(-blocks["n"] // BLOCK)
@@ -309,9 +304,10 @@ def top_k(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
     # first a chunk of the own block
     data = data.join(F.broadcast(many), ["dim", "centre"]).select("dim", "centre", chunk, "id", "v")
     home = asked.join(F.broadcast(many), ["dim", "centre"]).select("dim", "centre", chunk, F.lit(0).alias("share"), "id", F.lit(float("-inf")).alias("floor"), "v")
-    seeds = _meetings(data.withColumn("share", F.lit(0)), home, k)
-    seeds = seeds.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "floor")
-    floored = asked.join(seeds.groupBy("id").agg(F.min("floor").alias("floor")), "id", "left").select("id", "dim", "v", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    # its best rows are part of the result, and the last of them a floor for all other chunks
+    first = written(_meetings(data.withColumn("share", F.lit(0)), home, k))
+    seeds = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("floor")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "floor")
+    floored = home.drop("floor").join(seeds, "id", "left").select("id", "dim", "v", F.col("centre").alias("own"), F.col("chunk").alias("nth"), F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
     by_dim = {}
     for dim, part in blocks.groupby("dim"):
         at = part["centre"].to_numpy(int)
@@ -335,16 +331,21 @@ def top_k(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
                     new = np.concatenate(([True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])))[: len(i)]
                     start = np.flatnonzero(new)
                     nth = np.arange(len(i)) - np.repeat(start, np.diff(np.append(start, len(i))))
+                    # the own chunk has answered
+                    other = (number[j] != some["own"].to_numpy()[i]) | (nth != some["nth"].to_numpy()[i])
+                    i, j, nth = i[other], j[other], nth[other]
                     for b in range(0, len(i), 5000):
                         w = i[b : b + 5000]
                         yield pd.DataFrame({"dim": dim, "centre": number[j[b : b + 5000]], "chunk": nth[b : b + 5000], "id": some["id"].to_numpy()[w], "floor": some["floor"].to_numpy()[w], "v": some["v"].to_numpy()[w]})
 
     shares = max(1, -(-asked.count() // SHARE))
-    sent = written(floored.mapInPandas(send, "dim int, centre int, chunk int, id long, floor double, v array<double>"))
-    sent = sent.withColumn("share", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares)).cast("int"))
+    parts = written(floored.mapInPandas(send, "dim int, centre int, chunk int, id long, floor double, v array<double>"))
+    sent = parts.withColumn("share", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares)).cast("int"))
     needed = F.broadcast(sent.select("dim", "centre").distinct())  # centres again
     there = data.join(needed, ["dim", "centre"], "left_semi").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    found = _meetings(there, sent, k)
+    found = written(first.union(_meetings(there, sent, k)))
+    for done in (first, parts, placed, asked):
+        dropped(done)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), "score")
