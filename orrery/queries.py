@@ -36,14 +36,17 @@ def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def literals(spark: SparkSession, rows: list[str], name: str = "s") -> DataFrame:
-    """A one-column table of texts, as a local relation."""
-    values = ", ".join("('" + r.replace("\\", "\\\\").replace("'", "\\'") + "')" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({name})")
+def texts(spark: SparkSession, sf: str, patterns: list[str]) -> DataFrame:
+    """Distinct texts ``s`` made of the parts' keys: one of the patterns each, with digits of the key for an @."""
+    k = F.col("p_partkey")
+    pattern = F.element_at(F.array(*(F.lit(p) for p in patterns)), (k % len(patterns) + 1).cast("int"))
+    return t(spark, sf, "part").select(F.replace(pattern, F.lit("@"), (F.expr(f"p_partkey DIV {len(patterns)}") % 97).cast("string")).alias("s")).distinct()
 
 
-def sql_literals(rows: list[str]) -> str:
-    return ", ".join("('" + r.replace("'", "''") + "')" for r in rows)
+def sql_texts(patterns: list[str]) -> str:
+    """The same in SQL."""
+    listed = ", ".join("'" + p.replace("'", "''") + "'" for p in patterns)
+    return f"SELECT DISTINCT replace([{listed}][p_partkey % {len(patterns)} + 1], '@', (p_partkey // {len(patterns)} % 97)::VARCHAR) AS s FROM part"
 
 
 # -- digests, inventory, selection ---------------------------------------------
@@ -491,14 +494,14 @@ def placements_multimap(spark, sf):
 
 # -- parsers and rules -----------------------------------------------------------------
 
-_SIZES = ["500KB", "2.5MB", "1024B", "500kb", "10", "1GB", " 3 mb ", "inf", "nan", "0", "-1MB", "9e99GB", "huge", "", "1e3", "KB"]
+_SIZES = ["500KB", "2.5MB", "1024B", "500kb", "10", "1GB", " 3 mb ", "inf", "nan", "0", "-1MB", "9e99GB", "huge", "", "1e3", "KB", "@KB", "@.5MB", " @ gb", "-@B", "@x"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_SIZES)}), u AS (SELECT s, upper(trim(s)) AS v FROM t),
+@query(f"""WITH t(s) AS ({sql_texts(_SIZES)}), u AS (SELECT s, upper(trim(s)) AS v FROM t),
 n AS (SELECT s, v, try_cast(trim(regexp_replace(v, '(KB|MB|GB|B)$', '')) AS DOUBLE) * CASE regexp_extract(v, '(KB|MB|GB|B)$', 1) WHEN 'KB' THEN 1024.0 WHEN 'MB' THEN 1048576.0 WHEN 'GB' THEN 1073741824.0 ELSE 1.0 END AS b FROM u)
 SELECT s, CASE WHEN isfinite(b) AND b > 0 AND b <= 1152921504606846976 THEN floor(b)::BIGINT END AS bytes FROM n""")
 def parse_sizes(spark, sf):
-    return literals(spark, _SIZES).select("s", S.parse_size(F.col("s")).alias("bytes"))
+    return texts(spark, sf, _SIZES).select("s", S.parse_size(F.col("s")).alias("bytes"))
 
 
 @query("""
@@ -508,54 +511,54 @@ def human_sizes(spark, sf):
     return t(spark, sf, "documents").select("doc_id", S.human_size(F.octet_length("text") * 37).alias("size"))
 
 
-_TIMES = ["90", "1:30", "01:02:03.5", "0:75", "", "-1", "1:2:3:4", "inf", "nan", "a", "1:-2", "00:00:10.25"]
+_TIMES = ["90", "1:30", "01:02:03.5", "0:75", "", "-1", "1:2:3:4", "inf", "nan", "a", "1:-2", "00:00:10.25", "@", "1:@", "@:30", "00:@:10.25"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_TIMES)}), p AS (SELECT s, list_transform(string_split(s, ':'), lambda x: try_cast(x AS DOUBLE)) AS p FROM t)
+@query(f"""WITH t(s) AS ({sql_texts(_TIMES)}), p AS (SELECT s, list_transform(string_split(s, ':'), lambda x: try_cast(x AS DOUBLE)) AS p FROM t)
 SELECT s, CASE WHEN len(p) <= 3 AND len(list_filter(p, lambda x: x IS NULL OR NOT isfinite(x) OR x < 0)) = 0 THEN list_reduce(list_prepend(0.0::DOUBLE, p), lambda a, b: a * 60 + b) END AS seconds FROM p""")
 def parse_timecodes(spark, sf):
-    return literals(spark, _TIMES).select("s", S.timecode(F.col("s")).alias("seconds"))
+    return texts(spark, sf, _TIMES).select("s", S.timecode(F.col("s")).alias("seconds"))
 
 
-_RATES = ["30000/1001", "25", "0/0", "1/0", "abc", "-1", "24/1", "", "1/2/3"]
+_RATES = ["30000/1001", "25", "0/0", "1/0", "abc", "-1", "24/1", "", "1/2/3", "@/1", "@000/1001", "1/@", "@"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_RATES)}), p AS (SELECT s, string_split(s, '/') AS p FROM t),
+@query(f"""WITH t(s) AS ({sql_texts(_RATES)}), p AS (SELECT s, string_split(s, '/') AS p FROM t),
 r AS (SELECT s, CASE len(p) WHEN 1 THEN try_cast(p[1] AS DOUBLE) WHEN 2 THEN try_cast(p[1] AS DOUBLE) / nullif(try_cast(p[2] AS DOUBLE), 0) END AS r FROM p)
 SELECT s, CASE WHEN r >= 0 AND isfinite(r) THEN round(r, 6) ELSE 0 END AS fps FROM r""")
 def fps_rational(spark, sf):
-    return literals(spark, _RATES).select("s", F.round(S.frame_rate(F.col("s")), 6).alias("fps"))
+    return texts(spark, sf, _RATES).select("s", F.round(S.frame_rate(F.col("s")), 6).alias("fps"))
 
 
-_RANGES = ["1-2", "2,1", "", "0", "3", "2-1", "1-3", "one", "1-5,8,10-12", "1--2", "1,,2", "12", "13"]
+_RANGES = ["1-2", "2,1", "", "0", "3", "2-1", "1-3", "one", "1-5,8,10-12", "1--2", "1,,2", "12", "13", "@", "1-@", "@-12", "2,@"]
 
 
-@query(f"""WITH t(s, n) AS (SELECT s, n FROM (VALUES {sql_literals(_RANGES)}) a(s), (VALUES (2), (12)) b(n)), x AS (SELECT s, n, unnest(string_split(s, ',')) AS x FROM t),
+@query(f"""WITH t(s, n) AS (SELECT s, n FROM ({sql_texts(_RANGES)}) a(s), (VALUES (2), (12)) b(n)), x AS (SELECT s, n, unnest(string_split(s, ',')) AS x FROM t),
 y AS (SELECT s, n, CASE WHEN regexp_full_match(x, '[0-9]+(-[0-9]+)?') THEN string_split(x, '-')[1]::INTEGER END AS a, CASE WHEN regexp_full_match(x, '[0-9]+(-[0-9]+)?') THEN string_split(x, '-')[-1]::INTEGER END AS b FROM x)
 SELECT s, n, CASE WHEN bool_and(coalesce(a >= 1 AND a <= b AND b <= n, false)) THEN list_sort(list_distinct(flatten(list(generate_series(a - 1, b - 1)))))::INTEGER[] END AS pages FROM y GROUP BY s, n""")
 def parse_page_ranges(spark, sf):
     totals = spark.sql("SELECT * FROM VALUES (2), (12) AS t(n)")
-    return literals(spark, _RANGES).join(F.broadcast(totals)).select("s", "n", S.page_range(F.col("s"), F.col("n")).alias("pages"))
+    return texts(spark, sf, _RANGES).join(F.broadcast(totals)).select("s", "n", S.page_range(F.col("s"), F.col("n")).alias("pages"))
 
 
-_COLOURS = ["white", "Red", "#ff8000", "#FF800040", "1,2,3", "1,2,3,4", "256,0,0", "#12345", "purplish", "1,2"]
+_COLOURS = ["white", "Red", "#ff8000", "#FF800040", "1,2,3", "1,2,3,4", "256,0,0", "#12345", "purplish", "1,2", "#0000@", "#ff00@40", "#@"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_COLOURS)}), l AS (SELECT s, lower(s) AS v FROM t)
+@query(f"""WITH t(s) AS ({sql_texts(_COLOURS)}), l AS (SELECT s, lower(s) AS v FROM t)
 SELECT s, CASE WHEN v = 'white' THEN [255, 255, 255, 255] WHEN v = 'red' THEN [255, 0, 0, 255] WHEN regexp_full_match(v, '#[0-9a-f]{{6}}') THEN [('0x' || substr(v, 2, 2))::INTEGER, ('0x' || substr(v, 4, 2))::INTEGER, ('0x' || substr(v, 6, 2))::INTEGER, 255]
 WHEN regexp_full_match(v, '#[0-9a-f]{{8}}') THEN [('0x' || substr(v, 2, 2))::INTEGER, ('0x' || substr(v, 4, 2))::INTEGER, ('0x' || substr(v, 6, 2))::INTEGER, ('0x' || substr(v, 8, 2))::INTEGER]
 WHEN v = '1,2,3' THEN [1, 2, 3, 255] WHEN v = '1,2,3,4' THEN [1, 2, 3, 4] END AS rgba FROM l""")
 def parse_colours(spark, sf):
-    return literals(spark, _COLOURS).select("s", S.colour(F.col("s")).alias("rgba"))
+    return texts(spark, sf, _COLOURS).select("s", S.colour(F.col("s")).alias("rgba"))
 
 
-_NAMES = ["a.webp", "", ".", "..", "a/b", "CON.txt", "x ", "x.", "a?b", "con", "console.log", "lpt1.a", "é.png", "tab\tx"]
+_NAMES = ["a.webp", "", ".", "..", "a/b", "CON.txt", "x ", "x.", "a?b", "con", "console.log", "lpt1.a", "é.png", "tab\tx", "p@.webp", "lpt@", "com@.x", "a@ ", "x|@"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_NAMES)})
+@query(f"""WITH t(s) AS ({sql_texts(_NAMES)})
 SELECT s, NOT (s IN ('', '.', '..') OR regexp_matches(s, '[<>:"/\\\\|?*\\x00-\\x1f]') OR regexp_matches(s, '[ .]$') OR regexp_matches(lower(s), '^(con|prn|aux|nul|(com|lpt)[1-9])([.]|$)')) AS valid FROM t""")
 def filename_components(spark, sf):
-    return literals(spark, _NAMES).select("s", S.valid_component(F.col("s")).alias("valid"))
+    return texts(spark, sf, _NAMES).select("s", S.valid_component(F.col("s")).alias("valid"))
 
 
 @query("""

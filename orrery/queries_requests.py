@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .functions import requests as Q
 from .functions import scalars as S
 from .operators import report as RP
-from .queries import literals, query, sql_literals, t
+from .queries import query, sql_texts, t, texts
 
 
 def _pick(names: list, at):
@@ -22,16 +22,16 @@ _CLEAN = ["/a/b", "/b/c", "/x", "/a/b", "/", "/src", "/src/out", "/srcs/x", "/sr
 SELECT s, c AS clean, lower(c) AS folded, CASE WHEN starts_with(c, '/src/') THEN c END AS nested FROM t""")
 def path_keys(spark, sf):
     s = F.col("s")
-    return literals(spark, _PATHS).select("s", Q.collision_key(s).alias("clean"), Q.collision_key(s, folded=True).alias("folded"), Q.nested_root(s, ["/src", "/else"]).alias("nested"))
+    return texts(spark, sf, _PATHS).select("s", Q.collision_key(s).alias("clean"), Q.collision_key(s, folded=True).alias("folded"), Q.nested_root(s, ["/src", "/else"]).alias("nested"))
 
 
 _NAMES = ["a.png", "sub/b.png", "../c.png", "x/../../d", "/e.png", "con.txt", "bad|name", "sub/..", "", "ok/../fine.jpg"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_NAMES)}) SELECT s, CASE WHEN s = '/e.png' THEN 'output_boundary' WHEN s IN ('con.txt', 'bad|name', 'sub/..', '') THEN 'invalid_filename_component'
+@query(f"""WITH t(s) AS ({sql_texts(_NAMES)}) SELECT s, CASE WHEN s = '/e.png' THEN 'output_boundary' WHEN s IN ('con.txt', 'bad|name', 'sub/..', '') THEN 'invalid_filename_component'
 WHEN s IN ('../c.png', 'x/../../d') THEN 'output_boundary' ELSE '' END AS planned, CASE WHEN s IN ('', 'a.png') THEN '' ELSE 'invalid_filename_component' END AS affix FROM t""")
 def planned_paths(spark, sf):
-    return literals(spark, _NAMES).select("s", Q.planned_error(F.lit("/out"), F.col("s")).alias("planned"), Q.affix_error(F.col("s")).alias("affix"))
+    return texts(spark, sf, _NAMES).select("s", Q.planned_error(F.lit("/out"), F.col("s")).alias("planned"), Q.affix_error(F.col("s")).alias("affix"))
 
 
 @query("""SELECT o_orderkey, list_contains(['/in/' || (o_orderkey % 7) || '.mp4', '/in/x.mp4'], '/in/' || (o_custkey % 7) || '.mp4') AS aliased FROM orders""")
@@ -43,10 +43,10 @@ def aggregate_alias(spark, sf):
 _LEAST = ["500KB", "2mb", "junk", "-3", ""]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_LEAST)}, (NULL)) SELECT s, CASE WHEN s IS NULL THEN 0 WHEN s = '500KB' THEN 512000 WHEN s = '2mb' THEN 2097152 END::BIGINT AS bytes,
+@query(f"""WITH t(s) AS ({sql_texts(_LEAST)} UNION ALL SELECT NULL) SELECT s, CASE WHEN s IS NULL THEN 0 WHEN s = '500KB' THEN 512000 WHEN s = '2mb' THEN 2097152 END::BIGINT AS bytes,
 CASE WHEN s IS NULL OR s IN ('500KB', '2mb') THEN '' ELSE 'invalid_min_file_size' END AS error FROM t""")
 def least_sizes(spark, sf):
-    rows = literals(spark, _LEAST).union(spark.sql("SELECT CAST(NULL AS STRING) AS s"))
+    rows = texts(spark, sf, _LEAST).union(spark.sql("SELECT CAST(NULL AS STRING) AS s"))
     return rows.select("s", Q.minimum_size(F.col("s"), S.parse_size(F.col("s"))).alias("m")).select("s", "m.*")
 
 
@@ -83,10 +83,10 @@ def compress_requests(spark, sf):
 _BOXES = ["0,0,10,10", "5,5,5,9", "-1,0,4,4", "a,b", "1,2,3"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_BOXES)}, (NULL)), a(r) AS (VALUES ('16:9'), ('0:1'), (NULL)), b(x) AS (VALUES (true), (false))
+@query(f"""WITH t(s) AS ({sql_texts(_BOXES)} UNION ALL SELECT NULL), a(r) AS (VALUES ('16:9'), ('0:1'), (NULL)), b(x) AS (VALUES (true), (false))
 SELECT s, r, x, CASE WHEN (s IS NOT NULL)::INT + (r IS NOT NULL)::INT + x::INT <> 1 THEN 'select_exactly_one_mode' WHEN s IS NOT NULL AND s <> '0,0,10,10' THEN 'invalid_crop_box' WHEN r = '0:1' THEN 'invalid_aspect_ratio' ELSE '' END AS error FROM t, a, b""")
 def crop_requests(spark, sf):
-    boxes = literals(spark, _BOXES).union(spark.sql("SELECT CAST(NULL AS STRING) AS s"))
+    boxes = texts(spark, sf, _BOXES).union(spark.sql("SELECT CAST(NULL AS STRING) AS s"))
     rows = boxes.withColumn("r", F.explode(F.array(F.lit("16:9"), F.lit("0:1"), F.lit(None).cast("string")))).withColumn("x", F.explode(F.array(F.lit(True), F.lit(False))))
     parts = F.transform(F.split("s", ","), lambda v: v.try_cast("int"))
     parsed = F.when((F.size(parts) == 4) & F.forall(parts, lambda v: v.isNotNull()), parts)
@@ -178,17 +178,17 @@ def scaled_estimates(spark, sf):
 _LINES = ["pdf merge a b", "--json convert x", "", "video", "-v watermark --json text", "resize -x 3"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_LINES)}) SELECT s, CASE s WHEN 'pdf merge a b' THEN 'pdf.merge' WHEN '--json convert x' THEN 'convert' WHEN '' THEN 'cli' WHEN 'video' THEN 'video' WHEN 'resize -x 3' THEN 'resize' ELSE 'watermark.text' END AS id FROM t""")
+@query(f"""WITH t(s) AS ({sql_texts(_LINES)}) SELECT s, CASE s WHEN 'pdf merge a b' THEN 'pdf.merge' WHEN '--json convert x' THEN 'convert' WHEN '' THEN 'cli' WHEN 'video' THEN 'video' WHEN 'resize -x 3' THEN 'resize' ELSE 'watermark.text' END AS id FROM t""")
 def command_ids(spark, sf):
-    return literals(spark, _LINES).select("s", Q.command_id(F.filter(F.split("s", " "), lambda w: w != "")).alias("id"))
+    return texts(spark, sf, _LINES).select("s", Q.command_id(F.filter(F.split("s", " "), lambda w: w != "")).alias("id"))
 
 
 _ERRORS = ["NoSuchOption", "MissingParameter", "BadParameter", "UsageError", "FileError"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_ERRORS)}) SELECT s, CASE s WHEN 'NoSuchOption' THEN 'invalid_option' WHEN 'MissingParameter' THEN 'missing_parameter' WHEN 'BadParameter' THEN 'invalid_value' WHEN 'UsageError' THEN 'usage_error' ELSE 'cli_error' END AS code FROM t""")
+@query(f"""WITH t(s) AS ({sql_texts(_ERRORS)}) SELECT s, CASE s WHEN 'NoSuchOption' THEN 'invalid_option' WHEN 'MissingParameter' THEN 'missing_parameter' WHEN 'BadParameter' THEN 'invalid_value' WHEN 'UsageError' THEN 'usage_error' ELSE 'cli_error' END AS code FROM t""")
 def usage_codes(spark, sf):
-    return literals(spark, _ERRORS).select("s", Q.usage_code(F.col("s")).alias("code"))
+    return texts(spark, sf, _ERRORS).select("s", Q.usage_code(F.col("s")).alias("code"))
 
 
 @query(f"SELECT * FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in Q.DEFAULTS.items())}) d(name, value)")

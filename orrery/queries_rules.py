@@ -8,46 +8,46 @@ from .functions import rules as R
 from .functions import scalars as S
 from .operators import planning as P
 from .operators import report as RP
-from .queries import literals, query, sql_literals, t
+from .queries import query, sql_texts, t, texts
 
-_RESIZES = ["50%", "640x480", "0%", "x", "12.5%", "10X20", "0x5", ""]
+_RESIZES = ["50%", "640x480", "0%", "x", "12.5%", "10X20", "0x5", "", "@%", "@x@", "0x@", "@X7"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_RESIZES)})
+@query(f"""WITH t(s) AS ({sql_texts(_RESIZES)})
 SELECT s, CASE WHEN regexp_full_match(s, '[0-9.]+%') AND try_cast(replace(s, '%', '') AS DOUBLE) > 0 THEN 'percent' WHEN regexp_full_match(lower(s), '[1-9][0-9]*x[1-9][0-9]*') THEN 'size' END AS kind,
 CASE WHEN regexp_full_match(s, '[0-9.]+%') AND try_cast(replace(s, '%', '') AS DOUBLE) > 0 THEN try_cast(replace(s, '%', '') AS DOUBLE) WHEN regexp_full_match(lower(s), '[1-9][0-9]*x[1-9][0-9]*') THEN try_cast(split_part(lower(s), 'x', 1) AS DOUBLE) END AS a FROM t""")
 def parse_resizes(spark, sf):
     r = R.resize_request(F.col("s"))
-    return literals(spark, _RESIZES).select("s", r["kind"].alias("kind"), r["a"].alias("a"))
+    return texts(spark, sf, _RESIZES).select("s", r["kind"].alias("kind"), r["a"].alias("a"))
 
 
-_SHARES = ["25%", "0%", "100%", "150%", "x%", "-1%", "1:00", "90", "-5"]
+_SHARES = ["25%", "0%", "100%", "150%", "x%", "-1%", "1:00", "90", "-5", "@%", "@", "1@%"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_SHARES)})
+@query(f"""WITH t(s) AS ({sql_texts(_SHARES)})
 SELECT s, CASE WHEN ends_with(s, '%') THEN CASE WHEN try_cast(replace(s, '%', '') AS DOUBLE) BETWEEN 0 AND 100 THEN try_cast(replace(s, '%', '') AS DOUBLE) / 100 * 120 END
 WHEN s = '1:00' THEN 60 WHEN try_cast(s AS DOUBLE) >= 0 THEN try_cast(s AS DOUBLE) END AS seconds FROM t""")
 def thumbnail_times(spark, sf):
-    return literals(spark, _SHARES).select("s", S.thumbnail_time(F.col("s"), F.lit(120.0)).alias("seconds"))
+    return texts(spark, sf, _SHARES).select("s", S.thumbnail_time(F.col("s"), F.lit(120.0)).alias("seconds"))
 
 
-_RATIOS = ["16:9", "4:3", "0:1", "a:b", "1:2:3", "1", " 3 : 2 "]
+_RATIOS = ["16:9", "4:3", "0:1", "a:b", "1:2:3", "1", " 3 : 2 ", "@:9", "@:@", " @ : 2 "]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_RATIOS)}), p AS (SELECT s, string_split(s, ':') AS p FROM t), n AS (SELECT s, len(p) AS k, try_cast(trim(p[1]) AS INTEGER) AS w, try_cast(trim(p[2]) AS INTEGER) AS h FROM p)
+@query(f"""WITH t(s) AS ({sql_texts(_RATIOS)}), p AS (SELECT s, string_split(s, ':') AS p FROM t), n AS (SELECT s, len(p) AS k, try_cast(trim(p[1]) AS INTEGER) AS w, try_cast(trim(p[2]) AS INTEGER) AS h FROM p)
 SELECT s, CASE WHEN k = 2 AND w > 0 AND h > 0 THEN w END AS w, CASE WHEN k = 2 AND w > 0 AND h > 0 THEN h END AS h FROM n""")
 def parse_ratios(spark, sf):
     r = S.aspect_ratio(F.col("s"))
-    return literals(spark, _RATIOS).select("s", r["w"].alias("w"), r["h"].alias("h"))
+    return texts(spark, sf, _RATIOS).select("s", r["w"].alias("w"), r["h"].alias("h"))
 
 
-_PROBES = ["12.5", "N/A", "", "{}", "-3", "inf", "nan", "1e3", "0"]
+_PROBES = ["12.5", "N/A", "", "{}", "-3", "inf", "nan", "1e3", "0", "@.5", "@", "@e2"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_PROBES)}) SELECT s, CASE WHEN isfinite(try_cast(s AS DOUBLE)) AND try_cast(s AS DOUBLE) >= 0 THEN try_cast(s AS DOUBLE) ELSE 0 END AS value,
+@query(f"""WITH t(s) AS ({sql_texts(_PROBES)}) SELECT s, CASE WHEN isfinite(try_cast(s AS DOUBLE)) AND try_cast(s AS DOUBLE) >= 0 THEN try_cast(s AS DOUBLE) ELSE 0 END AS value,
 CASE WHEN isfinite(try_cast(s AS DOUBLE)) AND try_cast(s AS DOUBLE) >= 0 THEN floor(try_cast(s AS DOUBLE)) ELSE 0 END::BIGINT AS whole FROM t""")
 def probe_numbers(spark, sf):
-    return literals(spark, _PROBES).select("s", R.probe_number(F.col("s")).alias("value"), R.probe_integer(F.col("s")).alias("whole"))
+    return texts(spark, sf, _PROBES).select("s", R.probe_number(F.col("s")).alias("value"), R.probe_integer(F.col("s")).alias("whole"))
 
 
 @query("""SELECT p_partkey, greatest(1, round_even(p_size * 37 * least(1.0, 1000.0 / greatest(p_size * 37, p_partkey % 3000 + 1)), 0)::INTEGER)::INTEGER AS width,
@@ -122,12 +122,12 @@ def strip_modes(spark, sf):
     return t(spark, sf, "customer").select("c_custkey", R.strip_flags(mode).alias("flags"))
 
 
-_METRICS = ["SSIM Y:0.9 All:0.991 (20.4)", "PSNR y:40 average:41.25 min:30", "average:inf", "nothing"]
+_METRICS = ["SSIM Y:0.9 All:0.991 (20.4)", "PSNR y:40 average:41.25 min:30", "average:inf", "nothing", "SSIM All:0.@ (1)", "PSNR average:@.25 x"]
 
 
-@query(f"""WITH t(s) AS (VALUES {sql_literals(_METRICS)}) SELECT s, try_cast(nullif(regexp_extract(s, '(?:All|average):[ ]*([0-9.]+|inf)', 1), '') AS DOUBLE) AS value FROM t""")
+@query(f"""WITH t(s) AS ({sql_texts(_METRICS)}) SELECT s, try_cast(nullif(regexp_extract(s, '(?:All|average):[ ]*([0-9.]+|inf)', 1), '') AS DOUBLE) AS value FROM t""")
 def metric_texts(spark, sf):
-    return literals(spark, _METRICS).select("s", R.metric_value(F.col("s")).alias("value"))
+    return texts(spark, sf, _METRICS).select("s", R.metric_value(F.col("s")).alias("value"))
 
 
 @query("""
