@@ -143,3 +143,32 @@ def compare_sheets(spark, sf):
 
     brighter = F.transform(_levels(), lambda v: F.when(F.col("vec_id") % 3 == 0, F.least(v + 9, F.lit(255))).otherwise(v))
     return C.compare_tiles(sheet(_levels()), sheet(brighter), "label", 32).select("label", "tiles", F.round("mse", 6).alias("mse"), "error")
+
+
+def _pdf(ids: list[int]) -> bytes:
+    """A file of a page for each id: every second inherits its size, each has as many pictures as the id's remainder by 3, of which all pages share the first."""
+    bodies = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 3: b"<< /Subtype /Image /Length 1 >>\nstream\nx\nendstream"}
+    for i in ids:
+        own = [3, *(4 + 10 * i + k for k in range(1, i % 3))][: i % 3]
+        bodies |= {n: bodies[3] for n in own}
+        size = b" /MediaBox [0 0 %d 200]" % (50 + i % 300) if i % 2 == 0 else b""
+        bodies[4 + 10 * i] = b"<< /Type /Page /Parent 2 0 R /Rotate %d%s /Resources << /XObject << %s >> >> >>" % (i % 4 * 90, size, b" ".join(b"/I%d %d 0 R" % (n, n) for n in own))
+    bodies[2] = b"<< /Type /Pages /MediaBox [0 0 111 222] /Kids [%s] >>" % b" ".join(b"%d 0 R" % (4 + 10 * i) for i in ids)
+    out, table = bytearray(b"%PDF-1.4\n"), b""
+    for n, body in bodies.items():
+        table += b"%d 1\n%010d 00000 n \n" % (n, len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    return bytes(out) + b"xref\n" + table + b"trailer\n<< /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % len(out)
+
+
+@query("""SELECT 'f' || page_id // 7 AS origin, (row_number() OVER (PARTITION BY page_id // 7 ORDER BY page_id) - 1)::INTEGER AS page, CASE WHEN page_id % 2 = 0 THEN 50 + page_id % 300 ELSE 111 END::DOUBLE AS width,
+CASE WHEN page_id % 2 = 0 THEN 200 ELSE 222 END::DOUBLE AS height, (page_id % 4 * 90)::INTEGER AS rotation, (page_id % 3)::BIGINT AS pictures, 0::BIGINT AS links, (page_id % 3 + 1)::BIGINT AS objects FROM pages""")
+def pdf_pages(spark, sf):
+    """PDFs packed from pages' ids, a page each, and their object graphs read again."""
+    from .sources import pdf
+
+    make = F.udf(lambda ids: bytearray(_pdf(list(ids))), "binary")
+    files = t(spark, sf, "pages").groupBy(F.concat(F.lit("f"), F.expr("page_id DIV 7").cast("string")).alias("origin")).agg(F.sort_array(F.collect_list("page_id")).alias("ids"))
+    from .operators.tables import written
+
+    return pdf.page_report(written(pdf.objects(files.select("origin", make("ids").alias("content")))))
