@@ -172,3 +172,16 @@ def pdf_pages(spark, sf):
     from .operators.tables import written
 
     return pdf.page_report(written(pdf.objects(files.select("origin", make("ids").alias("content")))))
+
+
+@query("""SELECT vec_id, CASE vec_id % 3 WHEN 0 THEN 'already_within_target' WHEN 1 THEN 'lossless' ELSE '' END AS outcome, CASE WHEN vec_id % 3 = 2 THEN 'target_size_unreachable' ELSE '' END AS error, CASE WHEN vec_id % 3 = 2 THEN 16 END::BIGINT AS attempts,
+CASE WHEN vec_id % 3 < 2 THEN true END AS fits FROM embeddings WHERE len(embedding) = 64""")
+def encoded_to_budget(spark, sf):
+    """Every third picture stays, every third has room for a lossless PNG, every third a budget that no PNG meets."""
+    from .operators import budget as B
+
+    k = F.col("vec_id") % 3
+    rows = _pictures(spark, sf).withColumns({"limit": F.when(k == 0, 60).when(k == 1, 100_000).otherwise(10), "size": F.when(k == 0, 50).otherwise(1_000_000)})
+    out = B.encoded_to_budget(rows, "vec_id", "limit", "size")
+    limit = F.when(F.col("vec_id") % 3 == 0, 60).otherwise(100_000)
+    return out.select("vec_id", "outcome", "error", "attempts", (F.col("bytes") <= limit).alias("fits"))
