@@ -339,12 +339,12 @@ def top_k(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str =
                         yield pd.DataFrame({"dim": dim, "centre": number[j[b : b + 5000]], "chunk": nth[b : b + 5000], "id": some["id"].to_numpy()[w], "floor": some["floor"].to_numpy()[w], "v": some["v"].to_numpy()[w]})
 
     shares = max(1, -(-asked.count() // SHARE))
-    parts = written(floored.mapInPandas(send, "dim int, centre int, chunk int, id long, floor double, v array<double>"))
-    sent = parts.withColumn("share", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares)).cast("int"))
+    sent = written(floored.mapInPandas(send, "dim int, centre int, chunk int, id long, floor double, v array<double>"))
+    sent = sent.withColumn("share", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares)).cast("int"))
     needed = F.broadcast(sent.select("dim", "centre").distinct())  # centres again
     there = data.join(needed, ["dim", "centre"], "left_semi").withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     found = written(first.union(_meetings(there, sent, k)))
-    for done in (first, parts, placed, asked):
+    for done in (first, placed, asked):
         dropped(done)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
