@@ -161,8 +161,12 @@ class Search:
         ends = np.append(cuts[1:], len(i)).astype(int)
         for s, e in zip(cuts, ends, strict=True):  # the best leaves first, which raise the k-th scores
             self._leaves(a.nodes[i[s]].rows, np.concatenate([b.nodes[n].rows for n in j[s : min(e, s + 2)]]))
+        size_a, size_b = (np.array([0 if n.children else len(n.rows) for n in x.nodes]) for x in (a, b))
+        left = bound >= a.least(self.worst)[i]
+        # where little is pruned, a query leaf meets all that is left to it at once
+        wide = len(j) if (size_a[i] * size_b[j])[left].sum() > len(self.q) * len(self.p) / 2 else 4
         for s, e in zip(cuts, ends, strict=True):
-            own, at, step = a.nodes[i[s]].rows, s + 2, 4
+            own, at, step = a.nodes[i[s]].rows, s + 2, wide
             while at < e and bound[at] >= self.worst[own].min():
                 some = j[at : min(e, at + step)][bound[at : min(e, at + step)] >= self.worst[own].min()]
                 self._leaves(own, np.concatenate([b.nodes[n].rows for n in some]))
