@@ -20,6 +20,7 @@ import json
 import os
 import shutil
 import stat
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -118,13 +119,14 @@ class PublishingWriter(D.DataSourceWriter):
         self.root, self.overwrite = os.path.abspath(options["root"]), options.get("existing", KEEP) == OVERWRITE
         self.report, self.columns = options.get("report"), [f.name for f in schema.fields]
         self.staging = os.path.join(self.root, STAGING + options.get("job", uuid.uuid4().hex))
+        os.makedirs(self.staging, exist_ok=True)  # here only: a task that outlives its job finds it gone and ends
 
     def write(self, rows: Iterator) -> Staged:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         own = os.path.join(self.staging, f"{task.partitionId()}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}")
-        os.makedirs(own)
+        os.mkdir(own)
         manifest = os.path.join(own, "manifest")
         with open(manifest, "w") as listed:
             for n, row in enumerate(rows):
@@ -172,7 +174,11 @@ class PublishingWriter(D.DataSourceWriter):
         self._clear()
 
     def _clear(self) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        for _ in range(50):  # tasks that are still being ended may add files while the folder is emptied
+            shutil.rmtree(self.staging, ignore_errors=True)
+            if not os.path.exists(self.staging):
+                break
+            time.sleep(0.1)
 
 
 def _kept(path: str, value: dict) -> None:
