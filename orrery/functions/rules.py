@@ -41,6 +41,19 @@ def signal_to_noise(source_db: Column, difference_db: Column) -> Column:
     return F.when(same, F.lit(INFINITY)).when(silent, F.lit(-INFINITY)).otherwise(source_db - difference_db)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero as SQL's ``round`` of doubles has it: scaled, rounded and scaled back in double precision.
+
+    Spark's own rounds the shortest decimal text of a double, which is another
+    double where the scaled value has no room for its last digit.
+    """
+    scaled = x * 10.0**digits
+    size = F.abs(scaled)
+    near = F.rint(size)
+    out = F.signum(scaled) * (near + F.when(size - near == 0.5, 1.0).otherwise(0.0)) / 10.0**digits
+    return F.when(F.abs(out) < INFINITY, out).otherwise(x)
+
+
 def hardware_quality(crf: Column) -> Column:
     """A hardware encoder's 1 to 100 for a constant rate factor."""
     return F.greatest(F.lit(1), F.least(F.lit(100), F.bround((51 - crf) * 2.0).cast("int")))

@@ -77,8 +77,7 @@ def audio_noise(spark, sf):
     low = float("-inf")
     source = F.when(F.col("event_id") % 5 == 0, F.lit(low)).otherwise(F.col("user_id").cast("double"))
     difference = F.when(F.col("event_id") % 7 == 0, F.lit(low)).otherwise(F.col("value"))
-    snr = F.round(R.signal_to_noise(source, difference), 6)
-    snr = F.when(F.abs(R.signal_to_noise(source, difference)) == float("inf"), R.signal_to_noise(source, difference)).otherwise(snr)
+    snr = R.rounded(R.signal_to_noise(source, difference), 6)
     return t(spark, sf, "events").select("event_id", snr.alias("snr"), (snr >= 20).alias("passed"))
 
 
