@@ -33,6 +33,7 @@ Identical sets are one set from the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,7 @@ SALTS = 32  # shares that a frequent signature's members are dealt to
 SHARE = 2000  # members that meet a copy of their centre
 TILE = 512  # sets on a side of a matrix
 TILE_FEATURES = 500_000  # and their features, if there are several sets
+PASS_FEATURES = 64_000_000  # features (8 bytes each) sent to tiles at once, or twice those of all cores if they are more
 KNOWN_IDS = 1_000_000  # ids (8 bytes each) sent to all executors; more are joined by a shuffle
 FREQUENT = 500_000  # frequent features kept (8 bytes each)
 PARTS, MISSES = 3, 1  # n2 and k2
@@ -439,21 +441,36 @@ def _linked(t: pd.DataFrame, across: bool) -> pd.DataFrame | None:
     return pd.DataFrame({"a": np.concatenate((ids[at], ids[told])), "b": np.concatenate((low[at], ids[told])), "room": np.concatenate((np.full(len(at), -1), most[told]))})
 
 
-def _tiles(members: DataFrame, cores: DataFrame, across: bool) -> DataFrame:
-    """(a, b, room) of the sets (group, id, side, label, flag, size) of each group: one side with the other, or all among themselves."""
+def _tiles(members: DataFrame, cores: DataFrame, across: bool) -> list[DataFrame]:
+    """(a, b, room) of the sets (group, id, side, label, flag, size) of each group: one side with the other, or all among themselves.
+
+    A set is sent to every tile of its row, so what is sent may grow with the
+    square of a group.  Tiles are dealt to passes, each written before the next
+    one starts, so that what lies on disk at once grows with the cores only.
+    """
     sides = ["group", "side"] if across else ["group"]
-    number = members.groupBy(*sides).agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_FEATURES)).cast("int").alias("chunks"))
-    dealt = members.join(number, sides).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    members = written(members)
+    number = members.groupBy(*sides).agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("size") / TILE_FEATURES)).cast("int").alias("chunks"), F.sum("size").alias("features"))
+    number = written(number)
+    dealt = members.join(number.drop("features"), sides).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     if across:
-        n = number.groupBy("group").agg(F.max(F.when(F.col("side") == 0, F.col("chunks"))).alias("n0"), F.max(F.when(F.col("side") == 1, F.col("chunks"))).alias("n1"))
+        at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+        n = number.groupBy("group").agg(at(0, "chunks").alias("n0"), at(1, "chunks").alias("n1"), at(0, "features").alias("f0"), at(1, "features").alias("f1")).where("n0 IS NOT NULL AND n1 IS NOT NULL")
+        sent = n.agg(F.sum(F.col("f0") * F.col("n1") + F.col("f1") * F.col("n0")))
         other = F.when(F.col("side") == 0, F.col("n1")).otherwise(F.col("n0"))
-        dealt = dealt.join(n.where("n0 IS NOT NULL AND n1 IS NOT NULL"), "group").withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
+        dealt = dealt.join(n.select("group", "n0", "n1"), "group").withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
         dealt = dealt.withColumns({"ti": F.when(F.col("side") == 0, F.col("chunk")).otherwise(F.col("other")), "tj": F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("chunk"))})
     else:
+        sent = number.agg(F.sum(F.col("features") * F.col("chunks")))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         dealt = dealt.withColumns({"ti": F.least("chunk", "other"), "tj": F.greatest("chunk", "other"), "side": (F.col("chunk") > F.col("other")).cast("int")})
+    most = max(PASS_FEATURES, 2 * (cores.agg(F.sum("size")).first()[0] or 0))
+    passes = max(1, -(-(sent.first()[0] or 0) // most))
     key = ["group", "ti", "tj"]
-    rows = dealt.select(*key, "side", "id", "label", "flag").join(cores.select("id", "size", "own", "feats"), "id").repartition(*key).sortWithinPartitions(*key)
+
+    def rows(turn: int) -> DataFrame:
+        mine = dealt if passes == 1 else dealt.where(F.pmod(F.xxhash64(*key), F.lit(passes)) == turn)
+        return mine.select(*key, "side", "id", "label", "flag").join(cores.select("id", "size", "own", "feats"), "id").repartition(*key).sortWithinPartitions(*key)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -472,7 +489,10 @@ def _tiles(members: DataFrame, cores: DataFrame, across: bool) -> DataFrame:
         if held is not None and (got := tile(held)) is not None:
             yield got
 
-    return rows.mapInPandas(run, "a long, b long, room long")
+    out = [written(rows(turn).mapInPandas(run, "a long, b long, room long")) for turn in range(passes)]
+    dropped(members)
+    dropped(number)
+    return out
 
 
 def _links(cores: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, list[DataFrame]]:
@@ -501,16 +521,16 @@ def _links(cores: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, list[Data
     dropped(rest)
     guest = (F.col("label") != F.col("host")) | F.col("flag")
     hosted = rest_open.select(F.col("host").alias("group"), "id", guest.cast("int").alias("side"), "label", "flag", "size").distinct()
-    first = written(_tiles(hosted, cores, True))
+    met = _tiles(hosted, cores, True)
     # the guests of a group among themselves; groups of the same guests once
     left = rest_open.where(guest)
     mark = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(38,0)")).alias(f"m{k}") for k in (0, 1)]
     alike = left.groupBy("sig").agg(F.count("*").alias("n"), F.countDistinct("label").alias("labels"), F.max("flag").alias("flagged"), *mark)
     alike = alike.where("n > 1 AND (labels > 1 OR flagged)").groupBy("m0", "m1", "n").agg(F.min("sig").alias("sig")).select("sig")
     guests = left.join(alike, "sig").select(F.col("sig").alias("group"), "id", F.lit(0).alias("side"), "label", "flag", "size")
-    second = written(_tiles(guests, cores, False))
+    met += _tiles(guests, cores, False)
     dropped(shares)
-    return star.union(first).union(second), [star, first, second, rest_open]
+    return reduce(DataFrame.union, met, star), [star, *met, rest_open]
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
