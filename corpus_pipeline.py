@@ -36,11 +36,24 @@ def identify(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id."""
-    groups = jaccard.near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return known.select(*docs.columns).union(docs.where("doc_id IS NULL"))
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    The ids that go are sent to the texts, not the texts to the ids (unless
+    more than ``jaccard.KNOWN_IDS`` go); only texts of repeated ids are shuffled.
+    """
+    groups = written(jaccard.near_duplicates(docs))
+    per_id = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("kept"))
+    other = written(per_id.where("n > 1 OR NOT kept"))
+    dropped(groups)
+    total, repeated = other.agg(F.count("*"), F.count(F.when(F.col("kept"), 1))).first()
+
+    def sent(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids.select("doc_id")) if total <= jaccard.KNOWN_IDS else ids.select("doc_id")
+
+    single = docs.join(sent(other), "doc_id", "left_anti").select(*docs.columns)
+    if not repeated:
+        return single
+    return single.union(docs.join(sent(other.where("kept")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
 
 
 def mix(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

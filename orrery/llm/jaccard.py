@@ -514,6 +514,7 @@ def _links(cores: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, list[Data
     told = cores.select("id", "flag", "size").join(label.withColumnRenamed("node", "id"), "id", "left").select("id", "flag", "size", F.coalesce("component", "id").alias("label"))
     rest = shares.where(hot | (F.col("id") != F.col("centre"))).select("sig", "id").join(told, "id")
     rest = written(rest)
+    dropped(shares)
     per = rest.groupBy("sig", "label").agg(F.count("*").alias("n"), F.max("flag").alias("flagged"))
     opened = per.groupBy("sig").agg(F.sum("n").alias("n"), F.count("*").alias("labels"), F.max("flagged").alias("flagged"), F.max(F.struct("n", "label"))["label"].alias("host"))
     opened = opened.where("n > 1 AND (labels > 1 OR flagged)").select("sig", "host")
@@ -529,7 +530,6 @@ def _links(cores: DataFrame, frequent: np.ndarray) -> tuple[DataFrame, list[Data
     alike = alike.where("n > 1 AND (labels > 1 OR flagged)").groupBy("m0", "m1", "n").agg(F.min("sig").alias("sig")).select("sig")
     guests = left.join(alike, "sig").select(F.col("sig").alias("group"), "id", F.lit(0).alias("side"), "label", "flag", "size")
     met += _tiles(guests, cores, False)
-    dropped(shares)
     return reduce(DataFrame.union, met, star), [star, *met, rest_open]
 
 
@@ -552,11 +552,12 @@ def _near_duplicates(df: DataFrame, key: str, text: str) -> DataFrame:
     bits = max(8, (2 * rows.rdd.getNumPartitions() - 1).bit_length())  # parts grow with the input, so that a part stays small
     measured = written(_measure(rows, bits))
     met = _met(measured.where("part IS NOT NULL").select("slot", "part", "load"))
-    per_doc = measured.where("n IS NOT NULL").select("slot", "id", "n", "k1", "k2", "alone")
+    per_doc = written(measured.where("n IS NOT NULL").select("slot", "id", "n", "k1", "k2", "alone"))
     able = F.col("alone") - F.coalesce("met", F.lit(0)) <= F.floor(F.col("n") / 4)
     kept = per_doc.where("n > 0 AND id IS NOT NULL").join(met, "slot", "left")
     # identical sets are one, whose smallest id stands for it
     classes = written(kept.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max(F.coalesce(able, F.lit(False))).alias("left")))
+    dropped(measured)  # its chunks are half as large as the input
 
     reps = classes.where("left").select(F.col("rep").alias("id"))
     total = reps.count()

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -30,6 +31,22 @@ def test_run_and_empty(spark):
         assert stage(spark, empty, SF).count() == 0
 
 
+@pytest.mark.parametrize("known", [1_000_000, 0])
+def test_deduplicate_moves_ids_not_texts(spark, monkeypatch, known):
+    monkeypatch.setattr(jaccard, "KNOWN_IDS", known)
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    ids = [1, 1, 2, 3, 3, 4, 4, 5, None, None, 6]
+    texts = ["a b c", "a b c", "d e f", "a b c", "a b c", None, None, "", "d e f", "d e f", "g h i"]
+    rows = [(i, t, "en", "s", 1) for i, t in zip(ids, texts, strict=True)]
+    got = [(r.doc_id, r.text) for r in P.deduplicate(spark, spark.createDataFrame(rows, schema), SF).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "a b c"), (2, "d e f"), (4, None), (5, ""), (None, "d e f"), (None, "d e f"), (6, "g h i")], key=repr)
+    if known:
+        unique = spark.createDataFrame([r for r in rows if r[0] not in (1, 3, 4)] + [(7, "d e f", "en", "s", 1)], schema)
+        out = P.deduplicate(spark, unique, SF)
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().toString()
+        assert {r.doc_id for r in out.collect()} == {2, 5, 6, None}
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "", "en", "s", 0), (2, "the " * 9000, "en", "s", 1)], spark.read.parquet(f"{SF}/documents.parquet").schema)
     docs = docs.withColumn("score", F.lit("x")).withColumn("n_tokens", F.lit("y"))
