@@ -35,7 +35,8 @@ HELD = 100_000  # distinct words that a training task gathers before it counts t
 PASS = 100_000  # words of texts scored at once; one longer text goes alone
 CHUNK = 8000  # words of a bulk pass, so few that its arrays stay in cache
 SMOOTHING = 0.1
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+EDGE_BITS = 19  # of the places for the edges between the pieces' common beginnings
+_SPREAD = 0x9E3779B1
 
 
 def _log_sum(logs: list[float]) -> float:
@@ -57,72 +58,93 @@ class Lattice:
         self.known = known
         self.size = len(known)
         self.length = np.zeros(self.size, np.int64)
-        by_length: dict[int, list[tuple[int, int]]] = {}
+        nodes: dict[bytes, int] = {b"": 0}  # of the trie of all pieces
         for p, i in known.items():
             self.length[i] = len(p)
-            if b" " in p[1:]:
-                continue  # runs of white space, which no word has
-            by_length.setdefault(len(p), []).append((int(self._hash(p)), i))
-        self.tables = []
-        for n, pairs in sorted(by_length.items()):
-            pairs.sort()
-            hashes = np.array([h for h, _ in pairs], np.uint64)
-            seen = np.zeros(1 << 20, bool)
-            seen[(hashes >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((n, hashes, np.array([i for _, i in pairs], np.int64), seen))
-        self.longest = max(by_length)
-
-    @staticmethod
-    def _hash(piece: bytes) -> np.uint64:
-        with np.errstate(over="ignore"):
-            h = np.uint64(0)
-            for b in piece:
-                h = h * _BASE + np.uint64(b + 1)
-            return h
+            if b" " not in p[1:]:  # no word has runs of white space
+                for n in range(1, len(p) + 1):
+                    nodes.setdefault(p[:n], len(nodes))
+        self.longest = max(map(len, nodes))
+        self.piece = np.full(len(nodes), -1)  # of each node
+        self.first = np.zeros(256, np.int64)  # node of each byte; all of them are pieces
+        self.second = np.full(1 << 16, -1)  # of each two bytes
+        self.edges, self.ends = np.full(1 << EDGE_BITS, -1), np.zeros(1 << EDGE_BITS, np.int64)  # hashed, the next free place if one is taken
+        for p, node in nodes.items():
+            self.piece[node] = known.get(p, -1)
+            if len(p) == 1:
+                self.first[p[0]] = node
+            elif len(p) == 2:
+                self.second[p[0] << 8 | p[1]] = node
+            elif p:
+                edge = nodes[p[:-1]] << 8 | p[-1]
+                at = (edge * _SPREAD & 0xFFFFFFFF) >> (32 - EDGE_BITS)
+                while self.edges[at] >= 0:
+                    at = (at + 1) % len(self.edges)
+                self.edges[at], self.ends[at] = edge, node
+
+    def _next(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """Nodes that a byte leads to; -1: none."""
+        edge = node << 8 | byte
+        at = (edge * _SPREAD & 0xFFFFFFFF) >> (32 - EDGE_BITS)
+        met = self.edges.take(at)
+        out = np.where(met == edge, self.ends.take(at), -1)
+        open_ = np.flatnonzero((met != edge) & (met >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % len(self.edges)
+            met = self.edges.take(at[open_])
+            good = met == edge[open_]
+            out[open_[good]] = self.ends.take(at[open_[good]])
+            open_ = open_[~good & (met >= 0)]
+        return out
 
     def places(self, ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(start, piece, offset of the start in its word, first node, last node).
 
         Node k of a word stands before its byte k; a word of n bytes has n + 1.
+        Only places that begin some longer piece are looked at for longer ones.
         """
         size = np.array([len(w) for w in ws], np.int64)
         first = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-        raw = np.frombuffer(b"\x00".join(ws) + b"\x00", np.uint8)
-        n = len(raw)
-        left = np.repeat(size, size + 1) - (np.arange(n) - np.repeat(first, size + 1))
-        with np.errstate(over="ignore"):
-            h = np.zeros(n, np.uint64)
-            starts, pieces = [], []
-            at = 0
-            for length, hashes, ids, seen in self.tables:
-                while at < length:  # h[p]: hash of the at bytes from p on
-                    h = h[: n - at] * _BASE + (raw[at:].astype(np.uint64) + np.uint64(1))
-                    at += 1
-                maybe = np.flatnonzero(seen[(h >> np.uint64(44)).astype(np.int64)] & (left[: len(h)] >= length))
-                if len(maybe):
-                    j = np.searchsorted(hashes, h[maybe])
-                    j[j == len(hashes)] = 0
-                    good = hashes[j] == h[maybe]
-                    starts.append(maybe[good])
-                    pieces.append(ids[j[good]])
+        raw = np.frombuffer(b"\x00".join(ws) + b"\x00", np.uint8).astype(np.int64)
+        offset = np.arange(len(raw)) - np.repeat(first, size + 1)
+        left = np.repeat(size, size + 1) - offset
+        at, length = np.flatnonzero(left), 1
+        node = self.first.take(raw.take(at))
+        starts, pieces = [at], [self.piece.take(node)]
+        while len(at):
+            more = left.take(at) > length
+            at, node = at[more], node[more]
+            byte = raw.take(at + length)
+            node = self.second.take(raw.take(at) << 8 | byte) if length == 1 else self._next(node, byte)
+            live = node >= 0
+            at, node = at[live], node[live]
+            length += 1
+            piece = self.piece.take(node)
+            good = piece >= 0
+            starts.append(at[good])
+            pieces.append(piece[good])
         start, piece = np.concatenate(starts), np.concatenate(pieces)
-        offset = (start - np.repeat(first, size + 1)[start]).astype(np.int64)
-        return start, piece, offset, first, first + size
+        return start, piece, offset.take(start), first, first + size
 
     def _sweep(self, node, start, piece, offset, rows, backward=False):
         """Fill ``node`` (nodes x languages) by steps that touch a node once each."""
-        at = offset + self.length[piece] if backward else offset
+        length = self.length.take(piece)
+        at = (offset + length if backward else offset).astype(np.uint8)  # at most BULK; bytes are sorted by radix
         order = np.argsort(at, kind="stable")
-        cuts = np.searchsorted(at[order], np.arange(at.max() + 2 if len(at) else 1))
-        end = start + self.length[piece]
+        cuts = np.concatenate(([0], np.cumsum(np.bincount(at))))
+        source, piece = start[order], piece[order]
+        target = source + length[order]
+        if backward:
+            source, target = target, source
         steps = range(len(cuts) - 1)
         for t in reversed(steps) if backward else steps:
-            k = order[cuts[t] : cuts[t + 1]]
-            if len(k):
-                if backward:
-                    node[start[k]] += node[end[k]] * rows[piece[k]]
-                else:
-                    node[end[k]] += node[start[k]] * rows[piece[k]]
+            k = slice(cuts[t], cuts[t + 1])
+            if cuts[t] < cuts[t + 1]:
+                reached = target[k]
+                got = node.take(source[k], axis=0)
+                got *= rows.take(piece[k], axis=0)
+                got += node.take(reached, axis=0)
+                node[reached] = got
 
     def log_likelihood(self, ws: list[bytes], prob: np.ndarray) -> np.ndarray:
         """Natural log of the summed segmentations, words x languages.  ``ws`` begin with a space."""
@@ -249,11 +271,20 @@ class Memo:
         self.model, self.lattice = model, lattice(model.model_file)
         self.rows: dict[bytes, int] = {}
         self.held = np.zeros((1024, len(model.langs)))
+        self.used = np.zeros(1024)  # how often, uses of long ago counting less
+
+    def _forget(self):
+        """Leave the half that is used most."""
+        names, n = list(self.rows), len(self.rows)  # in the order of their rows
+        kept = np.sort(np.argpartition(self.used[:n], n - MEMO // 2)[n - MEMO // 2 :])
+        self.rows = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.held[: len(kept)], self.used[: len(kept)] = self.held[kept], self.used[kept] / 2
+        self.used[len(kept) :] = 0
 
     def values(self, ws: list[bytes]) -> np.ndarray:
         """Words x languages."""
         if len(self.rows) > MEMO:
-            self.rows = {}
+            self._forget()
         at = list(map(self.rows.get, ws))
         missing = [i for i, k in enumerate(at) if k is None]
         if missing:
@@ -263,11 +294,14 @@ class Memo:
                 more = np.zeros((2 * n, self.held.shape[1]))
                 more[:first] = self.held[:first]
                 self.held = more
+                self.used = np.concatenate((self.used, np.zeros(2 * n - len(self.used))))
             self.held[first:n] = self.lattice.log_likelihood([b" " + w for w in new], self.model.prob)
             self.rows.update(zip(new, range(first, n), strict=True))
             for i in missing:
                 at[i] = self.rows[ws[i]]
-        return self.held[np.array(at)]
+        rows = np.array(at)
+        self.used[: len(self.rows)] += np.bincount(rows, minlength=len(self.rows))
+        return self.held.take(rows, axis=0)
 
 
 _MEMOS: dict[str, Memo] = {}

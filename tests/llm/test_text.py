@@ -169,6 +169,28 @@ def test_marginal_likelihood_equals_enumeration():
     assert np.allclose(lat.log_likelihood(ws, prob), [np.log(every(w)) for w in ws])
 
 
+def test_places_are_those_of_all_pieces():
+    lat = language_id.lattice(MODEL)
+    ws = [b" the", b" q", " été".encode(), b" \x00\xff\x00", b" ", b" " + bytes(range(33, 90)), b" internationalisation"]
+    start, piece, offset, first, last = lat.places(ws)
+    got = sorted(zip(start.tolist(), piece.tolist(), offset.tolist(), strict=True))
+    assert got == sorted((int(f) + t, lat.known[w[t:e]], t) for f, w in zip(first, ws, strict=True) for t in range(len(w)) for e in range(t + 1, len(w) + 1) if w[t:e] in lat.known)
+    assert (last - first).tolist() == [len(w) for w in ws]
+
+
+def test_memo_keeps_the_words_used_most(monkeypatch):
+    monkeypatch.setattr(language_id, "MEMO", 10)
+    lat = language_id.lattice(MODEL)
+    memo = language_id.Memo(language_id.Model(MODEL, ["a", "b"], np.ones(2), np.random.default_rng(1).random((2, lat.size))))
+    asked, plain = [], lat.log_likelihood
+    monkeypatch.setattr(lat, "log_likelihood", lambda ws, prob: asked.extend(ws) or plain(ws, prob))
+    for k in range(30):
+        ws = [b"the", b"of", b"the", b"of", *(b"x%d" % (7 * k + i) for i in range(7))]
+        assert np.array_equal(memo.values(ws), plain([b" " + w for w in ws], memo.model.prob))
+        assert len(memo.rows) <= 10 + 9
+    assert asked.count(b" the") == asked.count(b" of") == 1 and len(asked) == 2 + 30 * 7
+
+
 def plain_forward(lat, w, prob):
     """Sums over all segmentations with exact fractions of floats: no rescaling, whatever the length."""
     from decimal import Decimal, getcontext
