@@ -1,8 +1,8 @@
 """Repeated passages by a distributed suffix array (difference cover, DC3).
 
 A byte goes if a ``width``-byte string that covers it also starts in a
-document with a smaller id.  The texts are dealt to blocks of about a
-megabyte; blocks meet only in ``exchange``: each sends the distinct keys it
+document with a smaller id.  The texts are dealt to blocks of about four
+megabytes; blocks meet only in ``exchange``: each sends the distinct keys it
 has, dealt to buckets by range or hash, a bucket answers every key it was
 sent, and the answers go back to the blocks.  No key, however frequent, is
 sent more than once a block.
@@ -39,13 +39,13 @@ from pyspark.sql import functions as F
 from .common import dropped, release, small_batches, table, written
 
 WIDTH = 50
-BLOCK = 1 << 20  # bytes of a block
+BLOCK = 1 << 22  # bytes of a block; blocks times buckets are sent, so both are as large as memory lets them
 KEYS = 3 << 18  # keys of a bucket
+SIEVED = 2  # times as many of the sieve's, which take five bytes
 LEAST_BUCKETS = 16
-MERGED = 4  # blocks that go on as one, once most of their texts are sieved out
 CHUNK = 1 << 15  # bytes hashed at once, so that the numbers stay near the processor
-ROWS_A_FILE = 16  # blocks are large rows, and readers hold many
-BATCH = 64  # of them that a task is sent at once
+ROWS_A_FILE = 4  # blocks are large rows, and readers hold many
+BATCH = 16  # of them that a task is sent at once
 LONGEST_RUN = 64
 SAMPLED_BLOCKS, SAMPLED_KEYS = 24, 8192  # of which the cuts between buckets are made
 BYTE_BITS, TRIPLE_BITS = 9, 25  # of a symbol: a byte or the end, and three of them
@@ -268,8 +268,8 @@ def exchange(state: DataFrame, ask: Callable, settle: Callable, take: Callable,
     ``settle(lane, columns)`` an answer for each of them and one number for
     the bucket; ``take(state, answers, buckets, given)`` the block's new
     state, after another ``ask`` that may have left notes in the old one.
-    ``hashed_keys``: about how many keys there are, where prefixes are hashes;
-    else the cuts between buckets come from a sample of the blocks.
+    ``hashed_keys``: about how many keys there are, where prefixes are hashes
+    (fewer, for larger buckets); else the cuts between buckets come from a sample of the blocks.
     The driver holds the cuts and one number a bucket (of ``KEYS`` keys).
     """
     if hashed_keys:
@@ -438,13 +438,6 @@ def _cut(s: dict, start: np.ndarray, end: np.ndarray, width: int) -> dict:
     return {"text": a[at].tobytes(), "lens": size, "ids": s["ids"][owner], "offs": lo - (np.cumsum(lens) - lens)[owner] + s["offs"][owner], "home": s["home"][owner]}
 
 
-def _merged(states: list[dict]) -> dict:
-    """Several blocks as one."""
-    out = {k: np.concatenate([s[k] for s in states]) for k in ("lens", "ids", "offs", "homes", "gone")}
-    before = np.cumsum([0] + [len(s["homes"]) for s in states])
-    return out | {"text": b"".join(s["text"] for s in states), "home": np.concatenate([s["home"] + n for s, n in zip(states, before, strict=False)])}
-
-
 def _places(s: dict, at: np.ndarray, *more: np.ndarray) -> np.ndarray:
     """Positions in a state's texts as rows of positions in their first blocks, and the number of that block."""
     owner = _owners(s["lens"], at)
@@ -674,23 +667,10 @@ def _row(key, text: bytes, mask: np.ndarray) -> tuple:
 FIELDS = "n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
 
 
-def merged(state: DataFrame, n: int) -> DataFrame:
-    """About ``n`` blocks of what is left of more."""
-
-    def merge(key, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"block": [key[0]], "state": [_kept(_merged([_state(x) for x in rows["state"]]))]})
-
-    dealt = state.withColumn("block", F.pmod(F.xxhash64("block"), F.lit(n)))
-    return written(dealt.groupBy("block").applyInPandas(merge, "block long, state binary"), ROWS_A_FILE, "zstd")
-
-
 def _gone(all_blocks: DataFrame, width: int) -> DataFrame:
     """(block, gone): starts of the windows of a block that a smaller document has."""
     k, n = (width + 1) // 2, all_blocks.count()
-    live = exchange(all_blocks.select("block", "state"), *_sieve(width, k), hashed_keys=max(1, int(n * BLOCK * 2 / (width - k + 2))))
-    after = merged(live, max(1, n // MERGED))
-    dropped(live)
-    live = after
+    live = exchange(all_blocks.select("block", "state"), *_sieve(width, k), hashed_keys=max(1, int(n * BLOCK * 2 / (width - k + 2) / SIEVED)))
     for k in (width * 7 // 8, width - 2):  # the second on what the first leaves
         after = exchange(live, *_variants(width, k), hashed_keys=max(1, int(n * BLOCK * 0.04)))
         dropped(live)

@@ -140,6 +140,24 @@ def test_repeats_equal_brute_force(spark, monkeypatch, seed, width, block, keys)
     assert sorted(got, key=repr) == without_repeats(rows, width)
 
 
+def test_few_messages_are_sent(spark, monkeypatch):
+    """They are blocks times buckets, so their number grows with the square of the input: here for eight megabytes."""
+    sent, plain = [], suffix_array.written
+
+    def noted(df, *a):
+        out = plain(df, *a)
+        if "bucket" in df.columns:
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(suffix_array, "written", noted)
+    docs = spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 64).alias("text"))
+    with suffix_array.small_batches(spark, suffix_array.BATCH):
+        made = suffix_array.blocks(docs, "doc_id", "text", 50)
+        suffix_array.exchange(made.select("block", "state"), *suffix_array._sieve(50, 25), hashed_keys=1)
+    assert len(sent) == 1 and 0 < sent[0] <= 3 * suffix_array.LEAST_BUCKETS
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_array.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     got = suffix_array.remove_repeats(spark.createDataFrame([(1, None), (None, None)], "doc_id int, text string"))
