@@ -14,7 +14,8 @@ sent more than once a block.
    smallest document go on, the others are covered by it; a name whose runs
    are all alike is settled by that.
 2. What is left, stretches of text around edits and the ends of passages, is
-   sorted by DC3: the triples at positions 1 and 2 of every 3 are sorted and
+   put together again, and cut where it is much, to blocks of about two
+   megabytes.  They are sorted by DC3: the triples at positions 1 and 2 of every 3 are sorted and
    named, the names make a string of two thirds the length, on which the same
    is done again until a few names span ``width`` bytes and are sorted as
    they are.  Then the remaining third of the suffixes is merged in, level by
@@ -40,14 +41,16 @@ from .common import dropped, release, small_batches, table, written
 
 WIDTH = 50
 BLOCK = 1 << 22  # bytes of a block; blocks times buckets are sent, so both are as large as memory lets them
+SORTED = 1 << 21  # bytes of a block of what the sieves leave
 KEYS = 3 << 18  # keys of a bucket
-SIEVED = 2  # times as many of the sieve's, which take five bytes
+SIEVED = 4  # times as many of the sieve's, which take five bytes
+COMPARED = 2  # and of those of runs, which take some twenty
 LEAST_BUCKETS = 16
 CHUNK = 1 << 15  # bytes hashed at once, so that the numbers stay near the processor
 ROWS_A_FILE = 4  # blocks are large rows, and readers hold many
 BATCH = 16  # of them that a task is sent at once
 LONGEST_RUN = 64
-SAMPLED_BLOCKS, SAMPLED_KEYS = 24, 8192  # of which the cuts between buckets are made
+SAMPLED_BLOCKS, SAMPLED_KEYS = 12, 8192  # of which the cuts between buckets are made
 BYTE_BITS, TRIPLE_BITS = 9, 25  # of a symbol: a byte or the end, and three of them
 
 U = np.uint64
@@ -132,13 +135,20 @@ def _whole(lens: np.ndarray, usable: np.ndarray, width: int, n: int) -> np.ndarr
 def contents(a: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of stretches: differences of running sums of bytes times powers, brought to one place."""
     base, inverse = U(0xD6E8FEB86659FD93), U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-    up, down = np.full(len(a) + 1, base), np.full(len(a) + 1, inverse)
+    edges = np.append(np.flatnonzero(np.append(True, start[1:] // CHUNK != start[:-1] // CHUNK)[: len(start)]), len(start))
+    several = list(zip(edges[:-1], edges[1:], strict=True)) if len(start) else []
+    most = max((int(end[i:j].max() - start[i:j].min()) for i, j in several), default=0)
+    up, down = np.full(most + 1, base), np.full(most + 1, inverse)
     up[0] = down[0] = 1
     np.multiply.accumulate(up, out=up)
     np.multiply.accumulate(down, out=down)
-    sums = np.zeros(len(a) + 1, U)
-    np.cumsum((a.astype(U) + U(1)) * down[:-1], out=sums[1:])
-    return _mixed((sums[end] - sums[start]) * up[start] + (end - start).astype(U) * base)
+    sums, out = np.zeros(most + 1, U), np.empty(len(start), U)
+    for i, j in several:  # a hash doesn't tell where a stretch is, so they may be taken a few at a time
+        low, high = int(start[i:j].min()), int(end[i:j].max())
+        np.cumsum((a[low:high].astype(U) + U(1)) * down[: high - low], out=sums[1 : high - low + 1])
+        x, y = start[i:j] - low, end[i:j] - low
+        out[i:j] = (sums[y] - sums[x]) * up[x] + (y - x).astype(U) * base
+    return _mixed(out)
 
 
 def _small(x: np.ndarray) -> np.ndarray:
@@ -334,7 +344,8 @@ def _even(keys: int) -> np.ndarray:
 
 
 def _cuts(state: DataFrame, ask: Callable) -> list[np.ndarray]:
-    share = max(1, state.count() // SAMPLED_BLOCKS)
+    some_blocks = [r["block"] for r in state.select("block").orderBy(F.xxhash64("block"), "block").limit(SAMPLED_BLOCKS).collect()]
+    share = state.count() / max(1, len(some_blocks))
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -345,11 +356,11 @@ def _cuts(state: DataFrame, ask: Callable) -> list[np.ndarray]:
                     rows.append((lane, len(prefix), some.tobytes()))
             yield pd.DataFrame(rows, columns=["lane", "n", "some"])
 
-    rows = state.where(F.pmod(F.xxhash64("block"), F.lit(share)) == 0).mapInPandas(probe, "lane int, n long, some binary").collect()
+    rows = state.where(F.col("block").isin(some_blocks)).mapInPandas(probe, "lane int, n long, some binary").collect()
     out = []
     for lane in range(1 + max((r["lane"] for r in rows), default=0)):
         mine = [r for r in rows if r["lane"] == lane]
-        n = max(LEAST_BUCKETS, share * sum(r["n"] for r in mine) // KEYS)
+        n = max(LEAST_BUCKETS, int(share * sum(r["n"] for r in mine)) // KEYS)
         seen = np.sort(np.concatenate([np.zeros(0, U), *(np.frombuffer(r["some"], U) for r in mine)]))
         out.append(np.unique(seen[(np.arange(1, n) * len(seen)) // n]) if len(seen) else seen)
     return out
@@ -491,6 +502,51 @@ def _variants(width: int, k: int):
     return ask, settle, take
 
 
+def packed_again(state: DataFrame, width: int) -> DataFrame:
+    """The same stretches in blocks of about ``SORTED`` bytes each: few blocks send few messages, and none needs much memory."""
+    n = max(int(state.agg(F.sum(F.octet_length("state"))).first()[0] or 0) // SORTED, state.sparkSession.sparkContext.defaultParallelism)
+
+    def cut(s: dict) -> list[dict]:
+        """Stretches of at most ``SORTED`` windows, and blocks of at most about as many bytes."""
+        windows = s["lens"] - width + 1
+        parts = -(-windows // SORTED)
+        of = np.repeat(np.arange(len(parts)), parts)
+        first = SORTED * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+        size = np.minimum(windows[of] - first, SORTED) + width - 1
+        at = (np.cumsum(s["lens"]) - s["lens"])[of] + first
+        edges = np.append(np.flatnonzero(np.append(True, np.diff(np.cumsum(size) // SORTED) > 0)[: len(size)]), len(size)) if len(size) else np.array([0, 0])
+        out = []
+        for i, j in zip(edges[:-1], edges[1:], strict=True):
+            text = b"".join(s["text"][x : x + y] for x, y in zip(at[i:j].tolist(), size[i:j].tolist(), strict=True))
+            out.append({"text": text, "lens": size[i:j], "ids": s["ids"][of[i:j]], "offs": s["offs"][of[i:j]] + first[i:j], "home": s["home"][of[i:j]], "homes": s["homes"], "gone": s["gone"][: 0 if out else None]})
+        return out
+
+    def together(parts: list[dict]) -> dict:
+        out = {"text": b"".join(p["text"] for p in parts)} | {k: np.concatenate([p[k] for p in parts]) for k in ("lens", "ids", "offs", "homes")}
+        before = np.cumsum([0, *(len(p["homes"]) for p in parts)])
+        out["home"] = np.concatenate([p["home"] + n for p, n in zip(parts, before, strict=False)])
+        out["gone"] = np.concatenate([p["gone"] + [0, 0, n] for p, n in zip(parts, before, strict=False)])
+        return out
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in batches:
+            for packed in batch["state"]:
+                for part in cut(_state(packed)):
+                    if held and size + len(part["text"]) > SORTED * 3 // 2:
+                        yield pd.DataFrame({"block": [block], "state": [_kept(together(held))]})
+                        block, held, size = block + 1, [], 0
+                    held.append(part)
+                    size += len(part["text"])
+        if held:
+            yield pd.DataFrame({"block": [block], "state": [_kept(together(held))]})
+        release()
+
+    return written(state.repartition(n).mapInPandas(pack, "block long, state binary"), ROWS_A_FILE, "zstd")
+
+
 # -- the suffix array -----------------------------------------------------------------------------------------------
 
 
@@ -594,7 +650,7 @@ def smaller(state: DataFrame, width: int) -> DataFrame:
         some = at[order][first]
         s["_own"] = at, ids, number
         c = [x[order][first] for x in c]
-        return [(c[0] << U(64 - first_bits), [*c, least, text[some[:, None] + np.arange(width)]])]
+        return [(c[0] << U(64 - first_bits), [*c, least, np.lib.stride_tricks.sliding_window_view(text, width)[some] if len(some) else np.zeros((0, width), np.uint8)])]
 
     cuts = _cuts(state, ask)
 
@@ -672,10 +728,12 @@ def _gone(all_blocks: DataFrame, width: int) -> DataFrame:
     k, n = (width + 1) // 2, all_blocks.count()
     live = exchange(all_blocks.select("block", "state"), *_sieve(width, k), hashed_keys=max(1, int(n * BLOCK * 2 / (width - k + 2) / SIEVED)))
     for k in (width * 7 // 8, width - 2):  # the second on what the first leaves
-        after = exchange(live, *_variants(width, k), hashed_keys=max(1, int(n * BLOCK * 0.04)))
+        after = exchange(live, *_variants(width, k), hashed_keys=max(1, int(n * BLOCK * 0.04 / COMPARED)))
         dropped(live)
         live = after
-    state = suffix_order(live, width)
+    again = packed_again(live, width)
+    dropped(live)
+    state = suffix_order(again, width)
     gone = smaller(state, width)
     dropped(state)
     return gone
@@ -704,7 +762,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
         if not len(own):  # a block of the other kind
             return pd.DataFrame(columns=["whole", "piece", "key", "n_bytes", "n_removed", "spans", "kept"])
         s = _state(own["state"].iloc[0])
-        cut = np.frombuffer(rows["gone"].iloc[0], np.int64).reshape(-1, 2) if len(rows) else np.zeros((0, 2), np.int64)
+        cut = np.frombuffer(b"".join(rows["gone"]), np.int64).reshape(-1, 2)  # what was left of a block may have gone to several
         whole, piece = int(own["whole"].iloc[0]), int(own["piece"].iloc[0])
         mask = _removed(len(s["text"]), cut, width)
         out, at = [], 0
